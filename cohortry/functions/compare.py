@@ -1,20 +1,21 @@
 """The comparison operators of a rule leaf, one function per value class.
 
-Each function returns a Column that may be NULL when the data is NULL; the leaf
-builder folds NULL to false, so a missing attribute never matches, not even for
+Each function turns (column, operator, rule value) into a SQL predicate; rules are
+compiled as text because a whole rule then costs one call into the JVM, and equal
+leaves of different segments can be recognised. A predicate is NULL where the data is
+NULL; the leaf folds that to false, so a missing attribute never matches, not even for
 "is not" or "does not contain".
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from .values import (
     RuleError,
+    all_of,
+    any_of,
+    as_category,
     as_instant,
     as_list,
     as_number,
@@ -22,6 +23,8 @@ from .values import (
     as_text,
     day_literal,
     instant_literal,
+    number_literal,
+    text_literal,
 )
 
 # The operator codes used in stored rules.
@@ -33,37 +36,36 @@ ORDERING = (EQ, NEQ, GT, LT, GTE, LTE)
 MATCHING = (CONTAINS, NOT_CONTAINS, STARTS, ENDS)
 ALL_OPERATORS = (*ORDERING, *MATCHING, IN, NOT_IN, BETWEEN)
 
+NEVER = "false"
+
 
-def _ordered(column: Column, op: str, literal: Column) -> Column:
-    return {
-        EQ: column.__eq__,
-        NEQ: column.__ne__,
-        GT: column.__gt__,
-        LT: column.__lt__,
-        GTE: column.__ge__,
-        LTE: column.__le__,
-    }[op](literal)
+def _ordered(column: str, op: str, literal: str) -> str:
+    sign = {EQ: "=", NEQ: "<>"}.get(op, op)
+    return f"{column} {sign} {literal}"
 
 
-def _matched(column: Column, op: str, needle: str) -> Column:
+def _matched(column: str, op: str, needle: str) -> str:
     """Literal, case-insensitive substring tests."""
-    folded, needle = F.lower(column), needle.lower()
-    if op == STARTS:
-        return folded.startswith(needle)
-    if op == ENDS:
-        return folded.endswith(needle)
-    found = folded.contains(needle)
-    return ~found if op == NOT_CONTAINS else found
+    function = {STARTS: "startswith", ENDS: "endswith"}.get(op, "contains")
+    test = f"{function}(lower({column}), {text_literal(needle.lower())})"
+    return f"NOT {test}" if op == NOT_CONTAINS else test
+
+
+def _listed(column: str, op: str, literals: list[str]) -> str:
+    return f"{column} {'NOT IN' if op == NOT_IN else 'IN'} ({', '.join(literals)})"
 
 
 def _typed(
-    column: Column,
+    column: str,
     op: str,
     value: object,
-    literal: Callable[[object], Column],
-    text: Callable[[], tuple[Column, str]],
-) -> Column:
-    """Dispatch shared by all value classes; ``literal`` types one rule value."""
+    literal: Callable[[object], str],
+    text: Callable[[], tuple[str, str]],
+) -> str:
+    """Dispatch shared by the value classes.
+
+    ``literal`` types one rule value, ``text`` gives subject and needle for substring tests.
+    """
     if op in ORDERING:
         return _ordered(column, op, literal(value))
     if op in MATCHING:
@@ -71,91 +73,74 @@ def _typed(
         return _matched(subject, op, needle)
     if op == BETWEEN:
         low, high = as_range(value)
-        return column.between(literal(low), literal(high))
+        return f"{column} BETWEEN {literal(low)} AND {literal(high)}"
     if op in (IN, NOT_IN):
-        listed = column.isin([literal(item) for item in as_list(value)])
-        return ~listed if op == NOT_IN else listed
+        return _listed(column, op, [literal(item) for item in as_list(value)])
     raise RuleError(f"unknown operator {op!r}")
 
 
-def compare_text(column: Column, op: str, value: object) -> Column:
-    return _typed(column, op, value, lambda v: F.lit(as_text(v)), lambda: (column, as_text(value)))
+def compare_text(column: str, op: str, value: object) -> str:
+    return _typed(column, op, value, lambda v: text_literal(as_text(v)), lambda: (column, as_text(value)))
 
 
-def compare_code(column: Column, op: str, value: object) -> Column:
+def compare_code(column: str, op: str, value: object) -> str:
     """Select attributes: integer codes; a value that is no number matches nobody."""
     if op in MATCHING:
-        return _matched(column.cast("string"), op, as_text(value))
+        return _matched(f"CAST({column} AS STRING)", op, as_text(value))
     return compare_number(column, op, value)
 
 
-def compare_number(column: Column, op: str, value: object) -> Column:
+def compare_number(column: str, op: str, value: object) -> str:
     """Numbers are compared as doubles."""
-    column = column.cast("double")
+    column = f"CAST({column} AS DOUBLE)"
     if op in (IN, NOT_IN):
-        numbers = [n for n in map(as_number, as_list(value)) if n is not None]
+        numbers = [number_literal(n) for n in map(as_number, as_list(value)) if n is not None]
         if not numbers:
-            return column.isNotNull() if op == NOT_IN else F.lit(False)
-        listed = column.isin(numbers)
-        return ~listed if op == NOT_IN else listed
+            return f"{column} IS NOT NULL" if op == NOT_IN else NEVER
+        return _listed(column, op, numbers)
     if op == BETWEEN:
-        bounds = [as_number(bound) for bound in as_range(value)]
-        if None in bounds:
-            return F.lit(False)
-        return column.between(*bounds)
+        low, high = map(as_number, as_range(value))
+        if low is None or high is None:
+            return NEVER
+        return f"{column} BETWEEN {number_literal(low)} AND {number_literal(high)}"
     if op not in ORDERING:
         raise RuleError(f"operator {op!r} needs text, not a number")
     number = as_number(value)
-    return F.lit(False) if number is None else _ordered(column, op, F.lit(number))
+    return NEVER if number is None else _ordered(column, op, number_literal(number))
+
+
+def _dated(column: str, op: str, value: object, literal: Callable[[object], str]) -> str:
+    if not isinstance(value, (list, tuple)) and as_text(value) == "":
+        return NEVER
+    as_string = f"CAST({column} AS STRING)"
+    return _typed(column, op, value, literal, lambda: (as_string, as_instant(value).date().isoformat()))
 
 
-def compare_day(column: Column, op: str, value: object) -> Column:
+def compare_day(column: str, op: str, value: object) -> str:
     """Calendar dates; every rule value is cut to its day."""
-    if as_text(value) == "" and not isinstance(value, (list, tuple)):
-        return F.lit(False)
-    return _typed(
-        column,
-        op,
-        value,
-        lambda v: day_literal(as_instant(v)),
-        lambda: (column.cast("string"), as_instant(value).date().isoformat()),
-    )
-
-
-def compare_at_midnight(column: Column, op: str, value: object) -> Column:
-    """Timestamps against midnight of the rule value's day."""
-    if as_text(value) == "" and not isinstance(value, (list, tuple)):
-        return F.lit(False)
+    return _dated(column, op, value, lambda v: day_literal(as_instant(v)))
 
-    def midnight(v: object) -> Column:
-        return instant_literal(as_instant(v).replace(hour=0, minute=0, second=0, microsecond=0))
 
-    return _typed(
-        column,
-        op,
-        value,
-        midnight,
-        lambda: (column.cast("string"), as_instant(value).date().isoformat()),
-    )
+def compare_at_midnight(column: str, op: str, value: object) -> str:
+    """Timestamps against midnight of the rule value's day."""
+    midnight = {"hour": 0, "minute": 0, "second": 0, "microsecond": 0}
+    return _dated(column, op, value, lambda v: instant_literal(as_instant(v).replace(**midnight)))
 
 
-def compare_order_date(column: Column, op: str, value: object) -> Column:
+def compare_order_date(column: str, op: str, value: object) -> str:
     """(In)equality looks at the day; before/after/between look at the instant."""
     if op in (EQ, NEQ):
-        return _ordered(column.cast("date"), op, day_literal(as_instant(value)))
-    if op in (GT, LT, GTE, LTE):
-        return _ordered(column, op, instant_literal(as_instant(value)))
-    if op == BETWEEN:
-        low, high = as_range(value)
-        return column.between(instant_literal(as_instant(low)), instant_literal(as_instant(high)))
+        return _ordered(f"CAST({column} AS DATE)", op, day_literal(as_instant(value)))
+    if op in (GT, LT, GTE, LTE, BETWEEN):
+        return _typed(column, op, value, lambda v: instant_literal(as_instant(v)), lambda: (column, ""))
     raise RuleError(f"operator {op!r} does not apply to order dates")
 
 
-def compare_order_text(column: Column, op: str, value: object) -> Column:
+def compare_order_text(column: str, op: str, value: object) -> str:
     """Row-level test on an order's text column, used under EXISTS."""
     values = as_list(value)
     if op in (EQ, NEQ):
-        return _ordered(column, op, F.lit(values[0]))
+        return _ordered(column, op, text_literal(values[0]))
     if op in (IN, NOT_IN):
         return compare_text(column, op, values)
     if op in (CONTAINS, NOT_CONTAINS):
@@ -163,23 +148,31 @@ def compare_order_text(column: Column, op: str, value: object) -> Column:
     raise RuleError(f"operator {op!r} does not apply to order history")
 
 
-def compare_sku_list(column: Column, op: str, value: object) -> Column:
+def compare_sku_list(column: str, op: str, value: object) -> str:
     """SKU in / not in a list, or like any / like none of it."""
     values = as_list(value)
     if op in (EQ, NEQ):
         return compare_text(column, IN if op == EQ else NOT_IN, values)
     if op == CONTAINS:
-        return reduce(Column.__or__, [_matched(column, CONTAINS, v) for v in values])
+        return any_of([_matched(column, op, v) for v in values])
     if op == NOT_CONTAINS:
-        return reduce(Column.__and__, [_matched(column, NOT_CONTAINS, v) for v in values])
+        return all_of([_matched(column, op, v) for v in values])
     raise RuleError(f"operator {op!r} does not apply to purchased products")
 
 
-def compare_cart_sku(column: Column, op: str, value: object) -> Column:
+def compare_cart_sku(column: str, op: str, value: object) -> str:
     """Case-folded SKU test with a trimmed needle."""
     needle = as_text(value).strip().lower()
     if op in (EQ, NEQ):
-        return _ordered(F.lower(column), op, F.lit(needle))
+        return _ordered(f"lower({column})", op, text_literal(needle))
     if op in (CONTAINS, NOT_CONTAINS):
         return _matched(column, op, needle)
     raise RuleError(f"operator {op!r} does not apply to cart products")
+
+
+def compare_category(column: str, op: str, value: object) -> str:
+    """Category in / not in a list of ids; an item that is no number counts as id 0."""
+    ids = [str(as_category(item)) for item in as_list(value)]
+    if op in (EQ, NEQ):
+        return _listed(column, IN if op == EQ else NOT_IN, ids)
+    raise RuleError(f"operator {op!r} does not apply to categories")

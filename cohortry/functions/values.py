@@ -1,6 +1,6 @@
-"""Reading rule values: untyped JSON scalars or lists become typed literals.
+"""Reading rule values: untyped JSON scalars or lists become typed SQL literals.
 
-This runs on the driver, once per rule leaf, while the rule becomes a Column.
+This runs on the driver, once per rule leaf, while the rule becomes an expression.
 """
 
 from __future__ import annotations
@@ -8,15 +8,15 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 class RuleError(ValueError):
     """The rule cannot be evaluated: unknown leaf, operator, or value format."""
 
 
 _NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
+# Text that every setting of the SQL parser reads as it stands: no quote, no escape
+# character, no variable reference, no control character.
+_PLAIN = re.compile(r"[^'\\$\x00-\x1f]*")
 
 
 def as_text(value: object) -> str:
@@ -59,10 +59,29 @@ def as_instant(value: object) -> dt.datetime:
     return parsed
 
 
-def instant_literal(moment: dt.datetime) -> Column:
-    """A zone-free timestamp literal; folds to a constant, so it reaches the scan."""
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+def text_literal(text: str) -> str:
+    """A string literal. Anything a parser could take for syntax is passed as bytes."""
+    if _PLAIN.fullmatch(text):
+        return f"'{text}'"
+    return f"CAST(X'{text.encode().hex()}' AS STRING)"
+
+
+def number_literal(number: float) -> str:
+    return f"CAST('{number!r}' AS DOUBLE)"
+
+
+def instant_literal(moment: dt.datetime) -> str:
+    """A zone-free timestamp; a constant, so filters on it reach the scan."""
+    return f"TIMESTAMP_NTZ '{moment.isoformat(sep=' ')}'"
+
+
+def day_literal(moment: dt.datetime) -> str:
+    return f"DATE '{moment.date().isoformat()}'"
+
+
+def any_of(tests: list[str]) -> str:
+    return " OR ".join(f"({test})" for test in tests)
 
 
-def day_literal(moment: dt.datetime) -> Column:
-    return F.lit(moment.date())
+def all_of(tests: list[str]) -> str:
+    return " AND ".join(f"({test})" for test in tests)

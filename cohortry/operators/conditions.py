@@ -3,30 +3,31 @@
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import compare as cmp
-from ..functions.values import RuleError, as_category, as_list, as_text
+from ..functions.values import RuleError, as_text
 from .features import CART_FEATURES, ORDER_FEATURES, WISHLIST_COUNT, Feature
 
-Comparison = Callable[[Column, str, object], Column]
+Comparison = Callable[[str, str, object], str]
 
 
 @dataclass(frozen=True)
 class Leaf:
-    """A compiled leaf; ``predicate`` is never NULL."""
+    """A compiled leaf: a SQL predicate over feature columns that is never NULL."""
 
     features: tuple[Feature, ...]
-    predicate: Callable[[], Column]
+    predicate: str
 
 
-def _never_null(predicate: Column) -> Column:
-    return F.coalesce(predicate, F.lit(False))
+Builder = Callable[[str, object], Leaf]
+
+
+def never_null(predicate: str) -> str:
+    return f"coalesce({predicate}, false)"
 
 
 def _check(op: str, accepted: tuple[str, ...], attribute: str) -> None:
@@ -34,49 +35,39 @@ def _check(op: str, accepted: tuple[str, ...], attribute: str) -> None:
         raise RuleError(f"operator {op!r} does not apply to {attribute}")
 
 
-def _on_feature(feature: Feature, comparison: Comparison, accepted: tuple[str, ...]):
+def _on_feature(feature: Feature, comparison: Comparison, accepted: tuple[str, ...]) -> Builder:
     def build(op: str, value: object) -> Leaf:
         _check(op, accepted, feature.name)
-        comparison(F.col(feature.name), op, value)  # reject bad values while compiling
-        return Leaf((feature,), lambda: _never_null(comparison(F.col(feature.name), op, value)))
+        return Leaf((feature,), never_null(comparison(feature.name, op, value)))
 
     return build
 
 
-def flag_name(attribute: str, op: str, value: object) -> str:
-    """Equal leaves of different segments share one flag column."""
-    text = json.dumps([attribute, op, value], sort_keys=True, default=str)
-    return f"{attribute}__{hashlib.sha1(text.encode()).hexdigest()[:12]}"
-
+def _on_rows(
+    attribute: str, source: str, column: str, comparison: Comparison, accepted: tuple[str, ...]
+) -> Builder:
+    """EXISTS over fact rows: the comparison runs on rows, a flag column reaches the rule.
 
-def _on_rows(attribute: str, source: str, column: str, comparison: Comparison, accepted: tuple[str, ...]):
-    """EXISTS over fact rows: the comparison runs on rows, the flag reaches the rule."""
+    The flag is named after the test, so equal leaves of different segments share it.
+    """
 
     def build(op: str, value: object) -> Leaf:
         _check(op, accepted, attribute)
-        comparison(F.col(column), op, value)
-        name = flag_name(attribute, op, value)
-        feature = Feature(name, source, row=lambda: comparison(F.col(column), op, value), default=False)
-        return Leaf((feature,), lambda: F.col(name))
+        test = comparison(column, op, value)
+        name = f"{attribute}__{hashlib.sha1(test.encode()).hexdigest()[:16]}"
+        return Leaf((Feature(name, source, row=test, default="false"),), name)
 
     return build
 
 
-def _category(column: Column, op: str, value: object) -> Column:
-    listed = column.isin([as_category(item) for item in as_list(value)])
-    return listed if op == cmp.EQ else ~listed
-
-
 def _has_cart(op: str, value: object) -> Leaf:
     """The operator plays no part; only 1 / true asks for customers with a cart."""
     feature = CART_FEATURES["has_active_cart"]
-    if as_text(value) == "1":
-        return Leaf((feature,), lambda: F.col(feature.name))
-    return Leaf((feature,), lambda: ~F.col(feature.name))
+    return Leaf((feature,), feature.name if as_text(value) == "1" else f"NOT {feature.name}")
 
 
-def _builders() -> dict[tuple[str, str], Callable[[str, object], Leaf]]:
-    table: dict[tuple[str, str], Callable[[str, object], Leaf]] = {}
+def _builders() -> dict[tuple[str, str], Builder]:
+    table: dict[tuple[str, str], Builder] = {}
 
     def customer(comparison: Comparison, *attributes: str) -> None:
         for attribute in attributes:
@@ -116,7 +107,9 @@ def _builders() -> dict[tuple[str, str], Callable[[str, object], Leaf]]:
         "purchased_categories": "order_categories",
         "viewed_categories": "view_categories",
     }.items():
-        table["Product", attribute] = _on_rows(attribute, source, "category_id", _category, (cmp.EQ, cmp.NEQ))
+        table["Product", attribute] = _on_rows(
+            attribute, source, "category_id", cmp.compare_category, (cmp.EQ, cmp.NEQ)
+        )
     return table
 
 
@@ -135,21 +128,22 @@ class ConditionRegistry:
         family: str,
         attribute: str,
         facts: DataFrame,
-        predicate: Callable[[str, object], Column],
+        predicate: Callable[[str, object], str],
         columns: tuple[str, ...],
-        defaults: dict[str, object] | None = None,
+        defaults: dict[str, str] | None = None,
     ) -> None:
         """Add a leaf of your own.
 
         ``facts`` holds at most one row per ``customer_id`` and the given ``columns``;
-        ``predicate(op, value)`` returns a Column over them. NULL counts as no match.
+        ``predicate(op, value)`` returns a SQL predicate over them (see ``compare``).
+        NULL counts as no match. ``defaults`` are SQL literals for customers without facts.
         """
         source = f"custom:{family}.{attribute}"
         self.facts[source] = facts
         features = tuple(Feature(c, source, default=(defaults or {}).get(c)) for c in columns)
 
         def build(op: str, value: object) -> Leaf:
-            return Leaf(features, lambda: _never_null(predicate(op, value)))
+            return Leaf(features, never_null(predicate(op, value)))
 
         self._builders[family, attribute] = build
 

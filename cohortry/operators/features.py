@@ -10,104 +10,81 @@ rows still reaches the shuffle as one row per map task.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
-from functools import reduce
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import instant_literal
+from ..functions.values import any_of, instant_literal
 from ..sources.shop import Shop, latest_carts, population, top_level_items, valid_orders
 from .joins import lookup_join
 
-MONEY = "decimal(18,2)"
-
 
 @dataclass(frozen=True)
 class Feature:
     """One column of the feature table.
 
-    ``source`` names the fact it is computed from, ``row`` is the row-level expression
-    there (for customer columns and fixed aggregates it is not used), and ``default``
-    replaces NULL for customers without such facts.
+    ``source`` names the fact it is computed from, ``row`` is the row-level test of an
+    EXISTS flag, and ``default`` (a SQL literal) stands in for customers without facts.
     """
 
     name: str
     source: str
-    row: Callable[[], Column] | None = field(default=None, compare=False)
-    default: object = None
-
-
-def _order_aggregates() -> dict[str, Column]:
-    total = F.sum(F.col("base_grand_total").cast(MONEY)).cast("double")
-    return {
-        "total_orders": F.count("*"),
-        "total_revenue": total,
-        "average_order_value": total / F.count("base_grand_total"),
-        "total_items": F.sum(F.col("total_qty_ordered").cast(MONEY)).cast("double"),
-        "first_order_date": F.min("created_at"),
-        "last_order_date": F.max("created_at"),
-    }
-
-
+    row: str | None = None
+    default: str | None = None
+
+
+# Sums are exact decimals, so they do not depend on the order of the rows.
+_REVENUE = "CAST(sum(CAST(base_grand_total AS DECIMAL(18,2))) AS DOUBLE)"
+ORDER_AGGREGATES = {
+    "total_orders": "count(*)",
+    "total_revenue": _REVENUE,
+    "average_order_value": f"{_REVENUE} / count(base_grand_total)",
+    "total_items": "CAST(sum(CAST(total_qty_ordered AS DECIMAL(18,2))) AS DOUBLE)",
+    "first_order_date": "min(created_at)",
+    "last_order_date": "max(created_at)",
+}
 ORDER_FEATURES = {
-    name: Feature(name, "orders", default=0 if name == "total_orders" else None)
-    for name in (
-        "total_orders",
-        "total_revenue",
-        "average_order_value",
-        "total_items",
-        "first_order_date",
-        "last_order_date",
-    )
+    name: Feature(name, "orders", default="0" if name == "total_orders" else None) for name in ORDER_AGGREGATES
 }
 CART_FEATURES = {
-    "cart_subtotal": Feature("cart_subtotal", "cart", default=0.0),
-    "cart_items_count": Feature("cart_items_count", "cart", default=0),
+    "cart_subtotal": Feature("cart_subtotal", "cart", default="0D"),
+    "cart_items_count": Feature("cart_items_count", "cart", default="0"),
     "cart_last_activity": Feature("cart_last_activity", "cart"),
-    "has_active_cart": Feature("has_active_cart", "cart", default=False),
+    "has_active_cart": Feature("has_active_cart", "cart", default="false"),
 }
-WISHLIST_COUNT = Feature("wishlist_items_count", "wishlist", default=0)
-
-
-def _any_of(flags: Iterable[Feature]) -> Column:
-    return reduce(Column.__or__, [flag.row() for flag in flags])
+WISHLIST_COUNT = Feature("wishlist_items_count", "wishlist", default="0")
 
 
 def _exists(flags: Iterable[Feature]) -> list[Column]:
-    return [F.bool_or(flag.row()).alias(flag.name) for flag in flags]
+    return [F.expr(f"bool_or({flag.row}) AS {flag.name}") for flag in flags]
 
 
 def _again(flags: Iterable[Feature]) -> list[Column]:
     """Second step of a two-step EXISTS: combine the flags of the sub-groups."""
-    return [F.bool_or(flag.name).alias(flag.name) for flag in flags]
+    return [F.expr(f"bool_or({flag.name}) AS {flag.name}") for flag in flags]
 
 
-def _raised(flags: Iterable[Feature]) -> Column:
-    return reduce(Column.__or__, [F.col(flag.name) for flag in flags])
+def _any_row(flags: Iterable[Feature]) -> str:
+    return any_of([flag.row for flag in flags])
 
 
 def category_flags(shop: Shop, flags: list[Feature]) -> DataFrame:
     """Per product: is some category of it wanted? Products with no flag are left out."""
-    return (
-        shop.category_product.where(_any_of(flags))
-        .groupBy("product_id")
-        .agg(*_exists(flags))
-    )
+    return shop.category_product.where(_any_row(flags)).groupBy("product_id").agg(*_exists(flags))
 
 
 def _flagged_orders(shop: Shop, skus: list[Feature], categories: list[Feature]) -> DataFrame:
     """Per order: which item-level leaves does some item satisfy?"""
     items = shop.sales_order_item
-    simple = F.col("product_type") == "simple"
-    exprs = [F.bool_or(simple & flag.row()).alias(flag.name) for flag in skus]
+    tests = {flag.name: f"product_type = 'simple' AND ({flag.row})" for flag in skus}
     if categories:
         how = "left" if skus else "inner"
         items = lookup_join(items, category_flags(shop, categories), "product_id", shop.catalog_rows, how)
-        exprs += _again(categories)
-    hits = [simple & flag.row() for flag in skus] + [F.col(flag.name) for flag in categories]
-    return items.where(reduce(Column.__or__, hits)).groupBy("order_id").agg(*exprs)
+        tests |= {flag.name: flag.name for flag in categories}
+    flags = [F.expr(f"bool_or({test}) AS {name}") for name, test in tests.items()]
+    return items.where(any_of(list(tests.values()))).groupBy("order_id").agg(*flags)
 
 
 def _order_facts(shop: Shop, wanted: dict[str, list[Feature]]) -> DataFrame:
@@ -121,10 +98,9 @@ def _order_facts(shop: Shop, wanted: dict[str, list[Feature]]) -> DataFrame:
         how = "left" if totals or history else "inner"
         orders = orders.join(_flagged_orders(shop, skus, categories), "order_id", how)
     elif history and not totals:
-        orders = orders.where(_any_of(history))
-    aggregates = _order_aggregates()
+        orders = orders.where(_any_row(history))
     return orders.groupBy("customer_id").agg(
-        *[aggregates[feature.name].alias(feature.name) for feature in totals],
+        *[F.expr(f"{ORDER_AGGREGATES[feature.name]} AS {feature.name}") for feature in totals],
         *_exists(history),
         *_again(by_item),
     )
@@ -135,14 +111,14 @@ def order_summary(shop: Shop) -> DataFrame:
     return _order_facts(shop, {"orders": list(ORDER_FEATURES.values())})
 
 
-def purchased_item_counts(shop: Shop, item: Column) -> DataFrame:
+def purchased_item_counts(shop: Shop, test: str) -> DataFrame:
     """Valid-order items per customer that satisfy a row-level test.
 
     Counted per order first: the join to the orders is one row to one row.
     """
-    per_order = shop.sales_order_item.where(item).groupBy("order_id").agg(F.count("*").alias("items"))
+    per_order = shop.sales_order_item.where(test).groupBy("order_id").agg(F.expr("count(*) AS items"))
     orders = valid_orders(shop.sales_order).select("order_id", "customer_id")
-    return orders.join(per_order, "order_id").groupBy("customer_id").agg(F.sum("items").alias("purchased_items"))
+    return orders.join(per_order, "order_id").groupBy("customer_id").agg(F.expr("sum(items) AS purchased_items"))
 
 
 def order_products(shop: Shop) -> DataFrame:
@@ -155,45 +131,42 @@ def order_products(shop: Shop) -> DataFrame:
     return lookup_join(lines, orders, "order_id", shop.order_rows)
 
 
-def distinct_products(shop: Shop, category: Column) -> DataFrame:
+def distinct_products(shop: Shop, category_test: str) -> DataFrame:
     """Distinct purchased products per customer with some matching category link.
 
     The links become one row per product before the join, and the distinct count is
     exact: Spark shuffles on (customer, product) first, then adds up per customer.
     """
-    linked = shop.category_product.where(category).select("product_id").distinct()
+    linked = shop.category_product.where(category_test).select("product_id").distinct()
     bought = lookup_join(order_products(shop), linked, "product_id", shop.catalog_rows, "left_semi")
-    return bought.groupBy("customer_id").agg(F.count_distinct("product_id").alias("distinct_products"))
+    return bought.groupBy("customer_id").agg(F.expr("count(DISTINCT product_id) AS distinct_products"))
 
 
 def _cart_facts(shop: Shop, wanted: dict[str, list[Feature]], now: dt.datetime) -> DataFrame:
     carts = latest_carts(shop.quote)
     flags = wanted.get("cart_items", [])
     if flags:
-        held = top_level_items(shop.quote_item).where(_any_of(flags)).groupBy("quote_id").agg(*_exists(flags))
+        held = top_level_items(shop.quote_item).where(_any_row(flags)).groupBy("quote_id").agg(*_exists(flags))
         carts = carts.join(held, "quote_id", "left" if wanted.get("cart") else "inner")
-    age = F.timestamp_diff("SECOND", F.col("updated_at"), instant_literal(now))
     columns = {
-        "cart_subtotal": F.coalesce(F.col("subtotal").cast("double"), F.lit(0.0)),
-        "cart_items_count": F.coalesce(F.col("items_count"), F.lit(0)),
-        "cart_last_activity": (age / 86400).cast("int"),
-        "has_active_cart": F.lit(True),
+        "cart_subtotal": "coalesce(CAST(subtotal AS DOUBLE), 0D)",
+        "cart_items_count": "coalesce(items_count, 0)",
+        # whole days, cut towards zero
+        "cart_last_activity": f"CAST(timestampdiff(SECOND, updated_at, {instant_literal(now)}) / 86400 AS INT)",
+        "has_active_cart": "true",
     }
-    return carts.select(
+    return carts.selectExpr(
         "customer_id",
-        *[columns[feature.name].alias(feature.name) for feature in wanted.get("cart", [])],
+        *[f"{columns[feature.name]} AS {feature.name}" for feature in wanted.get("cart", [])],
         *[flag.name for flag in flags],
     )
 
 
 def wishlist_counts(shop: Shop) -> DataFrame:
     """Items are counted per wishlist first, so the join is one row to one row."""
-    per_list = shop.wishlist_item.groupBy("wishlist_id").agg(F.count("*").alias("items"))
-    return (
-        shop.wishlist.join(per_list, "wishlist_id")
-        .groupBy("customer_id")
-        .agg(F.sum("items").alias("wishlist_items_count"))
-    )
+    per_list = shop.wishlist_item.groupBy("wishlist_id").agg(F.expr("count(*) AS items"))
+    lists = shop.wishlist.join(per_list, "wishlist_id")
+    return lists.groupBy("customer_id").agg(F.expr("sum(items) AS wishlist_items_count"))
 
 
 def _view_facts(shop: Shop, flags: list[Feature]) -> DataFrame:
@@ -237,10 +210,7 @@ def feature_table(
         table = table.join(fact, "customer_id", "left")
 
     defaults = {f.name: f.default for f in distinct.values() if f.default is not None}
-    return table.select(
+    return table.selectExpr(
         "customer_id",
-        *[
-            F.coalesce(F.col(name), F.lit(defaults[name])).alias(name) if name in defaults else F.col(name)
-            for name in sorted(distinct)
-        ],
+        *[f"coalesce({name}, {defaults[name]}) AS {name}" if name in defaults else name for name in sorted(distinct)],
     )

@@ -46,19 +46,19 @@ def spread_join(large: DataFrame, unique: DataFrame, key: str, how: str = "inner
     bound = int_setting(large.sparkSession, HOT_KEY_ROWS)
     hot = (
         large.groupBy(key)
-        .agg(F.count("*").alias("__rows"))
-        .where((F.col("__rows") > bound) & F.col(key).isNotNull())
-        .select(key, F.ceil(F.col("__rows") / bound).cast("int").alias(_SALTS))
+        .agg(F.expr("count(*) AS __rows"))
+        .where(f"__rows > {bound} AND {key} IS NOT NULL")
+        .selectExpr(key, f"CAST(ceil(__rows / {bound}) AS INT) AS {_SALTS}")
     )
-    row_hash = F.xxhash64(*[F.col(c) for c in large.columns])
+    row_hash = f"xxhash64({', '.join(f'`{column}`' for column in large.columns)})"
     salted = (
         large.join(F.broadcast(hot), key, "left")
-        .withColumn(_SALT, F.when(F.col(_SALTS).isNull(), 0).otherwise(F.pmod(row_hash, _SALTS)).cast("int"))
+        .withColumn(_SALT, F.expr(f"CAST(if({_SALTS} IS NULL, 0, pmod({row_hash}, {_SALTS})) AS INT)"))
         .drop(_SALTS)
     )
     copies = (
         unique.join(F.broadcast(hot), key, "left")
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SALTS), F.lit(1)) - 1)))
+        .withColumn(_SALT, F.expr(f"explode(sequence(0, coalesce({_SALTS}, 1) - 1))"))
         .drop(_SALTS)
     )
     joined = salted.join(copies, [key, _SALT], how).drop(_SALT)

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import instant_literal
+from ..functions.compare import CONTAINS, EQ, compare_text
+from ..functions.values import all_of, instant_literal
+from ..sources.shop import active_segments
 
 # Refresh modes and their labels, and the staleness limit.
 MODE_LABELS = {"manual": "Manual", "cron": "Cron Schedule", "realtime": "Real-time"}
@@ -36,26 +38,25 @@ class Page:
 
 
 def filter_segments(segments: DataFrame, chosen: SegmentFilter) -> DataFrame:
-    for column, (low, high) in {"segment_id": chosen.ids, "customer_count": chosen.counts}.items():
+    tests = ["true"]
+    ranges = (
+        ("segment_id", chosen.ids, int),
+        ("customer_count", chosen.counts, int),
+        ("last_refreshed", chosen.last_refreshed, instant_literal),
+        ("created_at", chosen.created_at, instant_literal),
+    )
+    for column, (low, high), literal in ranges:
         if low is not None:
-            segments = segments.where(F.col(column) >= low)
+            tests.append(f"{column} >= {literal(low)}")
         if high is not None:
-            segments = segments.where(F.col(column) <= high)
-    for column, (since, until) in {
-        "last_refreshed": chosen.last_refreshed,
-        "created_at": chosen.created_at,
-    }.items():
-        if since is not None:
-            segments = segments.where(F.col(column) >= instant_literal(since))
-        if until is not None:
-            segments = segments.where(F.col(column) <= instant_literal(until))
+            tests.append(f"{column} <= {literal(high)}")
     if chosen.name is not None:
-        segments = segments.where(F.lower("name").contains(chosen.name.lower()))
+        tests.append(compare_text("name", CONTAINS, chosen.name))
     if chosen.is_active is not None:
-        segments = segments.where(F.col("is_active") == chosen.is_active)
+        tests.append("is_active" if chosen.is_active else "NOT is_active")
     if chosen.refresh_mode is not None:
-        segments = segments.where(F.col("refresh_mode") == chosen.refresh_mode)
-    return segments
+        tests.append(compare_text("refresh_mode", EQ, chosen.refresh_mode))
+    return segments.where(all_of(tests))
 
 
 def page_of(rows: DataFrame, key: str, page: int, size: int, descending: bool = False) -> Page:
@@ -63,7 +64,7 @@ def page_of(rows: DataFrame, key: str, page: int, size: int, descending: bool =
 
     Sort, offset and limit become one top-k: every task keeps page * size rows.
     """
-    order = F.col(key).desc() if descending else F.col(key).asc()
+    order = F.desc(key) if descending else F.asc(key)
     return Page(rows.orderBy(order).offset((page - 1) * size).limit(size), rows.count())
 
 
@@ -73,12 +74,11 @@ def page_after(rows: DataFrame, key: str, last_key: object, size: int) -> DataFr
 
 
 def with_labels(segments: DataFrame) -> DataFrame:
-    mode, status = F.col("refresh_mode"), F.col("is_active")
-    mode_label = F.coalesce(
-        *[F.when(mode == code, F.lit(label)) for code, label in MODE_LABELS.items()], mode
-    )
-    return segments.withColumn("mode_label", mode_label).withColumn(
-        "status_label", F.when(status, STATUS_LABELS[True]).otherwise(STATUS_LABELS[False])
+    modes = " ".join(f"WHEN '{code}' THEN '{label}'" for code, label in MODE_LABELS.items())
+    return segments.selectExpr(
+        "*",
+        f"CASE refresh_mode {modes} ELSE refresh_mode END AS mode_label",
+        f"if(is_active, '{STATUS_LABELS[True]}', '{STATUS_LABELS[False]}') AS status_label",
     )
 
 
@@ -93,26 +93,23 @@ def upsert_segments(segments: DataFrame, changes: DataFrame, now: dt.datetime) -
 
     New rows get the table's defaults, ``created_at`` on insert, ``updated_at`` always.
     """
-    defaults = {"is_active": F.lit(True), "refresh_mode": F.lit("manual"), "customer_count": F.lit(0)}
-    new, old = changes.alias("new"), segments.alias("old")
-    changed = F.col("new.segment_id").isNotNull()
-    merged = old.join(new, F.col("old.segment_id") == F.col("new.segment_id"), "full_outer")
+    defaults = {"is_active": "true", "refresh_mode": "'manual'", "customer_count": "0"}
     stamp = instant_literal(now)
 
-    def pick(column: str):
+    def pick(column: str, kind: str) -> str:
         if column == "created_at":
-            value = F.coalesce("old.created_at", stamp)
+            value = f"coalesce(old.created_at, {stamp})"
         elif column == "updated_at":
-            value = F.when(changed, stamp).otherwise(F.col("old.updated_at"))
+            value = f"if(new.segment_id IS NOT NULL, {stamp}, old.updated_at)"
         else:
-            sources = [F.col(f"new.{column}")] if column in changes.columns else []
-            sources.append(F.col(f"old.{column}"))
-            if column in defaults:
-                sources.append(defaults[column])
-            value = F.coalesce(*sources)
-        return value.cast(segments.schema[column].dataType).alias(column)
+            sources = [f"new.{column}"] if column in changes.columns else []
+            sources.append(f"old.{column}")
+            sources.append(defaults.get(column, "NULL"))
+            value = f"coalesce({', '.join(sources)})"
+        return f"CAST({value} AS {kind}) AS {column}"
 
-    return merged.select(*[pick(column) for column in segments.columns])
+    merged = segments.alias("old").join(changes.alias("new"), F.expr("old.segment_id = new.segment_id"), "full_outer")
+    return merged.selectExpr(*[pick(column, kind) for column, kind in segments.dtypes])
 
 
 def delete_segments(ids: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...]:
@@ -133,28 +130,26 @@ def segments_due(segments: DataFrame, ticks: DataFrame, now: dt.datetime) -> Dat
     only with a tick at this minute.
     """
     minute = instant_literal(now.replace(second=0, microsecond=0))
-    schedule = ticks.groupBy("cron_expression").agg(
-        F.bool_or(F.date_trunc("minute", "due_at").cast("timestamp_ntz") == minute).alias("due")
-    )
-    scheduled = segments.where(F.col("is_active") & F.col("refresh_mode").isin("cron", "realtime"))
-    unscheduled = F.col("cron_expression").isNull() | F.col("cron_expression").isin("", "0")
+    at_minute = f"due_at >= {minute} AND due_at < {minute} + INTERVAL 1 MINUTE"
+    schedule = ticks.groupBy("cron_expression").agg(F.expr(f"bool_or({at_minute}) AS due"))
     return (
-        scheduled.join(schedule, "cron_expression", "left")
-        .where(unscheduled | F.coalesce("due", F.lit(True)))
+        active_segments(segments, "cron", "realtime")
+        .join(schedule, "cron_expression", "left")
+        .where("cron_expression IS NULL OR cron_expression IN ('', '0') OR coalesce(due, true)")
         .select(*segments.columns)
     )
 
 
+def _overdue(now: dt.datetime) -> str:
+    return f"(last_refreshed IS NULL OR last_refreshed < {instant_literal(now - STALE_AFTER)})"
+
+
 def segments_stale(segments: DataFrame, now: dt.datetime) -> DataFrame:
     """Active scheduled segments, and realtime ones not refreshed for an hour."""
-    limit = instant_literal(now - STALE_AFTER)
-    overdue = F.col("last_refreshed").isNull() | (F.col("last_refreshed") < limit)
-    mode = F.col("refresh_mode")
-    return segments.where(F.col("is_active") & ((mode == "cron") | ((mode == "realtime") & overdue)))
+    overdue = f"refresh_mode = 'realtime' AND {_overdue(now)}"
+    return active_segments(segments).where(f"refresh_mode = 'cron' OR ({overdue})")
 
 
 def needs_refresh(segments: DataFrame, now: dt.datetime) -> DataFrame:
     """Per-segment check: active, not manual, and not refreshed for an hour."""
-    limit = instant_literal(now - STALE_AFTER)
-    overdue = F.col("last_refreshed").isNull() | (F.col("last_refreshed") < limit)
-    return segments.where(F.col("is_active") & (F.col("refresh_mode") != "manual") & overdue)
+    return active_segments(segments).where(f"refresh_mode <> 'manual' AND {_overdue(now)}")

@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import number_literal
 from ..sources.shop import Shop, population
 from .lifecycle import Page, page_of
 from .membership import KEYS
 
 
 def customers_in_segment(customers: DataFrame, members: DataFrame, segment_id: int) -> DataFrame:
-    chosen = members.where(F.col("segment_id") == segment_id)
+    chosen = members.where(f"segment_id = {int(segment_id)}")
     return customers.join(chosen, "customer_id", "left_semi")
 
 
 def export_members(shop: Shop, members: DataFrame, segment_id: int) -> DataFrame:
     """The member rows of an export; nothing is collected."""
-    return customers_in_segment(population(shop.customer), members, segment_id).select(
-        "customer_id",
-        "email",
-        F.col("firstname").alias("first_name"),
-        F.col("lastname").alias("last_name"),
-        "created_at",
+    return customers_in_segment(population(shop.customer), members, segment_id).selectExpr(
+        "customer_id", "email", "firstname AS first_name", "lastname AS last_name", "created_at"
     )
 
 
@@ -34,15 +31,15 @@ def matched_customers(shop: Shop, members: DataFrame, segment_id: int, page: int
     chosen = customers_in_segment(population(shop.customer), members, segment_id)
     people = chosen.select("customer_id", "firstname", "lastname", "email", "default_billing", "created_at")
     found = page_of(people, "customer_id", page, size)
-    address = shop.customer_address.select(
-        F.col("address_id").alias("default_billing"),
-        F.col("city").alias("billing_city"),
-        F.col("region").alias("billing_region"),
-        F.col("country_id").alias("billing_country_id"),
+    address = shop.customer_address.selectExpr(
+        "address_id AS default_billing",
+        "city AS billing_city",
+        "region AS billing_region",
+        "country_id AS billing_country_id",
     )
-    rows = found.rows.join(address, "default_billing", "left").select(
+    rows = found.rows.join(address, "default_billing", "left").selectExpr(
         "customer_id",
-        F.concat_ws(" ", "firstname", "lastname").alias("name"),
+        "concat_ws(' ', firstname, lastname) AS name",
         "email",
         "billing_city",
         "billing_region",
@@ -61,9 +58,9 @@ def customer_segments(members: DataFrame, segments: DataFrame) -> DataFrame:
 
 def membership_check(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """For distinct (customer_id, segment_id) pairs: is the customer in the segment?"""
-    held = members.select(*KEYS, F.lit(True).alias("in_segment"))
+    held = members.selectExpr(*KEYS, "true AS in_segment")
     asked = pairs.select(*KEYS).distinct()
-    return asked.join(held, KEYS, "left").select(*KEYS, F.coalesce("in_segment", F.lit(False)).alias("in_segment"))
+    return asked.join(held, KEYS, "left").selectExpr(*KEYS, "coalesce(in_segment, false) AS in_segment")
 
 
 def segment_profile(members: DataFrame, features: DataFrame, high_value: float) -> DataFrame:
@@ -72,17 +69,17 @@ def segment_profile(members: DataFrame, features: DataFrame, high_value: float)
     ``features`` needs total_orders, total_revenue and total_items. The sums combine
     map-side, so a segment that holds most customers is no hot group.
     """
-    revenue = F.coalesce("total_revenue", F.lit(0.0)).cast("decimal(38,2)")
     joined = members.join(features, "customer_id")
-    totals = joined.groupBy("segment_id").agg(
-        F.count("*").alias("customers"),
-        F.sum("total_orders").alias("orders"),
-        F.sum(revenue).cast("double").alias("revenue"),
-        F.sum(F.coalesce("total_items", F.lit(0.0)).cast("decimal(38,2)")).cast("double").alias("items"),
-        F.count_if(F.col("total_revenue") >= high_value).alias("high_value_customers"),
-    )
-    return totals.select(
+    metrics = {
+        "customers": "count(*)",
+        "orders": "sum(total_orders)",
+        "revenue": "CAST(sum(CAST(coalesce(total_revenue, 0D) AS DECIMAL(38,2))) AS DOUBLE)",
+        "items": "CAST(sum(CAST(coalesce(total_items, 0D) AS DECIMAL(38,2))) AS DOUBLE)",
+        "high_value_customers": f"count_if(total_revenue >= {number_literal(high_value)})",
+    }
+    totals = joined.groupBy("segment_id").agg(*[F.expr(f"{metric} AS {name}") for name, metric in metrics.items()])
+    return totals.selectExpr(
         "*",
-        (F.col("revenue") / F.col("customers")).alias("revenue_per_customer"),
-        F.when(F.col("orders") > 0, F.col("revenue") / F.col("orders")).alias("revenue_per_order"),
+        "revenue / customers AS revenue_per_customer",
+        "if(orders > 0, revenue / orders, NULL) AS revenue_per_order",
     )

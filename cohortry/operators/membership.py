@@ -25,18 +25,16 @@ def to_remove(matches: DataFrame, members: DataFrame) -> DataFrame:
 
 def delta(matches: DataFrame, members: DataFrame, add_only: bool = False) -> DataFrame:
     """Additions (``assigned``) and removals together, evaluating ``matches`` once."""
-    fresh = matches.select(*KEYS, F.lit(True).alias("matched"))
-    held = members.select(*KEYS, F.lit(True).alias("held"))
     if add_only:
-        return to_add(matches, members).withColumn("assigned", F.lit(True))
-    both = fresh.join(held, KEYS, "full_outer")
-    changed = both.where(F.col("matched").isNull() | F.col("held").isNull())
-    return changed.select(*KEYS, F.col("matched").isNotNull().alias("assigned"))
+        return to_add(matches, members).selectExpr(*KEYS, "true AS assigned")
+    fresh, held = matches.selectExpr(*KEYS, "true AS matched"), members.selectExpr(*KEYS, "true AS held")
+    changed = fresh.join(held, KEYS, "full_outer").where("matched IS NULL OR held IS NULL")
+    return changed.selectExpr(*KEYS, "matched IS NOT NULL AS assigned")
 
 
 def assign(members: DataFrame, pairs: DataFrame, now: dt.datetime) -> DataFrame:
     """Upsert: a pair assigned again gets a fresh ``assigned_at``."""
-    new = pairs.select(*KEYS).distinct().withColumn("assigned_at", instant_literal(now))
+    new = pairs.select(*KEYS).distinct().selectExpr(*KEYS, f"{instant_literal(now)} AS assigned_at")
     kept = members.join(new, KEYS, "left_anti").select(*KEYS, "assigned_at")
     return kept.unionByName(new)
 
@@ -46,21 +44,18 @@ def remove(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def segment_counts(members: DataFrame) -> DataFrame:
-    return members.groupBy("segment_id").agg(F.count("*").alias("customer_count"))
+    return members.groupBy("segment_id").agg(F.expr("count(*) AS customer_count"))
 
 
 def segment_ids(members: DataFrame) -> DataFrame:
     """The segments of each customer; at most one entry per segment, so bounded."""
-    ids = F.sort_array(F.collect_set("segment_id")).alias("segment_ids")
-    return members.groupBy("customer_id").agg(ids)
+    return members.groupBy("customer_id").agg(F.expr("sort_array(collect_set(segment_id)) AS segment_ids"))
 
 
 def with_segment_ids(customers: DataFrame, members: DataFrame) -> DataFrame:
     """Customers plus ``segment_ids``; an empty array without memberships."""
-    empty = F.array().cast("array<int>")
-    return customers.join(segment_ids(members), "customer_id", "left").withColumn(
-        "segment_ids", F.coalesce("segment_ids", empty)
-    )
+    known = customers.join(segment_ids(members), "customer_id", "left")
+    return known.withColumn("segment_ids", F.expr("coalesce(segment_ids, CAST(array() AS ARRAY<INT>))"))
 
 
 def in_segments(table: DataFrame, members: DataFrame, ids: list[int], negate: bool = False) -> DataFrame:
@@ -69,5 +64,5 @@ def in_segments(table: DataFrame, members: DataFrame, ids: list[int], negate: bo
     A NULL customer (guest) is in no segment; it is not kept by the negation either.
     """
     chosen = members.where(F.col("segment_id").isin(ids)).select("customer_id").distinct()
-    known = table.where(F.col("customer_id").isNotNull())
+    known = table.where("customer_id IS NOT NULL")
     return known.join(chosen, "customer_id", "left_anti" if negate else "left_semi")

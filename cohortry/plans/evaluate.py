@@ -8,12 +8,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.values import RuleError
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import Feature, feature_table
-from ..session import SEGMENTS_PER_PASS, int_setting, work_dir
+from ..session import SEGMENTS_PER_PASS, int_setting, small_table, work_dir
 from ..sources.shop import Shop, active_segments
 from .rules import CompiledRule, compile_rule
 
@@ -33,11 +32,11 @@ class RuleSet:
 def compile_segments(definitions: DataFrame, registry: ConditionRegistry) -> RuleSet:
     """Compile the rules of some segments; one bad rule does not stop the others.
 
-    Definitions are written by people, so their number does not grow with the data;
-    they are still streamed to the driver partition by partition.
+    Only ids and rules come to the driver. They are written by people, so their number
+    does not grow with the data.
     """
     rules = RuleSet()
-    for row in definitions.select("segment_id", "conditions_serialized").toLocalIterator():
+    for row in definitions.select("segment_id", "conditions_serialized").collect():
         try:
             rules.rules[row.segment_id] = compile_rule(row.conditions_serialized, registry)
         except RuleError as problem:
@@ -47,8 +46,8 @@ def compile_segments(definitions: DataFrame, registry: ConditionRegistry) -> Rul
 
 def _emit(features: DataFrame, rules: Iterable[tuple[int, CompiledRule]]) -> DataFrame:
     """(segment_id, customer_id) for every rule that holds, without a join."""
-    hits = [F.when(rule.predicate, F.lit(segment_id)) for segment_id, rule in rules]
-    return features.select(F.explode(F.array_compact(F.array(*hits))).alias("segment_id"), "customer_id")
+    hits = ", ".join(f"if({rule.predicate}, {int(segment_id)}, NULL)" for segment_id, rule in rules)
+    return features.selectExpr(f"explode(array_compact(array({hits}))) AS segment_id", "customer_id")
 
 
 def matches_from(features: DataFrame, rules: Mapping[int, CompiledRule]) -> DataFrame:
@@ -61,7 +60,7 @@ def matches_from(features: DataFrame, rules: Mapping[int, CompiledRule]) -> Data
     per_pass = int_setting(spark, SEGMENTS_PER_PASS)
     ordered = sorted(rules.items())
     if not ordered:
-        return spark.createDataFrame([], "segment_id int, customer_id bigint")
+        return small_table(spark, [], "segment_id int, customer_id bigint")
     passes = [_emit(features, ordered[i : i + per_pass]) for i in range(0, len(ordered), per_pass)]
     return reduce(DataFrame.unionByName, passes)
 

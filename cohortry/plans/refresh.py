@@ -10,10 +10,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.values import RuleError, instant_literal
 from ..operators import lifecycle, lookup, membership
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import ORDER_FEATURES, feature_table
+from ..session import small_table
 from ..sources.export import write_members
 from ..sources.membership_store import MembershipStore
 from ..sources.shop import Shop
@@ -74,7 +76,7 @@ class SegmentEngine:
         """Refresh a list of segments in one pass; unknown ids are reported as failed."""
         wanted = sorted(set(segment_ids))
         chosen = self.segments.where(F.col("segment_id").isin(wanted))
-        state = {row.segment_id: row.is_active for row in chosen.select("segment_id", "is_active").toLocalIterator()}
+        state = {row.segment_id: row.is_active for row in chosen.select("segment_id", "is_active").collect()}
         report = self._refresh(active_rules(chosen, self.registry), now)
         for segment_id in wanted:
             if segment_id not in state:
@@ -109,24 +111,16 @@ class SegmentEngine:
         rows += [(sid, REFRESH_AFTER, f"assigned_count={n}", now) for sid, n in report.counts.items()]
         rows += [(sid, REFRESH_FAILED, problem, now) for sid, problem in report.failures.items()]
         if rows:
-            schema = "segment_id int, action string, details string, created_at timestamp_ntz"
-            self.store.append_log(self.spark.createDataFrame(rows, schema).coalesce(1))
+            self.store.append_log(small_table(self.spark, rows, schemas.SEGMENT_LOG))
 
     def refreshed_segments(self) -> DataFrame:
         """Definitions with the count and time of their latest refresh."""
-        status = self.store.status().select(
-            "segment_id", F.col("customer_count").alias("_count"), F.col("last_refreshed").alias("_at")
-        )
-        return (
-            self.segments.join(status, "segment_id", "left")
-            .withColumns(
-                {
-                    "customer_count": F.coalesce("_count", "customer_count"),
-                    "last_refreshed": F.coalesce("_at", "last_refreshed"),
-                }
-            )
-            .select(*self.segments.columns)
-        )
+        newest = {"customer_count", "last_refreshed"}
+        columns = [
+            f"coalesce(s.{name}, d.{name}) AS {name}" if name in newest else f"d.{name}" for name in self.segments.columns
+        ]
+        known = self.segments.alias("d").join(self.store.status().alias("s"), F.expr("s.segment_id = d.segment_id"), "left")
+        return known.selectExpr(*columns)
 
     # -- incremental refresh ---------------------------------------------------
 
@@ -171,11 +165,12 @@ class SegmentEngine:
         return seq
 
     def _log_changes(self, seq: int) -> None:
-        action = F.when(F.col("assigned"), ASSIGNED).otherwise(REMOVED)
-        details = F.concat(F.lit("customer_id="), F.col("customer_id").cast("string"))
         self.store.append_log(
-            self.store.changes(seq).select(
-                "segment_id", action.alias("action"), details.alias("details"), F.col("assigned_at").alias("created_at")
+            self.store.changes(seq).selectExpr(
+                "segment_id",
+                f"if(assigned, '{ASSIGNED}', '{REMOVED}') AS action",
+                "concat('customer_id=', CAST(customer_id AS STRING)) AS details",
+                "assigned_at AS created_at",
             )
         )
 
@@ -212,13 +207,12 @@ class SegmentEngine:
         if attribute not in known.get(entity, []):
             return candidates.limit(0)
         leaf = self.registry.leaf(entity.capitalize(), attribute, op, value)
-        features = set(leaf.features)
-        grouped = F.lit(True)
+        features, test = set(leaf.features), leaf.predicate
         if entity == "order":
             features.add(ORDER_FEATURES["total_orders"])
-            grouped = F.col("total_orders") > 0
+            test = f"total_orders > 0 AND {test}"
         shop = self.shop.for_customers(candidates, candidates.count())
-        return feature_table(shop, features, now).where(grouped & leaf.predicate()).select("customer_id")
+        return feature_table(shop, features, now).where(test).select("customer_id")
 
     # -- look-ups --------------------------------------------------------------
 
@@ -234,6 +228,6 @@ class SegmentEngine:
 
 def log_rows(segments: DataFrame, action: str, now: dt.datetime) -> DataFrame:
     """Activity-log rows for saved definitions."""
-    return segments.select(
-        "segment_id", F.lit(action).alias("action"), F.col("name").alias("details"), instant_literal(now).alias("created_at")
+    return segments.selectExpr(
+        "segment_id", f"'{action}' AS action", "name AS details", f"{instant_literal(now)} AS created_at"
     )

@@ -1,4 +1,4 @@
-"""Rule trees become Columns.
+"""Rule trees become SQL predicates.
 
 A rule is a JSON document: groups (``aggregator`` all/any plus ``conditions``) and
 leaves (``type``, ``attribute``, ``operator``, ``value``). The last part of a leaf's
@@ -11,12 +11,8 @@ import json
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..functions.values import RuleError
+from ..functions.values import RuleError, all_of, any_of
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import Feature
 
@@ -25,16 +21,14 @@ GROUP = "Combine"
 
 @dataclass(frozen=True)
 class CompiledRule:
-    features: frozenset[Feature]
-    predicate: Column
+    """What a rule needs and says: features, and a predicate over them, never NULL."""
 
-
-def _nobody() -> CompiledRule:
-    return CompiledRule(frozenset(), F.lit(False))
+    features: frozenset[Feature]
+    predicate: str
 
 
-def _everyone() -> CompiledRule:
-    return CompiledRule(frozenset(), F.lit(True))
+NOBODY = CompiledRule(frozenset(), "false")
+EVERYONE = CompiledRule(frozenset(), "true")
 
 
 def compile_rule(text: str | None, registry: ConditionRegistry) -> CompiledRule:
@@ -43,18 +37,18 @@ def compile_rule(text: str | None, registry: ConditionRegistry) -> CompiledRule:
     Raises ``RuleError`` for an unknown leaf, operator, aggregator or value format.
     """
     if text is None or text in ("", "0"):
-        return _nobody()
+        return NOBODY
     try:
         document = json.loads(text)
     except ValueError:
-        return _nobody()
+        return NOBODY
     return compile_tree(document if isinstance(document, dict) else {}, registry)
 
 
 def compile_tree(node: dict, registry: ConditionRegistry) -> CompiledRule:
     children = [_child(child, registry) for child in node.get("conditions") or []]
     if not children:
-        return _everyone()
+        return EVERYONE
     return combine(node.get("aggregator") or "all", children)
 
 
@@ -66,17 +60,17 @@ def _child(node: dict, registry: ConditionRegistry) -> CompiledRule:
     leaf = registry.leaf(
         family, str(node.get("attribute") or ""), str(node.get("operator") or "=="), node.get("value", "")
     )
-    return CompiledRule(frozenset(leaf.features), leaf.predicate())
+    return CompiledRule(frozenset(leaf.features), leaf.predicate)
 
 
 def combine(aggregator: str, children: Iterable[CompiledRule]) -> CompiledRule:
     children = list(children)
-    joiner = {"all": Column.__and__, "any": Column.__or__}.get(aggregator)
+    joiner = {"all": all_of, "any": any_of}.get(aggregator)
     if joiner is None:
         raise RuleError(f"unknown aggregator {aggregator!r}")
     return CompiledRule(
         frozenset().union(*[child.features for child in children]),
-        reduce(joiner, [child.predicate for child in children]),
+        joiner([child.predicate for child in children]),
     )
 
 

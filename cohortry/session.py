@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 BROADCAST_ROWS = "spark.cohortry.broadcastRows"
@@ -35,6 +39,7 @@ def session(app: str = "cohortry", **conf: object) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -57,3 +62,10 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="cohortry-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/cohortry/{purpose}-{uuid.uuid4().hex}"
+
+
+def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Metadata rows (definitions, commits) as a local relation, read without a job."""
+    struct = StructType.fromDDL(schema)
+    records = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(struct)), struct)

@@ -1,22 +1,24 @@
 """The star-schema test tables, seen as a shop.
 
-Pure column expressions over the Parquet files; nothing is generated. Every table is
-lazy, so a query pays only for the columns and tables it reads.
+Pure SQL expressions over the Parquet files; nothing is generated. Every table is lazy,
+so a query pays only for the columns and tables it reads.
 """
 
 from __future__ import annotations
 
 from functools import cache, partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.joins import lookup_join
 from .shop import Shop
 
-MONEY = "decimal(18,2)"
 ADDRESS_OFFSET = 5_000_000
+WISHLIST_OFFSET = 1_000_000
+K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
+SKU = "concat_ws('-', p_brand, CAST(p_partkey AS STRING))"
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -24,7 +26,7 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def row_count(spark: SparkSession, folder: str, table: str) -> int:
-    """Rows of a file table, from the Parquet footers."""
+    """Rows of a file table, from the Parquet footers; counted once per application."""
     return _row_count(spark.sparkContext.applicationId, folder, table)
 
 
@@ -33,23 +35,6 @@ def _row_count(application: str, folder: str, table: str) -> int:
     return read(SparkSession.active(), folder, table).count()
 
 
-def _one_of(column: str, names: dict[object, object]) -> Column:
-    """Translate the codes of a column; other codes become NULL."""
-    pick = None
-    for code, name in names.items():
-        hit = F.col(column) == F.lit(code)
-        pick = F.when(hit, F.lit(name)) if pick is None else pick.when(hit, F.lit(name))
-    return pick
-
-
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("bigint")
-
-
-def _sku() -> Column:
-    return F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string"))
-
-
 def _located(spark: SparkSession, folder: str) -> DataFrame:
     regions = read(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")
     places = lookup_join(read(spark, folder, "nation"), regions, "n_regionkey", row_count(spark, folder, "region"))
@@ -60,140 +45,122 @@ def _located(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _located(spark, folder).select(
-        key.alias("customer_id"),
-        F.lower(F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@"), "c_mktsegment", F.lit(".example"))).alias(
-            "email"
-        ),
-        F.concat(F.lit("First"), (key % 50).cast("string")).alias("firstname"),
-        F.col("c_name").alias("lastname"),
-        F.when(key % 11 != 0, F.date_add(F.lit("1950-01-01").cast("date"), ((key * 37) % 18000).cast("int"))).alias("dob"),
-        (key % 3 + 1).cast("int").alias("gender"),
-        F.when(key % 4 != 0, F.concat(F.lit("VAT"), key.cast("string"))).alias("taxvat"),
-        (F.col("n_regionkey") + 1).alias("website_id"),
-        (F.col("c_nationkey") + 1).alias("store_id"),
-        _one_of(
-            "c_mktsegment",
-            {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "MACHINERY": 5},
-        ).alias("group_id"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (key % 2000).cast("int")).cast("timestamp_ntz").alias("created_at"),
-        F.when(key % 7 != 0, key + ADDRESS_OFFSET).alias("default_billing"),
+    return _located(spark, folder).selectExpr(
+        "c_custkey AS customer_id",
+        "lower(concat(replace(c_name, '#', '.'), '@', c_mktsegment, '.example')) AS email",
+        "concat('First', CAST(c_custkey % 50 AS STRING)) AS firstname",
+        "c_name AS lastname",
+        "if(c_custkey % 11 <> 0, date_add(DATE '1950-01-01', CAST((c_custkey * 37) % 18000 AS INT)), NULL) AS dob",
+        "CAST(c_custkey % 3 + 1 AS INT) AS gender",
+        "if(c_custkey % 4 <> 0, concat('VAT', CAST(c_custkey AS STRING)), NULL) AS taxvat",
+        "n_regionkey + 1 AS website_id",
+        "c_nationkey + 1 AS store_id",
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 "
+        "WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END AS group_id",
+        "CAST(date_add(DATE '1995-01-01', CAST(c_custkey % 2000 AS INT)) AS TIMESTAMP_NTZ) AS created_at",
+        f"if(c_custkey % 7 <> 0, c_custkey + {ADDRESS_OFFSET}, NULL) AS default_billing",
     )
 
 
 def customer_addresses(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _located(spark, folder).where(key % 7 != 0).select(
-        (key + ADDRESS_OFFSET).alias("address_id"),
-        F.concat(F.lit("City"), (key % 20).cast("string")).alias("city"),
-        F.col("r_name").alias("region"),
-        F.col("n_name").alias("country_id"),
+    return _located(spark, folder).where("c_custkey % 7 <> 0").selectExpr(
+        f"c_custkey + {ADDRESS_OFFSET} AS address_id",
+        "concat('City', CAST(c_custkey % 20 AS STRING)) AS city",
+        "r_name AS region",
+        "n_name AS country_id",
     )
 
 
 def sales_orders(spark: SparkSession, folder: str) -> DataFrame:
-    order, buyer = F.col("o_orderkey"), F.col("o_custkey")
     quantities = (
         read(spark, folder, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("order_id"))
-        .agg(F.sum(F.col("l_quantity").cast(MONEY)).alias("total_qty_ordered"))
+        .selectExpr("l_orderkey AS order_id", "CAST(l_quantity AS DECIMAL(18,2)) AS quantity")
+        .groupBy("order_id")
+        .agg(F.expr("sum(quantity) AS total_qty_ordered"))
     )
-    status = F.col("o_orderstatus")
-    orders = read(spark, folder, "orders").select(
-        order.alias("order_id"),
-        F.when((buyer % 10 != 3) & (buyer != 0), buyer).alias("customer_id"),
-        F.when(status == "F", "complete")
-        .when(status == "O", "processing")
-        .when(order % 2 == 0, "canceled")
-        .otherwise("closed")
-        .alias("state"),
-        F.when(status == "F", "complete").when(order % 4 == 1, "holded").otherwise("pending").alias("status"),
-        F.col("o_totalprice").cast(MONEY).alias("base_grand_total"),
-        F.col("o_orderdate").alias("created_at"),
-        F.when(order % 5 == 0, F.concat(F.lit("SAVE"), (order % 3).cast("string"))).alias("coupon_code"),
-        F.substring("o_orderpriority", 1, 1).alias("priority"),
-        (order % 3).alias("carrier"),
-        F.concat(F.lit("NATION_"), (order % 25).cast("string")).alias("shipping_country_id"),
+    orders = read(spark, folder, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "if(o_custkey % 10 <> 3 AND o_custkey <> 0, o_custkey, NULL) AS customer_id",
+        "CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'processing' "
+        "WHEN o_orderkey % 2 = 0 THEN 'canceled' ELSE 'closed' END AS state",
+        "CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderkey % 4 = 1 THEN 'holded' ELSE 'pending' END AS status",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS base_grand_total",
+        "o_orderdate AS created_at",
+        "if(o_orderkey % 5 = 0, concat('SAVE', CAST(o_orderkey % 3 AS STRING)), NULL) AS coupon_code",
+        "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'card' WHEN '2' THEN 'paypal' WHEN '3' THEN 'bank' "
+        "WHEN '4' THEN 'cod' WHEN '5' THEN 'gift' END AS payment_method",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'flatrate' WHEN 1 THEN 'tablerate' ELSE 'freeshipping' END AS shipping_method",
+        "concat('NATION_', CAST(o_orderkey % 25 AS STRING)) AS shipping_country_id",
     )
-    return orders.select(
-        "*",
-        _one_of("priority", {"1": "card", "2": "paypal", "3": "bank", "4": "cod", "5": "gift"}).alias("payment_method"),
-        _one_of("carrier", {0: "flatrate", 1: "tablerate", 2: "freeshipping"}).alias("shipping_method"),
-    ).drop("priority", "carrier").join(quantities, "order_id", "left")
+    return orders.join(quantities, "order_id", "left")
 
 
 def sales_order_items(spark: SparkSession, folder: str) -> DataFrame:
-    parts = read(spark, folder, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        _sku().alias("sku"),
-        F.when(F.col("p_type") == "PROMO", "bundle").otherwise("simple").alias("product_type"),
-    )
-    lines = read(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id")
+    parts = read(spark, folder, "part").selectExpr(
+        "p_partkey AS product_id",
+        f"{SKU} AS sku",
+        "if(p_type = 'PROMO', 'bundle', 'simple') AS product_type",
     )
+    lines = read(spark, folder, "lineitem").selectExpr("l_orderkey AS order_id", "l_partkey AS product_id")
     return lookup_join(lines, parts, "product_id", row_count(spark, folder, "part"))
 
 
 def category_products(spark: SparkSession, folder: str) -> DataFrame:
     """Two categories per product: one by size, one by brand."""
-    by_brand = 100 + F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
-    return read(spark, folder, "part").select(
-        F.explode(F.array(F.col("p_size"), by_brand)).alias("category_id"), F.col("p_partkey").alias("product_id")
+    brand = "100 + CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)"
+    return read(spark, folder, "part").selectExpr(
+        f"explode(array(p_size, {brand})) AS category_id", "p_partkey AS product_id"
     )
 
 
 def _cart_events(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "events").where(
-        F.col("event_type").isin("click", "purchase") & (F.col("user_id") % 10 != 7)
-    )
+    return read(spark, folder, "events").where("event_type IN ('click', 'purchase') AND user_id % 10 <> 7")
 
 
 def quotes(spark: SparkSession, folder: str) -> DataFrame:
-    return _cart_events(spark, folder).select(
-        F.col("event_id").alias("quote_id"),
-        F.col("user_id").alias("customer_id"),
-        (F.col("event_type") == "click").cast("int").alias("is_active"),
-        F.col("value").cast(MONEY).alias("subtotal"),
-        (_k() % 7).cast("int").alias("items_count"),
-        F.col("ts").alias("updated_at"),
+    return _cart_events(spark, folder).selectExpr(
+        "event_id AS quote_id",
+        "user_id AS customer_id",
+        "CAST(event_type = 'click' AS INT) AS is_active",
+        "CAST(value AS DECIMAL(18,2)) AS subtotal",
+        f"CAST({K} % 7 AS INT) AS items_count",
+        "ts AS updated_at",
     )
 
 
 def quote_items(spark: SparkSession, folder: str) -> DataFrame:
-    carts = _cart_events(spark, folder).select(F.col("event_id").alias("quote_id"), _k().alias("product_id"))
-    parts = read(spark, folder, "part").select(F.col("p_partkey").alias("product_id"), _sku().alias("sku"))
-    top = lookup_join(carts, parts, "product_id", row_count(spark, folder, "part")).select(
-        "quote_id", "sku", F.lit(None).cast("bigint").alias("parent_item_id")
+    carts = _cart_events(spark, folder).selectExpr("event_id AS quote_id", f"{K} AS product_id")
+    parts = read(spark, folder, "part").selectExpr("p_partkey AS product_id", f"{SKU} AS sku")
+    top = lookup_join(carts, parts, "product_id", row_count(spark, folder, "part")).selectExpr(
+        "quote_id", "sku", "CAST(NULL AS BIGINT) AS parent_item_id"
     )
-    children = carts.where(F.col("quote_id") % 3 == 0).select(
-        "quote_id", F.concat(F.lit("CHILD-"), F.col("product_id").cast("string")).alias("sku"), F.lit(1).cast("bigint").alias("parent_item_id")
+    children = carts.where("quote_id % 3 = 0").selectExpr(
+        "quote_id", "concat('CHILD-', CAST(product_id AS STRING)) AS sku", "1L AS parent_item_id"
     )
     return top.unionByName(children)
 
 
 def _wishes(spark: SparkSession, folder: str) -> DataFrame:
-    """A wishlist's id is its owner's id plus a fixed offset."""
-    return (
-        read(spark, folder, "events")
-        .where((F.col("event_type") == "signup") & (F.col("user_id") % 10 != 4))
-        .withColumn("wishlist_id", F.col("user_id") + 1_000_000)
-    )
+    return read(spark, folder, "events").where("event_type = 'signup' AND user_id % 10 <> 4")
 
 
 def wishlists(spark: SparkSession, folder: str) -> DataFrame:
-    return _wishes(spark, folder).select("wishlist_id", F.col("user_id").alias("customer_id")).distinct()
+    return (
+        _wishes(spark, folder)
+        .selectExpr(f"user_id + {WISHLIST_OFFSET} AS wishlist_id", "user_id AS customer_id")
+        .distinct()
+    )
 
 
 def wishlist_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _wishes(spark, folder).select("wishlist_id", _k().alias("product_id"))
+    return _wishes(spark, folder).selectExpr(f"user_id + {WISHLIST_OFFSET} AS wishlist_id", f"{K} AS product_id")
 
 
 def product_views(spark: SparkSession, folder: str) -> DataFrame:
     return (
         read(spark, folder, "events")
-        .where(F.col("event_type") == "view")
-        .select(F.col("user_id").alias("customer_id"), _k().alias("product_id"), F.col("ts").alias("viewed_at"))
+        .where("event_type = 'view'")
+        .selectExpr("user_id AS customer_id", f"{K} AS product_id", "ts AS viewed_at")
     )
 
 

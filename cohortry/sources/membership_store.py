@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
-from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.values import instant_literal
+from ..functions.values import any_of, instant_literal
+from ..session import small_table
 
 _COMMITS = "kind string, batch string, segment_id int, customer_count bigint, committed_at timestamp_ntz"
 _CHANGES = "segment_id int, customer_id bigint, assigned boolean, assigned_at timestamp_ntz"
@@ -34,8 +34,8 @@ class MembershipStore:
         self.spark = spark
         self.root = root
         # mode("ignore") keeps an existing store and gives a new one its empty tables
-        spark.createDataFrame([], _COMMITS).write.mode("ignore").parquet(f"{root}/commits/seq=0")
-        spark.createDataFrame([], schemas.SEGMENT_LOG).write.mode("ignore").parquet(f"{root}/log/seq=0")
+        small_table(spark, [], _COMMITS).write.mode("ignore").parquet(f"{root}/commits/seq=0")
+        small_table(spark, [], schemas.SEGMENT_LOG).write.mode("ignore").parquet(f"{root}/log/seq=0")
 
     # -- reading ---------------------------------------------------------------
 
@@ -44,17 +44,11 @@ class MembershipStore:
 
     def status(self) -> DataFrame:
         """Latest refresh per segment: segment_id, customer_count, last_refreshed."""
-        last = F.max_by(F.struct("customer_count", "committed_at"), "seq").alias("last")
         return (
             self.commits()
-            .where(F.col("kind") == REFRESH)
+            .where(f"kind = '{REFRESH}'")
             .groupBy("segment_id")
-            .agg(last)
-            .select(
-                "segment_id",
-                F.col("last.customer_count").alias("customer_count"),
-                F.col("last.committed_at").alias("last_refreshed"),
-            )
+            .agg(F.expr("max_by(customer_count, seq) AS customer_count"), F.expr("max_by(committed_at, seq) AS last_refreshed"))
         )
 
     def log(self) -> DataFrame:
@@ -67,16 +61,14 @@ class MembershipStore:
         refresh; member rows never come to the driver.
         """
         latest: dict[int, tuple[int, int]] = {}
-        refreshes = (
-            self.commits()
-            .where(F.col("kind") == REFRESH)
-            .groupBy("segment_id")
-            .agg(F.max("seq").alias("seq"), F.max_by("customer_count", "seq").alias("count"))
-        )
-        for row in refreshes.toLocalIterator():
-            latest[row.segment_id] = (row.seq, row["count"])
-        changes = self.commits().where(F.col("kind") == CHANGE).select("seq").distinct()
-        return latest, sorted(row.seq for row in changes.toLocalIterator())
+        changes: list[int] = []
+        newest = self.commits().groupBy("kind", "segment_id", F.expr(f"if(kind = '{CHANGE}', seq, NULL) AS change"))
+        for row in newest.agg(F.expr("max(seq) AS seq"), F.expr("max_by(customer_count, seq) AS members")).collect():
+            if row.kind == REFRESH:
+                latest[row.segment_id] = (row.seq, row.members)
+            else:
+                changes.append(row.change)
+        return latest, sorted(changes)
 
     def members(self) -> DataFrame:
         """The current relation: refreshed lists with later changes applied."""
@@ -90,19 +82,19 @@ class MembershipStore:
         changes = (
             self.spark.read.schema(f"{_CHANGES}, seq int").option("basePath", f"{self.root}/changes").parquet(*paths)
         )
-        stale = [
-            (F.col("segment_id") == segment_id) & (F.col("seq") < seq)
+        folded_in = [
+            f"segment_id = {segment_id} AND seq < {seq}"
             for segment_id, (seq, _) in latest.items()
             if seq > open_changes[0]
         ]
-        if stale:
-            changes = changes.where(~reduce(lambda a, b: a | b, stale))
+        if folded_in:
+            changes = changes.where(f"NOT ({any_of(folded_in)})")
         rows = base.withColumn("assigned", F.lit(True)).unionByName(changes)
         return (
             rows.groupBy("segment_id", "customer_id")
-            .agg(F.max_by(F.struct("assigned", "assigned_at"), "seq").alias("last"))
-            .where("last.assigned")
-            .select("segment_id", "customer_id", F.col("last.assigned_at").alias("assigned_at"))
+            .agg(F.expr("max_by(assigned, seq) AS assigned"), F.expr("max_by(assigned_at, seq) AS assigned_at"))
+            .where("assigned")
+            .drop("assigned")
         )
 
     def _base(self, latest: dict[int, tuple[int, int]]) -> DataFrame:
@@ -111,15 +103,15 @@ class MembershipStore:
             if count:
                 by_seq.setdefault(seq, []).append(segment_id)
         if not by_seq:
-            return self.spark.createDataFrame([], f"{schemas.MEMBERSHIP}, seq int")
+            return small_table(self.spark, [], f"{schemas.MEMBERSHIP}, seq int")
         wanted = [
-            (F.col("seq") == seq) & F.col("segment_id").isin(segment_ids) for seq, segment_ids in by_seq.items()
+            f"seq = {seq} AND segment_id IN ({', '.join(map(str, segment_ids))})" for seq, segment_ids in by_seq.items()
         ]
         # seq and segment_id are partition columns: this prunes folders, not rows
         return (
             self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int")
             .parquet(f"{self.root}/members")
-            .where(reduce(lambda a, b: a | b, wanted))
+            .where(any_of(wanted))
         )
 
     # -- writing ---------------------------------------------------------------
@@ -130,8 +122,9 @@ class MembershipStore:
     def applied(self, batch: str) -> bool:
         return not self.commits().where(F.col("batch") == batch).isEmpty()
 
-    def _commit(self, seq: int, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/seq={seq}")
+    def _commit(self, seq: int, rows: list[tuple]) -> None:
+        one_file = small_table(self.spark, rows, _COMMITS).coalesce(1)
+        one_file.write.mode("overwrite").parquet(f"{self.root}/commits/seq={seq}")
 
     def replace(
         self, matches: DataFrame, segment_ids: Iterable[int], now: dt.datetime, batch: str | None = None
@@ -145,24 +138,18 @@ class MembershipStore:
         seq = self._next_seq()
         path = f"{self.root}/members/seq={seq}"
         (
-            matches.select("segment_id", "customer_id", instant_literal(now).alias("assigned_at"))
+            matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at")
             .hint("rebalance", "segment_id")
             .write.mode("overwrite")
             .partitionBy("segment_id")
             .parquet(path)
         )
-        asked = self.spark.createDataFrame([Row(segment_id=int(i)) for i in segment_ids], "segment_id int")
+        counts = dict.fromkeys(map(int, segment_ids), 0)
         written = self.spark.read.schema(schemas.MEMBERSHIP).parquet(path)
-        counts = asked.join(written.groupBy("segment_id").count(), "segment_id", "left").select(
-            F.lit(REFRESH).alias("kind"),
-            F.lit(batch).cast("string").alias("batch"),
-            "segment_id",
-            F.coalesce("count", F.lit(0)).alias("customer_count"),
-            instant_literal(now).alias("committed_at"),
-        )
-        self._commit(seq, counts)
-        committed = self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits/seq={seq}")
-        return {row.segment_id: row.customer_count for row in committed.toLocalIterator()}
+        for row in written.groupBy("segment_id").count().collect():  # one row per segment
+            counts[row.segment_id] = row["count"]
+        self._commit(seq, [(REFRESH, batch, segment_id, count, now) for segment_id, count in counts.items()])
+        return counts
 
     def change(self, delta: DataFrame, now: dt.datetime, batch: str | None = None) -> int | None:
         """Record assignments and removals.
@@ -174,10 +161,9 @@ class MembershipStore:
         if batch is not None and self.applied(batch):
             return None
         seq = self._next_seq()
-        rows = delta.select("segment_id", "customer_id", "assigned", instant_literal(now).alias("assigned_at"))
+        rows = delta.selectExpr("segment_id", "customer_id", "assigned", f"{instant_literal(now)} AS assigned_at")
         rows.write.mode("overwrite").parquet(f"{self.root}/changes/seq={seq}")
-        commit = self.spark.createDataFrame([(CHANGE, batch, None, None, now)], _COMMITS)
-        self._commit(seq, commit)
+        self._commit(seq, [(CHANGE, batch, None, None, now)])
         return seq
 
     def changes(self, seq: int) -> DataFrame:

@@ -90,13 +90,13 @@ class Shop:
 
     def ordered_before(self, moment: str) -> Shop:
         """The shop as it was before ``moment``, as far as orders are concerned."""
-        cutoff = F.lit(moment).cast("timestamp_ntz")
-        return self.with_tables(sales_order=lambda: self.sales_order.where(F.col("created_at") < cutoff))
+        earlier = f"created_at < TIMESTAMP_NTZ '{moment}'"
+        return self.with_tables(sales_order=lambda: self.sales_order.where(earlier))
 
 
 def population(customer: DataFrame) -> DataFrame:
     """Everyone who can be in a segment; id 0 is never a customer."""
-    return customer.where(F.col("customer_id") > 0)
+    return customer.where("customer_id > 0")
 
 
 def valid_orders(sales_order: DataFrame) -> DataFrame:
@@ -105,15 +105,16 @@ def valid_orders(sales_order: DataFrame) -> DataFrame:
     Guest orders share one NULL customer. They can match nobody, so they are dropped
     here, at the scan, before they could pile up in one shuffle partition.
     """
-    return sales_order.where(~F.col("state").isin(*VOID_STATES) & F.col("customer_id").isNotNull())
+    void = ", ".join(f"'{state}'" for state in VOID_STATES)
+    return sales_order.where(f"state NOT IN ({void}) AND customer_id IS NOT NULL")
 
 
 def active_carts(quote: DataFrame) -> DataFrame:
-    return quote.where((F.col("is_active") == 1) & F.col("customer_id").isNotNull())
+    return quote.where("is_active = 1 AND customer_id IS NOT NULL")
 
 
 def top_level_items(quote_item: DataFrame) -> DataFrame:
-    return quote_item.where(F.col("parent_item_id").isNull())
+    return quote_item.where("parent_item_id IS NULL")
 
 
 def active_segments(segments: DataFrame, *modes: str) -> DataFrame:
@@ -127,10 +128,10 @@ def latest_carts(quote: DataFrame) -> DataFrame:
     ``max`` of a struct combines map-side, so a customer holding a third of all carts
     still sends one row per map task; a window would sort them all in one task.
     """
-    newest = F.max(F.struct("updated_at", "quote_id", "subtotal", "items_count")).alias("cart")
+    newest = "max(struct(updated_at, quote_id, subtotal, items_count)) AS cart"
     return (
         active_carts(quote)
         .groupBy("customer_id")
-        .agg(newest)
+        .agg(F.expr(newest))
         .select("customer_id", "cart.quote_id", "cart.updated_at", "cart.subtotal", "cart.items_count")
     )

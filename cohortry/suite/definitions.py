@@ -6,11 +6,11 @@ import datetime as dt
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.values import instant_literal
 from ..plans.rules import group, leaf
+from ..session import small_table
 
 NOW = dt.datetime(2024, 1, 31)
 BEFORE = "2000-01-01 00:00:00"  # the earlier state membership deltas start from
@@ -103,13 +103,13 @@ def segments(spark: SparkSession, *ids: int) -> DataFrame:
         for sid, name, active, mode, schedule, rule in DEFINITIONS
         if not ids or sid in ids
     ]
-    return spark.createDataFrame(rows, schemas.SEGMENTS)
+    return small_table(spark, rows, schemas.SEGMENTS)
 
 
 def one_segment(spark: SparkSession, rule: object, segment_id: int = 1) -> DataFrame:
     created = dt.datetime(2023, 1, 1)
     row = (segment_id, "Probe", None, True, rule_text(rule), "manual", None, 0, None, created, created)
-    return spark.createDataFrame([row], schemas.SEGMENTS)
+    return small_table(spark, [row], schemas.SEGMENTS)
 
 
 def catalog(spark: SparkSession, parts: DataFrame) -> DataFrame:
@@ -117,26 +117,22 @@ def catalog(spark: SparkSession, parts: DataFrame) -> DataFrame:
 
     Every 13th product's segment has been deleted.
     """
-    key = F.col("p_partkey")
-    sku = F.concat_ws("-", "p_brand", key.cast("string"))
-    size = F.col("p_size")
-    created = F.timestamp_add("DAY", (key % 365).cast("int"), F.lit("2023-01-01").cast("timestamp_ntz"))
-    return parts.where(key % 13 != 0).select(
-        (key + 1000).cast("int").alias("segment_id"),
-        F.concat(F.lit("Buyers of "), sku).alias("name"),
-        F.when(size > 25, F.col("p_name")).alias("description"),
-        (key % 5 != 0).alias("is_active"),
-        F.concat(
-            F.lit('{"aggregator":"all","conditions":[{"type":"Product","attribute":"purchased_products","operator":"==","value":"'),
-            sku,
-            F.lit('"}]}'),
-        ).alias("conditions_serialized"),
-        F.when(size % 3 == 0, "manual").when(size % 3 == 1, "cron").otherwise("realtime").alias("refresh_mode"),
-        F.when(key % 4 == 1, F.concat(F.lit("*/5 "), (key % 24).cast("string"), F.lit(" * * *")))
-        .when(key % 4 == 2, F.lit("no schedule"))
-        .alias("cron_expression"),
-        F.floor("p_retailprice").cast("bigint").alias("customer_count"),
-        F.when(key % 7 != 0, F.timestamp_add("MINUTE", -(key % 180).cast("int"), instant_literal(NOW))).alias("last_refreshed"),
-        created.alias("created_at"),
-        F.timestamp_add("DAY", size, created).alias("updated_at"),
+    sku = "concat_ws('-', p_brand, CAST(p_partkey AS STRING))"
+    rule = rule_text(group(ALL, leaf("Product.purchased_products", "==", "<sku>")))
+    before, after = rule.split("<sku>")
+    created = "TIMESTAMP_NTZ '2023-01-01 00:00:00' + make_dt_interval(CAST(p_partkey % 365 AS INT))"
+    return parts.where("p_partkey % 13 <> 0").selectExpr(
+        "CAST(p_partkey + 1000 AS INT) AS segment_id",
+        f"concat('Buyers of ', {sku}) AS name",
+        "if(p_size > 25, p_name, NULL) AS description",
+        "p_partkey % 5 <> 0 AS is_active",
+        f"concat('{before}', {sku}, '{after}') AS conditions_serialized",
+        "CASE p_size % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'cron' ELSE 'realtime' END AS refresh_mode",
+        "CASE p_partkey % 4 WHEN 1 THEN concat('*/5 ', CAST(p_partkey % 24 AS STRING), ' * * *') "
+        "WHEN 2 THEN 'no schedule' END AS cron_expression",
+        "CAST(floor(p_retailprice) AS BIGINT) AS customer_count",
+        f"if(p_partkey % 7 <> 0, {instant_literal(NOW)} - make_dt_interval(0, 0, CAST(p_partkey % 180 AS INT)), NULL) "
+        "AS last_refreshed",
+        f"{created} AS created_at",
+        f"{created} + make_dt_interval(p_size) AS updated_at",
     )

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.compare import compare_cart_sku, compare_number, compare_sku_list
+from ..functions.compare import compare_cart_sku, compare_category, compare_number, compare_sku_list
+from ..functions.values import all_of
 from ..operators import features as feats
 from ..operators import lifecycle, lookup, membership
 from ..operators.conditions import ConditionRegistry
 from ..plans.evaluate import compile_segments, matches
-from ..plans.refresh import SAVED, SegmentEngine, log_rows
+from ..plans.refresh import ASSIGNED, SAVED, SegmentEngine, log_rows
 from ..plans.rules import group, leaf
-from ..session import work_dir
+from ..session import small_table, work_dir
 from ..sources import eav, shop as scans
+from ..sources.driver_tables import K as _BIG_K
 from ..sources.driver_tables import read, shop
 from ..sources.membership_store import MembershipStore
 from ..streaming import changes
@@ -25,6 +27,7 @@ from .cases import CASES, RULES
 from .definitions import NOW
 
 Query = Callable[[SparkSession, str], DataFrame]
+K = f"CAST({_BIG_K} AS INT)"
 
 
 # -- building blocks ------------------------------------------------------------
@@ -52,7 +55,7 @@ def _rules(*rules: object) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         registry = ConditionRegistry()
         rows = [(number, defs.rule_text(rule)) for number, rule in enumerate(rules, 1)]
-        documents = spark.createDataFrame(rows, "segment_id int, conditions_serialized string")
+        documents = small_table(spark, rows, "segment_id int, conditions_serialized string")
         return matches(shop(spark, folder), compile_segments(documents, registry), NOW, registry)
 
     return query
@@ -65,22 +68,17 @@ def _catalog(spark: SparkSession, folder: str) -> DataFrame:
 def _buyers(spark: SparkSession, folder: str) -> DataFrame:
     """Memberships of the product catalogue: who bought what, assigned at the last order."""
     bought = feats.order_products(shop(spark, folder))
-    return bought.groupBy((F.col("product_id") + 1000).cast("int").alias("segment_id"), "customer_id").agg(
-        F.max("created_at").alias("assigned_at")
-    )
+    segment = F.expr("CAST(product_id + 1000 AS INT) AS segment_id")
+    return bought.groupBy(segment, "customer_id").agg(F.expr("max(created_at) AS assigned_at"))
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "events")
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
-
-
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     """(customer_id, segment_id) pairs of the product catalogue out of the events."""
-    return _events(spark, folder).select(F.col("user_id").alias("customer_id"), (_k() + 1000).alias("segment_id"))
+    return _events(spark, folder).selectExpr("user_id AS customer_id", f"{K} + 1000 AS segment_id")
 
 
 # -- sources and sinks ----------------------------------------------------------
@@ -93,22 +91,16 @@ def src_population(spark: SparkSession, folder: str) -> DataFrame:
 def src_eav_pivot(spark: SparkSession, folder: str) -> DataFrame:
     kinds = {"firstname": "string", "lastname": "string", "dob": "date", "gender": "int", "taxvat": "string"}
     people = scans.population(shop(spark, folder).customer)
-    text = people.select(F.col("customer_id").alias("entity_id"), *[F.col(c).cast("string").alias(c) for c in kinds])
-    codes = spark.createDataFrame(list(enumerate(kinds, 1)), "attribute_id int, attribute_code string")
-    number = F.create_map(*[F.lit(v) for pair in zip(kinds, range(1, 6)) for v in pair])
-    values = (
-        text.unpivot("entity_id", list(kinds), "code", "value")
-        .where("value IS NOT NULL")
-        .select("entity_id", number[F.col("code")].alias("attribute_id"), "value")
-    )
+    text = people.selectExpr("customer_id AS entity_id", *[f"CAST({code} AS STRING) AS `{n}`" for n, code in enumerate(kinds, 1)])
+    values = text.unpivot("entity_id", [str(n) for n in range(1, 6)], "attribute_id", "value").where("value IS NOT NULL")
+    values = values.selectExpr("entity_id", "CAST(attribute_id AS INT) AS attribute_id", "value")
+    codes = small_table(spark, enumerate(kinds, 1), "attribute_id int, attribute_code string")
     return eav.widen(values, codes, kinds)
 
 
 def src_valid_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = scans.valid_orders(shop(spark, folder).sales_order)
-    return orders.withColumns(
-        {c: F.col(c).cast("double") for c in ("base_grand_total", "total_qty_ordered")}
-    )
+    return orders.withColumns({c: F.col(c).cast("double") for c in ("base_grand_total", "total_qty_ordered")})
 
 
 def src_active_carts(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,17 +152,17 @@ def agg_order_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def agg_having(spark: SparkSession, folder: str) -> DataFrame:
     summary = feats.order_summary(shop(spark, folder))
-    having = compare_number(F.col("total_orders"), ">=", "5") & compare_number(F.col("total_revenue"), "<", "1500000")
-    return summary.where(having).select("customer_id", "total_orders", "total_revenue")
+    having = [compare_number("total_orders", ">=", "5"), compare_number("total_revenue", "<", "1500000")]
+    return summary.where(all_of(having)).select("customer_id", "total_orders", "total_revenue")
 
 
 def agg_purchased_items(spark: SparkSession, folder: str) -> DataFrame:
-    item = (F.col("product_type") == "simple") & compare_sku_list(F.col("sku"), "{}", "Brand#1")
-    return feats.purchased_item_counts(shop(spark, folder), item)
+    test = all_of(["product_type = 'simple'", compare_sku_list("sku", "{}", "Brand#1")])
+    return feats.purchased_item_counts(shop(spark, folder), test)
 
 
 def agg_distinct_products(spark: SparkSession, folder: str) -> DataFrame:
-    return feats.distinct_products(shop(spark, folder), F.col("category_id").isin(10, 20, 112))
+    return feats.distinct_products(shop(spark, folder), compare_category("category_id", "==", "10,20,112"))
 
 
 def agg_segment_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -185,8 +177,8 @@ def cart_latest(spark: SparkSession, folder: str) -> DataFrame:
 def cart_matching_items(spark: SparkSession, folder: str) -> DataFrame:
     """How many top-level items of the latest cart a SKU test hits."""
     facts = shop(spark, folder)
-    hits = scans.top_level_items(facts.quote_item).where(compare_cart_sku(F.col("sku"), "{}", "brand#1"))
-    per_cart = hits.groupBy("quote_id").agg(F.count("*").alias("items"))
+    hits = scans.top_level_items(facts.quote_item).where(compare_cart_sku("sku", "{}", "brand#1"))
+    per_cart = hits.groupBy("quote_id").agg(F.expr("count(*) AS items"))
     return scans.latest_carts(facts.quote).join(per_cart, "quote_id").select("customer_id", "quote_id", "items")
 
 
@@ -226,9 +218,7 @@ def refresh_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def match_check(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _events(spark, folder).select(
-        F.col("user_id").alias("customer_id"), (_k() % 22 + 1).cast("int").alias("segment_id")
-    )
+    pairs = _events(spark, folder).selectExpr("user_id AS customer_id", f"{K} % 22 + 1 AS segment_id")
     return _engine(spark, folder).match_check(pairs, NOW)
 
 
@@ -253,11 +243,9 @@ def validate_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 def custom_condition(spark: SparkSession, folder: str) -> DataFrame:
     registry = ConditionRegistry()
-    balances = read(spark, folder, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance")
-    )
+    balances = read(spark, folder, "customer").selectExpr("c_custkey AS customer_id", "c_acctbal AS balance")
     registry.register(
-        "Account", "balance", balances, lambda op, value: compare_number(F.col("balance"), op, value), ("balance",)
+        "Account", "balance", balances, lambda op, value: compare_number("balance", op, value), ("balance",)
     )
     rule = group("all", leaf("Account.balance", ">=", "5000"), leaf("Order.total_orders", ">=", "5"))
     engine = SegmentEngine(shop(spark, folder), defs.one_segment(spark, rule, 30), _store(spark), registry)
@@ -296,7 +284,7 @@ def assign_stored(spark: SparkSession, folder: str) -> DataFrame:
     engine = _engine(spark, folder, 9, 10, 11, 13)
     engine.refresh_all(defs.EARLIER)
     events = _events(spark, folder).where("user_id > 0")
-    pairs = events.select(F.col("user_id").alias("customer_id"), (_k() % 3 + 9).alias("segment_id"))
+    pairs = events.selectExpr("user_id AS customer_id", f"{K} % 3 + 9 AS segment_id")
     engine.assign(pairs, NOW)
     engine.unassign(pairs.where("customer_id % 2 = 0"), NOW)
     return engine.members()
@@ -309,10 +297,10 @@ def customer_segments(spark: SparkSession, folder: str) -> DataFrame:
 def customer_segment_ids(spark: SparkSession, folder: str) -> DataFrame:
     people = scans.population(shop(spark, folder).customer).select("customer_id")
     with_ids = membership.with_segment_ids(people, _buyers(spark, folder))
-    return with_ids.select(
+    return with_ids.selectExpr(
         "customer_id",
-        F.array_join(F.transform("segment_ids", lambda i: i.cast("string")), ",").alias("segment_ids"),
-        F.size("segment_ids").cast("bigint").alias("segments"),
+        "array_join(CAST(segment_ids AS ARRAY<STRING>), ',') AS segment_ids",
+        "CAST(size(segment_ids) AS BIGINT) AS segments",
     )
 
 
@@ -373,11 +361,11 @@ def segment_list_after(spark: SparkSession, folder: str) -> DataFrame:
 def _segment_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Edits of some segments, re-creation of the deleted ones."""
     parts = read(spark, folder, "part").where("p_partkey % 13 = 0 OR p_size > 45")
-    return parts.select(
-        (F.col("p_partkey") + 1000).cast("int").alias("segment_id"),
-        F.concat(F.lit("Fans of "), "p_name").alias("name"),
-        F.when(F.col("p_size") % 2 == 0, "realtime").alias("refresh_mode"),
-        F.when(F.col("p_size") % 3 == 0, F.lit(False)).alias("is_active"),
+    return parts.selectExpr(
+        "CAST(p_partkey + 1000 AS INT) AS segment_id",
+        "concat('Fans of ', p_name) AS name",
+        "if(p_size % 2 = 0, 'realtime', NULL) AS refresh_mode",
+        "if(p_size % 3 = 0, false, NULL) AS is_active",
     )
 
 
@@ -391,11 +379,11 @@ def upsert_segments(spark: SparkSession, folder: str) -> DataFrame:
 def delete_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Rows left per segment in the three tables after a cascading delete."""
     catalog, members = _catalog(spark, folder), _buyers(spark, folder)
-    log = members.select("segment_id", F.lit("assigned").alias("action"), F.col("assigned_at").alias("created_at"))
+    log = members.selectExpr("segment_id", f"'{ASSIGNED}' AS action", "assigned_at AS created_at")
     gone = catalog.where("refresh_mode = 'manual'").select("segment_id")
     tables = lifecycle.delete_segments(gone, catalog, members, log)
     left = [
-        table.groupBy("segment_id").agg(F.count("*").alias("left_rows")).withColumn("table_name", F.lit(name))
+        table.groupBy("segment_id").agg(F.expr("count(*) AS left_rows"), F.expr(f"'{name}' AS table_name"))
         for name, table in zip(("segments", "members", "log"), tables)
     ]
     return left[0].unionByName(left[1]).unionByName(left[2])
@@ -409,11 +397,9 @@ def forget_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ticks(spark: SparkSession, folder: str) -> DataFrame:
     """The worked-out schedule: a five-minute slot of each hour in which something happened."""
-    seconds = F.floor(F.minute("ts") / 5).cast("int") * 5 - F.minute("ts")
-    slot = F.timestamp_add("MINUTE", seconds, F.date_trunc("minute", "ts").cast("timestamp_ntz"))
-    hours = F.hour("ts").cast("string")
-    return _events(spark, folder).select(
-        F.concat(F.lit("*/5 "), hours, F.lit(" * * *")).alias("cron_expression"), slot.alias("due_at")
+    return _events(spark, folder).selectExpr(
+        "concat('*/5 ', CAST(hour(ts) AS STRING), ' * * *') AS cron_expression",
+        "ts - make_dt_interval(0, 0, minute(ts) % 5, CAST(extract(SECOND FROM ts) AS DECIMAL(18,6))) AS due_at",
     )
 
 
@@ -439,8 +425,7 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _of_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    stream = _event_stream(spark, folder).where(F.col("event_type") == kind)
-    return stream.select("event_id", F.col("user_id").alias("customer_id"))
+    return _event_stream(spark, folder).where(f"event_type = '{kind}'").selectExpr("event_id", "user_id AS customer_id")
 
 
 def _kept_up_to_date(kind: str, start: Callable) -> Query:
@@ -457,10 +442,9 @@ def _kept_up_to_date(kind: str, start: Callable) -> Query:
 
 def stream_changelog(spark: SparkSession, folder: str) -> DataFrame:
     _, engine = _earlier(spark, folder)
-    is_segment = F.col("event_type") == "error"
-    entries = _event_stream(spark, folder).where("event_type IN ('error', 'view')").select(
-        F.when(is_segment, changes.SEGMENT_ROW).otherwise(changes.CUSTOMER_ROW).alias("entity"),
-        F.when(is_segment, (_k() % 10 + 1).cast("bigint")).otherwise(F.col("user_id")).alias("row_id"),
+    entries = _event_stream(spark, folder).where("event_type IN ('error', 'view')").selectExpr(
+        f"if(event_type = 'error', '{changes.SEGMENT_ROW}', '{changes.CUSTOMER_ROW}') AS entity",
+        f"if(event_type = 'error', {K} % 10 + 1, user_id) AS row_id",
     )
     changes.drain(changes.change_log(entries, lambda: engine, NOW, work_dir(spark, "stream")))
     return engine.members()
