@@ -81,7 +81,8 @@ def _flagged_orders(shop: Shop, skus: list[Feature], categories: list[Feature])
     tests = {flag.name: f"product_type = 'simple' AND ({flag.row})" for flag in skus}
     if categories:
         how = "left" if skus else "inner"
-        items = lookup_join(items, category_flags(shop, categories), "product_id", shop.catalog_rows, how)
+        flagged = category_flags(shop, categories)
+        items = lookup_join(items, flagged, "product_id", shop.catalog_rows, how, keys=shop.item_keys)
         tests |= {flag.name: flag.name for flag in categories}
     flags = [F.expr(f"bool_or({test}) AS {name}") for name, test in tests.items()]
     return items.where(any_of(list(tests.values()))).groupBy("order_id").agg(*flags)
@@ -126,9 +127,8 @@ def order_products(shop: Shop) -> DataFrame:
 
     An order may hold very many products, so its rows are spread over the join.
     """
-    lines = shop.sales_order_item.select("order_id", "product_id").distinct()
     orders = valid_orders(shop.sales_order).select("order_id", "customer_id", "created_at")
-    return lookup_join(lines, orders, "order_id", shop.order_rows)
+    return lookup_join(shop.item_keys.distinct(), orders, "order_id", shop.order_rows, keys=shop.item_keys)
 
 
 def distinct_products(shop: Shop, category_test: str) -> DataFrame:
@@ -138,7 +138,9 @@ def distinct_products(shop: Shop, category_test: str) -> DataFrame:
     exact: Spark shuffles on (customer, product) first, then adds up per customer.
     """
     linked = shop.category_product.where(category_test).select("product_id").distinct()
-    bought = lookup_join(order_products(shop), linked, "product_id", shop.catalog_rows, "left_semi")
+    bought = lookup_join(
+        order_products(shop), linked, "product_id", shop.catalog_rows, "left_semi", keys=shop.item_keys
+    )
     return bought.groupBy("customer_id").agg(F.expr("count(DISTINCT product_id) AS distinct_products"))
 
 

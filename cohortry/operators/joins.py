@@ -1,6 +1,6 @@
 """Joins of a large table to a table that is unique on the join key.
 
-Three ways, chosen by what is known about the small side:
+Two ways, chosen by what is known about the unique side:
 
 * its row count is proven to be below the broadcast bound -> broadcast hash join,
   the large side is not shuffled at all;
@@ -17,49 +17,59 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, HOT_KEY_ROWS, int_setting
 
-_SALT = "__salt"
-_SALTS = "__salts"
+_SALT, _SALTS = "__salt", "__salts"
+_NULL_SPREAD = 1_000_000
 
 
 def lookup_join(
-    large: DataFrame, unique: DataFrame, key: str, unique_rows: int, how: str = "inner"
+    large: DataFrame,
+    unique: DataFrame,
+    key: str,
+    unique_rows: int,
+    how: str = "inner",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``large`` to ``unique`` (at most one row per ``key``).
 
     ``unique_rows`` is a proven upper bound for the rows of ``unique``, usually the
-    footer count of the table it was derived from.
+    footer count of the table it was derived from. ``keys`` is where the rows per key
+    are counted if they must be; a stored table in place of a computed ``large`` saves
+    computing that twice. Counting more rows than ``large`` has does no harm.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
     if unique_rows <= int_setting(large.sparkSession, BROADCAST_ROWS):
         return large.join(F.broadcast(unique), key, how)
-    return spread_join(large, unique, key, how)
+    return spread_join(large, unique, key, how, keys)
 
 
-def spread_join(large: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(
+    large: DataFrame, unique: DataFrame, key: str, how: str = "inner", keys: DataFrame | None = None
+) -> DataFrame:
     """Shuffled join with hot keys spread out.
 
     A key with n rows gets ceil(n / hot_key_rows) salts, so the list of hot keys and
     the extra copies of their unique rows are both bounded by rows / hot_key_rows.
     The salt is a hash of the row, hence the same again when a lost task is rerun.
+    NULL keys match nothing, so they may take any salt and spread evenly.
     """
     bound = int_setting(large.sparkSession, HOT_KEY_ROWS)
     hot = (
-        large.groupBy(key)
+        (large if keys is None else keys)
+        .groupBy(key)
         .agg(F.expr("count(*) AS __rows"))
         .where(f"__rows > {bound} AND {key} IS NOT NULL")
         .selectExpr(key, f"CAST(ceil(__rows / {bound}) AS INT) AS {_SALTS}")
     )
     row_hash = f"xxhash64({', '.join(f'`{column}`' for column in large.columns)})"
+    salt = f"pmod({row_hash}, if({key} IS NULL, {_NULL_SPREAD}, coalesce({_SALTS}, 1)))"
     salted = (
         large.join(F.broadcast(hot), key, "left")
-        .withColumn(_SALT, F.expr(f"CAST(if({_SALTS} IS NULL, 0, pmod({row_hash}, {_SALTS})) AS INT)"))
-        .drop(_SALTS)
+        .selectExpr(*[f"`{column}`" for column in large.columns], f"CAST({salt} AS INT) AS {_SALT}")
     )
     copies = (
         unique.join(F.broadcast(hot), key, "left")
         .withColumn(_SALT, F.expr(f"explode(sequence(0, coalesce({_SALTS}, 1) - 1))"))
         .drop(_SALTS)
     )
-    joined = salted.join(copies, [key, _SALT], how).drop(_SALT)
-    return joined
+    return salted.join(copies, [key, _SALT], how).drop(_SALT)

@@ -7,12 +7,12 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..functions.values import RuleError
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import Feature, feature_table
-from ..session import SEGMENTS_PER_PASS, int_setting, small_table, work_dir
+from ..session import SEGMENTS_PER_PASS, int_setting, small_table, written
 from ..sources.shop import Shop, active_segments
 from .rules import CompiledRule, compile_rule
 
@@ -76,15 +76,9 @@ def matches(
     features = feature_table(shop, rules.features, now, registry.facts)
     spark = features.sparkSession
     if len(rules.rules) > int_setting(spark, SEGMENTS_PER_PASS):
-        features = _written(spark, features)
+        features = written(features, "features")
     return matches_from(features, rules.rules)
 
 
-def _written(spark: SparkSession, table: DataFrame) -> DataFrame:
-    path = work_dir(spark, "features")
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 def active_rules(segments: DataFrame, registry: ConditionRegistry, *modes: str) -> RuleSet:
     return compile_segments(active_segments(segments, *modes), registry)

@@ -15,7 +15,8 @@ from ..functions.values import RuleError, instant_literal
 from ..operators import lifecycle, lookup, membership
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import ORDER_FEATURES, feature_table
-from ..session import small_table
+from ..operators.joins import lookup_join
+from ..session import small_table, written
 from ..sources.export import write_members
 from ..sources.membership_store import MembershipStore
 from ..sources.shop import Shop
@@ -132,24 +133,28 @@ class SegmentEngine:
         ``touched`` is a (micro-)batch with ``customer_id``; duplicates and NULLs are
         ignored. Members that stay keep their ``assigned_at``.
         """
-        touched = touched.where("customer_id > 0").select("customer_id").distinct().persist()
-        try:
-            rules = active_rules(self.segments, self.registry, "realtime")
-            for segment_id, problem in rules.failures.items():
-                log.error("segment %s not evaluated: %s", segment_id, problem)
-            if not rules.rules:
-                return None
-            rows = touched.count()
-            found = matches(self.shop.for_customers(touched, rows), rules, now, self.registry)
-            held = self.store.members().where(F.col("segment_id").isin(list(rules.rules)))
-            held = held.join(touched, "customer_id", "left_semi")
-            seq = self.store.change(membership.delta(found, held, add_only), now, batch)
-        finally:
-            touched.unpersist()
+        if batch is not None and self.store.applied(batch):
+            return None
+        rules = active_rules(self.segments, self.registry, "realtime")
+        for segment_id, problem in rules.failures.items():
+            log.error("segment %s not evaluated: %s", segment_id, problem)
+        if not rules.rules:
+            return None
+        shop, touched, rows = self._shop_of(touched.where("customer_id > 0"))
+        found = matches(shop, rules, now, self.registry)
+        held = self.store.members().where(F.col("segment_id").isin(list(rules.rules)))
+        held = lookup_join(held, touched, "customer_id", rows, "left_semi")
+        seq = self.store.change(membership.delta(found, held, add_only), now, batch)
         if seq is not None:
             self._log_changes(seq)
         return seq
 
+    def _shop_of(self, people: DataFrame) -> tuple[Shop, DataFrame, int]:
+        """The facts of some customers only, their distinct ids, and how many they are."""
+        touched = written(people.select("customer_id").distinct(), "touched")
+        rows = touched.count()
+        return self.shop.for_customers(touched, rows), touched, rows
+
     def assign(self, pairs: DataFrame, now: dt.datetime, batch: str | None = None) -> int | None:
         """Assign (customer_id, segment_id) pairs by hand; an upsert."""
         return self._change_by_hand(pairs, True, now, batch)
@@ -189,8 +194,7 @@ class SegmentEngine:
         """
         asked = pairs.select(*membership.KEYS).distinct()
         wanted = self.segments.join(asked.select("segment_id").distinct(), "segment_id", "left_semi")
-        touched = asked.select("customer_id").distinct()
-        shop = self.shop.for_customers(touched, touched.count())
+        shop, _, _ = self._shop_of(asked)
         found = matches(shop, active_rules(wanted, self.registry), now, self.registry)
         return lookup.membership_check(asked, found).withColumnRenamed("in_segment", "matches")
 
@@ -202,16 +206,15 @@ class SegmentEngine:
         Entity ``customer`` tests an attribute; ``order`` an order aggregate, where
         customers without orders form no group and so never match. Anything else: none.
         """
-        candidates = candidates.select("customer_id").distinct()
         known = {"customer": self.registry.attributes("Customer"), "order": list(ORDER_FEATURES)}
         if attribute not in known.get(entity, []):
-            return candidates.limit(0)
+            return candidates.select("customer_id").where("false")
         leaf = self.registry.leaf(entity.capitalize(), attribute, op, value)
         features, test = set(leaf.features), leaf.predicate
         if entity == "order":
             features.add(ORDER_FEATURES["total_orders"])
             test = f"total_orders > 0 AND {test}"
-        shop = self.shop.for_customers(candidates, candidates.count())
+        shop, _, _ = self._shop_of(candidates)
         return feature_table(shop, features, now).where(test).select("customer_id")
 
     # -- look-ups --------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,11 @@ def int_setting(spark: SparkSession, key: str) -> int:
     return int(spark.conf.get(key, str(_DEFAULTS[key])))
 
 
+@cache
+def _local_base(application: str) -> str:
+    return tempfile.mkdtemp(prefix="cohortry-")
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
@@ -59,11 +65,22 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="cohortry-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _local_base(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/cohortry/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(table: DataFrame, purpose: str) -> DataFrame:
+    """The same rows, stored once in the shared folder.
+
+    Cuts the lineage of something several jobs read: a lost executor costs a re-read of
+    files instead of a recomputation, and the row count comes from the footers.
+    """
+    spark = table.sparkSession
+    path = work_dir(spark, purpose)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     """Metadata rows (definitions, commits) as a local relation, read without a job."""
     struct = StructType.fromDDL(schema)

@@ -101,8 +101,11 @@ def sales_order_items(spark: SparkSession, folder: str) -> DataFrame:
         f"{SKU} AS sku",
         "if(p_type = 'PROMO', 'bundle', 'simple') AS product_type",
     )
-    lines = read(spark, folder, "lineitem").selectExpr("l_orderkey AS order_id", "l_partkey AS product_id")
-    return lookup_join(lines, parts, "product_id", row_count(spark, folder, "part"))
+    return lookup_join(item_keys(spark, folder), parts, "product_id", row_count(spark, folder, "part"))
+
+
+def item_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return read(spark, folder, "lineitem").selectExpr("l_orderkey AS order_id", "l_partkey AS product_id")
 
 
 def category_products(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,6 +173,7 @@ def shop(spark: SparkSession, folder: str) -> Shop:
         "customer_address": customer_addresses,
         "sales_order": sales_orders,
         "sales_order_item": sales_order_items,
+        "item_keys": item_keys,
         "category_product": category_products,
         "quote": quotes,
         "quote_item": quote_items,

@@ -51,6 +51,14 @@ class Shop:
         self.count_catalog = count_catalog
         self.count_orders = count_orders
 
+    @cached_property
+    def item_keys(self) -> DataFrame:
+        """(order_id, product_id) of every order item, straight from storage."""
+        if "item_keys" in self.tables:
+            table = self.tables["item_keys"]
+            return table() if callable(table) else table
+        return self.sales_order_item.select("order_id", "product_id")
+
     @cached_property
     def catalog_rows(self) -> int:
         return self.count_catalog()
@@ -81,6 +89,7 @@ class Shop:
             customer=of("customer"),
             sales_order=of("sales_order"),
             sales_order_item=items("sales_order_item", "sales_order", "order_id"),
+            item_keys=items("item_keys", "sales_order", "order_id"),
             quote=of("quote"),
             quote_item=items("quote_item", "quote", "quote_id"),
             wishlist=of("wishlist"),
