@@ -170,6 +170,22 @@ def compare_cart_sku(column: str, op: str, value: object) -> str:
     raise RuleError(f"operator {op!r} does not apply to cart products")
 
 
+def listed_values(
+    comparison: Callable[[str, str, object], str], column: str, op: str, value: object
+) -> tuple[str | None, tuple]:
+    """When a row-level test says "key is one of values": that key and those values."""
+    if comparison is compare_order_text and op in (EQ, IN):
+        values = as_list(value)
+        return column, tuple(values[:1] if op == EQ else values)
+    if comparison is compare_sku_list and op == EQ:
+        return column, tuple(as_list(value))
+    if comparison is compare_cart_sku and op == EQ:
+        return f"lower({column})", (as_text(value).strip().lower(),)
+    if comparison is compare_category and op == EQ:
+        return f"CAST({column} AS BIGINT)", tuple(as_category(item) for item in as_list(value))
+    return None, ()
+
+
 def compare_category(column: str, op: str, value: object) -> str:
     """Category in / not in a list of ids; an item that is no number counts as id 0."""
     ids = [str(as_category(item)) for item in as_list(value)]

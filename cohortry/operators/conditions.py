@@ -14,6 +14,9 @@ from .features import CART_FEATURES, ORDER_FEATURES, WISHLIST_COUNT, Feature
 
 Comparison = Callable[[str, str, object], str]
 
+# Only simple products count as purchased; others have no SKU here, and NULL matches nothing.
+SIMPLE_SKU = "if(product_type = 'simple', sku, NULL)"
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -55,7 +58,8 @@ def _on_rows(
         _check(op, accepted, attribute)
         test = comparison(column, op, value)
         name = f"{attribute}__{hashlib.sha1(test.encode()).hexdigest()[:16]}"
-        return Leaf((Feature(name, source, row=test, default="false"),), name)
+        key, values = cmp.listed_values(comparison, column, op, value)
+        return Leaf((Feature(name, source, test, "false", key, values),), name)
 
     return build
 
@@ -101,7 +105,7 @@ def _builders() -> dict[tuple[str, str], Builder]:
 
     table["Product", "wishlist_items_count"] = _on_feature(WISHLIST_COUNT, cmp.compare_number, ranged)
     table["Product", "purchased_products"] = _on_rows(
-        "purchased_products", "order_items", "sku", cmp.compare_sku_list, skus
+        "purchased_products", "order_items", SIMPLE_SKU, cmp.compare_sku_list, skus
     )
     for attribute, source in {
         "purchased_categories": "order_categories",

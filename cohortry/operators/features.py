@@ -1,8 +1,8 @@
 """The per-customer feature table: one row per customer, only the columns asked for.
 
-Every fact table is read once, whatever the number of segments. An EXISTS leaf is a
-``bool_or`` in the same aggregation as the sums, and rows that satisfy no leaf are
-filtered out before the shuffle where nothing else needs them. All aggregations on the
+Every fact table is read once, whatever the number of segments. EXISTS leaves are
+aggregates beside the sums (see ``flags``), and rows that satisfy no leaf are filtered
+out before the shuffle where nothing else needs them. All aggregations on the
 way combine map-side, so a customer, order, cart or category that owns a third of all
 rows still reaches the shuffle as one row per map task.
 """
@@ -11,30 +11,16 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterable
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import any_of, instant_literal
 from ..sources.shop import Shop, latest_carts, population, top_level_items, valid_orders
+from .flags import Feature, Flags
 from .joins import lookup_join
 
 
-@dataclass(frozen=True)
-class Feature:
-    """One column of the feature table.
-
-    ``source`` names the fact it is computed from, ``row`` is the row-level test of an
-    EXISTS flag, and ``default`` (a SQL literal) stands in for customers without facts.
-    """
-
-    name: str
-    source: str
-    row: str | None = None
-    default: str | None = None
-
-
 # Sums are exact decimals, so they do not depend on the order of the rows.
 _REVENUE = "CAST(sum(CAST(base_grand_total AS DECIMAL(18,2))) AS DOUBLE)"
 ORDER_AGGREGATES = {
@@ -57,59 +43,72 @@ CART_FEATURES = {
 WISHLIST_COUNT = Feature("wishlist_items_count", "wishlist", default="0")
 
 
-def _exists(flags: Iterable[Feature]) -> list[Column]:
-    return [F.expr(f"bool_or({flag.row}) AS {flag.name}") for flag in flags]
+class Wanted:
+    """The requested features, by the fact they come from."""
 
+    def __init__(self, features: Iterable[Feature]) -> None:
+        distinct = {feature.name: feature for feature in features}
+        self.features = [distinct[name] for name in sorted(distinct)]
+        self.by_source: dict[str, list[Feature]] = {}
+        for feature in self.features:
+            self.by_source.setdefault(feature.source, []).append(feature)
+        self.order_rows = self._flags("order_rows")
+        self.order_items = self._flags("order_items")
+        self.order_categories = self._flags("order_categories")
+        self.cart_items = self._flags("cart_items")
+        self.view_categories = self._flags("view_categories")
 
-def _again(flags: Iterable[Feature]) -> list[Column]:
-    """Second step of a two-step EXISTS: combine the flags of the sub-groups."""
-    return [F.expr(f"bool_or({flag.name}) AS {flag.name}") for flag in flags]
+    def _flags(self, source: str) -> Flags:
+        return Flags(self.by_source.get(source, []))
 
+    def of(self, source: str) -> list[Feature]:
+        return self.by_source.get(source, [])
 
-def _any_row(flags: Iterable[Feature]) -> str:
-    return any_of([flag.row for flag in flags])
+    @property
+    def readings(self) -> dict[str, str]:
+        parts = (self.order_rows, self.order_items, self.order_categories, self.cart_items, self.view_categories)
+        return {name: reading for flags in parts for name, reading in flags.readings().items()}
 
 
-def category_flags(shop: Shop, flags: list[Feature]) -> DataFrame:
+def category_flags(shop: Shop, flags: Flags) -> DataFrame:
     """Per product: is some category of it wanted? Products with no flag are left out."""
-    return shop.category_product.where(_any_row(flags)).groupBy("product_id").agg(*_exists(flags))
+    links = flags.prepare(shop.category_product).where(flags.raised_by_row())
+    return links.groupBy("product_id").agg(*flags.aggregates()).where(flags.raised())
 
 
-def _flagged_orders(shop: Shop, skus: list[Feature], categories: list[Feature]) -> DataFrame:
+def _flagged_orders(shop: Shop, skus: Flags, categories: Flags) -> DataFrame:
     """Per order: which item-level leaves does some item satisfy?"""
-    items = shop.sales_order_item
-    tests = {flag.name: f"product_type = 'simple' AND ({flag.row})" for flag in skus}
+    items = skus.prepare(shop.sales_order_item)
+    hits = [skus.raised_by_row()] if skus else []
     if categories:
-        how = "left" if skus else "inner"
         flagged = category_flags(shop, categories)
+        how = "left" if skus else "inner"
         items = lookup_join(items, flagged, "product_id", shop.catalog_rows, how, keys=shop.item_keys)
-        tests |= {flag.name: flag.name for flag in categories}
-    flags = [F.expr(f"bool_or({test}) AS {name}") for name, test in tests.items()]
-    return items.where(any_of(list(tests.values()))).groupBy("order_id").agg(*flags)
-
-
-def _order_facts(shop: Shop, wanted: dict[str, list[Feature]]) -> DataFrame:
-    totals = wanted.get("orders", [])
-    history = wanted.get("order_rows", [])
-    skus, categories = wanted.get("order_items", []), wanted.get("order_categories", [])
-    orders = valid_orders(shop.sales_order)
-    by_item = skus + categories
-    if by_item:
+        hits.append(categories.raised())
+    return items.where(any_of(hits)).groupBy("order_id").agg(*skus.aggregates(), *categories.merged())
+
+
+def _order_facts(shop: Shop, wanted: Wanted) -> DataFrame:
+    totals, history = wanted.of("orders"), wanted.order_rows
+    skus, categories = wanted.order_items, wanted.order_categories
+    orders = history.prepare(valid_orders(shop.sales_order))
+    if skus or categories:
         # order_id is unique on both sides here, so this join cannot be skewed.
         how = "left" if totals or history else "inner"
         orders = orders.join(_flagged_orders(shop, skus, categories), "order_id", how)
     elif history and not totals:
-        orders = orders.where(_any_row(history))
+        orders = orders.where(history.raised_by_row())
     return orders.groupBy("customer_id").agg(
         *[F.expr(f"{ORDER_AGGREGATES[feature.name]} AS {feature.name}") for feature in totals],
-        *_exists(history),
-        *_again(by_item),
+        *history.aggregates(),
+        *skus.merged(),
+        *categories.merged(),
     )
 
 
 def order_summary(shop: Shop) -> DataFrame:
     """All order aggregates of the customers that have valid orders."""
-    return _order_facts(shop, {"orders": list(ORDER_FEATURES.values())})
+    return _order_facts(shop, Wanted(ORDER_FEATURES.values()))
 
 
 def purchased_item_counts(shop: Shop, test: str) -> DataFrame:
@@ -144,12 +143,13 @@ def distinct_products(shop: Shop, category_test: str) -> DataFrame:
     return bought.groupBy("customer_id").agg(F.expr("count(DISTINCT product_id) AS distinct_products"))
 
 
-def _cart_facts(shop: Shop, wanted: dict[str, list[Feature]], now: dt.datetime) -> DataFrame:
+def _cart_facts(shop: Shop, wanted: Wanted, now: dt.datetime) -> DataFrame:
     carts = latest_carts(shop.quote)
-    flags = wanted.get("cart_items", [])
+    totals, flags = wanted.of("cart"), wanted.cart_items
     if flags:
-        held = top_level_items(shop.quote_item).where(_any_row(flags)).groupBy("quote_id").agg(*_exists(flags))
-        carts = carts.join(held, "quote_id", "left" if wanted.get("cart") else "inner")
+        items = flags.prepare(top_level_items(shop.quote_item)).where(flags.raised_by_row())
+        held = items.groupBy("quote_id").agg(*flags.aggregates())
+        carts = carts.join(held, "quote_id", "left" if totals else "inner")
     columns = {
         "cart_subtotal": "coalesce(CAST(subtotal AS DOUBLE), 0D)",
         "cart_items_count": "coalesce(items_count, 0)",
@@ -159,8 +159,8 @@ def _cart_facts(shop: Shop, wanted: dict[str, list[Feature]], now: dt.datetime)
     }
     return carts.selectExpr(
         "customer_id",
-        *[f"{columns[feature.name]} AS {feature.name}" for feature in wanted.get("cart", [])],
-        *[flag.name for flag in flags],
+        *[f"{columns[feature.name]} AS {feature.name}" for feature in totals],
+        *flags.columns,
     )
 
 
@@ -171,10 +171,10 @@ def wishlist_counts(shop: Shop) -> DataFrame:
     return lists.groupBy("customer_id").agg(F.expr("sum(items) AS wishlist_items_count"))
 
 
-def _view_facts(shop: Shop, flags: list[Feature]) -> DataFrame:
+def _view_facts(shop: Shop, flags: Flags) -> DataFrame:
     views = shop.product_view.select("customer_id", "product_id")
     seen = lookup_join(views, category_flags(shop, flags), "product_id", shop.catalog_rows)
-    return seen.groupBy("customer_id").agg(*_again(flags))
+    return seen.groupBy("customer_id").agg(*flags.merged())
 
 
 def feature_table(
@@ -184,26 +184,23 @@ def feature_table(
     custom: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """``customer_id`` plus one column per feature, for the whole population."""
-    distinct = {feature.name: feature for feature in features}
-    wanted: dict[str, list[Feature]] = {}
-    for name in sorted(distinct):
-        wanted.setdefault(distinct[name].source, []).append(distinct[name])
-
-    own = [feature.name for feature in wanted.get("customer", [])]
+    wanted = Wanted(features)
+    own = [feature.name for feature in wanted.of("customer")]
     table = population(shop.customer).select("customer_id", *own)
 
+    sources = wanted.by_source.keys()
     facts: list[DataFrame] = []
-    if wanted.keys() & {"orders", "order_rows", "order_items", "order_categories"}:
+    if sources & {"orders", "order_rows", "order_items", "order_categories"}:
         facts.append(_order_facts(shop, wanted))
-    if wanted.keys() & {"cart", "cart_items"}:
+    if sources & {"cart", "cart_items"}:
         facts.append(_cart_facts(shop, wanted, now))
-    if "wishlist" in wanted:
+    if "wishlist" in sources:
         facts.append(wishlist_counts(shop))
-    if "view_categories" in wanted:
-        facts.append(_view_facts(shop, wanted["view_categories"]))
-    for source in sorted(wanted):
+    if wanted.view_categories:
+        facts.append(_view_facts(shop, wanted.view_categories))
+    for source in sorted(sources):
         if source.startswith("custom:"):
-            columns = [feature.name for feature in wanted[source]]
+            columns = [feature.name for feature in wanted.of(source)]
             facts.append((custom or {})[source].select("customer_id", *columns))
 
     # Every fact table is already hash-partitioned by customer_id after its
@@ -211,8 +208,9 @@ def feature_table(
     for fact in facts:
         table = table.join(fact, "customer_id", "left")
 
-    defaults = {f.name: f.default for f in distinct.values() if f.default is not None}
-    return table.selectExpr(
-        "customer_id",
-        *[f"coalesce({name}, {defaults[name]}) AS {name}" if name in defaults else name for name in sorted(distinct)],
-    )
+    readings = wanted.readings
+    columns = {feature.name: readings.get(feature.name, feature.name) for feature in wanted.features}
+    for feature in wanted.features:
+        if feature.default is not None:
+            columns[feature.name] = f"coalesce({columns[feature.name]}, {feature.default})"
+    return table.selectExpr("customer_id", *[f"{reading} AS {name}" for name, reading in columns.items()])

@@ -81,8 +81,8 @@ def written(table: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
-def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str | StructType) -> DataFrame:
     """Metadata rows (definitions, commits) as a local relation, read without a job."""
-    struct = StructType.fromDDL(schema)
+    struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     records = [dict(zip(struct.names, row)) for row in rows]
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(struct)), struct)

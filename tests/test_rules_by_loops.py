@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from cohortry.operators import flags
 from cohortry.operators.conditions import ConditionRegistry
 from cohortry.plans.evaluate import RuleSet, matches
 from cohortry.plans.rules import compile_tree, group, leaf
@@ -86,6 +87,46 @@ def test_every_leaf_without_broadcast(spark, spread):
     check(spark, random_shop(3), every_leaf())
 
 
+@pytest.fixture
+def small_words(monkeypatch):
+    """Equality leaves always go through the look-up table, three to a word."""
+    monkeypatch.setattr(flags, "LOOKUP_FROM", 1)
+    monkeypatch.setattr(flags, "WORD_BITS", 3)
+    monkeypatch.setattr(flags, "FILTER_UP_TO", 2)
+
+
+def many_values() -> dict[int, dict]:
+    """Leaves that differ only in their values, several of them sharing values."""
+    skus = [f"Sku-{i}" for i in range(14)] + ["Sku-1, Sku-2", "Sku-2,Sku-3,nothing", "sku-1"]
+    cases = [leaf("Product.purchased_products", "==", sku) for sku in skus]
+    cases += [leaf("Cart.cart_products", "==", sku) for sku in skus]
+    for path in ("Product.purchased_categories", "Product.viewed_categories"):
+        cases += [leaf(path, "==", str(i)) for i in range(8)] + [leaf(path, "==", "1,2"), leaf(path, "!=", "3")]
+    for path, values in {
+        "Order.used_coupon": ["SAVE1", "SAVE2", "SAVE3"],
+        "Order.payment_method": ["card", "paypal", "bank"],
+        "Order.shipping_country": ["DE", "FR", "IT"],
+    }.items():
+        cases += [leaf(path, op, value) for value in values for op in ("==", "()", "!=")]
+        cases.append(leaf(path, "()", values))
+    return {n: group("all", case) for n, case in enumerate(cases, 1)}
+
+
+def test_looked_up_values(spark, small_words):
+    check(spark, random_shop(7), many_values())
+    check(spark, random_shop(8), every_leaf())
+
+
+def test_looked_up_values_without_broadcast(spark, small_words, spread):
+    check(spark, random_shop(9), many_values())
+
+
+def test_many_leaves_on_one_column(spark):
+    rules = {i: group("all", leaf("Product.purchased_products", "==", f"Sku-{i % 14}")) for i in range(1, 150)}
+    rules |= {200 + i: group("all", leaf("Product.purchased_products", "==", f"Sku-{i % 12},other{i}")) for i in range(140)}
+    check(spark, random_shop(10), rules)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_random_trees(spark, seed):
     rnd = random.Random(seed)
