@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import instant_literal
+from ..functions.values import as_category, as_list, instant_literal
 
 KEYS = ["segment_id", "customer_id"]
 
@@ -58,11 +58,14 @@ def with_segment_ids(customers: DataFrame, members: DataFrame) -> DataFrame:
     return known.withColumn("segment_ids", F.expr("coalesce(segment_ids, CAST(array() AS ARRAY<INT>))"))
 
 
-def in_segments(table: DataFrame, members: DataFrame, ids: list[int], negate: bool = False) -> DataFrame:
+def in_segments(table: DataFrame, members: DataFrame, ids: object, negate: bool = False) -> DataFrame:
     """Rows whose customer is in any of the segments (or, negated, in none).
 
+    ``ids`` is a list or a comma-separated string.
+
     A NULL customer (guest) is in no segment; it is not kept by the negation either.
     """
-    chosen = members.where(F.col("segment_id").isin(ids)).select("customer_id").distinct()
+    wanted = [as_category(segment_id) for segment_id in as_list(ids)]
+    chosen = members.where(F.col("segment_id").isin(wanted)).select("customer_id").distinct()
     known = table.where("customer_id IS NOT NULL")
     return known.join(chosen, "customer_id", "left_anti" if negate else "left_semi")

@@ -7,6 +7,8 @@ import logging
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,11 +101,19 @@ class SegmentEngine:
 
     def _refresh(self, rules: RuleSet, now: dt.datetime, batch: str | None = None) -> RefreshReport:
         report = RefreshReport(failures=dict(rules.failures))
-        for segment_id, problem in rules.failures.items():
+        groups = [rules.rules] if rules.rules else []
+        while groups:
+            group = groups.pop()
+            try:
+                found = matches(self.shop, RuleSet(group), now, self.registry)
+                report.counts |= self.store.replace(found, group, now, batch)
+            except (PySparkException, Py4JError) as problem:
+                if len(group) > 1:  # some rule's facts cannot be read: refresh each on its own
+                    groups += [{segment_id: rule} for segment_id, rule in group.items()]
+                else:
+                    report.failures |= dict.fromkeys(group, str(problem))
+        for segment_id, problem in report.failures.items():
             log.error("segment %s not refreshed: %s", segment_id, problem)
-        if rules.rules:
-            found = matches(self.shop, rules, now, self.registry)
-            report.counts = self.store.replace(found, rules.rules, now, batch)
         self._log_refresh(report, now)
         return report
 
@@ -155,19 +165,22 @@ class SegmentEngine:
         rows = touched.count()
         return self.shop.for_customers(touched, rows), touched, rows
 
-    def assign(self, pairs: DataFrame, now: dt.datetime, batch: str | None = None) -> int | None:
-        """Assign (customer_id, segment_id) pairs by hand; an upsert."""
-        return self._change_by_hand(pairs, True, now, batch)
+    def assign(self, pairs: DataFrame, now: dt.datetime, batch: str | None = None) -> int:
+        """Assign (customer_id, segment_id) pairs by hand, an upsert; how many there were."""
+        rows = pairs.select(*membership.KEYS).distinct()
+        return self._change_by_hand(rows.withColumn("assigned", F.lit(True)), now, batch)
 
-    def unassign(self, pairs: DataFrame, now: dt.datetime, batch: str | None = None) -> int | None:
-        return self._change_by_hand(pairs, False, now, batch)
+    def unassign(self, pairs: DataFrame, now: dt.datetime, batch: str | None = None) -> int:
+        """Remove pairs by hand; how many of them were members."""
+        rows = self.members().join(pairs, membership.KEYS, "left_semi").select(*membership.KEYS)
+        return self._change_by_hand(rows.withColumn("assigned", F.lit(False)), now, batch)
 
-    def _change_by_hand(self, pairs: DataFrame, assigned: bool, now: dt.datetime, batch: str | None):
-        rows = pairs.select(*membership.KEYS).distinct().withColumn("assigned", F.lit(assigned))
-        seq = self.store.change(rows, now, batch)
-        if seq is not None:
-            self._log_changes(seq)
-        return seq
+    def _change_by_hand(self, delta: DataFrame, now: dt.datetime, batch: str | None) -> int:
+        seq = self.store.change(delta, now, batch)
+        if seq is None:
+            return 0
+        self._log_changes(seq)
+        return self.store.changes(seq).count()
 
     def _log_changes(self, seq: int) -> None:
         self.store.append_log(

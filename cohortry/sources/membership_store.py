@@ -54,65 +54,58 @@ class MembershipStore:
     def log(self) -> DataFrame:
         return self.spark.read.schema(f"{schemas.SEGMENT_LOG}, seq int").parquet(f"{self.root}/log").drop("seq")
 
-    def _visible(self) -> tuple[dict[int, tuple[int, int]], list[int]]:
-        """Per segment its refresh (seq, count), and the changes not yet folded in.
+    def _visible(self) -> tuple[dict[int, tuple[int, int]], dict[int, list[int]]]:
+        """Per segment its refresh (seq, count); per later change the segments it touches.
 
-        Both are bounded by the number of segments and of changes since the last
-        refresh; member rows never come to the driver.
+        Both are bounded by the number of segments and of changes not yet folded in;
+        member rows never come to the driver.
         """
         latest: dict[int, tuple[int, int]] = {}
-        changes: list[int] = []
+        changes: dict[int, list[int]] = {}
         newest = self.commits().groupBy("kind", "segment_id", F.expr(f"if(kind = '{CHANGE}', seq, NULL) AS change"))
-        for row in newest.agg(F.expr("max(seq) AS seq"), F.expr("max_by(customer_count, seq) AS members")).collect():
+        rows = newest.agg(F.expr("max(seq) AS seq"), F.expr("max_by(customer_count, seq) AS members")).collect()
+        for row in rows:
             if row.kind == REFRESH:
                 latest[row.segment_id] = (row.seq, row.members)
-            else:
-                changes.append(row.change)
-        return latest, sorted(changes)
+        for row in rows:
+            if row.kind == CHANGE and row.segment_id is not None and row.seq > latest.get(row.segment_id, (0, 0))[0]:
+                changes.setdefault(row.seq, []).append(row.segment_id)
+        return latest, changes
 
     def members(self) -> DataFrame:
-        """The current relation: refreshed lists with later changes applied."""
-        latest, change_seqs = self._visible()
-        base = self._base(latest)
-        oldest = min((seq for seq, _ in latest.values()), default=0)
-        open_changes = [seq for seq in change_seqs if seq > oldest]
-        if not open_changes:
-            return base.select(*_columns(schemas.MEMBERSHIP))
-        paths = [f"{self.root}/changes/seq={seq}" for seq in open_changes]
-        changes = (
-            self.spark.read.schema(f"{_CHANGES}, seq int").option("basePath", f"{self.root}/changes").parquet(*paths)
-        )
-        folded_in = [
-            f"segment_id = {segment_id} AND seq < {seq}"
-            for segment_id, (seq, _) in latest.items()
-            if seq > open_changes[0]
-        ]
-        if folded_in:
-            changes = changes.where(f"NOT ({any_of(folded_in)})")
-        rows = base.withColumn("assigned", F.lit(True)).unionByName(changes)
-        return (
-            rows.groupBy("segment_id", "customer_id")
+        """The current relation: refreshed lists with later changes applied.
+
+        Only the segments that have open changes are merged; the lists of the others are
+        read as they are.
+        """
+        latest, changes = self._visible()
+        touched = {segment_id for segment_ids in changes.values() for segment_id in segment_ids}
+        columns = _columns(schemas.MEMBERSHIP)
+        plain = self._lists({i: state for i, state in latest.items() if i not in touched}).select(*columns)
+        if not touched:
+            return plain
+        paths = [f"{self.root}/changes/seq={seq}" for seq in sorted(changes)]
+        reader = self.spark.read.schema(f"{_CHANGES}, seq int").option("basePath", f"{self.root}/changes")
+        later = reader.parquet(*paths).where(_of_segments(changes))
+        before = self._lists({i: state for i, state in latest.items() if i in touched}).withColumn("assigned", F.lit(True))
+        merged = (
+            before.unionByName(later)
+            .groupBy("segment_id", "customer_id")
             .agg(F.expr("max_by(assigned, seq) AS assigned"), F.expr("max_by(assigned_at, seq) AS assigned_at"))
             .where("assigned")
-            .drop("assigned")
         )
+        return plain.unionByName(merged.select(*columns))
 
-    def _base(self, latest: dict[int, tuple[int, int]]) -> DataFrame:
+    def _lists(self, latest: dict[int, tuple[int, int]]) -> DataFrame:
         by_seq: dict[int, list[int]] = {}
         for segment_id, (seq, count) in latest.items():
             if count:
                 by_seq.setdefault(seq, []).append(segment_id)
         if not by_seq:
             return small_table(self.spark, [], f"{schemas.MEMBERSHIP}, seq int")
-        wanted = [
-            f"seq = {seq} AND segment_id IN ({', '.join(map(str, segment_ids))})" for seq, segment_ids in by_seq.items()
-        ]
         # seq and segment_id are partition columns: this prunes folders, not rows
-        return (
-            self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int")
-            .parquet(f"{self.root}/members")
-            .where(any_of(wanted))
-        )
+        lists = self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int").parquet(f"{self.root}/members")
+        return lists.where(_of_segments(by_seq))
 
     # -- writing ---------------------------------------------------------------
 
@@ -129,7 +122,26 @@ class MembershipStore:
     def replace(
         self, matches: DataFrame, segment_ids: Iterable[int], now: dt.datetime, batch: str | None = None
     ) -> dict[int, int]:
-        """Replace the members of some segments; returns members per segment.
+        """Replace the members of some segments; returns members per segment."""
+        lists = matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at")
+        return self._write_lists(lists, {int(segment_id): now for segment_id in segment_ids}, batch)
+
+    def fold_changes(self) -> dict[int, int]:
+        """Write full member lists of the segments with open changes, so reads merge nothing.
+
+        Who is a member since when, and the time of the last refresh, stay as they are.
+        """
+        changed = {segment_id for segment_ids in self._visible()[1].values() for segment_id in segment_ids}
+        if not changed:
+            return {}
+        refreshed = {row.segment_id: row.last_refreshed for row in self.status().collect()}
+        lists = self.members().where(F.col("segment_id").isin(sorted(changed)))
+        return self._write_lists(lists, {segment_id: refreshed.get(segment_id) for segment_id in changed}, None)
+
+    def _write_lists(
+        self, lists: DataFrame, refreshed: dict[int, dt.datetime | None], batch: str | None
+    ) -> dict[int, int]:
+        """Write and commit full member lists, ``refreshed`` at these times.
 
         Rows are rebalanced by segment before the write: AQE cuts the hot segments into
         several files and puts the small ones together, so neither one task nor a
@@ -137,18 +149,13 @@ class MembershipStore:
         """
         seq = self._next_seq()
         path = f"{self.root}/members/seq={seq}"
-        (
-            matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at")
-            .hint("rebalance", "segment_id")
-            .write.mode("overwrite")
-            .partitionBy("segment_id")
-            .parquet(path)
-        )
-        counts = dict.fromkeys(map(int, segment_ids), 0)
+        lists.hint("rebalance", "segment_id").write.mode("overwrite").partitionBy("segment_id").parquet(path)
+        counts = dict.fromkeys(refreshed, 0)
         written = self.spark.read.schema(schemas.MEMBERSHIP).parquet(path)
         for row in written.groupBy("segment_id").count().collect():  # one row per segment
             counts[row.segment_id] = row["count"]
-        self._commit(seq, [(REFRESH, batch, segment_id, count, now) for segment_id, count in counts.items()])
+        commits = [(REFRESH, batch, segment_id, count, refreshed[segment_id]) for segment_id, count in counts.items()]
+        self._commit(seq, commits)
         return counts
 
     def change(self, delta: DataFrame, now: dt.datetime, batch: str | None = None) -> int | None:
@@ -163,7 +170,8 @@ class MembershipStore:
         seq = self._next_seq()
         rows = delta.selectExpr("segment_id", "customer_id", "assigned", f"{instant_literal(now)} AS assigned_at")
         rows.write.mode("overwrite").parquet(f"{self.root}/changes/seq={seq}")
-        self._commit(seq, [(CHANGE, batch, None, None, now)])
+        touched = [row.segment_id for row in self.changes(seq).select("segment_id").distinct().collect()]
+        self._commit(seq, [(CHANGE, batch, segment_id, None, now) for segment_id in touched or [None]])
         return seq
 
     def changes(self, seq: int) -> DataFrame:
@@ -173,5 +181,9 @@ class MembershipStore:
         rows.select(*_columns(schemas.SEGMENT_LOG)).write.mode("append").parquet(f"{self.root}/log/seq=0")
 
 
+def _of_segments(by_seq: dict[int, list[int]]) -> str:
+    return any_of([f"seq = {seq} AND segment_id IN ({', '.join(map(str, ids))})" for seq, ids in by_seq.items()])
+
+
 def _columns(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]

@@ -14,6 +14,13 @@ from ..operators.joins import lookup_join
 VOID_STATES = ("canceled", "closed")
 
 
+BUCKET = "customer_bucket"
+
+
+def bucket_of(buckets: int) -> str:
+    return f"CAST(pmod(xxhash64(customer_id), {buckets}) AS INT)"
+
+
 def _table(name: str) -> cached_property:
     def get(shop: Shop) -> DataFrame:
         table = shop.tables[name]
@@ -50,6 +57,7 @@ class Shop:
         self.tables = dict(tables)
         self.count_catalog = count_catalog
         self.count_orders = count_orders
+        self.buckets: int | None = None  # set where the tables are stored by customer bucket
 
     @cached_property
     def item_keys(self) -> DataFrame:
@@ -76,14 +84,23 @@ class Shop:
         ``touched`` holds distinct ``customer_id``. Tables that carry the customer are
         reduced before anything is shuffled (when ``touched`` is small enough to be
         broadcast); order items then follow their order. Those semi joins carry no hint:
-        the reduced order side is small at run time, and AQE sees that.
+        the reduced order side is small at run time, and AQE sees that. Tables stored by
+        customer bucket are read in the touched buckets only.
         """
+        pruned = "true"
+        if self.buckets:
+            # at most one value per bucket
+            bucket = touched.selectExpr(f"{bucket_of(self.buckets)} AS bucket").distinct().collect()
+            pruned = f"{BUCKET} IN ({', '.join(str(row.bucket) for row in bucket) or 'NULL'})"
+
+        def read(name: str) -> DataFrame:
+            return getattr(self, name).where(pruned)
 
         def of(name: str) -> Callable[[], DataFrame]:
-            return lambda: lookup_join(getattr(self, name), touched, "customer_id", touched_rows, "left_semi")
+            return lambda: lookup_join(read(name), touched, "customer_id", touched_rows, "left_semi")
 
         def items(name: str, parent: str, key: str) -> Callable[[], DataFrame]:
-            return lambda: getattr(self, name).join(of(parent)().select(key), key, "left_semi")
+            return lambda: read(name).join(of(parent)().select(key), key, "left_semi")
 
         return self.with_tables(
             customer=of("customer"),

@@ -94,6 +94,20 @@ def test_a_failed_refresh_keeps_the_members(spark, small):
     assert {c for s, c in rows(e.members()) if s == 1} == {c for s, c in before if s == 1}
 
 
+def test_facts_that_cannot_be_read_stop_one_segment_only(spark, small):
+    gone = work_dir(spark, "gone")
+    spark.range(1).selectExpr("id AS customer_id", "1 AS points").write.parquet(gone)
+    points = spark.read.parquet(gone)
+    broken = points.selectExpr("customer_id", "raise_error('unreadable') AS points")
+    rules = {**RULES, 7: ("manual", True, group("all", leaf("Loyalty.points", "==", "1")))}
+    e = engine(spark, small, rules=rules)
+    e.registry.register("Loyalty", "points", broken, lambda op, v: f"points = {int(v)}", ("points",))
+    report = e.refresh_all(NOW)
+    assert report.failures.keys() == {5, 7} and "unreadable" in report.failures[7]
+    loops = Loops(small)
+    assert report.counts == {i: len(loops.members(RULES[i][2])) for i in (1, 2, 3, 6)}
+
+
 def test_a_segment_that_matches_nobody_any_more_is_emptied(spark, small):
     e = engine(spark, small)
     e.refresh_all(NOW)
@@ -154,12 +168,18 @@ def test_assign_and_unassign(spark, small):
     e.refresh_all(NOW)
     before = rows(e.members())
     pairs = small_table(spark, [(6, 5), (6, 5), (2, 1000), next(iter(before))], "segment_id int, customer_id bigint")
-    e.assign(pairs, LATER)
+    assert e.assign(pairs, LATER) == 3
     expected = {**before, **{tuple(r): LATER for r in pairs.collect()}}
     assert rows(e.members()) == expected
-    e.unassign(pairs.where("segment_id = 6"), LATER)
+    gone = small_table(spark, [(6, 5), (6, 6), (77, 1)], "segment_id int, customer_id bigint")
+    assert e.unassign(gone, LATER) == 1 and e.unassign(gone, LATER) == 0
     del expected[6, 5]
     assert rows(e.members()) == expected
+    # folding the changes in changes nothing but the way it is stored
+    state = {r.segment_id: r.last_refreshed for r in e.store.status().collect()}
+    assert e.store.fold_changes().keys() == {2, 6, next(iter(before))[0]}
+    assert rows(e.members()) == expected and e.store.fold_changes() == {}
+    assert {r.segment_id: r.last_refreshed for r in e.store.status().collect()} == state
     # another session on the same folder sees the same
     assert rows(MembershipStore(spark, e.store.root).members()) == expected
     # a refresh replaces what was done by hand, in its segment only
