@@ -69,13 +69,21 @@ def segment_profile(members: DataFrame, features: DataFrame, high_value: float)
     ``features`` needs total_orders, total_revenue and total_items. The sums combine
     map-side, so a segment that holds most customers is no hot group.
     """
-    joined = members.join(features, "customer_id")
+    # exact sums; the casts run once per customer, below the join
+    per_customer = features.selectExpr(
+        "customer_id",
+        "total_orders",
+        "CAST(coalesce(total_revenue, 0D) AS DECIMAL(38,2)) AS revenue",
+        "CAST(coalesce(total_items, 0D) AS DECIMAL(38,2)) AS items",
+        f"total_revenue >= {number_literal(high_value)} AS high_value",
+    )
+    joined = members.join(per_customer, "customer_id")
     metrics = {
         "customers": "count(*)",
         "orders": "sum(total_orders)",
-        "revenue": "CAST(sum(CAST(coalesce(total_revenue, 0D) AS DECIMAL(38,2))) AS DOUBLE)",
-        "items": "CAST(sum(CAST(coalesce(total_items, 0D) AS DECIMAL(38,2))) AS DOUBLE)",
-        "high_value_customers": f"count_if(total_revenue >= {number_literal(high_value)})",
+        "revenue": "CAST(sum(revenue) AS DOUBLE)",
+        "items": "CAST(sum(items) AS DOUBLE)",
+        "high_value_customers": "count_if(high_value)",
     }
     totals = joined.groupBy("segment_id").agg(*[F.expr(f"{metric} AS {name}") for name, metric in metrics.items()])
     return totals.selectExpr(
