@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
+from ..session import BROADCAST_ROWS, int_setting
 
 # Order states that do not count as a purchase.
 VOID_STATES = ("canceled", "closed")
 
 
 BUCKET = "customer_bucket"
+CUSTOMER_FACTS = (
+    "sales_order",
+    "sales_order_item",
+    "item_keys",
+    "quote",
+    "quote_item",
+    "wishlist",
+    "wishlist_item",
+    "product_view",
+)
 
 
 def bucket_of(buckets: int) -> str:
@@ -81,11 +92,12 @@ class Shop:
     def for_customers(self, touched: DataFrame, touched_rows: int) -> Shop:
         """The same shop reduced to the facts of some customers.
 
-        ``touched`` holds distinct ``customer_id``. Tables that carry the customer are
-        reduced before anything is shuffled (when ``touched`` is small enough to be
-        broadcast); order items then follow their order. Those semi joins carry no hint:
-        the reduced order side is small at run time, and AQE sees that. Tables stored by
-        customer bucket are read in the touched buckets only.
+        ``touched`` holds distinct ``customer_id``. If they are few enough to be broadcast,
+        every table that carries the customer is reduced before anything is shuffled, and
+        items follow their order, cart or wishlist; those semi joins carry no hint, the
+        reduced side is small at run time and AQE sees that. If they are many, the facts
+        have to be shuffled for their aggregation anyway, so only the population is reduced.
+        Tables stored by customer bucket are read in the touched buckets only.
         """
         pruned = "true"
         if self.buckets:
@@ -102,6 +114,13 @@ class Shop:
         def items(name: str, parent: str, key: str) -> Callable[[], DataFrame]:
             return lambda: read(name).join(of(parent)().select(key), key, "left_semi")
 
+        if touched_rows > int_setting(touched.sparkSession, BROADCAST_ROWS):
+            facts = CUSTOMER_FACTS if self.buckets else ()
+            return self.with_tables(
+                **{name: partial(read, name) for name in facts},
+                # unique on both sides, so a plain semi join
+                customer=lambda: read("customer").join(touched, "customer_id", "left_semi"),
+            )
         return self.with_tables(
             customer=of("customer"),
             sales_order=of("sales_order"),

@@ -65,3 +65,16 @@ def test_a_hot_bucket_is_cut_into_several_files(spark, setting):
     files = {f for f in spark.read.parquet(f"{path}/sales_order/customer_bucket={bucket}").inputFiles()}
     assert len(files) >= 4
     assert clustered.sales_order.count() == 200_000
+
+
+def test_many_customers(spark, setting):
+    """Beyond the broadcast bound only the population is reduced, in whichever layout."""
+    small, registry = random_shop(35), ConditionRegistry()
+    rules = RuleSet({n: compile_tree(rule, registry) for n, rule in every_leaf().items()})
+    shop = small.shop(spark)
+    touched = small_table(spark, [(i,) for i in range(1, 30)], "customer_id bigint")
+    expected = {(s, c) for s, c in map(tuple, matches(shop, rules, NOW, registry).collect()) if c < 30}
+    setting(spark__cohortry__broadcastRows=5)
+    for facts in (shop, cluster_by_customer(shop, work_dir(spark, "layout"), buckets=4)):
+        found = matches(facts.for_customers(touched, 29), rules, NOW, registry)
+        assert {tuple(r) for r in found.collect()} == expected
