@@ -78,7 +78,7 @@ def category_flags(shop: Shop, flags: Flags) -> DataFrame:
 
 def _flagged_orders(shop: Shop, skus: Flags, categories: Flags) -> DataFrame:
     """Per order: which item-level leaves does some item satisfy?"""
-    items = skus.prepare(shop.sales_order_item)
+    items = skus.prepare(shop.sales_order_item) if skus else shop.item_keys
     hits = [skus.raised_by_row()] if skus else []
     if categories:
         flagged = category_flags(shop, categories)

@@ -1,9 +1,10 @@
 """Change events keep the realtime segments up to date.
 
-Each stream is a ``foreachBatch`` over distinct ids. The write is keyed by the
+Each stream is a ``foreachBatch`` over distinct ids. The write is keyed by stream and
 micro-batch, so a batch replayed after a failure changes nothing a second time.
 
-``engine`` is a function because facts and definitions are read afresh per batch.
+``engine`` and ``clock`` are functions because facts, definitions and the time are read
+afresh per batch.
 """
 
 from __future__ import annotations
@@ -19,52 +20,65 @@ from ..operators.joins import lookup_join
 from ..plans.refresh import SegmentEngine
 
 Engines = Callable[[], SegmentEngine]
+Clock = Callable[[], dt.datetime]
 
 # What a change-log row refers to.
 SEGMENT_ROW, CUSTOMER_ROW = "segment", "customer"
 
+_QUERY_ID = "sql.streaming.queryId"
+
 
 def _each_batch(events: DataFrame, handle: Callable[[DataFrame, str], None], name: str, checkpoint: str) -> DataStreamWriter:
     def run(batch: DataFrame, batch_id: int) -> None:
-        handle(batch, f"{name}-{batch_id}")
+        # the id lives in the checkpoint: batches are the same ones only under the same id
+        query_id = batch.sparkSession.sparkContext.getLocalProperty(_QUERY_ID)
+        handle(batch, f"{name}-{query_id}-{batch_id}")
 
     return events.writeStream.foreachBatch(run).queryName(name).option("checkpointLocation", checkpoint)
 
 
-def customer_registered(events: DataFrame, engine: Engines, now: dt.datetime, checkpoint: str) -> DataStreamWriter:
+def _customers(
+    events: DataFrame, engine: Engines, clock: Clock, checkpoint: str, name: str, add_only: bool = False
+) -> DataStreamWriter:
+    def handle(batch: DataFrame, batch_name: str) -> None:
+        engine().refresh_customers(batch, clock(), add_only=add_only, batch=batch_name)
+
+    return _each_batch(events, handle, name, checkpoint)
+
+
+def customer_registered(events: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
     """New customers join the realtime segments they match; nobody leaves one."""
+    return _customers(events, engine, clock, checkpoint, "customer_registered", add_only=True)
 
-    def handle(batch: DataFrame, name: str) -> None:
-        engine().refresh_customers(batch, now, add_only=True, batch=name)
 
-    return _each_batch(events, handle, "customer_registered", checkpoint)
+def customer_saved(events: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
+    """Saved customers join and leave the realtime segments as the rules say."""
+    return _customers(events, engine, clock, checkpoint, "customer_saved")
 
 
-def customer_changed(
-    events: DataFrame, engine: Engines, now: dt.datetime, checkpoint: str, name: str = "customer_changed"
-) -> DataStreamWriter:
-    """Saved customers, placed orders, changed carts: join and leave as the rules say.
+def order_placed(events: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
+    """An order changes what is known of its customer, so just that customer is evaluated.
 
-    An order touches the realtime segments of its customer only, so just the customers
-    of the batch are evaluated; guest orders carry no customer and are skipped.
+    Guest orders carry no customer and are skipped.
     """
+    return _customers(events, engine, clock, checkpoint, "order_placed")
 
-    def handle(batch: DataFrame, batch_name: str) -> None:
-        engine().refresh_customers(batch, now, batch=batch_name)
 
-    return _each_batch(events, handle, name, checkpoint)
+def cart_changed(events: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
+    """The same for carts that were changed or merged."""
+    return _customers(events, engine, clock, checkpoint, "cart_changed")
 
 
-def change_log(entries: DataFrame, engine: Engines, now: dt.datetime, checkpoint: str) -> DataStreamWriter:
+def change_log(entries: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
     """Rows (entity, row_id): changed segments are refreshed, changed customers re-evaluated."""
 
     def handle(batch: DataFrame, name: str) -> None:
-        current = engine()
+        current, now = engine(), clock()
         changed = batch.where(F.col("entity") == SEGMENT_ROW)
-        changed = changed.select(F.col("row_id").cast("int").alias("segment_id")).distinct()
+        changed = changed.selectExpr("CAST(row_id AS INT) AS segment_id").distinct()
         definitions = current.segments.join(changed, "segment_id", "left_semi")
         current.refresh_definitions(definitions, now, batch=f"{name}-segments")
-        customers = batch.where(F.col("entity") == CUSTOMER_ROW).select(F.col("row_id").alias("customer_id"))
+        customers = batch.where(F.col("entity") == CUSTOMER_ROW).selectExpr("row_id AS customer_id")
         current.refresh_customers(customers, now, batch=f"{name}-customers")
 
     return _each_batch(entries, handle, "change_log", checkpoint)
@@ -83,9 +97,9 @@ def login_lookup(events: DataFrame, members: Callable[[], DataFrame], sink: str,
             present = batch.select("customer_id").where("customer_id IS NOT NULL").distinct()
             rows = present.count()
             held = lookup_join(members(), present, "customer_id", rows, "left_semi")
-            counts = held.groupBy("customer_id").agg(F.count("*").alias("segment_count"))
+            counts = held.groupBy("customer_id").agg(F.expr("count(*) AS segment_count"))
             found = lookup_join(batch, counts, "customer_id", rows, "left")
-            found = found.withColumn("segment_count", F.coalesce("segment_count", F.lit(0)))
+            found = found.withColumn("segment_count", F.expr("coalesce(segment_count, 0)"))
             found.write.mode("overwrite").parquet(f"{sink}/batch={name}")
         finally:
             batch.unpersist()

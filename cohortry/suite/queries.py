@@ -434,7 +434,7 @@ def _kept_up_to_date(kind: str, start: Callable) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         _, engine = _earlier(spark, folder)
         stream = _of_kind(spark, folder, kind)
-        changes.drain(start(stream, lambda: engine, NOW, work_dir(spark, "stream")))
+        changes.drain(start(stream, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
         return engine.members()
 
     return query
@@ -446,7 +446,7 @@ def stream_changelog(spark: SparkSession, folder: str) -> DataFrame:
         f"if(event_type = 'error', '{changes.SEGMENT_ROW}', '{changes.CUSTOMER_ROW}') AS entity",
         f"if(event_type = 'error', {K} % 10 + 1, user_id) AS row_id",
     )
-    changes.drain(changes.change_log(entries, lambda: engine, NOW, work_dir(spark, "stream")))
+    changes.drain(changes.change_log(entries, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
     return engine.members()
 
 
@@ -480,7 +480,7 @@ def queries() -> dict[str, Query]:
     for key, trees in RULES.items():
         found[key] = _rules(*[rule for rule, _ in trees])
     found["stream_register"] = _kept_up_to_date("signup", changes.customer_registered)
-    found["stream_customer_save"] = _kept_up_to_date("view", changes.customer_changed)
-    found["stream_order_placed"] = _kept_up_to_date("purchase", changes.customer_changed)
-    found["stream_cart_change"] = _kept_up_to_date("click", changes.customer_changed)
+    found["stream_customer_save"] = _kept_up_to_date("view", changes.customer_saved)
+    found["stream_order_placed"] = _kept_up_to_date("purchase", changes.order_placed)
+    found["stream_cart_change"] = _kept_up_to_date("click", changes.cart_changed)
     return found

@@ -6,7 +6,6 @@ import datetime as dt
 
 import pytest
 
-from cohortry.plans.rules import group, leaf
 from cohortry.session import small_table, work_dir
 from cohortry.streaming import changes
 
@@ -56,21 +55,63 @@ def test_saved_customers(spark, world, files):
     ids = [1, 1, 2, 3, 5, 8, 13, 21, 34, 0, None, 999]
     events = stream(spark, small_table(spark, [(i,) for i in ids], "customer_id bigint"), files)
     checkpoint = work_dir(spark, "checkpoint")
-    changes.drain(changes.customer_changed(events, lambda: e, LATER, checkpoint))
+    changes.drain(changes.customer_saved(events, lambda: e, lambda: LATER, checkpoint))
     after = rows(e.members())
     assert after == expected(before, world[0], {1, 2, 3, 5, 8, 13, 21, 34})
     assert after != before
     # nothing new: a restart from the checkpoint changes nothing
-    changes.drain(changes.customer_changed(events, lambda: e, LATER + dt.timedelta(days=1), checkpoint))
-    # a lost checkpoint replays the same batches, which are known already
-    changes.drain(changes.customer_changed(events, lambda: e, LATER, work_dir(spark, "checkpoint")))
+    changes.drain(changes.customer_saved(events, lambda: e, lambda: LATER + dt.timedelta(days=1), checkpoint))
     assert rows(e.members()) == after
+    # after a lost checkpoint everything is evaluated again, with the same outcome
+    commits = e.store.commits().count()
+    changes.drain(changes.customer_saved(events, lambda: e, lambda: LATER, work_dir(spark, "checkpoint")))
+    assert rows(e.members()) == after and e.store.commits().count() == commits + files
+
+
+def test_streams_do_not_take_each_other_for_replays(spark, world):
+    e, before = start(spark, world)
+    for begin, customers in ((changes.order_placed, [1, 2, None]), (changes.cart_changed, [3]), (changes.order_placed, [5])):
+        events = stream(spark, small_table(spark, [(i,) for i in customers], "customer_id bigint"))
+        changes.drain(begin(events, lambda: e, lambda: LATER, work_dir(spark, "checkpoint")))
+    assert rows(e.members()) == expected(before, world[0], {1, 2, 3, 5})
+
+
+def test_a_batch_replayed_after_a_failure_takes_effect_once(spark, world):
+    e, before = start(spark, world)
+    events = stream(spark, small_table(spark, [(i,) for i in (1, 2, 3)], "customer_id bigint"))
+    checkpoint, calls = work_dir(spark, "checkpoint"), []
+
+    class Lost(Exception):
+        pass
+
+    def clock():
+        calls.append(1)
+        return LATER
+
+    def failing():
+        """Fails after the write of the first attempt."""
+        refresh = e.refresh_customers
+
+        class Engine:
+            def refresh_customers(self, *args, **kwargs):
+                refresh(*args, **kwargs)
+                if len(calls) == 1:
+                    raise Lost
+
+        return Engine()
+
+    with pytest.raises(Exception, match="Lost"):
+        changes.drain(changes.customer_saved(events, failing, clock, checkpoint))
+    after, commits = rows(e.members()), e.store.commits().count()
+    changes.drain(changes.customer_saved(events, failing, clock, checkpoint))
+    assert len(calls) == 2 and e.store.commits().count() == commits
+    assert rows(e.members()) == after == expected(before, world[0], {1, 2, 3})
 
 
 def test_registered_customers_only_join(spark, world):
     e, before = start(spark, world)
     events = stream(spark, small_table(spark, [(i,) for i in range(1, 41)], "customer_id bigint"), 2)
-    changes.drain(changes.customer_registered(events, lambda: e, LATER, work_dir(spark, "checkpoint")))
+    changes.drain(changes.customer_registered(events, lambda: e, lambda: LATER, work_dir(spark, "checkpoint")))
     after = rows(e.members())
     assert after == expected(before, world[0], range(1, 41), add_only=True)
     assert before.keys() < after.keys()
@@ -80,7 +121,7 @@ def test_change_log(spark, world):
     e, before = start(spark, world)
     entries = [("segment", 1), ("segment", 1), ("segment", 3), ("segment", 4), ("segment", 77), ("customer", 1), ("customer", 2)]
     events = stream(spark, small_table(spark, entries, "entity string, row_id bigint"))
-    changes.drain(changes.change_log(events, lambda: e, LATER, work_dir(spark, "checkpoint")))
+    changes.drain(changes.change_log(events, lambda: e, lambda: LATER, work_dir(spark, "checkpoint")))
     loops = Loops(world[0])
     after = expected(before, world[0], {1, 2})
     after = {p: t for p, t in after.items() if p[0] not in (1, 3)}
