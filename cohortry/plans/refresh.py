@@ -19,6 +19,7 @@ from ..operators.conditions import ConditionRegistry
 from ..operators.features import ORDER_FEATURES, feature_table
 from ..operators.joins import lookup_join
 from ..session import small_table, written
+from ..sources.definition_store import DefinitionStore
 from ..sources.export import write_members
 from ..sources.membership_store import MembershipStore
 from ..sources.shop import Shop
@@ -44,18 +45,42 @@ class RefreshReport:
 
 
 class SegmentEngine:
+    """``segments`` is a table of definitions, or the store that keeps them."""
+
     def __init__(
         self,
         shop: Shop,
-        segments: DataFrame,
+        segments: DataFrame | DefinitionStore,
         store: MembershipStore,
         registry: ConditionRegistry | None = None,
     ) -> None:
         self.shop = shop
-        self.segments = segments
+        self.definitions = segments
         self.store = store
         self.registry = registry or ConditionRegistry()
-        self.spark = segments.sparkSession
+        self.spark = store.spark
+
+    @property
+    def segments(self) -> DataFrame:
+        stored = isinstance(self.definitions, DefinitionStore)
+        return self.definitions.segments() if stored else self.definitions
+
+    def save_segments(self, changes: DataFrame, now: dt.datetime) -> DataFrame:
+        """Create or update stored definitions; the saved rows."""
+        saved = self.definitions.save(changes, now)
+        self.store.append_log(log_rows(saved, SAVED, now))
+        return saved
+
+    def delete_segments(self, ids: DataFrame) -> list[int]:
+        """Delete stored definitions with their members; the ids that existed."""
+        gone = self.definitions.delete(ids)
+        if gone:
+            self.store.drop(gone)
+        return gone
+
+    def activity_log(self) -> DataFrame:
+        """The log of the segments that still exist."""
+        return self.store.log().join(self.segments.select("segment_id"), "segment_id", "left_semi")
 
     # -- refresh ---------------------------------------------------------------
 
@@ -235,6 +260,14 @@ class SegmentEngine:
     def members(self) -> DataFrame:
         return self.store.members()
 
+    def customer_segments(self) -> DataFrame:
+        """customer_id, segment_id, name, description of every membership."""
+        return lookup.customer_segments(self.members(), self.segments)
+
+    def customers(self, segment_id: int, page: int = 1, size: int = 20) -> lifecycle.Page:
+        """One page of a segment's members."""
+        return lookup.matched_customers(self.shop, self.members(), segment_id, page, size)
+
     def export(self, segment_id: int, path: str, kind: str, safe_csv: bool = False) -> None:
         """Write a segment's members to ``path``; an unknown segment is an error."""
         if self.segments.where(F.col("segment_id") == segment_id).isEmpty():

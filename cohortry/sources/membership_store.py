@@ -9,12 +9,14 @@ Three append-only Parquet tables below one root::
 Data is written first and becomes visible with the one-file commit behind it. A failed
 or lost job therefore leaves the previous state in place, a segment that matches nobody
 any more is simply committed with count 0, and no plan ever overwrites what it reads.
-One writer at a time is assumed.
+Streams and refreshes of one application may write at the same time; between
+applications one writer at a time is assumed.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import threading
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +31,22 @@ _CHANGES = "segment_id int, customer_id bigint, assigned boolean, assigned_at ti
 REFRESH, CHANGE = "refresh", "change"
 
 
+class _Writing:
+    """What the writers of one application on one root share."""
+
+    def __init__(self) -> None:
+        self.lock = threading.RLock()
+        self.last = 0
+
+
+_WRITING: dict[str, _Writing] = {}
+
+
 class MembershipStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root
+        self._writing = _WRITING.setdefault(root, _Writing())
         # mode("ignore") keeps an existing store and gives a new one its empty tables
         small_table(spark, [], _COMMITS).write.mode("ignore").parquet(f"{root}/commits/seq=0")
         small_table(spark, [], schemas.SEGMENT_LOG).write.mode("ignore").parquet(f"{root}/log/seq=0")
@@ -110,7 +124,15 @@ class MembershipStore:
     # -- writing ---------------------------------------------------------------
 
     def _next_seq(self) -> int:
-        return self.commits().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+        """A number above all committed ones and those handed out to writes under way.
+
+        A change that commits while a refresh is still running has the higher number, so
+        it stays on top of the refreshed list.
+        """
+        with self._writing.lock:
+            committed = self.commits().selectExpr("coalesce(max(seq), 0)").first()[0]
+            self._writing.last = max(committed, self._writing.last) + 1
+            return self._writing.last
 
     def applied(self, batch: str) -> bool:
         return not self.commits().where(F.col("batch") == batch).isEmpty()
@@ -138,6 +160,10 @@ class MembershipStore:
         lists = self.members().where(F.col("segment_id").isin(sorted(changed)))
         return self._write_lists(lists, {segment_id: refreshed.get(segment_id) for segment_id in changed}, None)
 
+    def drop(self, segment_ids: Iterable[int]) -> None:
+        """Forget the members of deleted segments."""
+        self._commit(self._next_seq(), [(REFRESH, None, segment_id, 0, None) for segment_id in segment_ids])
+
     def _write_lists(
         self, lists: DataFrame, refreshed: dict[int, dt.datetime | None], batch: str | None
     ) -> dict[int, int]:
@@ -165,8 +191,12 @@ class MembershipStore:
         already committed is skipped, so a micro-batch that is replayed after a failure
         takes effect once. Returns the sequence number, None if skipped.
         """
-        if batch is not None and self.applied(batch):
-            return None
+        with self._writing.lock:
+            if batch is not None and self.applied(batch):
+                return None
+            return self._write_change(delta, now, batch)
+
+    def _write_change(self, delta: DataFrame, now: dt.datetime, batch: str | None) -> int:
         seq = self._next_seq()
         rows = delta.selectExpr("segment_id", "customer_id", "assigned", f"{instant_literal(now)} AS assigned_at")
         rows.write.mode("overwrite").parquet(f"{self.root}/changes/seq={seq}")

@@ -162,6 +162,9 @@ CATALOG = """cat AS (
          TIMESTAMP '2023-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)) AS created_at,
          TIMESTAMP '2023-01-01' + to_days(CAST(p_partkey % 365 + p_size AS INTEGER)) AS updated_at
   FROM part WHERE p_partkey % 13 <> 0)"""
+CHANGES = """ch AS (SELECT CAST(p_partkey + 1000 AS INTEGER) AS segment_id, 'Fans of ' || p_name AS name,
+  CASE WHEN p_size % 2 = 0 THEN 'realtime' END AS refresh_mode, CASE WHEN p_size % 3 = 0 THEN false END AS is_active
+  FROM part WHERE p_partkey % 13 = 0 OR p_size > 45)"""
 _EXPORTED = "SELECT customer_id, email, firstname AS first_name, lastname AS last_name"
 
 
@@ -364,12 +367,19 @@ FROM b JOIN feat USING (customer_id) GROUP BY segment_id""",
             CATALOG,
             """SELECT segment_id, name, created_at FROM cat WHERE refresh_mode = 'cron' AND segment_id > 1100
 ORDER BY segment_id LIMIT 50""",
+        ),
+        "stored_segments": _with(
+            CATALOG,
+            CHANGES,
+            f"""SELECT segment_id, coalesce(ch.name, cat.name) AS name, coalesce(ch.is_active, cat.is_active, true) AS is_active,
+  coalesce(ch.refresh_mode, cat.refresh_mode, 'manual') AS refresh_mode,
+  CASE WHEN cat.name IS NULL THEN {NOW} ELSE {EARLIER} END AS created_at,
+  CASE WHEN ch.name IS NULL THEN {EARLIER} ELSE {NOW} END AS updated_at
+FROM cat FULL JOIN ch USING (segment_id) WHERE coalesce(ch.refresh_mode, cat.refresh_mode, 'manual') <> 'cron'""",
         ),
         "upsert_segments": _with(
             CATALOG,
-            """ch AS (SELECT CAST(p_partkey + 1000 AS INTEGER) AS segment_id, 'Fans of ' || p_name AS name,
-  CASE WHEN p_size % 2 = 0 THEN 'realtime' END AS refresh_mode, CASE WHEN p_size % 3 = 0 THEN false END AS is_active
-  FROM part WHERE p_partkey % 13 = 0 OR p_size > 45)""",
+            CHANGES,
             f"""SELECT segment_id, coalesce(ch.name, cat.name) AS name, cat.description,
   coalesce(ch.is_active, cat.is_active, true) AS is_active,
   coalesce(ch.refresh_mode, cat.refresh_mode, 'manual') AS refresh_mode,

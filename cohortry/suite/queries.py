@@ -18,6 +18,7 @@ from ..plans.refresh import ASSIGNED, SAVED, SegmentEngine, log_rows
 from ..plans.rules import group, leaf
 from ..session import small_table, work_dir
 from ..sources import eav, shop as scans
+from ..sources.definition_store import DefinitionStore
 from ..sources.driver_tables import K as _BIG_K
 from ..sources.driver_tables import read, shop
 from ..sources.membership_store import MembershipStore
@@ -376,6 +377,15 @@ def upsert_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def stored_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Definitions after being stored, edited and deleted, one after the other."""
+    store = DefinitionStore(spark, work_dir(spark, "definitions"))
+    store.save(_catalog(spark, folder), defs.EARLIER)
+    store.save(_segment_changes(spark, folder), NOW)
+    store.delete(store.segments().where("refresh_mode = 'cron'"))
+    return store.segments().select("segment_id", "name", "is_active", "refresh_mode", "created_at", "updated_at")
+
+
 def delete_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Rows left per segment in the three tables after a cascading delete."""
     catalog, members = _catalog(spark, folder), _buyers(spark, folder)
@@ -470,7 +480,7 @@ def queries() -> dict[str, Query]:
         delta_added, delta_removed, assign_customers, remove_customers, assign_stored,
         customer_segments, customer_segment_ids, membership_check, export_members, matched_customers,
         customers_in_segment, rule_quote_eligible, rule_quote_not_in, segment_profile,
-        segment_list, segment_list_after, upsert_segments, delete_segments, forget_customers,
+        segment_list, segment_list_after, upsert_segments, stored_segments, delete_segments, forget_customers,
         segments_due, segments_stale, segments_need_refresh,
         stream_changelog, stream_login_lookup,
     ):
