@@ -59,13 +59,17 @@ def filter_segments(segments: DataFrame, chosen: SegmentFilter) -> DataFrame:
     return segments.where(all_of(tests))
 
 
-def page_of(rows: DataFrame, key: str, page: int, size: int, descending: bool = False) -> Page:
-    """Page ``page`` (from 1) ordered by ``key``, beside the total row count.
+def page_of(
+    rows: DataFrame, unique: str, page: int, size: int, sort_by: str | None = None, descending: bool = False
+) -> Page:
+    """Page ``page`` (from 1) beside the total row count.
 
-    Sort, offset and limit become one top-k: every task keeps page * size rows.
+    Ordered by ``sort_by`` and then the ``unique`` column, so pages neither overlap nor
+    miss rows. Sort, offset and limit become one top-k: every task keeps page * size rows.
     """
-    order = F.desc(key) if descending else F.asc(key)
-    return Page(rows.orderBy(order).offset((page - 1) * size).limit(size), rows.count())
+    first = sort_by or unique
+    order = [F.desc(first) if descending else F.asc(first), F.asc(unique)]
+    return Page(rows.orderBy(*order).offset((page - 1) * size).limit(size), rows.count())
 
 
 def page_after(rows: DataFrame, key: str, last_key: object, size: int) -> DataFrame:
@@ -85,7 +89,8 @@ def with_labels(segments: DataFrame) -> DataFrame:
 def list_segments(
     segments: DataFrame, chosen: SegmentFilter, sort_by: str, page: int, size: int, descending: bool = False
 ) -> Page:
-    return page_of(with_labels(filter_segments(segments, chosen)), sort_by, page, size, descending)
+    found = with_labels(filter_segments(segments, chosen))
+    return page_of(found, "segment_id", page, size, sort_by, descending)
 
 
 def upsert_segments(segments: DataFrame, changes: DataFrame, now: dt.datetime) -> DataFrame:

@@ -117,8 +117,9 @@ class MembershipStore:
                 by_seq.setdefault(seq, []).append(segment_id)
         if not by_seq:
             return small_table(self.spark, [], f"{schemas.MEMBERSHIP}, seq int")
-        # seq and segment_id are partition columns: this prunes folders, not rows
-        lists = self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int").parquet(f"{self.root}/members")
+        # only the folders of current refreshes are listed; segment_id, a partition column, prunes within
+        reader = self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int").option("basePath", f"{self.root}/members")
+        lists = reader.parquet(*[f"{self.root}/members/seq={seq}" for seq in sorted(by_seq)])
         return lists.where(_of_segments(by_seq))
 
     # -- writing ---------------------------------------------------------------
@@ -146,26 +147,28 @@ class MembershipStore:
     ) -> dict[int, int]:
         """Replace the members of some segments; returns members per segment."""
         lists = matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at")
-        return self._write_lists(lists, {int(segment_id): now for segment_id in segment_ids}, batch)
+        times = {int(segment_id): now for segment_id in segment_ids}
+        return self._write_lists(self._next_seq(), lists, times, batch)
 
     def fold_changes(self) -> dict[int, int]:
         """Write full member lists of the segments with open changes, so reads merge nothing.
 
         Who is a member since when, and the time of the last refresh, stay as they are.
         """
+        seq = self._next_seq()  # taken before reading: changes written meanwhile rank above
         changed = {segment_id for segment_ids in self._visible()[1].values() for segment_id in segment_ids}
         if not changed:
             return {}
         refreshed = {row.segment_id: row.last_refreshed for row in self.status().collect()}
         lists = self.members().where(F.col("segment_id").isin(sorted(changed)))
-        return self._write_lists(lists, {segment_id: refreshed.get(segment_id) for segment_id in changed}, None)
+        return self._write_lists(seq, lists, {segment_id: refreshed.get(segment_id) for segment_id in changed}, None)
 
     def drop(self, segment_ids: Iterable[int]) -> None:
         """Forget the members of deleted segments."""
         self._commit(self._next_seq(), [(REFRESH, None, segment_id, 0, None) for segment_id in segment_ids])
 
     def _write_lists(
-        self, lists: DataFrame, refreshed: dict[int, dt.datetime | None], batch: str | None
+        self, seq: int, lists: DataFrame, refreshed: dict[int, dt.datetime | None], batch: str | None
     ) -> dict[int, int]:
         """Write and commit full member lists, ``refreshed`` at these times.
 
@@ -173,7 +176,6 @@ class MembershipStore:
         several files and puts the small ones together, so neither one task nor a
         million tiny files result.
         """
-        seq = self._next_seq()
         path = f"{self.root}/members/seq={seq}"
         lists.hint("rebalance", "segment_id").write.mode("overwrite").partitionBy("segment_id").parquet(path)
         counts = dict.fromkeys(refreshed, 0)

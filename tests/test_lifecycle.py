@@ -70,6 +70,12 @@ def test_list(spark):
     assert listed(is_active=False, refresh_mode="cron") == ([3, 9, 15, 21, 27], 5)
     assert listed(created_at=(NOW - 3 * HOUR, NOW - 2 * HOUR)) == ([2, 3], 2)
     assert listed(last_refreshed=(NOW, None)) == ([], 0)
+    by_mode = [
+        r.segment_id
+        for page in range(1, 5)
+        for r in lifecycle.list_segments(segments, lifecycle.SegmentFilter(), "refresh_mode", page, 8).rows.collect()
+    ]
+    assert by_mode == [*range(1, 31, 2), *range(2, 31, 2)]
     after = lifecycle.page_after(segments, "segment_id", 28, 5).collect()
     assert [r.segment_id for r in after] == [29, 30]
     down = lifecycle.list_segments(segments, lifecycle.SegmentFilter(), "customer_count", 1, 2, descending=True)
