@@ -3,8 +3,8 @@
 Each function turns (column, operator, rule value) into a SQL predicate; rules are
 compiled as text because a whole rule then costs one call into the JVM, and equal
 leaves of different segments can be recognised. A predicate is NULL where the data is
-NULL; the leaf folds that to false, so a missing attribute never matches, not even for
-"is not" or "does not contain".
+NULL and NULL is no match, so a missing attribute never matches, not even for "is not"
+or "does not contain".
 """
 
 from __future__ import annotations

@@ -20,7 +20,11 @@ SIMPLE_SKU = "if(product_type = 'simple', sku, NULL)"
 
 @dataclass(frozen=True)
 class Leaf:
-    """A compiled leaf: a SQL predicate over feature columns that is never NULL."""
+    """A compiled leaf: a SQL predicate over feature columns; NULL means no match.
+
+    Rules combine leaves by AND and OR only, where NULL and false lead to the same
+    members, so NULL need not be folded and plain comparisons can reach the scan.
+    """
 
     features: tuple[Feature, ...]
     predicate: str
@@ -29,10 +33,6 @@ class Leaf:
 Builder = Callable[[str, object], Leaf]
 
 
-def never_null(predicate: str) -> str:
-    return f"coalesce({predicate}, false)"
-
-
 def _check(op: str, accepted: tuple[str, ...], attribute: str) -> None:
     if op not in accepted:
         raise RuleError(f"operator {op!r} does not apply to {attribute}")
@@ -41,7 +41,7 @@ def _check(op: str, accepted: tuple[str, ...], attribute: str) -> None:
 def _on_feature(feature: Feature, comparison: Comparison, accepted: tuple[str, ...]) -> Builder:
     def build(op: str, value: object) -> Leaf:
         _check(op, accepted, feature.name)
-        return Leaf((feature,), never_null(comparison(feature.name, op, value)))
+        return Leaf((feature,), comparison(feature.name, op, value))
 
     return build
 
@@ -147,7 +147,7 @@ class ConditionRegistry:
         features = tuple(Feature(c, source, default=(defaults or {}).get(c)) for c in columns)
 
         def build(op: str, value: object) -> Leaf:
-            return Leaf(features, never_null(predicate(op, value)))
+            return Leaf(features, predicate(op, value))
 
         self._builders[family, attribute] = build
 

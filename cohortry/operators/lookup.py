@@ -33,6 +33,7 @@ def matched_customers(shop: Shop, members: DataFrame, segment_id: int, page: int
     found = page_of(people, "customer_id", page, size)
     address = shop.customer_address.selectExpr(
         "address_id AS default_billing",
+        "postcode AS billing_postcode",
         "city AS billing_city",
         "region AS billing_region",
         "country_id AS billing_country_id",
@@ -41,6 +42,7 @@ def matched_customers(shop: Shop, members: DataFrame, segment_id: int, page: int
         "customer_id",
         "concat_ws(' ', firstname, lastname) AS name",
         "email",
+        "billing_postcode",
         "billing_city",
         "billing_region",
         "billing_country_id",

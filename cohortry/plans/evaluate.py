@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,8 +44,15 @@ def compile_segments(definitions: DataFrame, registry: ConditionRegistry) -> Rul
     return rules
 
 
-def _emit(features: DataFrame, rules: Iterable[tuple[int, CompiledRule]]) -> DataFrame:
-    """(segment_id, customer_id) for every rule that holds, without a join."""
+def _emit(features: DataFrame, rules: list[tuple[int, CompiledRule]]) -> DataFrame:
+    """(segment_id, customer_id) for every rule that holds, without a join.
+
+    A single rule is a plain filter: Catalyst then pushes its customer tests into the
+    scan and turns the outer joins it can into inner ones.
+    """
+    if len(rules) == 1:
+        [(segment_id, rule)] = rules
+        return features.where(rule.predicate).selectExpr(f"{int(segment_id)} AS segment_id", "customer_id")
     hits = ", ".join(f"if({rule.predicate}, {int(segment_id)}, NULL)" for segment_id, rule in rules)
     return features.selectExpr(f"explode(array_compact(array({hits}))) AS segment_id", "customer_id")
 

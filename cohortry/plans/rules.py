@@ -21,7 +21,7 @@ GROUP = "Combine"
 
 @dataclass(frozen=True)
 class CompiledRule:
-    """What a rule needs and says: features, and a predicate over them, never NULL."""
+    """What a rule needs and says: features, and a predicate over them (NULL: no match)."""
 
     features: frozenset[Feature]
     predicate: str

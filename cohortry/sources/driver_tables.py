@@ -65,6 +65,7 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 def customer_addresses(spark: SparkSession, folder: str) -> DataFrame:
     return _located(spark, folder).where("c_custkey % 7 <> 0").selectExpr(
         f"c_custkey + {ADDRESS_OFFSET} AS address_id",
+        "lpad(CAST(c_custkey % 1000 AS STRING), 5, '0') AS postcode",
         "concat('City', CAST(c_custkey % 20 AS STRING)) AS city",
         "r_name AS region",
         "n_name AS country_id",

@@ -65,6 +65,14 @@ class MembershipStore:
             .agg(F.expr("max_by(customer_count, seq) AS customer_count"), F.expr("max_by(committed_at, seq) AS last_refreshed"))
         )
 
+    def history(self) -> DataFrame:
+        """Segment size after each refresh, and the growth since the one before."""
+        refreshes = self.commits().where(f"kind = '{REFRESH}' AND committed_at IS NOT NULL")
+        before = "lag(customer_count) OVER (PARTITION BY segment_id ORDER BY seq)"
+        return refreshes.selectExpr(
+            "segment_id", "committed_at AS refreshed_at", "customer_count", f"customer_count - {before} AS growth"
+        )
+
     def log(self) -> DataFrame:
         return self.spark.read.schema(f"{schemas.SEGMENT_LOG}, seq int").parquet(f"{self.root}/log").drop("seq")
 

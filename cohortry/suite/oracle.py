@@ -22,6 +22,7 @@ cust AS (
          CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3
               WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END AS INTEGER) AS group_id,
          CAST(DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS TIMESTAMP) AS created_at,
+         CASE WHEN c_custkey % 7 <> 0 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR), 5, '0') END AS billing_postcode,
          CASE WHEN c_custkey % 7 <> 0 THEN 'City' || CAST(c_custkey % 20 AS VARCHAR) END AS billing_city,
          CASE WHEN c_custkey % 7 <> 0 THEN r_name END AS billing_region,
          CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS billing_country_id
@@ -265,6 +266,15 @@ UNION ALL SELECT DISTINCT 18, 'assigned', 'customer_id=' || CAST(user_id AS VARC
             f"""SELECT CAST(i AS INTEGER) AS segment_id, i <> 16 AS is_active,
   (SELECT count(*) FROM m WHERE segment_id = i) AS customer_count,
   CASE WHEN i NOT IN (16, 17) THEN {NOW} END AS last_refreshed FROM range(1, 21) AS s(i)""",
+        ),
+        "segment_growth": _with(
+            _now_members(),
+            _earlier_members(EARLIER),
+            "s AS (SELECT i FROM range(1, 21) AS r(i) WHERE i NOT IN (16, 17))",
+            f"""SELECT CAST(i AS INTEGER) AS segment_id, {EARLIER} AS refreshed_at,
+  (SELECT count(*) FROM m0 WHERE segment_id = i) AS customer_count, CAST(NULL AS BIGINT) AS growth FROM s
+UNION ALL SELECT CAST(i AS INTEGER), {NOW}, (SELECT count(*) FROM m WHERE segment_id = i),
+  (SELECT count(*) FROM m WHERE segment_id = i) - (SELECT count(*) FROM m0 WHERE segment_id = i) FROM s""",
         ),
         "match_check": _with(
             _now_members(),
@@ -328,7 +338,7 @@ FROM pairs""",
         ),
         "matched_customers": _with(
             BUYERS,
-            """SELECT customer_id, firstname || ' ' || lastname AS name, email, billing_city, billing_region, billing_country_id,
+            """SELECT customer_id, firstname || ' ' || lastname AS name, email, billing_postcode, billing_city, billing_region, billing_country_id,
   created_at, (SELECT count(*) FROM b JOIN cust USING (customer_id) WHERE segment_id = 1010) AS total
 FROM cust JOIN b USING (customer_id) WHERE segment_id = 1010 ORDER BY customer_id LIMIT 20""",
         ),

@@ -218,6 +218,12 @@ def refresh_status(spark: SparkSession, folder: str) -> DataFrame:
     return engine.refreshed_segments().select("segment_id", "is_active", "customer_count", "last_refreshed")
 
 
+def segment_growth(spark: SparkSession, folder: str) -> DataFrame:
+    _, engine = _earlier(spark, folder)
+    engine.refresh_all(NOW)
+    return engine.store.history()
+
+
 def match_check(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _events(spark, folder).selectExpr("user_id AS customer_id", f"{K} % 22 + 1 AS segment_id")
     return _engine(spark, folder).match_check(pairs, NOW)
@@ -475,7 +481,7 @@ def queries() -> dict[str, Query]:
         export_csv, export_xml,
         feature_table, agg_order_summary, agg_having, agg_purchased_items, agg_distinct_products,
         agg_segment_counts, cart_latest, cart_matching_items,
-        refresh_segment, refresh_all, mass_refresh, refresh_log, refresh_status, match_check, validate_batch,
+        refresh_segment, refresh_all, mass_refresh, refresh_log, refresh_status, segment_growth, match_check, validate_batch,
         custom_condition,
         delta_added, delta_removed, assign_customers, remove_customers, assign_stored,
         customer_segments, customer_segment_ids, membership_check, export_members, matched_customers,

@@ -15,7 +15,7 @@ DAY = dt.timedelta(days=1)
 SCHEMAS = {
     "customer": "customer_id bigint, email string, firstname string, lastname string, dob date, gender int, "
     "taxvat string, website_id int, store_id int, group_id int, created_at timestamp_ntz, default_billing bigint",
-    "customer_address": "address_id bigint, city string, region string, country_id string",
+    "customer_address": "address_id bigint, postcode string, city string, region string, country_id string",
     "sales_order": "order_id bigint, customer_id bigint, state string, status string, base_grand_total decimal(18,2), "
     "total_qty_ordered decimal(18,2), created_at timestamp_ntz, coupon_code string, payment_method string, "
     "shipping_method string, shipping_country_id string",

@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 
 from cohortry.operators.conditions import ConditionRegistry
-from cohortry.plans.evaluate import active_rules, matches
+from cohortry.plans.evaluate import active_rules, compile_segments, matches
+from cohortry.plans.rules import group, leaf
 from cohortry.sources.driver_tables import shop
 from cohortry.suite import definitions as defs
 from cohortry.suite.queries import queries
@@ -54,6 +55,15 @@ def test_only_needed_tables_and_columns(spark):
     assert read["orders"] == ["o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string"]
 
 
+def test_a_single_rule_is_pushed_down(spark):
+    rule = group("all", leaf("Customer.lastname", "==", "Customer#000000007"), leaf("Order.total_orders", ">=", "1"))
+    registry = ConditionRegistry()
+    rules = compile_segments(defs.one_segment(spark, rule), registry)
+    text = plan(matches(shop(spark, FOLDER), rules, defs.NOW, registry))
+    assert re.search(r"PushedFilters: \[.*EqualTo\(c_name,Customer#000000007\)", text)
+    assert "LeftOuter" not in text
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(queries()["cart_latest"](spark, FOLDER))
     assert re.search(r"PushedFilters: \[.*EqualTo\(event_type,click\)", text)

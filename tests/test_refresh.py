@@ -152,6 +152,25 @@ def test_touched_customers_end_up_as_a_full_refresh_leaves_them(spark, small):
     assert rows(e.members()) == after
 
 
+def test_a_scheduled_run(spark, small):
+    rules = {
+        1: ("cron", True, group("all", leaf("Order.total_orders", ">=", "2"))),
+        2: ("manual", True, group("all", leaf("Customer.gender", "==", "1"))),
+        3: ("realtime", True, group("all", leaf("Customer.gender", "==", "2"))),
+        4: ("cron", True, group("all", leaf("Customer.gender", "==", "3"))),
+    }
+    e = engine(spark, small, rules=rules)
+    e.definitions = e.definitions.selectExpr(
+        "* EXCEPT (cron_expression)", "element_at(map(1, '0 2 * * *', 4, '0 3 * * *'), segment_id) AS cron_expression"
+    )
+    due = [("0 2 * * *", NOW), ("0 3 * * *", NOW + dt.timedelta(hours=1))]
+    ticks = small_table(spark, due, "cron_expression string, due_at timestamp_ntz")
+    assert e.refresh_due(ticks, NOW).counts.keys() == {1, 3}
+    assert e.refresh_due(ticks, NOW + dt.timedelta(hours=1)).counts.keys() == {3, 4}
+    growth = [(r.segment_id, r.growth) for r in e.store.history().orderBy("segment_id", "refreshed_at").collect()]
+    assert growth == [(1, None), (3, None), (3, 0), (4, None)]
+
+
 def test_delta_is_additions_and_removals(spark):
     old = small_table(spark, [(1, 1, NOW), (1, 2, NOW), (2, 1, NOW)], schemas.MEMBERSHIP)
     new = small_table(spark, [(1, 2), (1, 3), (3, 1)], "segment_id int, customer_id bigint")
