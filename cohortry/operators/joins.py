@@ -19,6 +19,7 @@ from ..session import BROADCAST_ROWS, HOT_KEY_ROWS, int_setting
 
 _SALT, _SALTS = "__salt", "__salts"
 _NULL_SPREAD = 1_000_000
+_NARROW = 8  # columns of the rows the broadcast bound is meant for
 
 
 def lookup_join(
@@ -32,13 +33,15 @@ def lookup_join(
     """Join ``large`` to ``unique`` (at most one row per ``key``).
 
     ``unique_rows`` is a proven upper bound for the rows of ``unique``, usually the
-    footer count of the table it was derived from. ``keys`` is where the rows per key
+    footer count of the table it was derived from; a wide row counts as several narrow
+    ones. ``keys`` is where the rows per key
     are counted if they must be; a stored table in place of a computed ``large`` saves
     computing that twice. Counting more rows than ``large`` has does no harm.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
-    if unique_rows <= int_setting(large.sparkSession, BROADCAST_ROWS):
+    width = -(-len(unique.columns) // _NARROW)
+    if unique_rows * width <= int_setting(large.sparkSession, BROADCAST_ROWS):
         return large.join(F.broadcast(unique), key, how)
     return spread_join(large, unique, key, how, keys)
 

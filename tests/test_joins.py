@@ -48,6 +48,9 @@ def test_size_decides(spark, setting, tables):
     setting(spark__sql__autoBroadcastJoinThreshold=-1, spark__cohortry__broadcastRows=40)
     assert "__salt" not in plan(lookup_join(large, unique, "k", 40))
     assert "__salt" in plan(lookup_join(large, unique, "k", 41))
+    wide = unique.selectExpr("*", *[f"k AS w{i}" for i in range(8)])  # ten columns
+    assert "__salt" not in plan(lookup_join(large, wide, "k", 20))
+    assert "__salt" in plan(lookup_join(large, wide, "k", 21))
 
 
 def test_unknown_join_type(tables):
