@@ -162,10 +162,10 @@ CATALOG = """cat AS (
               THEN TIMESTAMP '2024-01-31' - to_minutes(CAST(p_partkey % 180 AS INTEGER)) END AS last_refreshed,
          TIMESTAMP '2023-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)) AS created_at,
          TIMESTAMP '2023-01-01' + to_days(CAST(p_partkey % 365 + p_size AS INTEGER)) AS updated_at
-  FROM part WHERE p_partkey % 13 <> 0)"""
+  FROM part WHERE p_type <> 'PROMO')"""
 CHANGES = """ch AS (SELECT CAST(p_partkey + 1000 AS INTEGER) AS segment_id, 'Fans of ' || p_name AS name,
   CASE WHEN p_size % 2 = 0 THEN 'realtime' END AS refresh_mode, CASE WHEN p_size % 3 = 0 THEN false END AS is_active
-  FROM part WHERE p_partkey % 13 = 0 OR p_size > 45)"""
+  FROM part WHERE p_type = 'PROMO' OR p_size > 45)"""
 _EXPORTED = "SELECT customer_id, email, firstname AS first_name, lastname AS last_name"
 
 
@@ -315,9 +315,11 @@ WHERE (segment_id, customer_id) NOT IN (SELECT segment_id, customer_id FROM pair
         "assign_stored": _with(
             _now_members([9, 10, 11, 13]),
             "p AS (SELECT DISTINCT user_id AS customer_id, CAST(k % 3 + 9 AS INTEGER) AS segment_id FROM ev WHERE user_id > 0)",
+            "r AS (SELECT DISTINCT user_id AS customer_id, CAST(k % 3 + 9 AS INTEGER) AS segment_id FROM ev WHERE event_type = 'error')",
             f"""SELECT segment_id, customer_id, {EARLIER} AS assigned_at FROM m
 WHERE (segment_id, customer_id) NOT IN (SELECT segment_id, customer_id FROM p)
-UNION ALL SELECT segment_id, customer_id, {NOW} FROM p WHERE customer_id % 2 <> 0""",
+UNION ALL SELECT segment_id, customer_id, {NOW} FROM p
+WHERE (segment_id, customer_id) NOT IN (SELECT segment_id, customer_id FROM r)""",
         ),
         "customer_segments": _with(
             BUYERS, CATALOG, "SELECT customer_id, segment_id, name, description FROM b JOIN cat USING (segment_id)"
@@ -407,7 +409,7 @@ UNION ALL SELECT segment_id, count(*), t FROM b, (VALUES ('members'), ('log')) A
 WHERE segment_id NOT IN (SELECT segment_id FROM gone) GROUP BY segment_id, t""",
         ),
         "forget_customers": _with(
-            BUYERS, "SELECT segment_id, customer_id, assigned_at FROM b JOIN cust USING (customer_id) WHERE customer_id % 3 <> 0"
+            BUYERS, "SELECT segment_id, customer_id, assigned_at FROM b JOIN cust USING (customer_id) WHERE group_id <> 3"
         ),
         "segments_due": _with(
             CATALOG,

@@ -290,10 +290,10 @@ def assign_stored(spark: SparkSession, folder: str) -> DataFrame:
     """Assignments and removals on a stored membership, one after the other."""
     engine = _engine(spark, folder, 9, 10, 11, 13)
     engine.refresh_all(defs.EARLIER)
-    events = _events(spark, folder).where("user_id > 0")
-    pairs = events.selectExpr("user_id AS customer_id", f"{K} % 3 + 9 AS segment_id")
-    engine.assign(pairs, NOW)
-    engine.unassign(pairs.where("customer_id % 2 = 0"), NOW)
+    events = scans.population(_events(spark, folder).withColumnRenamed("user_id", "customer_id"))
+    pairs = ("customer_id", f"{K} % 3 + 9 AS segment_id")
+    engine.assign(events.selectExpr(*pairs), NOW)
+    engine.unassign(events.where("event_type = 'error'").selectExpr(*pairs), NOW)
     return engine.members()
 
 
@@ -367,7 +367,7 @@ def segment_list_after(spark: SparkSession, folder: str) -> DataFrame:
 
 def _segment_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Edits of some segments, re-creation of the deleted ones."""
-    parts = read(spark, folder, "part").where("p_partkey % 13 = 0 OR p_size > 45")
+    parts = read(spark, folder, "part").where("p_type = 'PROMO' OR p_size > 45")
     return parts.selectExpr(
         "CAST(p_partkey + 1000 AS INT) AS segment_id",
         "concat('Fans of ', p_name) AS name",
@@ -407,7 +407,7 @@ def delete_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def forget_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Memberships left after customers were deleted."""
-    people = scans.population(shop(spark, folder).customer).where("customer_id % 3 <> 0")
+    people = scans.population(shop(spark, folder).customer).where("group_id <> 3")
     return lifecycle.forget_customers(_buyers(spark, folder), people)
 
 
