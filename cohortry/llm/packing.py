@@ -4,8 +4,8 @@
    shorter, and the pieces (lengths and checksums, not tokens) are stored in the shared folder.
 2. The histogram of piece lengths has at most ``capacity`` rows whatever the corpus. Lengths are rounded up to a few
    hundred classes, and a linear program over patterns (how many of each class fill a sequence) is solved by revised
-   simplex; an unbounded knapsack over the dual prices yields the next patterns. Patterns are rounded down; what is
-   left is filled sequence by sequence with the best subset sum.
+   simplex, which starts from the patterns of a greedy best-subset-sum filling; an unbounded knapsack over the dual
+   prices yields further patterns. Patterns are rounded down, and what is left is filled greedily.
 3. Pieces are ranked within their class (in salted buckets, so that one hot length is many small windows), and the n-th
    piece of a class takes the n-th place that the patterns have for it.
 """
@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -21,18 +22,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortry.llm.text import rows_by, slices
+from cohortry.llm.text import Recent, rows_by, slices
 from cohortry.session import written
 
-KEPT_WORDS = 300_000
 BUCKET_ROWS = 20_000
 RANKS = 1 << 48
 
 
+#: A mark at the end of a word behind a letter is a token of its own wherever the letters are one.
+MARKED = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+
+
 class Encoder:
-    """Ids of words as little-endian 32-bit strings; a bounded number is remembered.
+    """Ids of words as little-endian 32-bit strings, with the words met lately.
 
-    The vocabulary must drop white space before anything else, so that words can be encoded alone.
+    The vocabulary must lower-case, drop white space and cut letters from marks before anything else: then words can be
+    encoded alone, whatever their case. Texts in which a special string may stand keep their case and marks.
     """
 
     def __init__(self, definition: str):
@@ -41,22 +46,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.known.clear()
-            fresh = list(words)
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        self.known = Recent(self.encoded)
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        result = []
+        for at in range(0, len(words), 4096):
+            part = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
+            ends = (4 * np.cumsum([len(ids) for ids in found])).tolist()
+            result += [flat[a:b] for a, b in zip([0, *ends], ends)]
+        return result
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [x.split() for x in texts]
-        self.learn(set().union(*pieces))
-        return [b"".join(map(self.known.__getitem__, words)) for words in pieces]
+        pieces = [(x if b"<|" in x else MARKED.sub(rb" \1", x.lower())).split() for x in texts]
+        self.known.learn(set().union(*pieces))
+        known = self.known.now.__getitem__
+        return [b"".join(map(known, words)) for words in pieces]
 
 
 @cache
@@ -74,7 +80,7 @@ def token_pieces(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        for part, texts in slices(batches, "text", 1 << 20):
+        for part, texts in slices(batches, "text"):
             row, start, length, crc, total = [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts)):
                 ids += end
@@ -132,47 +138,52 @@ def _traced(taken: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
     return pattern
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(
+    sizes: np.ndarray, demand: np.ndarray, capacity: int, known: np.ndarray, gap: float = 5e-4, rounds: int = 40
+) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used (fractional) so that all demand is met exactly.
 
-    Stops when the bound by the best reduced cost shows that at most ``gap`` can still be gained, or after ``rounds``
-    pricings: any basis on the way is a valid plan.
+    Revised simplex over the known patterns and those that the knapsack adds. Stops when the sequences used are within one or
+    ``gap`` of the pieces' volume, when the knapsack's value, which bounds what can still be gained, says the same, or
+    after ``rounds`` pricings: any basis on the way is a valid plan.
     """
+    volume = float(sizes @ demand) / capacity
+    enough = max(volume * (1 + gap), volume + 1)
     m = len(sizes)
     patterns = np.diag(capacity // sizes)
     inverse = np.diag(1.0 / (capacity // sizes))
     used = inverse @ demand
+    pool = known.astype(float)
     for _ in range(rounds):
-        prices = inverse.sum(axis=0)
-        live = np.flatnonzero(prices > 1e-12)
-        best, taken = knapsack(sizes[live], prices[live], capacity)
-        if best[capacity] <= 1 + gap:
-            break
-        entered = 0
-        # the best pattern, then for each class the best that holds it, as long as the prices since changed allow
-        for i in [-1, *np.argsort(-(prices[live] + best[capacity - sizes[live]]))[:48]]:
-            column = np.zeros(m, np.int64)
-            if i < 0:
-                column[live] = _traced(taken, sizes[live], capacity)
-            else:
-                column[live] = _traced(taken, sizes[live], capacity - sizes[live[i]])
-                column[live[i]] += 1
-            if inverse.sum(axis=0) @ column <= 1 + gap:
-                continue
-            way = inverse @ column
+        for _ in range(30 * m):
+            prices = inverse.sum(axis=0)
+            values = pool @ prices
+            entering = int(values.argmax())
+            if values[entering] <= 1 + 1e-7 or used.sum() <= enough:
+                break
+            way = inverse @ pool[entering]
             rows = np.flatnonzero(way > 1e-9)
             out = rows[np.argmin(used[rows] / way[rows])]
             step = max(0.0, used[out] / way[out])
-            used -= step * way
+            used = np.maximum(used - step * way, 0)
             used[out] = step
             row = inverse[out] / way[out]
             inverse -= np.outer(way, row)
             inverse[out] = row
-            patterns[out] = column
-            entered += 1
-        if not entered:
+            patterns[out] = pool[entering]
+        if used.sum() <= enough:
             break
-    return patterns, np.maximum(used, 0)
+        live = np.flatnonzero(prices > 1e-12)
+        best, taken = knapsack(sizes[live], prices[live], capacity)
+        if best[capacity] <= 1 + gap:
+            break
+        fresh = np.zeros((len(live) + 1, m))
+        for i in range(len(live)):
+            fresh[i, live] = _traced(taken, sizes[live], capacity - sizes[live[i]])
+            fresh[i, live[i]] += 1
+        fresh[-1, live] = _traced(taken, sizes[live], capacity)
+        pool = np.unique(np.concatenate([pool, fresh[fresh @ prices > 1 + gap]]), axis=0)
+    return patterns, used
 
 
 def _best_fill(sizes: list[int], left: np.ndarray, room: int) -> np.ndarray:
@@ -198,6 +209,18 @@ def _best_fill(sizes: list[int], left: np.ndarray, room: int) -> np.ndarray:
     return pattern
 
 
+def _filled(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns, each repeated while it lasts, until nothing is left."""
+    plan, left = [], demand.copy()
+    while left.any():
+        pattern = _best_fill(sizes.tolist(), left, capacity)
+        held = pattern > 0
+        times = int((left[held] // pattern[held]).min())
+        plan.append((pattern, times))
+        left -= times * pattern
+    return plan
+
+
 def sequence_plan(counts: dict[int, int], capacity: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places for pieces: key (class * RANKS + rank of the first piece), first sequence, position; for any counts by class.
 
@@ -207,20 +230,15 @@ def sequence_plan(counts: dict[int, int], capacity: int = 2048) -> tuple[np.ndar
     demand = np.array([counts[s] for s in sizes], np.int64)
     plan: list[tuple[np.ndarray, int]] = []
     if len(sizes):
-        patterns, used = column_generation(sizes, demand.astype(float), capacity)
+        known = np.array([pattern for pattern, _ in _filled(sizes, demand, capacity)])
         left = demand.copy()
-        for pattern, times in zip(patterns, np.floor(used + 1e-6).astype(np.int64)):
+        for pattern, used in zip(*column_generation(sizes, demand.astype(float), capacity, known)):
             held = pattern > 0
-            times = min(int(times), int((left[held] // pattern[held]).min()))
+            times = min(int(used + 1e-6), int((left[held] // pattern[held]).min()))
             if times > 0:
                 plan.append((pattern, times))
                 left -= times * pattern
-        while left.any():
-            pattern = _best_fill(sizes.tolist(), left, capacity)
-            held = pattern > 0
-            times = int((left[held] // pattern[held]).min())
-            plan.append((pattern, times))
-            left -= times * pattern
+        plan += _filled(sizes, left, capacity)
     keys, sequences, positions = [], [], []
     rank, sequence = dict.fromkeys(sizes.tolist(), 0), 0
     for pattern, times in plan:

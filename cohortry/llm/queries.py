@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.llm.exact_dedup import exact_duplicates
+from cohortry.llm.line_dedup import line_bitmaps, without_lines
+from cohortry.llm.packing import packed
 from cohortry.llm.token_counts import token_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,34 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query(
+    """
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+    k AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+        FROM l
+    ),
+    often AS (
+        SELECT line_key, max(doc_id) AS last FROM k WHERE length(line_key) >= 40
+        GROUP BY line_key HAVING count(DISTINCT doc_id) >= 5
+    ),
+    marked AS (
+        SELECT doc_id, pos, line, coalesce(k.doc_id <> often.last, false) AS dropped
+        FROM k LEFT JOIN often USING (line_key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """
+)
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    found = without_lines(documents, line_bitmaps(documents, least_points=40, least_documents=5))
+    return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query(
     r"""
     WITH d AS (
@@ -54,6 +84,11 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@_query()
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
 @_query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
