@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.llm.exact_dedup import exact_duplicates
 from cohortry.llm.line_dedup import line_bitmaps, without_lines
+from cohortry.llm.minhash_dedup import near_duplicates
 from cohortry.llm.packing import packed
 from cohortry.llm.token_counts import token_counts
 
@@ -38,6 +39,42 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query(
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+               ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle
+        FROM w
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+        FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+    ),
+    links AS (
+        SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+        WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+    ),
+    reach AS (
+        SELECT doc_id, doc_id AS seen FROM documents
+        UNION
+        SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen
+    ),
+    c AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+    SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+    FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+    """
+)
+def op4_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(_table(spark, folder, "documents"), words=3, per_cent=85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 @_query(
     """
     WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -68,8 +68,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, 1 << 16)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64)) for b in (_BASE, inverse)]
+        inverse, tables = pow(_BASE, -1, 1 << 64), []
+        for b in (_BASE, inverse):
+            factors = np.full(size, b, np.uint64)
+            factors[0] = 1
+            tables.append(np.cumprod(factors, dtype=np.uint64))
+        _POWERS[:] = tables
     return _POWERS[0], _POWERS[1]
 
 
