@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cohortry.llm import language_id, toxicity
 from cohortry.llm.exact_dedup import exact_duplicates
 from cohortry.llm.line_dedup import line_bitmaps, without_lines
 from cohortry.llm.minhash_dedup import near_duplicates
@@ -35,10 +36,30 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _fold(column: str, folds: int) -> Column:
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query()
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = language_id.fit(documents, _fold("id", 5) != 0)
+    found = language_id.identified(documents, model)
+    return found.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = toxicity.fit(documents, _table(spark, folder, "labels"), _fold("id", 3) != 1)
+    found = toxicity.scored(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @_query(
     r"""
     WITH RECURSIVE w AS (

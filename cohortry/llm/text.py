@@ -6,12 +6,18 @@ and ``bytes.split()`` mean exactly that on UTF-8.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -24,6 +30,7 @@ _BASE = 0x9E3779B97F4A7C13
 _MASK = (1 << 64) - 1
 _LETTER = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTER[65:91] = _LETTER[97:123]
+_LETTER[list(SPACES)] = _LETTER[32]
 _POWERS: list[np.ndarray] = []
 
 
@@ -84,54 +91,85 @@ def _spans(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters, edges[0::2], edges[1::2]
 
 
-def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    letters, starts, ends = _spans(buffer)
+def _summed(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which the hash of any range follows, and the factors that bring ranges to the same place."""
     power, inverse = _powers(len(letters) + 1)
     sums = np.zeros(len(letters) + 1, np.uint64)
     np.cumsum(_LETTER[letters] * power[: len(letters)], out=sums[1:])
+    return sums, inverse
+
+
+def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    letters, starts, ends = _spans(buffer)
+    sums, inverse = _summed(letters)
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many each text has.
+def subwords(texts: list[bytes], lengths: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed subwords: bucket of each and the text it is from, in no order, and the words of each text.
 
-    Works on pieces of bounded size; a longer text is cut behind a space, so that no word is cut.
+    Subwords are the word itself and its byte ranges of the given lengths, where a space stands before every word. Texts
+    are cut behind spaces into pieces of bounded size, so the caller passes whole texts of any length.
     """
-    hashes, counts = [], np.zeros(len(texts), np.int64)
-    group: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal size
-        if group:
-            found, starts = _hashed(b"\n".join(texts[i] for i in group))
-            stops = np.cumsum([len(texts[i]) + 1 for i in group])
-            counts[group] = np.diff(np.searchsorted(starts, stops), prepend=0)
-            hashes.append(found)
-            group.clear()
-            size = 0
-
-    for i, text in enumerate(texts):
-        if len(text) <= SLICE_BYTES:
-            if size + len(text) > SLICE_BYTES:
-                flush()
-            group.append(i)
-            size += len(text)
+    buckets, owners, words = [], [], np.zeros(len(texts), np.int64)
+    for group in pieces(texts):
+        buffer = b" " + b"\n".join(part for _, part in group) + b"\n"
+        letters, starts, ends = _spans(buffer)
+        if not len(starts):
             continue
-        flush()
+        sums, inverse = _summed(letters)
+        of_word = np.repeat([i for i, _ in group], np.diff(np.searchsorted(starts, np.cumsum([0] + [len(part) + 1 for _, part in group]) + 1)))
+        np.add.at(words, of_word, 1)
+        found = mixed((sums[ends] - sums[starts]) * inverse[starts])
+        buckets.append((found >> np.uint64(64 - bits)).astype(np.int32))
+        owners.append(of_word.astype(np.int32))
+        # every position belongs to the word that it is in or directly before
+        sizes = ends - starts + 1
+        position = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - position
+        position += np.repeat(starts - 1, sizes)
+        owner = np.repeat(of_word, sizes).astype(np.int32)
+        for n in lengths:
+            at = position[left >= n]
+            found = mixed((sums[at + n] - sums[at]) * inverse[at] + np.uint64(n))
+            buckets.append((found >> np.uint64(64 - bits)).astype(np.int32))
+            owners.append(owner[left >= n])
+    if not buckets:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), words
+    return np.concatenate(buckets), np.concatenate(owners), words
+
+
+def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[tuple[int, bytes]]]:
+    """Texts with their numbers in groups of at most about ``limit`` bytes; longer ones are cut behind a space."""
+    group, size = [], 0
+    for i, text in enumerate(texts):
         at = 0
         while at < len(text):
-            to = at + SLICE_BYTES
+            to = at + limit
             if to < len(text):
                 cut = max(text.rfind(bytes([s]), at, to) for s in SPACES)
-                if cut <= at:  # one word longer than a piece
+                if cut < at:  # one word longer than a piece
                     cut = min((x for s in SPACES if (x := text.find(bytes([s]), to)) >= 0), default=len(text) - 1)
                 to = cut + 1
-            found, _ = _hashed(text[at:to])
-            hashes.append(found)
-            counts[i] += len(found)
+            part = text[at:to]
+            if group and size + len(part) > limit:
+                yield group
+                group, size = [], 0
+            group.append((i, part))
+            size += len(part)
             at = to
-    flush()
+    if group:
+        yield group
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and how many each text has."""
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    for group in pieces(texts):
+        found, starts = _hashed(b"\n".join(part for _, part in group))
+        stops = np.cumsum([len(part) + 1 for _, part in group])
+        np.add.at(counts, [i for i, _ in group], np.diff(np.searchsorted(starts, stops), prepend=0))
+        hashes.append(found)
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
 
 
@@ -155,6 +193,23 @@ class Recent:
             self.now.update(zip(fresh, self.function(fresh)))
 
 
+@cache
+def _ship(context: SparkContext) -> None:
+    root = Path(__file__).parents[2]
+    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if root.resolve() in known or root.suffix == ".zip":
+        return
+    packed = f"{tempfile.mkdtemp(prefix='cohortry-')}/cohortry.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in [root / "cohortry", *(root / "cohortry").rglob("*")]:
+            if path.suffix == ".py" or path.is_dir() and path.name != "__pycache__":
+                archive.write(path, path.relative_to(root))
+    context.addPyFile(packed)
+
+
 def rows_by(table: DataFrame, *columns: tuple[str, str]) -> DataFrame:
-    """Only the named columns, under private names: extra columns of the caller never meet ours."""
+    """Only the named columns, renamed: extra columns of the caller never meet ours.
+
+    Where the workers would not find this package by themselves, Spark sends it to them first."""
+    _ship(table.sparkSession.sparkContext)
     return table.select(*(F.col(f"`{old}`").alias(new) for old, new in columns))
