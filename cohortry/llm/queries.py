@@ -11,6 +11,7 @@ from cohortry.llm import language_id, toxicity
 from cohortry.llm.exact_dedup import exact_duplicates
 from cohortry.llm.line_dedup import line_bitmaps, without_lines
 from cohortry.llm.minhash_dedup import near_duplicates
+from cohortry.llm.mixing import mixed_copies, words_of
 from cohortry.llm.packing import packed
 from cohortry.llm.token_counts import token_counts
 
@@ -124,6 +125,82 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def domain_of(source: Column) -> Column:
+    """The top of the tree: the one large source, the first nine others, and the rest."""
+    return F.when(source == "src0", "web").when(source.rlike("^src[1-9]$"), "books").otherwise("other")
+
+
+MIXING_WEIGHTS = {"domain": {"web": 5, "books": 3, "other": 4}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src3": 4, "src7": 2, "src12": 3}}
+
+
+_MIXING_LEVEL = """
+    {name}_nodes AS (
+        SELECT {here}, sum(room) AS room, any_value(weight_{depth}) AS weight FROM leaves GROUP BY {here}
+    ),
+    {name}_ranked AS (
+        SELECT {here_n}, n.room, n.weight, g.given - coalesce(sum(n.room) OVER (
+                   PARTITION BY {parents_n} ORDER BY CASE WHEN n.weight > 0 THEN n.room::DOUBLE / n.weight END NULLS LAST, n.{level} NULLS FIRST
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_, sum(n.weight) OVER (
+                   PARTITION BY {parents_n} ORDER BY CASE WHEN n.weight > 0 THEN n.room::DOUBLE / n.weight END NULLS LAST, n.{level} NULLS FIRST
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+        FROM {name}_nodes n JOIN {above} g ON {on}
+    ),
+    {name}_full AS (SELECT *, weight = 0 OR room * rest <= left_ * weight AS is_full FROM {name}_ranked),
+    {name} AS (
+        SELECT {here}, CASE WHEN is_full THEN room ELSE (
+                   max(CASE WHEN NOT is_full THEN left_ END) OVER (PARTITION BY {parents}) * weight)
+                   // max(CASE WHEN NOT is_full THEN rest END) OVER (PARTITION BY {parents}) END AS given
+        FROM {name}_full
+    ),"""
+
+
+def _mixing_sql(weights: dict, budget: str, epochs: int, seed: int) -> str:
+    levels = list(weights)
+    case = lambda level: f"CASE {' '.join(f'WHEN {level} = {value!r} THEN {w}' for value, w in weights[level].items())} ELSE 1 END"
+    steps, above = "", "root"
+    for depth, level in enumerate(levels):
+        here, parents = levels[: depth + 1], levels[:depth]
+        steps += _MIXING_LEVEL.format(
+            name=f"given_{level}", level=level, depth=depth, above=above, here=", ".join(here), here_n=", ".join(f"n.{x}" for x in here), parents=", ".join(parents) or "1",
+            parents_n=", ".join(f"n.{x}" for x in parents) or "1", on=" AND ".join(f"n.{x} IS NOT DISTINCT FROM g.{x}" for x in parents) or "true",
+        )
+        above = f"given_{level}"
+    keys = ", ".join(levels)
+    return rf"""
+    WITH d AS (
+        SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[1-9]$') THEN 'books' ELSE 'other' END AS domain,
+               len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::HUGEINT AS tokens
+        FROM documents
+    ),
+    leaves AS (
+        SELECT {keys}, sum(tokens)::HUGEINT AS tokens, {', '.join(f'{case(x)}::HUGEINT AS weight_{i}' for i, x in enumerate(levels))},
+               CASE WHEN {' AND '.join(f'{case(x)} > 0' for x in levels)} THEN sum(tokens) * {epochs} ELSE 0 END::HUGEINT AS room
+        FROM d GROUP BY {keys}
+    ),
+    root AS (SELECT least({budget}, sum(room))::HUGEINT AS given FROM (SELECT *, sum(tokens) OVER () AS total FROM leaves) GROUP BY total),
+    {steps}
+    cut AS (
+        SELECT l.{', l.'.join(levels)}, l.tokens AS all_tokens, CASE WHEN l.tokens > 0 THEN g.given // l.tokens ELSE 0 END AS epochs, g.given
+        FROM leaves l JOIN {above} g ON {' AND '.join(f'l.{x} IS NOT DISTINCT FROM g.{x}' for x in levels)}
+    ),
+    placed AS (
+        SELECT d.*, c.epochs, c.given - c.epochs * c.all_tokens AS prefix, md5('{seed}:' || c.epochs || ':' || doc_id) AS place
+        FROM d JOIN cut c ON {' AND '.join(f'd.{x} IS NOT DISTINCT FROM c.{x}' for x in levels)}
+    )
+    SELECT doc_id, {keys}, tokens::BIGINT AS n_tokens,
+           (epochs + CASE WHEN prefix > 0 AND epochs < {epochs} AND sum(tokens) OVER (PARTITION BY {keys} ORDER BY place) <= prefix THEN 1 ELSE 0 END)::BIGINT AS copies
+    FROM placed
+    """
+
+
+@_query(_mixing_sql(MIXING_WEIGHTS, "total * 4 // 5", 3, 11))
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    levels = {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    found = mixed_copies(documents, levels, MIXING_WEIGHTS, F.expr("(total * 4) div 5"), words_of(F.col("text")), epochs=3, seed=11)
+    return found.select("doc.doc_id", *levels, "n_tokens", "copies")
+
+
 @_query(
     r"""
     WITH d AS (
