@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortry.llm import language_id, toxicity
+from cohortry.llm import language_id, lm_scoring, toxicity
 from cohortry.llm.exact_dedup import exact_duplicates
 from cohortry.llm.line_dedup import line_bitmaps, without_lines
 from cohortry.llm.minhash_dedup import near_duplicates
@@ -45,6 +45,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_query()
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    found = lm_scoring.scored(_table(spark, folder, "documents"), _fold("id", 5) != 1)
+    return found.withColumn("held_out", _fold("doc_id", 5) == 1)
+
+
 @_query()
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
@@ -169,7 +175,8 @@ def _mixing_sql(weights: dict, budget: str, epochs: int, seed: int) -> str:
     return rf"""
     WITH d AS (
         SELECT doc_id, lang, source, CASE WHEN source = 'src0' THEN 'web' WHEN regexp_matches(source, '^src[1-9]$') THEN 'books' ELSE 'other' END AS domain,
-               len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::HUGEINT AS tokens
+               len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::HUGEINT AS tokens
         FROM documents
     ),
     leaves AS (
