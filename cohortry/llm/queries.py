@@ -14,6 +14,7 @@ from cohortry.llm.minhash_dedup import near_duplicates
 from cohortry.llm.mixing import mixed_copies, words_of
 from cohortry.llm.packing import packed
 from cohortry.llm.token_counts import token_counts
+from cohortry.llm.top_k import top_k
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -51,6 +52,34 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", _fold("doc_id", 5) == 1)
 
 
+@_query(
+    r"""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+        FROM documents
+    ),
+    total AS (SELECT count(*) AS docs, sum(len(words))::DOUBLE / count(*) AS mean FROM w),
+    p AS (SELECT doc_id, len(words) AS size, unnest(words) AS word FROM w),
+    tf AS (SELECT doc_id, size, word, count(*)::DOUBLE AS times FROM p GROUP BY ALL),
+    df AS (SELECT word, count(*)::DOUBLE AS n FROM tf GROUP BY word),
+    impact AS (
+        SELECT doc_id, word, round(ln(1 + (docs - n + 0.5) / (n + 0.5))
+               * (times * (1.2 + 1) / (times + 1.2 * (1 - 0.75 + 0.75 * size / mean))) * 1e6)::BIGINT AS points
+        FROM tf JOIN df USING (word), total
+    ),
+    s AS (
+        SELECT q.doc_id AS query_id, d.doc_id, sum(points)::BIGINT AS score
+        FROM tf q JOIN impact d USING (word) WHERE q.doc_id % 100 = 0 GROUP BY ALL
+    ),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s)
+    SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """
+)
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(_table(spark, folder, "documents"), F.col("id") % 100 == 0, k=10)
+
+
 @_query()
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
