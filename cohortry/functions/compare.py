@@ -15,7 +15,7 @@ from .values import (
     RuleError,
     all_of,
     any_of,
-    as_category,
+    as_categories,
     as_instant,
     as_list,
     as_number,
@@ -182,13 +182,19 @@ def listed_values(
     if comparison is compare_cart_sku and op == EQ:
         return f"lower({column})", (as_text(value).strip().lower(),)
     if comparison is compare_category and op == EQ:
-        return f"CAST({column} AS BIGINT)", tuple(as_category(item) for item in as_list(value))
+        values = tuple(as_categories(value))
+        return (f"CAST({column} AS BIGINT)", values) if values else (None, ())
     return None, ()
 
 
 def compare_category(column: str, op: str, value: object) -> str:
-    """Category in / not in a list of ids; an item that is no number counts as id 0."""
-    ids = [str(as_category(item)) for item in as_list(value)]
+    """Category in / not in a list of ids; an item that is no number counts as id 0.
+
+    An item that no id can be equal to (infinite, or beyond 64 bits) matches nothing, and every id is another.
+    """
+    ids = [str(number) for number in as_categories(value)]
     if op in (EQ, NEQ):
+        if not ids:
+            return NEVER if op == EQ else f"{column} IS NOT NULL"
         return _listed(column, IN if op == EQ else NOT_IN, ids)
     raise RuleError(f"operator {op!r} does not apply to categories")

@@ -13,6 +13,7 @@ class RuleError(ValueError):
     """The rule cannot be evaluated: unknown leaf, operator, or value format."""
 
 
+_WHOLE = re.compile(r"\s*[+-]?\d{1,4000}\s*")
 _NUMBER = re.compile(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*")
 # Text that every setting of the SQL parser reads as it stands: no quote, no escape
 # character, no variable reference, no control character.
@@ -44,23 +45,38 @@ def as_range(value: object) -> tuple[str, str]:
     return items[0], items[1]
 
 
-def as_category(value: str) -> int:
-    number = as_number(value)
-    return 0 if number is None else int(number)
+def as_category(value: str) -> int | None:
+    """The id an item stands for: 0 where it is no number, None where no 64-bit id can be equal to it."""
+    if as_number(value) is None:
+        return 0
+    try:
+        number = int(value) if _WHOLE.fullmatch(value) else int(float(value))
+    except OverflowError:
+        return None
+    return number if -(1 << 63) <= number < 1 << 63 else None
+
+
+def as_categories(value: object) -> list[int]:
+    """The ids of a list that some row may have."""
+    return [number for number in map(as_category, as_list(value)) if number is not None]
 
 
 def as_instant(value: object) -> dt.datetime:
     try:
         parsed = dt.datetime.fromisoformat(as_text(value).strip())
-    except ValueError:
+        if parsed.tzinfo is not None:
+            parsed = parsed.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    except (ValueError, OverflowError):
         raise RuleError(f"not a date: {value!r}") from None
-    if parsed.tzinfo is not None:
-        parsed = parsed.astimezone(dt.timezone.utc).replace(tzinfo=None)
     return parsed
 
 
 def text_literal(text: str) -> str:
     """A string literal. Anything a parser could take for syntax is passed as bytes."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        raise RuleError(f"not a text: {text!r}") from None
     if _PLAIN.fullmatch(text):
         return f"'{text}'"
     return f"CAST(X'{text.encode().hex()}' AS STRING)"

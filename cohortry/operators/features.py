@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import any_of, instant_literal
+from ..functions.values import any_of, instant_literal, text_literal
 from ..sources.shop import Shop, latest_carts, population, top_level_items, valid_orders
 from .flags import Feature, Flags
 from .joins import lookup_join
@@ -83,7 +83,7 @@ def _flagged_orders(shop: Shop, skus: Flags, categories: Flags) -> DataFrame:
     if categories:
         flagged = category_flags(shop, categories)
         how = "left" if skus else "inner"
-        items = lookup_join(items, flagged, "product_id", shop.catalog_rows, how, keys=shop.item_keys)
+        items = lookup_join(items, flagged, "product_id", shop.catalog_rows, how, shop.item_keys, repeats=False)
         hits.append(categories.raised())
     return items.where(any_of(hits)).groupBy("order_id").agg(*skus.aggregates(), *categories.merged())
 
@@ -122,12 +122,12 @@ def purchased_item_counts(shop: Shop, test: str) -> DataFrame:
 
 
 def order_products(shop: Shop) -> DataFrame:
-    """Distinct (order_id, product_id, customer_id, created_at) of valid orders.
+    """(order_id, product_id, customer_id, created_at) of the items of valid orders; a product may come several times.
 
     An order may hold very many products, so its rows are spread over the join.
     """
     orders = valid_orders(shop.sales_order).select("order_id", "customer_id", "created_at")
-    return lookup_join(shop.item_keys.distinct(), orders, "order_id", shop.order_rows, keys=shop.item_keys)
+    return lookup_join(shop.item_keys, orders, "order_id", shop.order_rows, keys=shop.item_keys)
 
 
 def distinct_products(shop: Shop, category_test: str) -> DataFrame:
@@ -138,7 +138,7 @@ def distinct_products(shop: Shop, category_test: str) -> DataFrame:
     """
     linked = shop.category_product.where(category_test).select("product_id").distinct()
     bought = lookup_join(
-        order_products(shop), linked, "product_id", shop.catalog_rows, "left_semi", keys=shop.item_keys
+        order_products(shop), linked, "product_id", shop.catalog_rows, "left_semi", shop.item_keys, repeats=False
     )
     return bought.groupBy("customer_id").agg(F.expr("count(DISTINCT product_id) AS distinct_products"))
 
@@ -173,10 +173,18 @@ def wishlist_counts(shop: Shop) -> DataFrame:
 
 def _view_facts(shop: Shop, flags: Flags) -> DataFrame:
     views = shop.product_view.select("customer_id", "product_id")
-    seen = lookup_join(views, category_flags(shop, flags), "product_id", shop.catalog_rows)
+    seen = lookup_join(views, category_flags(shop, flags), "product_id", shop.catalog_rows, repeats=False)
     return seen.groupBy("customer_id").agg(*flags.merged())
 
 
+def _one_row_each(facts: DataFrame, source: str) -> DataFrame:
+    """The facts, or an error when read: two rows of one customer would make it a member twice."""
+    columns = [F.first(c).alias(c) for c in facts.columns if c != "customer_id"]
+    each = facts.where("customer_id IS NOT NULL").groupBy("customer_id").agg(F.expr("count(*) AS __rows"), *columns)
+    problem = text_literal(f"{source} has several rows for one customer")
+    return each.where(f"if(__rows = 1, true, raise_error({problem}))").drop("__rows")
+
+
 def feature_table(
     shop: Shop,
     features: Iterable[Feature],
@@ -201,7 +209,7 @@ def feature_table(
     for source in sorted(sources):
         if source.startswith("custom:"):
             columns = [feature.name for feature in wanted.of(source)]
-            facts.append((custom or {})[source].select("customer_id", *columns))
+            facts.append(_one_row_each((custom or {})[source].select("customer_id", *columns), source))
 
     # Every fact table is already hash-partitioned by customer_id after its
     # aggregation, so these joins add one exchange: that of the population.

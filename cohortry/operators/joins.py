@@ -29,6 +29,7 @@ def lookup_join(
     unique_rows: int,
     how: str = "inner",
     keys: DataFrame | None = None,
+    repeats: bool = True,
 ) -> DataFrame:
     """Join ``large`` to ``unique`` (at most one row per ``key``).
 
@@ -36,14 +37,16 @@ def lookup_join(
     footer count of the table it was derived from; a wide row counts as several narrow
     ones. ``keys`` is where the rows per key
     are counted if they must be; a stored table in place of a computed ``large`` saves
-    computing that twice. Counting more rows than ``large`` has does no harm.
+    computing that twice. Counting more rows than ``large`` has does no harm. Without
+    ``repeats`` the caller needs equal rows of ``large`` once only: where they are shuffled, they are made distinct
+    first, with map-side combining, as equal rows would also get the same salt.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
     width = -(-len(unique.columns) // _NARROW)
     if unique_rows * width <= int_setting(large.sparkSession, BROADCAST_ROWS):
         return large.join(F.broadcast(unique), key, how)
-    return spread_join(large, unique, key, how, keys)
+    return spread_join(large if repeats else large.distinct(), unique, key, how, keys)
 
 
 def spread_join(

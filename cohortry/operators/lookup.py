@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.values import number_literal
 from ..sources.shop import Shop, population
 from .lifecycle import Page, page_of
+from .joins import lookup_join
 from .membership import KEYS
 
+BROADCAST_PAGE = 100_000
+
 
 def customers_in_segment(customers: DataFrame, members: DataFrame, segment_id: int) -> DataFrame:
     chosen = members.where(f"segment_id = {int(segment_id)}")
@@ -26,7 +29,8 @@ def export_members(shop: Shop, members: DataFrame, segment_id: int) -> DataFrame
 def matched_customers(shop: Shop, members: DataFrame, segment_id: int, page: int = 1, size: int = 20) -> Page:
     """One page of a segment's members with their billing address.
 
-    The page is cut before the address join: only ``size`` rows are joined.
+    The page is cut before the address join, and the addresses are reduced to those of the page (``size`` ids are
+    broadcast) before they are shuffled.
     """
     chosen = customers_in_segment(population(shop.customer), members, segment_id)
     people = chosen.select("customer_id", "firstname", "lastname", "email", "default_billing", "created_at")
@@ -38,6 +42,8 @@ def matched_customers(shop: Shop, members: DataFrame, segment_id: int, page: int
         "region AS billing_region",
         "country_id AS billing_country_id",
     )
+    wanted = found.rows.select("default_billing")
+    address = address.join(F.broadcast(wanted) if size <= BROADCAST_PAGE else wanted, "default_billing", "left_semi")
     rows = found.rows.join(address, "default_billing", "left").selectExpr(
         "customer_id",
         "concat_ws(' ', firstname, lastname) AS name",
@@ -52,10 +58,12 @@ def matched_customers(shop: Shop, members: DataFrame, segment_id: int, page: int
 
 
 def customer_segments(members: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each customer's segments; memberships of deleted segments are left out."""
-    return members.join(segments.select("segment_id", "name", "description"), "segment_id").select(
-        "customer_id", "segment_id", "name", "description"
-    )
+    """Each customer's segments; memberships of deleted segments are left out.
+
+    A segment of nearly everyone is one hot key; the definitions are counted, and broadcast or spread accordingly.
+    """
+    known = segments.select("segment_id", "name", "description")
+    return lookup_join(members, known, "segment_id", known.count()).select("customer_id", "segment_id", "name", "description")
 
 
 def membership_check(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import as_category, as_list, instant_literal
+from ..functions.values import as_categories, instant_literal
 
 KEYS = ["segment_id", "customer_id"]
 
@@ -65,7 +65,7 @@ def in_segments(table: DataFrame, members: DataFrame, ids: object, negate: bool
 
     A NULL customer (guest) is in no segment; it is not kept by the negation either.
     """
-    wanted = [as_category(segment_id) for segment_id in as_list(ids)]
+    wanted = as_categories(ids)
     chosen = members.where(F.col("segment_id").isin(wanted)).select("customer_id").distinct()
     known = table.where("customer_id IS NOT NULL")
     return known.join(chosen, "customer_id", "left_anti" if negate else "left_semi")

@@ -34,7 +34,7 @@ EVERYONE = CompiledRule(frozenset(), "true")
 def compile_rule(text: str | None, registry: ConditionRegistry) -> CompiledRule:
     """A missing or unreadable rule matches nobody, an empty one everyone.
 
-    Raises ``RuleError`` for an unknown leaf, operator, aggregator or value format.
+    Raises ``RuleError`` for an unknown leaf, operator, aggregator or value format, and for a document of another shape.
     """
     if text is None or text in ("", "0"):
         return NOBODY
@@ -42,23 +42,51 @@ def compile_rule(text: str | None, registry: ConditionRegistry) -> CompiledRule:
         document = json.loads(text)
     except ValueError:
         return NOBODY
-    return compile_tree(document if isinstance(document, dict) else {}, registry)
+    except RecursionError:
+        raise RuleError("nested too deeply") from None
+    try:
+        return compile_tree(document if isinstance(document, dict) else {}, registry)
+    except RecursionError:
+        raise RuleError("nested too deeply") from None
+
+
+def _text(node: dict, name: str, default: str) -> str:
+    value = node.get(name)
+    if not (value is None or isinstance(value, (str, int, float))):
+        raise RuleError(f"{name} is no text: {value!r:.100}")
+    return str(value or default)
+
+
+def _value(node: dict) -> object:
+    """A scalar, or a list of scalars; a map counts as the list of its values."""
+    value = node.get("value", "")
+    value = list(value.values()) if isinstance(value, dict) else value
+    if any(isinstance(item, (dict, list)) for item in (value if isinstance(value, list) else [value])):
+        raise RuleError(f"neither a value nor a list of values: {value!r:.100}")
+    return value
 
 
 def compile_tree(node: dict, registry: ConditionRegistry) -> CompiledRule:
-    children = [_child(child, registry) for child in node.get("conditions") or []]
+    """A group; its conditions are a list, or a map of which the keys play no part."""
+    conditions = node.get("conditions") or []
+    conditions = list(conditions.values()) if isinstance(conditions, dict) else conditions
+    if not isinstance(conditions, list):
+        raise RuleError(f"conditions are no list: {conditions!r:.100}")
+    children = [_child(child, registry) for child in conditions]
     if not children:
         return EVERYONE
-    return combine(node.get("aggregator") or "all", children)
+    return combine(_text(node, "aggregator", "all"), children)
 
 
-def _child(node: dict, registry: ConditionRegistry) -> CompiledRule:
-    kind = str(node.get("type") or "")
+def _child(node: object, registry: ConditionRegistry) -> CompiledRule:
+    if not isinstance(node, dict):
+        raise RuleError(f"no condition: {node!r:.100}")
+    kind = _text(node, "type", "")
     if GROUP in kind:
         return compile_tree(node, registry)
     family = re.split(r"[\\/.]", kind)[-1]
     leaf = registry.leaf(
-        family, str(node.get("attribute") or ""), str(node.get("operator") or "=="), node.get("value", "")
+        family, _text(node, "attribute", ""), _text(node, "operator", "=="), _value(node)
     )
     return CompiledRule(frozenset(leaf.features), leaf.predicate)
 

@@ -113,15 +113,12 @@ def one_segment(spark: SparkSession, rule: object, segment_id: int = 1) -> DataF
 
 
 def catalog(spark: SparkSession, parts: DataFrame) -> DataFrame:
-    """A large segment catalogue derived from the products: "Buyers of <sku>".
-
-    Segments of bundled products have been deleted.
-    """
+    """A large segment catalogue derived from the products: "Buyers of <sku>"."""
     sku = "concat_ws('-', p_brand, CAST(p_partkey AS STRING))"
     rule = rule_text(group(ALL, leaf("Product.purchased_products", "==", "<sku>")))
     before, after = rule.split("<sku>")
     created = "TIMESTAMP_NTZ '2023-01-01 00:00:00' + make_dt_interval(CAST(p_partkey % 365 AS INT))"
-    return parts.where("p_type <> 'PROMO'").selectExpr(
+    return parts.selectExpr(
         "CAST(p_partkey + 1000 AS INT) AS segment_id",
         f"concat('Buyers of ', {sku}) AS name",
         "if(p_size > 25, p_name, NULL) AS description",

@@ -22,15 +22,15 @@ cust AS (
          CAST(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3
               WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END AS INTEGER) AS group_id,
          CAST(DATE '1995-01-01' + CAST(c_custkey % 2000 AS INTEGER) AS TIMESTAMP) AS created_at,
-         CASE WHEN c_custkey % 7 <> 0 THEN lpad(CAST(c_custkey % 1000 AS VARCHAR), 5, '0') END AS billing_postcode,
-         CASE WHEN c_custkey % 7 <> 0 THEN 'City' || CAST(c_custkey % 20 AS VARCHAR) END AS billing_city,
-         CASE WHEN c_custkey % 7 <> 0 THEN r_name END AS billing_region,
-         CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS billing_country_id
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+         lpad(CAST(c_custkey % 1000 AS VARCHAR), 5, '0') AS billing_postcode,
+         'City' || CAST(c_custkey % 20 AS VARCHAR) AS billing_city,
+         r_name AS billing_region,
+         n_name AS billing_country_id
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
   WHERE c_custkey > 0),
 so AS (
   SELECT o_orderkey AS order_id,
-         CASE WHEN o_custkey % 10 <> 3 AND o_custkey <> 0 THEN o_custkey END AS customer_id,
+         CASE WHEN o_custkey <> 0 THEN o_custkey END AS customer_id,
          CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'processing'
               WHEN o_orderkey % 2 = 0 THEN 'canceled' ELSE 'closed' END AS state,
          CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderkey % 4 = 1 THEN 'holded' ELSE 'pending' END AS status,
@@ -56,14 +56,14 @@ ev AS (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
 q AS (
   SELECT event_id AS quote_id, user_id AS customer_id, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS is_active,
          CAST(value AS DECIMAL(18,2)) AS subtotal, k % 7 AS items_count, ts AS updated_at
-  FROM ev WHERE event_type IN ('click', 'purchase') AND user_id % 10 <> 7),
+  FROM ev WHERE event_type IN ('click', 'purchase')),
 qi AS (
   SELECT event_id AS quote_id, p_brand || '-' || CAST(p_partkey AS VARCHAR) AS sku, CAST(NULL AS BIGINT) AS parent_item_id
-  FROM ev JOIN part ON p_partkey = k WHERE event_type IN ('click', 'purchase') AND user_id % 10 <> 7
+  FROM ev JOIN part ON p_partkey = k WHERE event_type IN ('click', 'purchase')
   UNION ALL
   SELECT event_id, 'CHILD-' || CAST(k AS VARCHAR), 1
-  FROM ev WHERE event_type IN ('click', 'purchase') AND user_id % 10 <> 7 AND event_id % 3 = 0),
-wi AS (SELECT user_id AS customer_id, k AS product_id FROM ev WHERE event_type = 'signup' AND user_id % 10 <> 4),
+  FROM ev WHERE event_type IN ('click', 'purchase') AND event_id % 3 = 0),
+wi AS (SELECT user_id AS customer_id, k AS product_id FROM ev WHERE event_type = 'signup'),
 pv AS (SELECT user_id AS customer_id, k AS product_id, ts AS viewed_at FROM ev WHERE event_type = 'view'),
 lc AS (
   SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC, quote_id DESC) AS nth
@@ -162,8 +162,8 @@ CATALOG = """cat AS (
               THEN TIMESTAMP '2024-01-31' - to_minutes(CAST(p_partkey % 180 AS INTEGER)) END AS last_refreshed,
          TIMESTAMP '2023-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)) AS created_at,
          TIMESTAMP '2023-01-01' + to_days(CAST(p_partkey % 365 + p_size AS INTEGER)) AS updated_at
-  FROM part WHERE p_type <> 'PROMO')"""
-CHANGES = """ch AS (SELECT CAST(p_partkey + 1000 AS INTEGER) AS segment_id, 'Fans of ' || p_name AS name,
+  FROM part)"""
+CHANGES = """ch AS (SELECT CAST(p_partkey + CASE WHEN p_type = 'PROMO' THEN 10000000 ELSE 1000 END AS INTEGER) AS segment_id, 'Fans of ' || p_name AS name,
   CASE WHEN p_size % 2 = 0 THEN 'realtime' END AS refresh_mode, CASE WHEN p_size % 3 = 0 THEN false END AS is_active
   FROM part WHERE p_type = 'PROMO' OR p_size > 45)"""
 _EXPORTED = "SELECT customer_id, email, firstname AS first_name, lastname AS last_name"

@@ -366,10 +366,10 @@ def segment_list_after(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segment_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Edits of some segments, re-creation of the deleted ones."""
+    """Edits of some segments, and new ones for bundled products."""
     parts = read(spark, folder, "part").where("p_type = 'PROMO' OR p_size > 45")
     return parts.selectExpr(
-        "CAST(p_partkey + 1000 AS INT) AS segment_id",
+        "CAST(p_partkey + if(p_type = 'PROMO', 10000000, 1000) AS INT) AS segment_id",
         "concat('Fans of ', p_name) AS name",
         "if(p_size % 2 = 0, 'realtime', NULL) AS refresh_mode",
         "if(p_size % 3 = 0, false, NULL) AS is_active",

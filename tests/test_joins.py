@@ -56,3 +56,12 @@ def test_size_decides(spark, setting, tables):
 def test_unknown_join_type(tables):
     with pytest.raises(ValueError):
         lookup_join(*tables, "k", 40, "full_outer")
+
+
+def test_equal_rows_of_a_hot_key_count_once_before_the_shuffle(spark, spread, setting):
+    setting(spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions=16)
+    large = small_table(spark, [(1, 7)] * 2000 + [(1, i) for i in range(40)], "k bigint, v int")
+    unique = small_table(spark, [(1, "a")], "k bigint, n string")
+    assert bag(lookup_join(large, unique, "k", 40, repeats=False)) == bag(large.distinct().join(unique, "k"))
+    joined = lookup_join(large, unique, "k", 40, repeats=False).selectExpr("spark_partition_id() AS p")
+    assert joined.distinct().count() > 3

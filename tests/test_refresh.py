@@ -108,6 +108,40 @@ def test_facts_that_cannot_be_read_stop_one_segment_only(spark, small):
     assert report.counts == {i: len(loops.members(RULES[i][2])) for i in (1, 2, 3, 6)}
 
 
+def test_facts_with_several_rows_for_a_customer_are_refused(spark, small):
+    points = small_table(spark, [(1, 5), (1, 5), (2, 5), (None, 1), (None, 2)], "customer_id bigint, points int")
+    rules = {1: RULES[1], 7: ("manual", True, group("all", leaf("Loyalty.points", "==", "5")))}
+    e = engine(spark, small, rules=rules)
+    e.registry.register("Loyalty", "points", points, lambda op, v: f"points = {int(v)}", ("points",))
+    report = e.refresh_all(NOW)
+    assert report.failures.keys() == {7} and "several rows" in report.failures[7]
+    assert report.counts == {1: len(Loops(small).members(RULES[1][2]))}
+
+
+def test_odd_documents_do_not_stop_the_others(spark, small):
+    keyed = {"aggregator": "any", "conditions": {"1": leaf("Customer.gender", "==", "2"), "1--1": leaf("Order.total_orders", ">", "1000")}}
+    odd = {"conditions": {"1": "x"}}
+    e = engine(spark, small, rules={1: RULES[1], 8: ("manual", True, keyed), 9: ("manual", True, odd)})
+    report = e.refresh_all(NOW)
+    loops = Loops(small)
+    assert report.failures.keys() == {9}
+    assert report.counts == {1: len(loops.members(RULES[1][2])), 8: len(loops.members(group("all", leaf("Customer.gender", "==", "2"))))}
+
+
+@pytest.mark.parametrize("leaves", [1, 7, 8, 70])
+def test_categories_mean_the_same_however_many_leaves_there_are(spark, small, leaves):
+    ids = ["1", "99999999999999999999", "1e999", "9007199254740993", "-1e400", "x", "2"]
+    rules = {n: ("manual", True, group("all", leaf("Product.purchased_categories", "==", ids[n % 7] if n < 7 else str(n)))) for n in range(leaves)}
+    rules |= {500: ("manual", True, group("all", leaf("Product.purchased_categories", "!=", "99999999999999999999")))}
+    report = engine(spark, small, rules=rules).refresh_all(NOW)
+    loops = Loops(small)
+    plain = {n: len(loops.members(group("all", leaf("Product.purchased_categories", "==", str(n))))) for n in (1, 2)}
+    assert not report.failures and report.counts[0] == plain[1] > 0
+    assert all(report.counts[n] == 0 for n in (1, 2, 3, 4) if n < leaves)
+    assert report.counts.get(6, plain[2]) == plain[2]
+    assert report.counts[500] == len(loops.members(group("all", leaf("Product.purchased_categories", "!=", "-77"))))
+
+
 def test_a_segment_that_matches_nobody_any_more_is_emptied(spark, small):
     e = engine(spark, small)
     e.refresh_all(NOW)

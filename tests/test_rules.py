@@ -65,3 +65,39 @@ def test_rules_that_fail(document):
 
 def test_an_unknown_aggregator_of_an_empty_group_does_no_harm():
     assert rule({"aggregator": "some", "conditions": []}) == EVERYONE
+
+
+def test_keyed_conditions_are_a_list():
+    one, two = leaf("Customer.gender", "==", "1"), leaf("Order.total_orders", ">=", "3")
+    plain = {"aggregator": "any", "conditions": [one, two]}
+    assert rule({"aggregator": "any", "conditions": {"1": one, "1--2": two}}) == rule(plain)
+    nested = {"conditions": {"7": {"type": "Combine", "aggregator": "any", "conditions": {"a": one, "b": two}}}}
+    assert rule(nested) == rule({"conditions": [{"type": "Combine", **plain}]})
+
+
+@pytest.mark.parametrize(
+    "document",
+    [
+        {"conditions": "all of them"},
+        {"conditions": 7},
+        {"conditions": ["x"]},
+        {"conditions": [None]},
+        {"conditions": [[leaf("Customer.gender", "==", "1")]]},
+        {"aggregator": ["all"], "conditions": [leaf("Customer.gender", "==", "1")]},
+        {"conditions": [{"type": {"a": 1}}]},
+        {"conditions": [{"type": "Customer", "attribute": ["gender"]}]},
+        {"conditions": [{"type": "Customer", "attribute": "gender", "operator": {}, "value": 1}, 3]},
+        {"conditions": [leaf("Customer.gender", "()", [["1"]])]},
+        {"conditions": [leaf("Customer.gender", "==", {"a": {"b": 1}})]},
+        {"conditions": [leaf("Customer.dob", ">", "0001-01-01T00:00:00+23:00")]},
+        "{\"conditions\": [{\"type\": \"Customer\", \"attribute\": \"email\", \"value\": \"\\ud800\"}]}",
+        "{\"conditions\":[" * 100_000 + "]}" * 100_000,
+    ],
+)
+def test_other_shapes_are_rule_errors(document):
+    with pytest.raises(RuleError):
+        rule(document)
+
+
+def test_a_keyed_value_is_a_list():
+    assert rule({"conditions": [leaf("Customer.gender", "()", {"0": "1", "1": "2"})]}) == rule({"conditions": [leaf("Customer.gender", "()", ["1", "2"])]})
