@@ -67,7 +67,7 @@ class Vocabulary:
     other_distinct: int
 
     @classmethod
-    def of(cls, documents: int, words: int, distinct: int, table: tuple[np.ndarray, np.ndarray], symbols: int = SYMBOLS) -> Vocabulary:
+    def of(cls, documents: int, words: int, distinct: int, table: tuple[np.ndarray, np.ndarray], symbols: int) -> Vocabulary:
         tokens, counts = table
         chosen = np.lexsort((tokens, -counts))[:symbols]
         other_tokens, other_distinct = words - int(counts[chosen].sum()), distinct - len(chosen)
@@ -110,7 +110,7 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     frequent = counts.where(step >= lowest) if lowest is not None else counts.limit(0)
     table = frequent.select("token", "n").toArrow()
     arrays = (table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy())
-    return Vocabulary.of(documents, sum(r.tokens for r in steps), sum(r.words for r in steps), arrays)
+    return Vocabulary.of(documents, sum(r.tokens for r in steps), sum(r.words for r in steps), arrays, SYMBOLS)
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
