@@ -61,10 +61,39 @@ class SegmentEngine:
         self.spark = store.spark
 
     @property
-    def segments(self) -> DataFrame:
+    def _defined(self) -> DataFrame:
+        """The definitions as they were saved."""
         stored = isinstance(self.definitions, DefinitionStore)
         return self.definitions.segments() if stored else self.definitions
 
+    @property
+    def segments(self) -> DataFrame:
+        """The definitions with the count and time of their latest refresh."""
+        newest = {"customer_count", "last_refreshed"}
+        columns = [
+            f"coalesce(s.{name}, d.{name}) AS {name}" if name in newest else f"d.{name}" for name in self._defined.columns
+        ]
+        known = self._defined.alias("d").join(self.store.status().alias("s"), F.expr("s.segment_id = d.segment_id"), "left")
+        return known.selectExpr(*columns)
+
+    def list_segments(
+        self,
+        chosen: lifecycle.SegmentFilter | None = None,
+        sort_by: str = "segment_id",
+        page: int = 1,
+        size: int = 20,
+        descending: bool = False,
+    ) -> lifecycle.Page:
+        """One page of the definitions, with labels, and how many there are."""
+        return lifecycle.list_segments(self.segments, chosen or lifecycle.SegmentFilter(), sort_by, page, size, descending)
+
+    def stale(self, now: dt.datetime) -> DataFrame:
+        """Active scheduled segments, and realtime ones whose last refresh is too long ago."""
+        return lifecycle.segments_stale(self.segments, now)
+
+    def needs_refresh(self, now: dt.datetime) -> DataFrame:
+        return lifecycle.needs_refresh(self.segments, now)
+
     def save_segments(self, changes: DataFrame, now: dt.datetime) -> DataFrame:
         """Create or update stored definitions; the saved rows."""
         saved = self.definitions.save(changes, now)
@@ -80,13 +109,13 @@ class SegmentEngine:
 
     def activity_log(self) -> DataFrame:
         """The log of the segments that still exist."""
-        return self.store.log().join(self.segments.select("segment_id"), "segment_id", "left_semi")
+        return self.store.log().join(self._defined.select("segment_id"), "segment_id", "left_semi")
 
     # -- refresh ---------------------------------------------------------------
 
     def refresh_segment(self, segment_id: int, now: dt.datetime) -> int:
         """Replace the members of one segment; an inactive one is left alone (0)."""
-        definition = self.segments.where(F.col("segment_id") == segment_id)
+        definition = self._defined.where(F.col("segment_id") == segment_id)
         row = definition.select("is_active").first()
         if row is None:
             raise LookupError(f"no segment {segment_id}")
@@ -98,12 +127,12 @@ class SegmentEngine:
         return report.counts[segment_id]
 
     def refresh_all(self, now: dt.datetime) -> RefreshReport:
-        return self._refresh(active_rules(self.segments, self.registry), now)
+        return self._refresh(active_rules(self._defined, self.registry), now)
 
     def mass_refresh(self, segment_ids: Iterable[int], now: dt.datetime) -> RefreshReport:
         """Refresh a list of segments in one pass; unknown ids are reported as failed."""
         wanted = sorted(set(segment_ids))
-        chosen = self.segments.where(F.col("segment_id").isin(wanted))
+        chosen = self._defined.where(F.col("segment_id").isin(wanted))
         state = {row.segment_id: row.is_active for row in chosen.select("segment_id", "is_active").collect()}
         report = self._refresh(active_rules(chosen, self.registry), now)
         for segment_id in wanted:
@@ -115,7 +144,7 @@ class SegmentEngine:
 
     def refresh_due(self, ticks: DataFrame, now: dt.datetime) -> RefreshReport:
         """A scheduled run."""
-        due = lifecycle.segments_due(self.segments, ticks, now)
+        due = lifecycle.segments_due(self._defined, ticks, now)
         return self._refresh(compile_segments(due, self.registry), now)
 
     def refresh_definitions(self, definitions: DataFrame, now: dt.datetime, batch: str | None = None) -> RefreshReport:
@@ -126,6 +155,7 @@ class SegmentEngine:
 
     def _refresh(self, rules: RuleSet, now: dt.datetime, batch: str | None = None) -> RefreshReport:
         report = RefreshReport(failures=dict(rules.failures))
+        self._log([(segment_id, REFRESH_BEFORE, None, now) for segment_id in sorted({*rules.rules, *rules.failures})])
         groups = [rules.rules] if rules.rules else []
         while groups:
             group = groups.pop()
@@ -143,20 +173,16 @@ class SegmentEngine:
         return report
 
     def _log_refresh(self, report: RefreshReport, now: dt.datetime) -> None:
-        rows = [(sid, REFRESH_BEFORE, None, now) for sid in report.counts]
-        rows += [(sid, REFRESH_AFTER, f"assigned_count={n}", now) for sid, n in report.counts.items()]
-        rows += [(sid, REFRESH_FAILED, problem, now) for sid, problem in report.failures.items()]
+        rows = [(sid, REFRESH_AFTER, f"assigned_count={n}", now) for sid, n in report.counts.items()]
+        self._log(rows + [(sid, REFRESH_FAILED, problem, now) for sid, problem in report.failures.items()])
+
+    def _log(self, rows: list[tuple]) -> None:
         if rows:
             self.store.append_log(small_table(self.spark, rows, schemas.SEGMENT_LOG))
 
     def refreshed_segments(self) -> DataFrame:
-        """Definitions with the count and time of their latest refresh."""
-        newest = {"customer_count", "last_refreshed"}
-        columns = [
-            f"coalesce(s.{name}, d.{name}) AS {name}" if name in newest else f"d.{name}" for name in self.segments.columns
-        ]
-        known = self.segments.alias("d").join(self.store.status().alias("s"), F.expr("s.segment_id = d.segment_id"), "left")
-        return known.selectExpr(*columns)
+        """The same as ``segments``."""
+        return self.segments
 
     # -- incremental refresh ---------------------------------------------------
 
@@ -170,7 +196,7 @@ class SegmentEngine:
         """
         if batch is not None and self.store.applied(batch):
             return None
-        rules = active_rules(self.segments, self.registry, "realtime")
+        rules = active_rules(self._defined, self.registry, "realtime")
         for segment_id, problem in rules.failures.items():
             log.error("segment %s not evaluated: %s", segment_id, problem)
         if not rules.rules:
@@ -200,6 +226,12 @@ class SegmentEngine:
         rows = self.members().join(pairs, membership.KEYS, "left_semi").select(*membership.KEYS)
         return self._change_by_hand(rows.withColumn("assigned", F.lit(False)), now, batch)
 
+    def forget_customers(self, people: DataFrame, now: dt.datetime, batch: str | None = None) -> int:
+        """Remove deleted customers (``customer_id``) from every segment; how many memberships that were."""
+        gone = people.select("customer_id").where("customer_id IS NOT NULL").distinct()
+        rows = self.members().join(gone, "customer_id", "left_semi").select(*membership.KEYS)
+        return self._change_by_hand(rows.withColumn("assigned", F.lit(False)), now, batch)
+
     def _change_by_hand(self, delta: DataFrame, now: dt.datetime, batch: str | None) -> int:
         seq = self.store.change(delta, now, batch)
         if seq is None:
@@ -221,7 +253,7 @@ class SegmentEngine:
 
     def matches(self, now: dt.datetime, *segment_ids: int) -> DataFrame:
         """(segment_id, customer_id) of the active segments, all or some."""
-        chosen = self.segments.where(F.col("segment_id").isin(*segment_ids)) if segment_ids else self.segments
+        chosen = self._defined.where(F.col("segment_id").isin(*segment_ids)) if segment_ids else self._defined
         return matches(self.shop, active_rules(chosen, self.registry), now, self.registry)
 
     def match_check(self, pairs: DataFrame, now: dt.datetime) -> DataFrame:
@@ -231,7 +263,7 @@ class SegmentEngine:
         and segments asked for are evaluated.
         """
         asked = pairs.select(*membership.KEYS).distinct()
-        wanted = self.segments.join(asked.select("segment_id").distinct(), "segment_id", "left_semi")
+        wanted = self._defined.join(asked.select("segment_id").distinct(), "segment_id", "left_semi")
         shop, _, _ = self._shop_of(asked)
         found = matches(shop, active_rules(wanted, self.registry), now, self.registry)
         return lookup.membership_check(asked, found).withColumnRenamed("in_segment", "matches")
@@ -260,9 +292,12 @@ class SegmentEngine:
     def members(self) -> DataFrame:
         return self.store.members()
 
-    def customer_segments(self) -> DataFrame:
-        """customer_id, segment_id, name, description of every membership."""
-        return lookup.customer_segments(self.members(), self.segments)
+    def customer_segments(self, people: DataFrame | None = None) -> DataFrame:
+        """customer_id, segment_id, name, description of every membership, or of those of some customers."""
+        members = self.members()
+        if people is not None:
+            members = members.join(people.select("customer_id").distinct(), "customer_id", "left_semi")
+        return lookup.customer_segments(members, self._defined)
 
     def customers(self, segment_id: int, page: int = 1, size: int = 20) -> lifecycle.Page:
         """One page of a segment's members."""
@@ -270,7 +305,7 @@ class SegmentEngine:
 
     def export(self, segment_id: int, path: str, kind: str, safe_csv: bool = False) -> None:
         """Write a segment's members to ``path``; an unknown segment is an error."""
-        if self.segments.where(F.col("segment_id") == segment_id).isEmpty():
+        if self._defined.where(F.col("segment_id") == segment_id).isEmpty():
             raise LookupError(f"no segment {segment_id}")
         write_members(lookup.export_members(self.shop, self.members(), segment_id), path, kind, safe_csv)
 

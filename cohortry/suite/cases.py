@@ -305,5 +305,17 @@ RULES: dict[str, list[tuple[object, str]]] = {
         (group("all"), "true"),
         (group("all", leaf("Customer.gender", "==", "1"), group("any")), "gender = 1"),
     ],
+    "rule_keyed": [
+        (
+            {
+                "aggregator": "any",
+                "conditions": {
+                    "1": leaf("Customer.gender", "==", "1"),
+                    "1--1": {"type": "Combine", "conditions": {"7": leaf("Customer.group_id", "==", "2"), "x": leaf("Customer.gender", "!=", "2")}},
+                },
+            },
+            "gender = 1 OR (group_id = 2 AND gender <> 2)",
+        ),
+    ],
     "rule_missing": [(None, "false"), ("", "false"), ("{not json", "false"), ("[]", "true")],
 }

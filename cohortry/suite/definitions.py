@@ -17,6 +17,8 @@ BEFORE = "2000-01-01 00:00:00"  # the earlier state membership deltas start from
 EARLIER = dt.datetime(2024, 1, 1)  # when that earlier state was assigned
 TICK = dt.datetime(2024, 1, 15, 12, 35)
 
+JUST_REFRESHED = (4, 6, 7, 9, 16, 17)
+
 ALL, ANY = "all", "any"
 
 # (id, name, active, refresh mode, schedule, rule document or raw text)

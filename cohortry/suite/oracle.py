@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .cases import CASES, RULES
+from .definitions import DEFINITIONS, JUST_REFRESHED
 
 NOW, EARLIER, BEFORE = "TIMESTAMP '2024-01-31'", "TIMESTAMP '2024-01-01'", "TIMESTAMP '2000-01-01'"
 
+_MODES = ", ".join(f"({number}, {active}, '{mode}')" for number, _, active, mode, _, _ in DEFINITIONS)
+
 # The shop's tables over the star-schema files.
 TABLES = """
 cust AS (
@@ -255,12 +258,27 @@ WHERE parent_item_id IS NULL AND contains(lower(sku), 'brand#1') GROUP BY 1, 2""
             _now_members([1, 4, 18]),
             f"""SELECT CAST(i AS INTEGER) AS segment_id, 'saved' AS action, n AS details, {EARLIER} AS created_at
 FROM (VALUES (1, 'Gold'), (4, 'Revenue'), (17, 'Unknown leaf'), (18, 'Nobody')) AS s(i, n)
-UNION ALL SELECT CAST(i AS INTEGER), 'refresh_before', NULL, {NOW} FROM (VALUES (1), (4), (18)) AS s(i)
+UNION ALL SELECT CAST(i AS INTEGER), 'refresh_before', NULL, {NOW} FROM (VALUES (1), (4), (17), (18)) AS s(i)
 UNION ALL SELECT CAST(i AS INTEGER), 'refresh_after',
   'assigned_count=' || CAST((SELECT count(*) FROM m WHERE segment_id = i) AS VARCHAR), {NOW} FROM (VALUES (1), (4), (18)) AS s(i)
 UNION ALL SELECT 17, 'refresh_failed', 'unknown condition Weather.rain', {NOW}
 UNION ALL SELECT DISTINCT 18, 'assigned', 'customer_id=' || CAST(user_id AS VARCHAR), {NOW} FROM ev WHERE user_id > 0""",
         ),
+        "stale_after_refresh": f"""WITH d(segment_id, is_active, refresh_mode) AS (VALUES {_MODES}),
+r AS (SELECT *, CASE WHEN NOT is_active OR segment_id = 17 THEN NULL WHEN segment_id IN {JUST_REFRESHED} THEN {NOW} ELSE {EARLIER} END AS last_refreshed FROM d)
+SELECT CAST(segment_id AS INTEGER) AS segment_id, refresh_mode, last_refreshed FROM r
+WHERE is_active AND (refresh_mode = 'cron' OR (refresh_mode = 'realtime' AND (last_refreshed IS NULL OR last_refreshed < TIMESTAMP '2024-01-30 23:00:00')))""",
+        "list_after_refresh": _with(
+            _now_members(),
+            f"""c AS (SELECT CAST(segment_id AS INTEGER) AS segment_id, 'Active' AS status_label,
+  (SELECT count(*) FROM m WHERE m.segment_id = d.segment_id) AS customer_count,
+  CASE WHEN segment_id <> 17 THEN {NOW} END AS last_refreshed
+  FROM (VALUES {_MODES}) AS d(segment_id, is_active, refresh_mode) WHERE is_active)""",
+            """SELECT *, (SELECT count(*) FROM c) AS total FROM c ORDER BY customer_count DESC, segment_id LIMIT 10""",
+        ),
+        "forget_stored": _with(
+            _now_members(), f"SELECT segment_id, customer_id, {NOW} AS assigned_at FROM m JOIN cust USING (customer_id) WHERE group_id IS DISTINCT FROM 3"
+        ),
         "refresh_status": _with(
             _now_members(),
             f"""SELECT CAST(i AS INTEGER) AS segment_id, i <> 16 AS is_active,

@@ -218,6 +218,30 @@ def refresh_status(spark: SparkSession, folder: str) -> DataFrame:
     return engine.refreshed_segments().select("segment_id", "is_active", "customer_count", "last_refreshed")
 
 
+def stale_after_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """What is stale when all was refreshed earlier and some just now."""
+    engine = _engine(spark, folder)
+    engine.refresh_all(defs.EARLIER)
+    engine.mass_refresh(defs.JUST_REFRESHED, NOW)
+    return engine.stale(NOW).select("segment_id", "refresh_mode", "last_refreshed")
+
+
+def list_after_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    engine = _engine(spark, folder)
+    engine.refresh_all(NOW)
+    found = engine.list_segments(lifecycle.SegmentFilter(is_active=True), "customer_count", size=10, descending=True)
+    rows = found.rows.select("segment_id", "status_label", "customer_count", "last_refreshed")
+    return rows.withColumn("total", F.lit(found.total).cast("bigint"))
+
+
+def forget_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored memberships left after customers were deleted."""
+    engine = _engine(spark, folder)
+    engine.refresh_all(NOW)
+    engine.forget_customers(scans.population(engine.shop.customer).where("group_id = 3"), NOW)
+    return engine.members()
+
+
 def segment_growth(spark: SparkSession, folder: str) -> DataFrame:
     _, engine = _earlier(spark, folder)
     engine.refresh_all(NOW)
@@ -481,7 +505,8 @@ def queries() -> dict[str, Query]:
         export_csv, export_xml,
         feature_table, agg_order_summary, agg_having, agg_purchased_items, agg_distinct_products,
         agg_segment_counts, cart_latest, cart_matching_items,
-        refresh_segment, refresh_all, mass_refresh, refresh_log, refresh_status, segment_growth, match_check, validate_batch,
+        refresh_segment, refresh_all, mass_refresh, refresh_log, refresh_status,
+        stale_after_refresh, list_after_refresh, forget_stored, segment_growth, match_check, validate_batch,
         custom_condition,
         delta_added, delta_removed, assign_customers, remove_customers, assign_stored,
         customer_segments, customer_segment_ids, membership_check, export_members, matched_customers,
