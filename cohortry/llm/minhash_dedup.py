@@ -6,7 +6,8 @@
    them (all but one pair in a million), so after ordering the pairs from rare to frequent, the first
    ``COORDINATES - threshold + 1`` suffice: that is the prefix. The longest lists are thus skipped; what they would
    have added is counted by comparing signatures.
-3. Each list first links its members to its smallest one only. Linked classes form components, and only lists that
+3. Each list first pairs its members with its smallest one only; pairs that agree in ``threshold`` coordinates and are
+   confirmed are links. Linked classes form components, and only lists that
    still hold several are compared further: in cells of bounded size, a pair that collides in at least ``threshold``
    coordinates is a candidate, in the first list that both share.
 4. Candidates are confirmed on the whole shingle sets of their texts, cell by cell.
@@ -29,11 +30,12 @@ from cohortry.llm.components import components
 from cohortry.llm.text import mixed, rows_by, slices, word_hashes
 from cohortry.session import written
 
-COORDINATES = 96
+COORDINATES = 64
 MISSED = 1e-6
 CELL_ROWS = 500
+BROADCAST_IDS = 500_000
 FREQUENT_TOKENS = 1 << 20
-FREQUENT_FROM = 4
+FREQUENT_FROM = 2
 
 
 @cache
@@ -254,6 +256,33 @@ def _confirmed(words: int, per_cent: int):
     return confirm
 
 
+def _colliding(similarity: float):
+    threshold = match_threshold(similarity)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                equal = (_stacked(batch.column(2)) == _stacked(batch.column(3))).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(equal >= threshold))
+
+    return count
+
+
+def colliding(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough coordinates."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    named = [classes.select(F.col("node").alias(x), F.col("signature").alias(f"signature_{x}")) for x in "ab"]
+    rows = pairs.join(named[0], "a").join(named[1], "b").select("a", "b", "signature_a", "signature_b")
+    return rows.mapInArrow(_colliding(similarity), f"a {kind}, b {kind}")
+
+
+def texts_of(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, text of the documents in the pairs. Their ids are broadcast only if they are few; else both sides shuffle."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "suspects")
+    few = ids.count() <= BROADCAST_IDS
+    return written(documents.join(F.broadcast(ids) if few else ids, "node", "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, per_cent: int) -> DataFrame:
     """a, b: links that connect, within each cell (three columns), what the pairs of sufficient similarity connect."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -283,19 +312,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, per_cent: int = 80, do
     classes = written(classes.select("f1", "f2", F.col("one.doc_id").alias("node"), F.col("one.signature").alias("signature")), "classes")
     frequent = spark.sparkContext.broadcast(frequencies(classes))
 
-    posted = written(postings(classes, frequent, similarity), "postings")
+    posted = postings(classes, frequent, similarity)
     lists = posted.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    posted = written(posted.join(written(lists, "lists"), "token"), "shared-postings")
+    posted = written(posted.join(written(lists, "lists"), "token"), "postings")
     named = rows_by(documents, (doc_id, "node"), (text, "text")).where("node is not null")
-    texts = written(named.join(written(posted.select("node").distinct(), "suspects"), "node", "left_semi"), "texts")
 
-    pairs = posted.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(pairs, "star-pairs")
+    pairs = written(posted.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+    pairs = written(colliding(pairs, classes, similarity), "star-candidates")
     crowded = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("cells")).where("cells > 1")
-    pairs = pairs.join(written(crowded, "crowded"), "a", "left")
+    cells = pairs.join(written(crowded, "crowded"), "a", "left")
     part = F.pmod(F.xxhash64("b"), F.coalesce("cells", F.lit(1).cast("long"))).alias("part")
-    pairs = pairs.select(F.col("a").alias("hub"), part, F.lit(0).alias("star"), "a", "b")
-    links = written(confirmed(pairs, texts, words, per_cent), "links")
+    cells = cells.select(F.col("a").alias("hub"), part, F.lit(0).alias("star"), "a", "b")
+    links = written(confirmed(cells, texts_of(pairs, named), words, per_cent), "links")
     found = written(components(links), "components")
 
     whole = posted.join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -312,7 +340,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, per_cent: int = 80, do
     kind = classes.schema["node"].dataType.simpleString()
     cells = cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
     more = written(cells.mapInArrow(_candidates(frequent, similarity), f"token long, low long, high long, a {kind}, b {kind}"), "candidates")
-    links = links.unionByName(confirmed(more, texts, words, per_cent))
+    links = links.unionByName(confirmed(more, texts_of(more, named), words, per_cent))
     final = written(components(links), "components")
 
     named_classes = classes.join(final, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
