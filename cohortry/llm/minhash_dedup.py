@@ -8,9 +8,10 @@
    have added is counted by comparing signatures.
 3. Each list first pairs its members with its smallest one only; pairs that agree in ``threshold`` coordinates and are
    confirmed are links. Linked classes form components, and only lists that
-   still hold several are compared further: in cells of bounded size, a pair that collides in at least ``threshold``
+   still hold several are compared further, in cells of bounded size: a pair that collides in at least ``threshold``
    coordinates is a candidate, in the first list that both share.
-4. Candidates are confirmed on the whole shingle sets of their texts, cell by cell.
+4. Rows in some candidate pair are joined to their texts, and the pairs confirmed on the whole shingle sets inside the
+   cell; only links leave it, never pairs.
 
 Groups of copies thus cost a few links per member instead of all pairs, and no list is held in one task.
 """
@@ -189,69 +190,118 @@ def _by_cell(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[
         yield key, held
 
 
-def _candidates(frequent: Broadcast, similarity: float):
+def _cell_pairs(cell: tuple, rows: list[list], frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the cell of pairs from different components that collide often enough, and not in an earlier list."""
+    (token, low, high), (block, _, component, signature) = cell, rows[:4]
     threshold, length = match_threshold(similarity), _prefix_length(similarity)
+    values = np.frombuffer(b"".join(signature), "<u4").reshape(-1, COORDINATES)
+    in_prefix = np.zeros(values.shape, bool)
+    np.put_along_axis(in_prefix, _ordered(values, frequent)[1][:, :length], True, 1)
+    block, at = np.array(block), token & 127
+    _, component = np.unique(np.array(component), return_inverse=True)
+    # the largest component needs no comparison within itself: the others come first and are compared with all that follow
+    rank = np.argsort(component == np.bincount(component).argmax(), kind="stable")
+    others = int((component != np.bincount(component).argmax()).sum())
+    block, component, values, in_prefix = block[rank], component[rank], values[rank], in_prefix[rank]
+    left, right = [], []
+    for i in range(others):
+        rest = np.flatnonzero((component[i + 1 :] != component[i]) & ((block[i + 1 :] != block[i]) | (low == high))) + i + 1
+        equal = values[rest] == values[i]
+        keep = equal.sum(axis=1) >= threshold
+        both = equal[keep] & in_prefix[rest[keep]] & in_prefix[i]
+        rest = rest[keep][both.argmax(axis=1) == at]
+        left.append(np.full(len(rest), i))
+        right.append(rest)
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return rank[np.concatenate(left)], rank[np.concatenate(right)]
+
+
+def _involved(frequent: Broadcast, similarity: float, kind: pa.DataType):
+    """The rows of a cell that are in some pair."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, low, high), (block, node, component, signature) in _by_cell(batches, 3):
-            values = np.frombuffer(b"".join(signature), "<u4").reshape(-1, COORDINATES)
-            order = _ordered(values, frequent.value)[1][:, :length]
-            in_prefix = np.zeros(values.shape, bool)
-            np.put_along_axis(in_prefix, order, True, 1)
-            block, at = np.array(block), token & 127
-            _, component = np.unique(np.array(component), return_inverse=True)
-            # the largest component needs no comparison within itself: the others are compared with all
-            largest = np.bincount(component).argmax()
-            a, b = [], []
-            rank = np.lexsort((np.arange(len(block)), component == largest))
-            block, component, values, in_prefix = block[rank], component[rank], values[rank], in_prefix[rank]
-            for i in range(int((component != largest).sum())):
-                rest = np.flatnonzero((component[i + 1 :] != component[i]) & ((block[i + 1 :] != block[i]) | (low == high))) + i + 1
-                equal = values[rest] == values[i]
-                keep = equal.sum(axis=1) >= threshold
-                both = equal[keep] & in_prefix[rest[keep]] & in_prefix[i]
-                rest = rest[keep][both.argmax(axis=1) == at]
-                a += [node[rank[i]]] * len(rest)
-                b += [node[rank[j]] for j in rest]
-            if a:
-                same = len(a)
-                yield pa.RecordBatch.from_pydict({"token": [token] * same, "low": [low] * same, "high": [high] * same, "a": a, "b": b})
+        for cell, rows in _by_cell(batches, 3):
+            chosen = np.unique(np.concatenate(_cell_pairs(cell, rows, frequent.value, similarity))).tolist()
+            if chosen:
+                kinds = [pa.int64(), kind, kind, pa.binary()]
+                columns = [pa.array([x] * len(chosen), pa.int64()) for x in cell]
+                columns += [pa.array([values[i] for i in chosen], t) for values, t in zip(rows, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "low", "high", "block", "node", "component", "signature"])
 
     return find
 
 
-def _confirmed(words: int, per_cent: int):
+class _Groups:
+    """What is connected so far."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def top(self, x):
+        while (y := self.above.get(x, x)) != x:
+            x = y
+        return x
+
+    def join(self, x, y) -> None:
+        self.above[self.top(y)] = self.top(x)
+
+
+def _alike(s: np.ndarray, t: np.ndarray, per_cent: int) -> bool:
+    if 100 * min(len(s), len(t)) < per_cent * max(len(s), len(t)):
+        return False
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return common > 0 and 100 * common >= per_cent * (len(s) + len(t) - common)
+
+
+def _links(pairs: Iterator[tuple], sets: dict, per_cent: int, groups: _Groups) -> tuple[list, list]:
+    """Of the pairs, those that hold on the full sets; a pair that is connected already is not looked at."""
+    found_a, found_b = [], []
+    for x, y in pairs:
+        if x in sets and y in sets and groups.top(x) != groups.top(y) and any(_alike(s, t, per_cent) for s in sets[x] for t in sets[y]):
+            groups.join(x, y)
+            found_a.append(x)
+            found_b.append(y)
+    return found_a, found_b
+
+
+def _sets_of(nodes: list, texts: list[str], words: int) -> dict:
+    """Shingle sets by node; several where an id has several rows."""
+    shingles, sizes = shingle_sets([x.encode() for x in texts], words)
+    ends, sets = np.cumsum(sizes), {}
+    for node, end, n in zip(nodes, ends, sizes):
+        sets.setdefault(node, []).append(shingles[end - n : end])
+    return sets
+
+
+def _linked(frequent: Broadcast, similarity: float, words: int, per_cent: int, kind: pa.DataType):
+    """Links of a cell whose rows carry their texts."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, rows in _by_cell(batches, 3):
+            node, component, texts = rows[1], rows[2], rows[4]
+            sets = _sets_of(node, texts, words)
+            groups = _Groups()
+            for n, c in zip(node, component):
+                if groups.top(n) != groups.top(("component", c)):
+                    groups.join(("component", c), n)
+            # an id with several rows stands in the cell several times
+            pairs = dict.fromkeys((node[i], node[j]) for i, j in zip(*_cell_pairs(cell, rows, frequent.value, similarity)))
+            a, b = _links(pairs, sets, per_cent, groups)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+    return link
+
+
+def _confirmed(words: int, per_cent: int, kind: pa.DataType):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (a, b, text) in _by_cell(batches, 3):
             known = [i for i, x in enumerate(text) if x is not None]
-            shingles, sizes = shingle_sets([text[i].encode() for i in known], words)
-            ends = np.cumsum(sizes)
-            sets: dict = {}
-            for i, end, n in zip(known, ends, sizes):
-                sets.setdefault(a[i], []).append(shingles[end - n : end])
-            root = {node: node for node in sets}
-
-            def top(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            found_a, found_b = [], []
-            for x, y in ((a[i], b[i]) for i in range(len(a)) if text[i] is None):
-                if x not in sets or y not in sets or top(x) == top(y):
-                    continue
-                for s in sets[x]:
-                    for t in sets[y]:
-                        if 100 * min(len(s), len(t)) < per_cent * max(len(s), len(t)):
-                            continue
-                        common = len(s) + len(t) - len(np.union1d(s, t))
-                        if common and 100 * common >= per_cent * (len(s) + len(t) - common) and top(x) != top(y):
-                            root[top(y)] = top(x)
-                            found_a.append(x)
-                            found_b.append(y)
-            if found_a:
-                yield pa.RecordBatch.from_pydict({"a": found_a, "b": found_b})
+            sets = _sets_of([a[i] for i in known], [text[i] for i in known], words)
+            a, b = _links(((a[i], b[i]) for i in range(len(a)) if text[i] is None), sets, per_cent, _Groups())
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
     return confirm
 
@@ -276,21 +326,25 @@ def colliding(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     return rows.mapInArrow(_colliding(similarity), f"a {kind}, b {kind}")
 
 
-def texts_of(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """node, text of the documents in the pairs. Their ids are broadcast only if they are few; else both sides shuffle."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "suspects")
+def texts_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """node, text of some documents. Their ids are broadcast only if they are few; else both sides shuffle."""
+    ids = written(nodes.distinct(), "suspects")
     few = ids.count() <= BROADCAST_IDS
     return written(documents.join(F.broadcast(ids) if few else ids, "node", "left_semi"), "texts")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, per_cent: int) -> DataFrame:
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def confirmed(pairs: DataFrame, documents: DataFrame, words: int, per_cent: int) -> DataFrame:
     """a, b: links that connect, within each cell (three columns), what the pairs of sufficient similarity connect."""
     kind = pairs.schema["a"].dataType.simpleString()
     cell = pairs.columns[:3]
-    nodes = pairs.select(*cell, F.col("a").alias("node")).unionByName(pairs.select(*cell, F.col("b").alias("node"))).distinct()
-    held = nodes.join(texts, "node").select(*cell, F.col("node").alias("a"), F.col("node").alias("b"), "text")
+    nodes = pairs.select(*cell, F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = nodes.join(texts_of(nodes.select("node"), documents), "node").select(*cell, F.col("node").alias("a"), F.col("node").alias("b"), "text")
     rows = held.unionByName(pairs.select(*cell, "a", "b", F.lit(None).cast("string").alias("text")))
-    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_confirmed(words, per_cent), f"a {kind}, b {kind}")
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_confirmed(words, per_cent, _arrow(kind)), f"a {kind}, b {kind}")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, per_cent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,7 +377,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, per_cent: int = 80, do
     cells = pairs.join(written(crowded, "crowded"), "a", "left")
     part = F.pmod(F.xxhash64("b"), F.coalesce("cells", F.lit(1).cast("long"))).alias("part")
     cells = cells.select(F.col("a").alias("hub"), part, F.lit(0).alias("star"), "a", "b")
-    links = written(confirmed(cells, texts_of(pairs, named), words, per_cent), "links")
+    links = written(confirmed(cells, named, words, per_cent), "links")
     found = written(components(links), "components")
 
     whole = posted.join(found, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
@@ -338,9 +392,14 @@ def near_duplicates(documents: DataFrame, words: int = 5, per_cent: int = 80, do
         .select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "signature")
     )
     kind = classes.schema["node"].dataType.simpleString()
-    cells = cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "node")
-    more = written(cells.mapInArrow(_candidates(frequent, similarity), f"token long, low long, high long, a {kind}, b {kind}"), "candidates")
-    links = links.unionByName(confirmed(more, texts_of(more, named), words, per_cent))
+    cell = ("token", "low", "high")
+    dealt = cells.repartition(*cell).sortWithinPartitions(*cell, "node")
+    schema = f"token long, low long, high long, block long, node {kind}, component {kind}, signature binary"
+    involved = written(dealt.mapInArrow(_involved(frequent, similarity, _arrow(kind)), schema), "involved")
+    held = involved.join(texts_of(involved.select("node"), named), "node").select(*involved.columns, "text")
+    dealt = held.repartition(*cell).sortWithinPartitions(*cell, "node")
+    more = dealt.mapInArrow(_linked(frequent, similarity, words, per_cent, _arrow(kind)), f"a {kind}, b {kind}")
+    links = links.unionByName(written(more, "more-links"))
     final = written(components(links), "components")
 
     named_classes = classes.join(final, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
