@@ -1,6 +1,6 @@
 """Stored segment definitions.
 
-Every save or delete appends the rows it concerns as ``segments/seq=N``, one file; the
+Every save or delete appends the rows it concerns as ``segments/seq=N``; the
 current definition of a segment is its latest row. Definitions are written by people,
 so this table stays small whatever the size of the data.
 """
@@ -56,5 +56,6 @@ class DefinitionStore:
         return sorted(row.segment_id for row in written.collect())
 
     def _append(self, rows: DataFrame, seq: int, deleted: bool) -> None:
-        one_file = rows.withColumn("deleted", F.lit(deleted)).coalesce(1)
-        one_file.write.mode("overwrite").parquet(f"{self.root}/segments/seq={seq}")
+        # AQE makes one file of the usual few rows, and several of very many
+        marked = rows.withColumn("deleted", F.lit(deleted)).hint("rebalance")
+        marked.write.mode("overwrite").parquet(f"{self.root}/segments/seq={seq}")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.joins import lookup_join
 from ..plans.refresh import SegmentEngine
+from ..session import written
 
 Engines = Callable[[], SegmentEngine]
 Clock = Callable[[], dt.datetime]
@@ -92,17 +93,14 @@ def login_lookup(events: DataFrame, members: Callable[[], DataFrame], sink: str,
     """
 
     def handle(batch: DataFrame, name: str) -> None:
-        batch = batch.persist()
-        try:
-            present = batch.select("customer_id").where("customer_id IS NOT NULL").distinct()
-            rows = present.count()
-            held = lookup_join(members(), present, "customer_id", rows, "left_semi")
-            counts = held.groupBy("customer_id").agg(F.expr("count(*) AS segment_count"))
-            found = lookup_join(batch, counts, "customer_id", rows, "left")
-            found = found.withColumn("segment_count", F.expr("coalesce(segment_count, 0)"))
-            found.write.mode("overwrite").parquet(f"{sink}/batch={name}")
-        finally:
-            batch.unpersist()
+        batch = written(batch, "logins")
+        present = batch.select("customer_id").where("customer_id IS NOT NULL").distinct()
+        rows = present.count()
+        held = lookup_join(members(), present, "customer_id", rows, "left_semi")
+        counts = held.groupBy("customer_id").agg(F.expr("count(*) AS segment_count"))
+        found = lookup_join(batch, counts, "customer_id", rows, "left")
+        found = found.withColumn("segment_count", F.expr("coalesce(segment_count, 0)"))
+        found.write.mode("overwrite").parquet(f"{sink}/batch={name}")
 
     return _each_batch(events, handle, "login_lookup", checkpoint)
 
