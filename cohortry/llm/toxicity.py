@@ -18,10 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cohortry.llm.text import rows_by, slices, subwords
+from cohortry.session import written
 
 BITS = 18
 LENGTHS = (4, 6)
@@ -58,13 +60,30 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def encoded(rows: DataFrame) -> DataFrame:
-    """role, buckets, counts, words of rows with role and text."""
+def bucket_counts(rows: DataFrame) -> DataFrame:
+    """role, bucket, n: how many of the texts of a role hold the bucket; at most one row for each bucket and role."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            buckets, owners, _ = subwords(texts, LENGTHS, BITS)
+            held = np.unique(owners.astype(np.int64) << BITS | buckets)
+            role = np.array(part.column(0).to_pylist(), object)[held >> BITS]
+            for name in set(role):
+                found, n = np.unique(held[role == name] & (1 << BITS) - 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(found.astype(np.int32)), pa.array(n)], ["role", "bucket", "n"])
+
+    return rows.select("role", "text").mapInArrow(count, "role string, bucket int, n long").groupBy("role", "bucket").agg(F.sum("n").alias("n"))
+
+
+def encoded(rows: DataFrame, telling: np.ndarray) -> DataFrame:
+    """role, buckets, counts, words of rows with role and text; only buckets that tell something."""
+    shared = rows.sparkSession.sparkContext.broadcast(telling)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             buckets, owners, words = subwords(texts, LENGTHS, BITS)
-            keys, counts = np.unique(owners.astype(np.int64) << BITS | buckets, return_counts=True)
+            held = shared.value[buckets]
+            keys, counts = np.unique(owners[held].astype(np.int64) << BITS | buckets[held], return_counts=True)
             bounds = np.searchsorted(keys, np.arange(len(texts) + 1, dtype=np.int64) << BITS)
             ids, counts = (keys & (1 << BITS) - 1).astype("<i4"), counts.astype("<f4")
             yield pa.RecordBatch.from_arrays(
@@ -88,12 +107,8 @@ class _Texts:
     bounds: np.ndarray
 
     @classmethod
-    def of(cls, rows: list, telling: np.ndarray) -> _Texts:
-        parts = []
-        for r in rows:
-            buckets = np.frombuffer(r.buckets, "<i4")
-            held = telling[buckets]
-            parts.append((buckets[held], _value(np.frombuffer(r.counts, "<f4")[held], np.float64(r.words))))
+    def of(cls, rows: list) -> _Texts:
+        parts = [(np.frombuffer(r.buckets, "<i4"), _value(np.frombuffer(r.counts, "<f4"), np.float64(r.words))) for r in rows]
         empty = [np.zeros(0)]
         return cls(
             np.concatenate([b for b, _ in parts] or empty).astype(np.int64),
@@ -120,13 +135,15 @@ class _Texts:
         return np.bincount(self.buckets, of_text[self.owners()] * self.values, 1 << BITS)
 
 
-def telling_buckets(positive: list, unlabelled: list) -> np.ndarray:
-    """Buckets that clearly more positive texts hold than unlabelled ones: all others would only fit noise."""
-    held = [sum((np.bincount(np.frombuffer(r.buckets, "<i4"), minlength=1 << BITS) for r in rows), np.zeros(1 << BITS, np.int64)) for rows in (positive, unlabelled)]
-    n = [max(1, len(positive)), max(1, len(unlabelled))]
-    rate = (held[0] + held[1] + 1) / (n[0] + n[1] + 2)
-    distance = (held[0] / n[0] - held[1] / n[1]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
-    return (distance >= CLEAR) & (held[0] >= 3)
+def telling_buckets(positive: np.ndarray, unlabelled: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
+    """Buckets that clearly more positive texts hold than unlabelled ones: all others would only fit noise.
+
+    By bucket how many texts of either kind hold it, and how many texts there are of either kind.
+    """
+    n = [max(1, x) for x in texts]
+    rate = (positive + unlabelled + 1) / (n[0] + n[1] + 2)
+    distance = (positive / n[0] - unlabelled / n[1]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
+    return (distance >= CLEAR) & (positive >= 3)
 
 
 def non_negative_fit(positive: _Texts, unlabelled: _Texts, prior: float, seed: int = 0, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
@@ -199,21 +216,28 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, do
         .unionByName(first(known.where("toxic <> 1").where(spare), "clean", MOST_CALIBRATION))
     ).distinct()
     # at most the four bounds' sum of ids
-    sample = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id", "role"])
+    sample = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id", "role"]).select("role", "text")
+    sample = written(sample, "toxicity-sample")
+    texts = {r.role: r["count"] for r in sample.groupBy("role").count().collect()}
+    first_role = "positive" if texts.get("positive") else "toxic"  # few: all are spare
+    other_role = "unlabelled" if texts.get("unlabelled") else first_role
+    if not texts.get(first_role):
+        return None
+    held = {role: np.zeros(1 << BITS) for role in (first_role, other_role)}
+    table = bucket_counts(sample.where(F.col("role").isin(first_role, other_role))).toArrow()
+    for role in held:
+        own = table.filter(pc.equal(table.column("role"), role))
+        held[role][own.column("bucket").to_numpy()] = own.column("n").to_numpy()
+    telling = telling_buckets(held[first_role], held[other_role], (texts[first_role], texts[other_role]))
     by_role: dict[str, list] = {"positive": [], "unlabelled": [], "toxic": [], "clean": []}
-    for row in encoded(sample).collect():
+    for row in encoded(sample, telling).collect():
         by_role[row.role].append(row)
-    positive = by_role["positive"] or by_role["toxic"]
-    if not positive:
-        return None
-    unlabelled = by_role["unlabelled"] or positive
-    telling = telling_buckets(positive, unlabelled)
-    weights, bias = non_negative_fit(_Texts.of(positive, telling), _Texts.of(unlabelled, telling), prior)
+    weights, bias = non_negative_fit(_Texts.of(by_role[first_role]), _Texts.of(by_role[other_role]), prior)
     weights = weights.astype(np.float32)
     slope, shift = 1.0, bias
     if by_role["toxic"] and by_role["clean"]:
-        held = _Texts.of(by_role["toxic"] + by_role["clean"], telling)
-        slope, shift = curve(held.sums(weights), np.arange(len(held)) < len(by_role["toxic"]))
+        kept_out = _Texts.of(by_role["toxic"] + by_role["clean"])
+        slope, shift = curve(kept_out.sums(weights), np.arange(len(kept_out)) < len(by_role["toxic"]))
     return Model(weights, slope, shift)
 
 
