@@ -178,7 +178,7 @@ class Recent:
 
     ``now`` holds every word of the last call of ``learn``."""
 
-    def __init__(self, function, limit: int = 300_000):
+    def __init__(self, function, limit: int = 200_000):
         self.function, self.limit = function, limit
         self.now: dict = {}
         self.before: dict = {}

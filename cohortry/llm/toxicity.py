@@ -64,7 +64,7 @@ def bucket_counts(rows: DataFrame) -> DataFrame:
     """role, bucket, n: how many of the texts of a role hold the bucket; at most one row for each bucket and role."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", 1 << 20):
             buckets, owners, _ = subwords(texts, LENGTHS, BITS)
             held = np.unique(owners.astype(np.int64) << BITS | buckets)
             role = np.array(part.column(0).to_pylist(), object)[held >> BITS]
@@ -80,7 +80,7 @@ def encoded(rows: DataFrame, telling: np.ndarray) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(telling)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", 1 << 20):
             buckets, owners, words = subwords(texts, LENGTHS, BITS)
             held = shared.value[buckets]
             keys, counts = np.unique(owners[held].astype(np.int64) << BITS | buckets[held], return_counts=True)
@@ -253,7 +253,7 @@ def scored(documents: DataFrame, model: Model | None, text: str = "text", score:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text):
+        for part, texts in slices(batches, text, 1 << 20):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(texts), pa.float64())], [*part.schema.names, score])
 
     rows = rows_by(documents, *((c, c) for c in documents.columns))
