@@ -1,7 +1,8 @@
 """A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, whole-document scores.
 
 Symbols are numbered by falling count; classes are runs of that order with about the same count each, so that a symbol's
-probability costs one softmax over the classes and one over a class's symbols.
+probability costs one softmax over the classes and one over a class's symbols. The large classes of rare symbols are cut
+into shelves, whose number and size grow with the root of the class: one softmax over its shelves and one over a shelf.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-NAMES = ("inputs", "recurrent", "to_class", "class_bias", "to_symbol", "symbol_bias")
+NAMES = ("inputs", "recurrent", "to_class", "class_bias", "to_shelf", "shelf_bias", "to_symbol", "symbol_bias")
+SHELVED_FROM = 256
+SHELF_ROWS = 1 << 13
 
 
 def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -20,30 +23,74 @@ def class_bounds(counts: np.ndarray, classes: int) -> np.ndarray:
     return np.unique(np.concatenate([[0], cuts, [len(counts)]]).clip(0, len(counts)))
 
 
+def shelf_bounds(bounds: np.ndarray, least: int) -> np.ndarray:
+    """First symbol of every shelf, and the end. Classes of fewer than ``least`` symbols are one shelf."""
+    sizes = np.diff(bounds)
+    step = np.where(sizes < least, sizes, np.ceil(np.sqrt(sizes) / 6).astype(np.int64))
+    return np.concatenate([*(np.arange(a, a + n, d) for a, n, d in zip(bounds[:-1], sizes, step)), bounds[-1:]])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + np.float32(0.5)
 
 
+def _softmax(logits: np.ndarray, bias: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of place ``at`` in every row and, if ``n`` is not 0, the gradient of the mean loss of n by logit. Uses up ``logits``."""
+    rows = np.arange(len(at))
+    logits += bias
+    logits -= logits.max(axis=1, keepdims=True)
+    found = logits[rows, at]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    found -= np.log(total)
+    if n:
+        logits *= (1 / (total * np.float32(n)))[:, None]
+        logits[rows, at] -= np.float32(1 / n)
+    return logits, found
+
+
+def _sums(values: np.ndarray, edges: np.ndarray, few: int = 16) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``edges``: what ``np.add.reduceat`` gives, quicker for short runs."""
+    found, sizes = values[edges], np.diff(edges, append=len(values))
+    for k in range(1, few):
+        more = np.flatnonzero((sizes > k) & (sizes <= few))
+        found[more] += values[edges[more] + k]
+    for i in np.flatnonzero(sizes > few):
+        found[i] = values[edges[i] : edges[i] + sizes[i]].sum(axis=0)
+    return found
+
+
 @dataclass
 class GatedModel:
     inputs: np.ndarray  # symbol x 3 width: what a symbol adds to update, reset and candidate
     recurrent: np.ndarray  # width x 3 width
     to_class: np.ndarray
     class_bias: np.ndarray
+    to_shelf: np.ndarray  # shelf x width
+    shelf_bias: np.ndarray
     to_symbol: np.ndarray  # symbol x width
     symbol_bias: np.ndarray
     bounds: np.ndarray
+    shelves: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.first_shelf = np.searchsorted(self.shelves, self.bounds)
+        self.shelf_of = np.repeat(np.arange(len(self.shelves) - 1), np.diff(self.shelves))
 
     @classmethod
-    def new(cls, counts: np.ndarray, width: int = 24, classes: int = 64, seed: int = 0) -> GatedModel:
+    def new(cls, counts: np.ndarray, width: int = 24, classes: int = 64, seed: int = 0, shelved_from: int = SHELVED_FROM) -> GatedModel:
         """Weights that give every symbol the probability of its count."""
         draw, n = np.random.Generator(np.random.PCG64(seed)), len(counts)
         bounds = class_bounds(counts, classes)
         normal = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
-        mass = np.add.reduceat(counts, bounds[:-1])
+        shelves = shelf_bounds(bounds, shelved_from)
+        mass, held = np.add.reduceat(counts, bounds[:-1]), np.add.reduceat(counts, shelves[:-1])
+        of_shelf = mass[np.searchsorted(bounds, shelves[:-1], "right") - 1]
+        zeros = lambda *shape: np.zeros(shape, np.float32)
         return cls(
-            normal(n, 3 * width), normal(width, 3 * width), normal(width, len(bounds) - 1) * 0, np.log(mass / mass.sum()).astype(np.float32),
-            normal(n, width) * 0, np.log(counts / np.repeat(mass, np.diff(bounds))).astype(np.float32), bounds,
+            normal(n, 3 * width), normal(width, 3 * width), zeros(width, len(bounds) - 1), np.log(mass / mass.sum()).astype(np.float32),
+            zeros(len(held), width), np.log(held / of_shelf).astype(np.float32),
+            zeros(n, width), np.log(counts / np.repeat(held, np.diff(shelves))).astype(np.float32), bounds, shelves,
         )
 
     @property
@@ -59,7 +106,7 @@ class GatedModel:
             old = getattr(self, name)
             parts.append(flat[at : at + old.size].reshape(old.shape).astype(np.float32))
             at += old.size
-        return GatedModel(*parts, self.bounds)
+        return GatedModel(*parts, self.bounds, self.shelves)
 
     def _class_of(self, symbols: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, symbols, "right") - 1
@@ -75,41 +122,57 @@ class GatedModel:
     def log_probabilities(self, states: np.ndarray, symbols: np.ndarray, back: dict | None = None) -> np.ndarray:
         """Natural log probability of each symbol after its state. ``back`` receives the gradients of the mean loss."""
         n = len(symbols)
-        logits = states @ self.to_class + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        chances = np.exp(logits)
-        total = chances.sum(axis=1)
-        own = self._class_of(symbols)
-        found = logits[np.arange(n), own] - np.log(total)
+        own, shelf, first_shelf = self._class_of(symbols), self.shelf_of[symbols], self.first_shelf
+        chances, found = _softmax(states @ self.to_class, self.class_bias, own, n if back is not None else 0)
         if back is not None:
-            chances /= total[:, None]
-            chances[np.arange(n), own] -= 1
-            chances /= n
             back["to_class"], back["class_bias"] = states.T @ chances, chances.sum(axis=0)
             back["states"] = chances @ self.to_class.T
-            back["to_symbol"], back["symbol_bias"] = np.zeros_like(self.to_symbol), np.zeros_like(self.symbol_bias)
+            for name in ("to_shelf", "shelf_bias", "to_symbol", "symbol_bias"):
+                back[name] = np.zeros_like(getattr(self, name))
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(edges)):
             rows, low, high = order[edges[c] : edges[c + 1]], self.bounds[c], self.bounds[c + 1]
             if high - low == 1:
                 continue
+            names, at, span = ("to_symbol", "symbol_bias"), symbols, slice(low, high)
+            if first_shelf[c + 1] - first_shelf[c] > 1:
+                names, at, span = ("to_shelf", "shelf_bias"), shelf, slice(first_shelf[c], first_shelf[c + 1])
+            weights, bias = (getattr(self, name)[span] for name in names)
             held = states[rows]
-            logits = held @ self.to_symbol[low:high].T + self.symbol_bias[low:high]
-            logits -= logits.max(axis=1, keepdims=True)
-            chances = np.exp(logits)
-            total = chances.sum(axis=1)
-            at = symbols[rows] - low
-            found[rows] += logits[np.arange(len(rows)), at] - np.log(total)
+            chances, more = _softmax(held @ weights.T, bias, at[rows] - span.start, n if back is not None else 0)
+            found[rows] += more
             if back is not None:
-                chances /= total[:, None]
-                chances[np.arange(len(rows)), at] -= 1
-                chances /= n
-                back["to_symbol"][low:high] = chances.T @ held
-                back["symbol_bias"][low:high] = chances.sum(axis=0)
-                back["states"][rows] += chances @ self.to_symbol[low:high]
+                back[names[0]][span] = chances.T @ held
+                back[names[1]][span] = chances.sum(axis=0)
+                back["states"][rows] += chances @ weights
+        shelved = np.flatnonzero(np.diff(first_shelf)[own] > 1)
+        shelved = shelved[np.argsort(shelf[shelved], kind="stable")]
+        for at in range(0, len(shelved), SHELF_ROWS):
+            self._within_shelves(states, symbols, shelf, shelved[at : at + SHELF_ROWS], found, back)
         return found
 
+    def _within_shelves(self, states: np.ndarray, symbols: np.ndarray, shelf: np.ndarray, rows: np.ndarray, found: np.ndarray, back: dict | None) -> None:
+        """Adds each row's symbol within its shelf; the rows come sorted by shelf."""
+        own, held = shelf[rows], states[rows]
+        low, size = self.shelves[own], self.shelves[own + 1] - self.shelves[own]
+        place = np.arange(size.max())
+        beyond = place >= size[:, None]
+        members = np.minimum(low[:, None] + place, len(self.to_symbol) - 1)
+        weights = self.to_symbol[members]
+        logits = np.matmul(weights, held[:, :, None])[:, :, 0]
+        logits[beyond] = -np.inf
+        chances, more = _softmax(logits, self.symbol_bias[members], symbols[rows] - low, len(symbols) if back is not None else 0)
+        found[rows] += more
+        if back is None:
+            return
+        back["states"][rows] += np.matmul(chances[:, None, :], weights)[:, 0]
+        edges = np.flatnonzero(np.diff(own, prepend=-1))
+        kept, into = ~beyond[edges], members[edges]
+        # two calls may meet in one shelf
+        back["to_symbol"][into[kept]] += _sums(chances[:, :, None] * held[:, None, :], edges)[kept]
+        back["symbol_bias"][into[kept]] += _sums(chances, edges)[kept]
+
     def document_scores(self, documents: list[np.ndarray], first: int, window: int = 32, rows: int = 1 << 16) -> np.ndarray:
         """Natural log probability of each whole document: symbols follow ``first``, and the state goes on from window to window."""
         sizes = np.array([len(d) for d in documents], np.int64)
@@ -158,9 +221,9 @@ class Trainer:
         self.tokens = 0
 
     def _move(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        squares = self.squares[name]
-        squares[rows] += gradient * gradient
-        getattr(self.model, name)[rows] -= self.rate * gradient / np.sqrt(squares[rows])
+        squares = self.squares[name][rows] + gradient * gradient
+        self.squares[name][rows] = squares
+        getattr(self.model, name)[rows] -= self.rate * gradient / np.sqrt(squares)
 
     def learn(self, documents: list[np.ndarray], first: int) -> None:
         """One pass. The documents are laid end to end and cut into lanes; the state is reset where a document begins."""
@@ -204,13 +267,14 @@ class Trainer:
         rows = before.ravel()
         order = np.argsort(rows, kind="stable")
         edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        self._move("inputs", np.add.reduceat(inputs.reshape(-1, 3 * w)[order], edges, axis=0), rows[order][edges])
+        self._move("inputs", _sums(inputs.reshape(-1, 3 * w)[order], edges), rows[order][edges])
         self._move("recurrent", recurrent)
-        touched = np.unique(symbols)
-        for name in ("to_class", "class_bias"):
+        for name in ("to_class", "class_bias", "to_shelf", "shelf_bias"):
             self._move(name, back[name])
-        own = np.unique(model._class_of(touched))
-        moved = np.concatenate([np.arange(model.bounds[c], model.bounds[c + 1]) for c in own])
+        # where nothing was met, the gradient is 0
+        own = np.unique(model.shelf_of[symbols])
+        low, size = model.shelves[own], model.shelves[own + 1] - model.shelves[own]
+        moved = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
         for name in ("to_symbol", "symbol_bias"):
             self._move(name, back[name][moved], moved)
         return state

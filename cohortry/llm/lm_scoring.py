@@ -1,11 +1,14 @@
 """Documents scored by a gated recurrent language model that is trained on the corpus itself.
 
 1. Words are counted over all training rows: tasks send sums per word, which Spark adds up into a stored table.
-2. The most frequent ``SYMBOLS`` words, one symbol for all others and one for the end of a text are what the model
-   predicts. It is trained in ``ROUNDS``; in each, every task runs truncated backpropagation over its share of that round's
-   documents, and the weights of all tasks are averaged block by block. Every training document is met once.
-3. Scoring is one scan: the state goes on through each whole document. A rarer word costs the symbol for others and its
-   share among them. Counts of the ``LOOKUP`` most frequent words are at hand in the tasks; all others, a small part of the
+2. What the model predicts grows with the root of the distinct training words: the most frequent words have a symbol each
+   (``SYMBOLS`` up to 262,144 distinct words, 8 times the root beyond), as many symbols are shared by the rarer and the
+   unknown words, dealt by hash, and one is the end of a text. All are inputs as well, so every word teaches. It is trained
+   in ``ROUNDS``; in each, every task runs truncated backpropagation over its share of that round's documents, and the
+   weights of all tasks are averaged block by block. Every training document is met once. A task meets ``SYMBOL_TOKENS``
+   tokens a symbol where there are so many, so that the weights that tasks send stay in proportion to the text.
+3. Scoring is one scan: the state goes on through each whole document. A rarer word costs its shared symbol and its share
+   in it. Counts of the ``LOOKUP`` most frequent words are at hand in the tasks; all others, a small part of the
    tokens, are joined by word.
 """
 
@@ -23,6 +26,8 @@ from cohortry.llm.text import rows_by, slices, word_hashes
 from cohortry.session import written
 
 SYMBOLS = 4096
+SYMBOL_WORDS = 1 << 18
+SYMBOL_TOKENS = 48
 LOOKUP = 1 << 19
 WIDTH = 16
 CLASSES = 64
@@ -50,9 +55,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["token", "n"])
 
 
+def symbols_for(distinct: int) -> int:
+    """How many words have a symbol of their own: from ``SYMBOL_WORDS`` distinct words, in proportion to their root."""
+    return int(SYMBOLS * max(1.0, (distinct / SYMBOL_WORDS) ** 0.5))
+
+
+def shared_for(distinct: int) -> int:
+    """How many symbols the words without an own one share."""
+    return max(1, min(symbols_for(distinct), distinct - symbols_for(distinct)))
+
+
+def _shared(tokens: np.ndarray, n: int) -> np.ndarray:
+    return ((tokens >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
-    """Totals over the training rows, and the most frequent words, sorted, with counts and symbols."""
+    """Totals over the training rows, and the most frequent words, sorted, with counts and symbols.
+
+    ``shared`` has the symbols of the words without an own one by hash; ``mass`` the log10 of what the counts of all
+    words of a symbol add up to, pseudo-counts included, NaN for a symbol that one word owns."""
 
     documents: int
     tokens: int
@@ -61,35 +83,39 @@ class Vocabulary:
     counts: np.ndarray
     symbols: np.ndarray
     symbol_counts: np.ndarray
-    other: int
+    shared: np.ndarray
+    mass: np.ndarray
     end: int
-    other_tokens: int
-    other_distinct: int
 
     @classmethod
-    def of(cls, documents: int, words: int, distinct: int, table: tuple[np.ndarray, np.ndarray], symbols: int) -> Vocabulary:
+    def of(cls, documents: int, words: int, distinct: int, table: tuple[np.ndarray, np.ndarray], sums: tuple[np.ndarray, np.ndarray], symbols: int) -> Vocabulary:
+        """``sums``: tokens and distinct words by ``_shared``, of all words."""
         tokens, counts = table
         chosen = np.lexsort((tokens, -counts))[:symbols]
-        other_tokens, other_distinct = words - int(counts[chosen].sum()), distinct - len(chosen)
-        by_symbol = np.concatenate([counts[chosen], [max(1, other_tokens), max(1, documents)]]).astype(float)
+        at, own = _shared(tokens, len(sums[0])), _shared(tokens[chosen], len(sums[0]))
+        rest = sums[0] - np.bincount(own, counts[chosen], len(sums[0]))
+        rest_distinct = sums[1] - np.bincount(own, minlength=len(sums[1]))
+        by_symbol = np.concatenate([counts[chosen], np.maximum(rest, 0.5), [max(1, documents)]]).astype(float)
         order = np.argsort(-by_symbol, kind="stable")
         number = np.empty(len(by_symbol), np.int32)
         number[order] = np.arange(len(by_symbol))
-        of_word = np.full(len(tokens), number[-2], np.int32)
+        shared = number[len(chosen) : -1]
+        of_word = shared[at]
         of_word[chosen] = number[: len(chosen)]
+        mass = np.full(len(by_symbol), np.nan)
+        mass[shared] = np.log10(rest + 0.5 * (rest_distinct + 1))
         sort = np.argsort(tokens)
-        return cls(
-            documents, words + documents, distinct + (documents > 0), tokens[sort], counts[sort], of_word[sort], by_symbol[order],
-            int(number[-2]), int(number[-1]), other_tokens, other_distinct,
-        )
+        return cls(documents, words + documents, distinct + (documents > 0), tokens[sort], counts[sort], of_word[sort], by_symbol[order], shared, mass, int(number[-1]))
 
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols, and counts (-1: not at hand)."""
         if not len(self.words):
-            return np.full(len(tokens), self.other, np.int32), np.full(len(tokens), -1)
+            return self.shared[_shared(tokens, len(self.shared))], np.full(len(tokens), -1)
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
         known = self.words[at] == tokens
-        return np.where(known, self.symbols[at], self.other), np.where(known, self.counts[at], -1)
+        symbols = np.where(known, self.symbols[at], 0)
+        symbols[~known] = self.shared[_shared(tokens[~known], len(self.shared))]
+        return symbols, np.where(known, self.counts[at], -1)
 
     def documents_of(self, symbols: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         """One array of symbols per text, the end included."""
@@ -110,7 +136,12 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     frequent = counts.where(step >= lowest) if lowest is not None else counts.limit(0)
     table = frequent.select("token", "n").toArrow()
     arrays = (table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy())
-    return Vocabulary.of(documents, sum(r.tokens for r in steps), sum(r.words for r in steps), arrays, SYMBOLS)
+    distinct = sum(r.words for r in steps)
+    n = shared_for(distinct)
+    by_hash = counts.groupBy((F.shiftrightunsigned("token", 20) % n).alias("at")).agg(F.sum("n"), F.count(F.lit(1))).toArrow()
+    sums = np.zeros((2, n), np.int64)
+    sums[:, by_hash.column(0).to_numpy()] = by_hash.column(1).to_numpy(), by_hash.column(2).to_numpy()
+    return Vocabulary.of(documents, sum(r.tokens for r in steps), distinct, arrays, (sums[0], sums[1]), symbols_for(distinct))
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +168,7 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> GatedMode
     context = rows.sparkSession.sparkContext
     model = GatedModel.new(words.symbol_counts, WIDTH, CLASSES)
     vocabulary_ = context.broadcast(words)
+    tasks = max(1, words.tokens // (rounds * SYMBOL_TOKENS * len(words.symbol_counts)))
     for k in range(rounds):
         now = context.broadcast(model)
         rate = 0.1 * (1 - 0.6 * k / rounds)
@@ -165,7 +197,7 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> GatedMode
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([float(trainer.tokens)]), pa.array([part.tobytes()], pa.binary())], ["block", "weight", "values"])
 
         share = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rounds)) == k).select("text")
-        sent = share.mapInArrow(learn, "block int, weight double, values binary")
+        sent = share.coalesce(tasks).mapInArrow(learn, "block int, weight double, values binary")
         means = sent.repartition(BLOCKS, "block").sortWithinPartitions("block").mapInArrow(_averaged, "block int, values binary").collect()
         if means:
             model = model.with_parameters(np.concatenate([np.frombuffer(r["values"], "<f4") for r in sorted(means, key=lambda r: r.block)]))
@@ -187,7 +219,6 @@ def scored(documents: DataFrame, learn: Column | None = None, doc_id: str = "doc
     words = vocabulary(counts, learned.count())
     model = spark.sparkContext.broadcast(train(learned, words))
     known = spark.sparkContext.broadcast(words)
-    other_mass = np.log10(words.other_tokens + 0.5 * (words.other_distinct + 1))
     names = ["id", "version", "token", "times", "n_tokens", "n_known", "base", "score"]
 
     def group(ids: list[pa.Array], versions: list[pa.Array], found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +231,8 @@ def scored(documents: DataFrame, learn: Column | None = None, doc_id: str = "doc
         logs = np.where(at_hand, np.log10(np.maximum(count, 0) + 0.5), 0.0)
         base = np.bincount(owner, logs, len(sizes)) + np.log10(words.documents + 0.5)
         score = model.value.document_scores(words.documents_of(symbols, sizes), words.end) / np.log(10)
-        score += np.bincount(owner, np.where(symbols == words.other, logs - other_mass, 0.0), len(sizes))
+        mass = words.mass[symbols]
+        score += np.bincount(owner, np.where(np.isnan(mass), 0.0, logs - mass), len(sizes))
         n_known = np.bincount(owner, at_hand, len(sizes)).astype(np.int64) + (words.documents > 0)
         nothing = pa.nulls(len(sizes), pa.int64())
         yield pa.RecordBatch.from_arrays([id_, version, nothing, nothing, *map(pa.array, (sizes + 1, n_known, base, score))], names)

@@ -107,6 +107,58 @@ def test_look_up_size_does_not_change_scores(spark, monkeypatch):
     assert found[0] == found[1]
 
 
+def test_symbols_grow_with_the_distinct_words():
+    """A larger vocabulary has more words with an own symbol, and the others are told apart by more shared ones."""
+    sizes = [lm_scoring.symbols_for(n) for n in (1 << 18, 1 << 20, 1 << 24)]
+    assert sizes == [4096, 8192, 32768] and [lm_scoring.shared_for(n) for n in (0, 5000, 1 << 24)] == [1, 904, 32768]
+
+
+def test_rare_words_teach_and_are_told_apart(spark, monkeypatch):
+    """What follows a word without an own symbol is learnt: pairs of rare words score better than the same words swapped."""
+    monkeypatch.setattr(lm_scoring, "SYMBOLS", 40)
+    draw = np.random.default_rng(5)
+    frequent = [f"common{n}" for n in range(40)]
+
+    def text(shift):
+        pairs = draw.integers(0, 20, 60)
+        return " ".join(w for p in pairs for w in (frequent[draw.integers(40)], frequent[draw.integers(40)], f"left{p}", f"right{(p + shift) % 20}"))
+
+    rows = [(n, text(0)) for n in range(400)] + [(1000 + n, text(0)) for n in range(20)] + [(2000 + n, text(7)) for n in range(20)]
+    # own symbols go to the frequent words only
+    rows += [(3000, " ".join(frequent * 2000))]
+    got = {r.doc_id: r.score for r in lm_scoring.scored(documents(spark, rows), (F.col("id") < 1000) | (F.col("id") == 3000)).collect()}
+    same, swapped = (sum(got[n] for n in range(a, a + 20)) for a in (1000, 2000))
+    assert same > 0.97 * swapped
+
+
+@pytest.mark.parametrize("shelved_from", [2, 4, 1000])
+def test_probabilities_on_shelves_add_up(shelved_from):
+    counts = np.sort(np.random.default_rng(1).integers(1, 90, 300).astype(float))[::-1]
+    model = GatedModel.new(counts, width=5, classes=4, shelved_from=shelved_from)
+    assert np.allclose(model.log_probabilities(np.zeros((300, 5), np.float32), np.arange(300)), np.log(counts / counts.sum()), atol=1e-4)
+    model = model.with_parameters(model.parameters() + np.random.default_rng(2).normal(0, 0.3, model.parameters().size))
+    states = np.random.default_rng(0).normal(0, 1, (4, 5)).astype(np.float32)
+    assert np.allclose(sum(np.exp(model.log_probabilities(states, np.full(4, k))) for k in range(300)), 1, atol=1e-4)
+
+
+def test_gradients_on_shelves_agree_with_differences():
+    counts, draw = np.sort(np.random.default_rng(1).integers(1, 90, 60).astype(float))[::-1], np.random.default_rng(6)
+    model = GatedModel.new(counts, width=4, classes=3, shelved_from=2)
+    model = model.with_parameters(model.parameters() + draw.normal(0, 0.3, model.parameters().size))
+    states, symbols = draw.normal(0, 1, (40, 4)).astype(np.float32), draw.integers(0, 60, 40)
+    back = {}
+    model.log_probabilities(states, symbols, back)
+    for name in ("to_class", "class_bias", "to_shelf", "shelf_bias", "to_symbol", "symbol_bias"):
+        place = np.unravel_index(np.argmax(np.abs(back[name])), back[name].shape)
+        held, value = getattr(model, name), getattr(model, name)[place]
+        found = []
+        for step in (1e-2, -1e-2):
+            held[place] = value + step
+            found.append(-model.log_probabilities(states, symbols).mean())
+        held[place] = value
+        assert math.isclose((found[0] - found[1]) / 2e-2, back[name][place], abs_tol=1e-3)
+
+
 def test_scores_without_training_rows(spark):
     got = lm_scoring.scored(documents(spark), F.lit(False)).collect()
     assert len(got) == len(texts()) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
