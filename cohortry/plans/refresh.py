@@ -102,7 +102,7 @@ class SegmentEngine:
 
     def delete_segments(self, ids: DataFrame) -> list[int]:
         """Delete stored definitions with their members; the ids that existed."""
-        gone = self.definitions.delete(ids)
+        gone = sorted(row.segment_id for row in self.definitions.delete(ids).collect())
         if gone:
             self.store.drop(gone)
         return gone

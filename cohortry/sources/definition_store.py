@@ -9,16 +9,31 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.lifecycle import upsert_segments
-from ..session import small_table
+from ..session import small_table, written
 
 _ROWS = f"{schemas.SEGMENTS}, deleted boolean"
 
 
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """The rows with successive numbers as ``segment_id``, in the order of their partitions.
+
+    Stored before the partitions are counted, as they may come otherwise when read again.
+    """
+    # monotonically_increasing_id has the partition above 33 bits of the row's place in it
+    placed = written(rows.withColumn("_place", F.monotonically_increasing_id()), "new-segments")
+    placed = placed.withColumn("_part", F.expr("shiftright(_place, 33)"))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    number = F.expr(f"CAST({first} + _start + (_place & {(1 << 33) - 1}L) AS INT)")
+    return placed.join(starts, "_part").withColumn("segment_id", number).select(*rows.columns)
+
+
 class DefinitionStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -41,19 +56,17 @@ class DefinitionStore:
         """
         top, seq = self._rows().selectExpr("coalesce(max(segment_id), 0)", "coalesce(max(seq), 0) + 1").first()
         given = changes.where("segment_id IS NOT NULL")
-        new = changes.where("segment_id IS NULL").coalesce(1)
-        new = new.withColumn("segment_id", F.expr(f"CAST({top} + 1 + monotonically_increasing_id() AS INT)"))
+        new = _numbered(changes.where("segment_id IS NULL"), top + 1)
         current = self.segments().join(given, "segment_id", "left_semi")
         self._append(upsert_segments(current, given.unionByName(new), now), seq, deleted=False)
         return self.spark.read.schema(schemas.SEGMENTS).parquet(f"{self.root}/segments/seq={seq}")
 
-    def delete(self, ids: DataFrame) -> list[int]:
-        """Delete segments; the ids that existed."""
+    def delete(self, ids: DataFrame) -> DataFrame:
+        """Delete segments; the ids that existed (segment_id), as they are stored."""
         seq = self._rows().selectExpr("coalesce(max(seq), 0) + 1").first()[0]
         gone = self.segments().join(ids.select("segment_id").distinct(), "segment_id", "left_semi")
         self._append(gone, seq, deleted=True)
-        written = self.spark.read.schema("segment_id int").parquet(f"{self.root}/segments/seq={seq}")
-        return sorted(row.segment_id for row in written.collect())
+        return self.spark.read.schema("segment_id int").parquet(f"{self.root}/segments/seq={seq}")
 
     def _append(self, rows: DataFrame, seq: int, deleted: bool) -> None:
         # AQE makes one file of the usual few rows, and several of very many

@@ -58,6 +58,20 @@ def test_life_of_segments(spark, engine):
     assert engine.segments.isEmpty() and engine.members().isEmpty()
 
 
+def test_large_saves_and_deletes_stay_in_tasks(spark, monkeypatch):
+    """New rows of several partitions get successive numbers without one task; deleting gives a table."""
+    store = DefinitionStore(spark, work_dir(spark, "definitions"))
+    changes = spark.range(0, 200, 1, 7).selectExpr("CAST(NULL AS INT) AS segment_id", "concat('s', id) AS name")
+    monkeypatch.setattr(type(changes), "coalesce", lambda *_: pytest.fail("one task"))
+    saved = store.save(changes.where("name NOT LIKE '%3'"), NOW)
+    found = sorted((r.segment_id, int(r.name[1:])) for r in saved.collect())
+    assert [i for i, _ in found] == list(range(1, 181)) and [n for _, n in found] == [n for n in range(200) if n % 10 != 3]
+    ids = store.segments().where("segment_id > 100")
+    gone = store.delete(ids)
+    assert gone.columns == ["segment_id"] and sorted(r.segment_id for r in gone.collect()) == list(range(101, 181))
+    assert store.segments().count() == 100
+
+
 def test_two_stores_on_one_root(spark, engine):
     save(engine, NOW, (None, "A", rule_text(WOMEN), None))
     again = SegmentEngine(
