@@ -226,7 +226,9 @@ class Trainer:
         getattr(self.model, name)[rows] -= self.rate * gradient / np.sqrt(squares)
 
     def learn(self, documents: list[np.ndarray], first: int) -> None:
-        """One pass. The documents are laid end to end and cut into lanes; the state is reset where a document begins."""
+        """One pass. The documents are laid end to end and cut into lanes; the state is reset where a document begins.
+
+        The last symbols that do not fill the lanes go on from the end of the last lane."""
         if not documents:
             return
         symbols = np.concatenate(documents)
@@ -235,12 +237,14 @@ class Trainer:
         before = np.concatenate([[first], symbols[:-1]])
         before[begins] = first
         lanes = max(1, min(self.lanes, len(symbols) // self.window))
-        steps = len(symbols) // lanes  # the last few symbols that fill no step are left to other passes
+        steps = len(symbols) // lanes
         shaped = [x[: lanes * steps].reshape(lanes, steps).T for x in (before, symbols, begins)]
         state = np.zeros((lanes, self.model.width), np.float32)
         for at in range(0, steps, self.window):
             state = self._window(*(x[at : at + self.window] for x in shaped), state)
-        self.tokens += lanes * steps
+        if lanes * steps < len(symbols):
+            self._window(*(x[lanes * steps :, None] for x in (before, symbols, begins)), state[-1:])
+        self.tokens += len(symbols)
 
     def _window(self, before: np.ndarray, symbols: np.ndarray, begins: np.ndarray, state: np.ndarray) -> np.ndarray:
         model, w, (steps, lanes) = self.model, self.model.width, symbols.shape

@@ -73,6 +73,23 @@ def test_gradients_agree_with_differences():
         assert math.isclose(slope, flat[i], abs_tol=2e-3)
 
 
+def test_a_pass_learns_every_symbol():
+    """Also the last ones, which fill no step of all lanes; they follow the state of the last lane."""
+    trainer, seen = Trainer(small_model(), lanes=4, window=3), []
+    window = trainer._window
+
+    def watched(before, symbols, begins, state):
+        after = window(before, symbols, begins, state)
+        seen.append((symbols, state, after))
+        return after
+
+    trainer._window = watched
+    trainer.learn([np.array([0, 1, 2, 8]), np.arange(9), np.array([3, 4, 5, 6, 7, 8])], 8)
+    assert sorted(np.concatenate([s.ravel() for s, _, _ in seen])) == sorted([0, 1, 2, 8, *range(9), 3, 4, 5, 6, 7, 8])
+    assert trainer.tokens == 19 and seen[-1][0].ravel().tolist() == [6, 7, 8]
+    assert np.array_equal(seen[-1][1], seen[-2][2][-1:])
+
+
 def base_scores(rows, learned):
     counts = collections.Counter()
     for i, t in rows:
