@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortry.llm import language_id, lm_scoring, toxicity
+from cohortry.llm import language_id, lm_scoring, quality, toxicity
+from cohortry.llm.conversations import repaired
 from cohortry.llm.exact_dedup import exact_duplicates
 from cohortry.llm.line_dedup import line_bitmaps, without_lines
 from cohortry.llm.minhash_dedup import near_duplicates
 from cohortry.llm.mixing import mixed_copies, words_of
 from cohortry.llm.packing import packed
+from cohortry.llm.spelling import variants, word_counts
 from cohortry.llm.token_counts import token_counts
 from cohortry.llm.top_k import top_k
 
@@ -56,7 +58,8 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     r"""
     WITH w AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                                                    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+                                                    'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words
         FROM documents
     ),
     total AS (SELECT count(*) AS docs, sum(len(words))::DOUBLE / count(*) AS mean FROM w),
@@ -263,3 +266,56 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+@_query(
+    r"""
+    WITH RECURSIVE steps AS (
+        SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS step
+    ),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+    r AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM runs WHERE length(run) >= 7 GROUP BY ALL
+    ),
+    h AS (
+        SELECT run, n, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(id || ':' || run))), lambda i: ('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2))::BIGINT),
+               lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+        FROM r, steps
+    ),
+    spoilt AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    words AS (SELECT word, sum(n)::BIGINT AS n FROM spoilt WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS t(i)),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word
+    ),
+    best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+    forms AS (
+        SELECT w.word, CASE WHEN near_n >= 10 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+        FROM words w LEFT JOIN best USING (word)
+    ),
+    way AS (
+        SELECT word, word AS form, 0 AS steps FROM forms
+        UNION ALL SELECT way.word, f.form, steps + 1 FROM way JOIN forms f ON f.word = way.form WHERE f.form IS NOT NULL
+    ),
+    ends AS (SELECT word, arg_max(form, steps) AS root FROM way GROUP BY word)
+    SELECT forms.*, root FROM forms JOIN ends USING (word)
+    """
+)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants(word_counts(_table(spark, folder, "documents"), least_points=7, least_times=2, spoil=31), times=10)
+
+
+@_query()
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    model = quality.fit(documents, _table(spark, folder, "labels"), _fold("id", 4) != 2)
+    found = quality.scored(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query()
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(_table(spark, folder, "conversations"))

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables n
 
 def test_all_are_registered():
     names = contract.queries().keys()
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in names and llm.oracle_sql().keys() <= contract.oracle_sql().keys()
 
 
