@@ -12,57 +12,189 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortry.llm.text import Recent, rows_by, slices
+from cohortry.llm.text import pieces, rows_by, slices, span_hashes, spans
+from cohortry.llm.token_counts import NO_RANK, Merges, byte_names
 from cohortry.session import written
 
 BUCKET_ROWS = 20_000
+MOST_WORDS = 1_000_000
 RANKS = 1 << 48
 
 
-#: A mark at the end of a word behind a letter is a token of its own wherever the letters are one.
-MARKED = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+FULL_STOP, COMMA, OPEN, BAR = b".,<|"
+
+
+def _cut_marks(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with a mark behind a letter A-Z at their end become two: it is a token of its own wherever the letters are one."""
+    last, other = letters[ends - 1], letters[np.maximum(ends - 2, 0)] | 32
+    cut = (ends - starts > 1) & ((last == FULL_STOP) | (last == COMMA)) & (other >= 97) & (other <= 122)
+    mark = (np.cumsum(1 + cut) - 1)[cut]
+    starts, ends = np.repeat(starts, 1 + cut), np.repeat(ends, 1 + cut)
+    starts[mark] = ends[mark] - 1
+    ends[mark - 1] -= 1
+    return starts, ends
+
+
+class WordMerges(Merges):
+    """Ids of words of small letters by rank-synchronous merging; the last letter of a word has a symbol of its own."""
+
+    def __init__(self, definition: str):
+        spec = json.loads(definition)["model"]
+        ids, names, ending = spec["vocab"], byte_names(), spec["end_of_word_suffix"]
+        self.symbol = np.array([ids[names[b]] for b in range(256)], np.int64)
+        self.ending = np.array([ids[names[b] + ending] for b in range(256)], np.int64)
+        self.width = max(ids.values()) + 1
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+        self._index(np.array([ids[a] * self.width + ids[b] for a, b in pairs], np.int64))
+        self.made = np.array([ids[a + b] for a, b in pairs], np.int64)
+
+    def ids(self, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, word by word, and how many each word has. ``letters`` are the bytes of all words, none of them empty."""
+        symbols, of = self.symbol[letters], np.repeat(np.arange(len(sizes)), sizes)
+        last = np.cumsum(sizes) - 1
+        symbols[last] = self.ending[letters[last]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            rank = np.full(len(symbols), NO_RANK, np.int32)
+            inner = np.flatnonzero(of[:-1] == of[1:])
+            rank[inner] = self.rank(symbols[inner] * self.width + symbols[inner + 1])
+            least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(of))))
+            live = least < NO_RANK
+            done.append((of[~live], symbols[~live]))
+            where = np.flatnonzero((rank == least) & live)
+            # in a run of overlapping pairs (the same symbol again and again) every second one is merged
+            follows = np.diff(where, prepend=-2) == 1
+            if follows.any():
+                begins = np.flatnonzero(~follows)
+                run = np.arange(len(where)) - np.repeat(begins, np.diff(np.append(begins, len(where))))
+                where = where[run % 2 == 0]
+            symbols[where] = self.made[rank[where]]
+            live[where + 1] = False
+            symbols, of = symbols[live], of[live]
+        of = np.concatenate([o for o, _ in done]) if done else np.zeros(0, np.int64)
+        found = np.concatenate([x for _, x in done]) if done else np.zeros(0, np.int64)
+        return found[np.argsort(of, kind="stable")].astype(np.uint32), np.bincount(of, minlength=len(sizes))
+
+
+def _small_letters(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether ranges consist of a-z, A-Z and U+00DF to U+00FF but U+00F7: letters that lower-casing A-Z leaves as they are."""
+    small = letters | 32
+    good = (small >= 97) & (small <= 122) & (letters < 128)
+    second = np.flatnonzero((letters[:-1] == 0xC3) & (letters[1:] >= 0x9F) & (letters[1:] <= 0xBF) & (letters[1:] != 0xB7))
+    good[second] = good[second + 1] = True
+    running = np.concatenate([[0], np.cumsum(good)])
+    return running[ends] - running[starts] == ends - starts
 
 
 class Encoder:
-    """Ids of words as little-endian 32-bit strings, with the words met lately.
+    """Ids of words by their 64-bit hashes, for the words met lately; new ones are merged together, or by the library.
 
     The vocabulary must lower-case, drop white space and cut letters from marks before anything else: then words can be
-    encoded alone, whatever their case. Texts in which a special string may stand keep their case and marks.
+    encoded alone, whatever their case. Words with the beginning of a special string keep case and marks. The ids of all
+    held words lie in one array; of more than ``most_words`` those not met since the last time are dropped.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, most_words: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.known = Recent(self.encoded)
-
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        result = []
-        for at in range(0, len(words), 4096):
-            part = [w.decode("utf-8", "replace") for w in words[at : at + 4096]]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
-            ends = (4 * np.cumsum([len(ids) for ids in found])).tolist()
-            result += [flat[a:b] for a, b in zip([0, *ends], ends)]
-        return result
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [(x if b"<|" in x else MARKED.sub(rb" \1", x.lower())).split() for x in texts]
-        self.known.learn(set().union(*pieces))
-        known = self.known.now.__getitem__
-        return [b"".join(map(known, words)) for words in pieces]
+        self.tokenizer, self.merges, self.most_words = Tokenizer.from_str(definition), WordMerges(definition), most_words
+        self.words, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.first, self.size, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _library(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[list[int]] = []
+        for at in range(0, len(texts), 4096):
+            part = [w.decode("utf-8", "replace") for w in texts[at : at + 4096]]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _learn(self, words: np.ndarray, ids: np.ndarray, size: np.ndarray, needed: np.ndarray) -> None:
+        """Adds words with their ids; ``needed`` are places of held ones that must stay."""
+        if len(self.words) + len(words) > self.most_words:
+            self.met[needed] = True
+            kept = np.flatnonzero(self.met)
+            kept = kept if len(kept) + len(words) <= self.most_words else needed
+            self.ids = self.ids[_ranges(self.first[kept], self.size[kept])]
+            self.words, self.size = self.words[kept], self.size[kept]
+            self.first, self.met = np.cumsum(self.size) - self.size, np.zeros(len(kept), bool)
+        at = np.searchsorted(self.words, words)
+        self.words, self.met = np.insert(self.words, at, words), np.insert(self.met, at, False)
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        """Where words lie among those held, -1: nowhere."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text by text, and how many each text has."""
+        counts, flat = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
+        for group in pieces(texts):
+            buffer = b"\n".join(part for _, part in group) + b"\n"
+            letters, starts, ends = spans(buffer)
+            if not len(starts):
+                continue
+            opens = np.flatnonzero((letters[:-1] == OPEN) & (letters[1:] == BAR)) if b"<|" in buffer else np.zeros(0, np.int64)
+            special = np.unique(np.searchsorted(starts, opens, "right") - 1)
+            own = starts[special], ends[special]
+            starts, ends = _cut_marks(letters, np.delete(starts, special), np.delete(ends, special))
+            words = span_hashes(letters, starts, ends)
+            if len(special):
+                starts, ends = np.concatenate([starts, own[0]]), np.concatenate([ends, own[1]])
+                apart = [blake2b(buffer[a:b], digest_size=8).digest() for a, b in zip(*own)]
+                order = np.argsort(starts, kind="stable")
+                words = np.concatenate([words, np.frombuffer(b"".join(apart), "<u8")])[order]
+                special = np.flatnonzero(order >= len(order) - len(special))
+                starts, ends = starts[order], ends[order]
+            distinct, example, which = np.unique(words, return_index=True, return_inverse=True)
+            new = np.flatnonzero(self._places(distinct) < 0)
+            if len(new):
+                at = example[new]
+                plain = _small_letters(letters, starts[at], ends[at])
+                for own, of_letters in ((new[plain], True), (new[~plain], False)):
+                    if not len(own):
+                        continue
+                    begin, end = starts[example[own]], ends[example[own]]
+                    if of_letters:
+                        found = letters[_ranges(begin, end - begin)]
+                        ids, size = self.merges.ids(np.where(found < 128, found | 32, found), end - begin)
+                    else:
+                        kept_case = np.isin(example[own], special).tolist()
+                        ids, size = self._library([buffer[a:b] if k else buffer[a:b].lower() for a, b, k in zip(begin.tolist(), end.tolist(), kept_case)])
+                    place = self._places(distinct)
+                    self._learn(distinct[own], ids, size, place[place >= 0])
+            place = self._places(distinct)
+            self.met[place] = True
+            place = place[which]
+            size = self.size[place]
+            flat.append(self.ids[_ranges(self.first[place], size)])
+            owner = np.searchsorted(np.cumsum([len(part) + 1 for _, part in group]), starts, "right")
+            np.add.at(counts, [i for i, _ in group], np.bincount(owner, size, len(group)).astype(np.int64))
+        return np.concatenate(flat), counts
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
 @cache
@@ -76,24 +208,23 @@ def token_pieces(documents: DataFrame, vocabulary: str, doc_id: str = "doc_id",
         definition = documents.sparkSession.sparkContext.broadcast(file.read())
     rows = rows_by(documents, (doc_id, "doc_id"), (text, "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
         for part, texts in slices(batches, "text"):
-            row, start, length, crc, total = [], [], [], [], []
-            for i, ids in enumerate(encoder.encode(texts)):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    piece = ids[4 * at : 4 * (at + capacity)]
-                    row.append(i)
-                    start.append(at)
-                    length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece))
-                    total.append(n)
+            ids, counts = encoder.encode(texts)
+            ends = np.cumsum(counts)
+            whole = memoryview(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+            total = counts + 1
+            begin = ends + np.arange(len(ends)) - counts
+            each = -(-total // capacity)
+            row = np.repeat(np.arange(len(total)), each)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)) * capacity
+            length = np.minimum(total[row] - start, capacity)
+            at = 4 * (begin[row] + start)
+            crc = [zlib.crc32(whole[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))],
+                [part.column(0).take(pa.array(row, pa.int32())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 

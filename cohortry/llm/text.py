@@ -84,7 +84,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _spans(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, and where each word begins and ends."""
     letters = np.frombuffer(buffer, np.uint8)
     space = np.concatenate([[True], _IS_SPACE[letters], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
@@ -99,10 +100,15 @@ def _summed(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
-    letters, starts, ends = _spans(buffer)
+def span_hashes(letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes, blind to the case of A-Z."""
     sums, inverse = _summed(letters)
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def _hashed(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
+    letters, starts, ends = spans(buffer)
+    return span_hashes(letters, starts, ends), starts
 
 
 def subwords(texts: list[bytes], lengths: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +120,7 @@ def subwords(texts: list[bytes], lengths: tuple[int, ...], bits: int) -> tuple[n
     buckets, owners, words = [], [], np.zeros(len(texts), np.int64)
     for group in pieces(texts):
         buffer = b" " + b"\n".join(part for _, part in group) + b"\n"
-        letters, starts, ends = _spans(buffer)
+        letters, starts, ends = spans(buffer)
         if not len(starts):
             continue
         sums, inverse = _summed(letters)

@@ -25,7 +25,7 @@ NO_RANK = np.iinfo(np.int32).max
 LOOSE_SPACE = regex.compile(r" (?:\s|$)")
 
 
-def _byte_names() -> dict[int, str]:
+def byte_names() -> dict[int, str]:
     """Printable bytes stand for themselves, the others for the code points from 256 on."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     rest = [b for b in range(256) if b not in set(own)]
@@ -38,7 +38,7 @@ class Merges:
     def __init__(self, definition: str):
         spec = json.loads(definition)
         ids = spec["model"]["vocab"]
-        names = _byte_names()
+        names = byte_names()
         self.symbol = np.array([ids[names[b]] for b in range(256)], np.int64)
         self.width = max(ids.values()) + 1
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]

@@ -53,9 +53,23 @@ def test_token_counts(spark):
 
 def test_ids_are_the_library_s():
     library = Tokenizer.from_file(WORDS)
-    held = scraps(4000)
-    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(open(WORDS, encoding="utf-8").read()).encode([x.encode() for x in held])]
-    assert got == [e.ids for e in library.encode_batch(held, add_special_tokens=False)]
+    # words longer than the pieces that texts are read in, and texts of many pieces
+    held = [*scraps(4000), "Ab." * 500_000, "the The, <|endoftext|> a<|ENDOFTEXT|>b.\t" * 60_000]
+    ids, counts = Encoder(open(WORDS, encoding="utf-8").read()).encode([x.encode() for x in held])
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    for mine, theirs in zip(got, library.encode_batch(held, add_special_tokens=False), strict=True):
+        assert mine.tolist() == theirs.ids
+
+
+@pytest.mark.parametrize("most_words", [1, 40])
+def test_ids_with_little_memory(most_words):
+    encoder, library = Encoder(open(WORDS, encoding="utf-8").read(), most_words), Tokenizer.from_file(WORDS)
+    held = scraps(600)
+    for at in range(0, 600, 4):
+        part = held[at : at + 4]
+        ids, counts = encoder.encode([x.encode() for x in part])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert len(encoder.words) <= max(most_words, len(ids) + 4)
 
 
 @pytest.mark.parametrize("capacity", [2048, 64])
