@@ -9,6 +9,7 @@ or "does not contain".
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from .values import (
@@ -187,6 +188,27 @@ def listed_values(
     return None, ()
 
 
+#: Ages in days beyond which no timestamp can lie.
+OLDEST = 4_000_000
+
+
+def age_steps(op: str, value: object) -> tuple[int, ...]:
+    """The whole ages from which on a comparison of an age with a number has another answer than before."""
+    number = as_number(value)
+    if number is None or abs(number) > OLDEST:
+        return ()
+    if op in (EQ, NEQ):
+        return (int(number), int(number) + 1) if number == int(number) else ()
+    return (math.floor(number) + 1,) if op in (GT, LTE) else (math.ceil(number),)
+
+
+def reached_at(moment: str, age: int) -> str:
+    """When something of ``moment`` is ``age`` days old; ages are cut towards zero, so those up to 0 begin behind an instant."""
+    if age >= 1:
+        return f"{moment} + make_dt_interval({age})"
+    return f"{moment} + make_dt_interval({age - 1}, 0, 0, 0.000001)"
+
+
 def compare_category(column: str, op: str, value: object) -> str:
     """Category in / not in a list of ids; an item that is no number counts as id 0.
 

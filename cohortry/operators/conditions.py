@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import compare as cmp
 from ..functions.values import RuleError, as_text
-from .features import CART_FEATURES, ORDER_FEATURES, WISHLIST_COUNT, Feature
+from .features import CART_FEATURES, CART_MOMENT, ORDER_FEATURES, WISHLIST_COUNT, Feature
 
 Comparison = Callable[[str, str, object], str]
 
@@ -24,10 +24,13 @@ class Leaf:
 
     Rules combine leaves by AND and OR only, where NULL and false lead to the same
     members, so NULL need not be folded and plain comparisons can reach the scan.
+    ``flips`` are SQL instants at which time alone may change the answer, over ``moments``.
     """
 
     features: tuple[Feature, ...]
     predicate: str
+    moments: tuple[Feature, ...] = ()
+    flips: tuple[str, ...] = ()
 
 
 Builder = Callable[[str, object], Leaf]
@@ -46,6 +49,17 @@ def _on_feature(feature: Feature, comparison: Comparison, accepted: tuple[str, .
     return build
 
 
+def _on_age(feature: Feature, moment: Feature) -> Builder:
+    """A number of days since ``moment``."""
+
+    def build(op: str, value: object) -> Leaf:
+        _check(op, cmp.ORDERING, feature.name)
+        flips = tuple(cmp.reached_at(moment.name, age) for age in cmp.age_steps(op, value))
+        return Leaf((feature,), cmp.compare_number(feature.name, op, value), (moment,) if flips else (), flips)
+
+    return build
+
+
 def _on_rows(
     attribute: str, source: str, column: str, comparison: Comparison, accepted: tuple[str, ...]
 ) -> Builder:
@@ -97,8 +111,9 @@ def _builders() -> dict[tuple[str, str], Builder]:
     }.items():
         table["Order", attribute] = _on_rows(attribute, "order_rows", column, cmp.compare_order_text, listed)
 
-    for name in ("cart_subtotal", "cart_items_count", "cart_last_activity"):
+    for name in ("cart_subtotal", "cart_items_count"):
         table["Cart", name] = _on_feature(CART_FEATURES[name], cmp.compare_number, cmp.ORDERING)
+    table["Cart", "cart_last_activity"] = _on_age(CART_FEATURES["cart_last_activity"], CART_MOMENT)
     skus = (cmp.EQ, cmp.NEQ, cmp.CONTAINS, cmp.NOT_CONTAINS)
     table["Cart", "cart_products"] = _on_rows("cart_products", "cart_items", "sku", cmp.compare_cart_sku, skus)
     table["Cart", "has_active_cart"] = _has_cart
@@ -135,19 +150,22 @@ class ConditionRegistry:
         predicate: Callable[[str, object], str],
         columns: tuple[str, ...],
         defaults: dict[str, str] | None = None,
+        flips: Callable[[str, object], tuple[str, ...]] | None = None,
     ) -> None:
         """Add a leaf of your own.
 
         ``facts`` holds at most one row per ``customer_id`` and the given ``columns``;
         ``predicate(op, value)`` returns a SQL predicate over them (see ``compare``).
-        NULL counts as no match. ``defaults`` are SQL literals for customers without facts.
+        NULL counts as no match. ``defaults`` are SQL literals for customers without facts. Where the predicate looks
+        at the time, ``flips(op, value)`` returns SQL instants over the columns at which its answer may change.
         """
         source = f"custom:{family}.{attribute}"
         self.facts[source] = facts
         features = tuple(Feature(c, source, default=(defaults or {}).get(c)) for c in columns)
 
         def build(op: str, value: object) -> Leaf:
-            return Leaf(features, predicate(op, value))
+            instants = flips(op, value) if flips else ()
+            return Leaf(features, predicate(op, value), features if instants else (), tuple(instants))
 
         self._builders[family, attribute] = build
 

@@ -40,6 +40,7 @@ CART_FEATURES = {
     "cart_last_activity": Feature("cart_last_activity", "cart"),
     "has_active_cart": Feature("has_active_cart", "cart", default="false"),
 }
+CART_MOMENT = Feature("cart_updated_at", "cart")  # what the age of a cart is counted from
 WISHLIST_COUNT = Feature("wishlist_items_count", "wishlist", default="0")
 
 
@@ -155,6 +156,7 @@ def _cart_facts(shop: Shop, wanted: Wanted, now: dt.datetime) -> DataFrame:
         "cart_items_count": "coalesce(items_count, 0)",
         # whole days, cut towards zero
         "cart_last_activity": f"CAST(timestampdiff(SECOND, updated_at, {instant_literal(now)}) / 86400 AS INT)",
+        "cart_updated_at": "updated_at",
         "has_active_cart": "true",
     }
     return carts.selectExpr(

@@ -9,11 +9,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..functions.values import RuleError
+from ..functions.values import RuleError, instant_literal
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import Feature, feature_table
 from ..session import SEGMENTS_PER_PASS, int_setting, small_table, written
 from ..sources.shop import Shop, active_segments
+from .rule_index import indexable, indexed_matches
 from .rules import CompiledRule, compile_rule
 
 
@@ -28,6 +29,15 @@ class RuleSet:
     def features(self) -> set[Feature]:
         return set().union(*[rule.features for rule in self.rules.values()])
 
+    @property
+    def moments(self) -> set[Feature]:
+        return set().union(*[rule.moments for rule in self.rules.values()])
+
+    @property
+    def flips(self) -> list[str]:
+        """The instants at which time alone may change the answer of some rule."""
+        return sorted(set().union(*[rule.flips for rule in self.rules.values()]))
+
 
 def compile_segments(definitions: DataFrame, registry: ConditionRegistry) -> RuleSet:
     """Compile the rules of some segments; one bad rule does not stop the others.
@@ -77,14 +87,38 @@ def matches(
 ) -> DataFrame:
     """Who is in which segment.
 
-    With more rules than fit one pass, the feature table is written once to the shared
-    folder and read by every pass; otherwise the plan stays a single lazy job.
+    The rules of one pass are a single lazy job over the feature table. Of more rules, those that ask for values go
+    through the rule index; for the others the feature table is written once to the shared folder and read by every pass.
     """
-    features = feature_table(shop, rules.features, now, registry.facts)
-    spark = features.sparkSession
-    if len(rules.rules) > int_setting(spark, SEGMENTS_PER_PASS):
-        features = written(features, "features")
-    return matches_from(features, rules.rules)
+    per_pass = int_setting(shop.customer.sparkSession, SEGMENTS_PER_PASS)
+    if len(rules.rules) <= per_pass:
+        return matches_from(feature_table(shop, rules.features, now, registry.facts), rules.rules)
+    indexed = {segment_id: rule for segment_id, rule in rules.rules.items() if indexable(rule)}
+    others = RuleSet({segment_id: rule for segment_id, rule in rules.rules.items() if segment_id not in indexed})
+    parts = [indexed_matches(shop, indexed, now, registry)] if indexed else []
+    if others.rules:
+        features = feature_table(shop, others.features, now, registry.facts)
+        if len(others.rules) > per_pass:
+            features = written(features, "features")
+        parts.append(matches_from(features, others.rules))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def deadlines_from(features: DataFrame, rules: RuleSet, now: dt.datetime) -> DataFrame:
+    """(customer_id, due_at): when time alone may next change some answer; customers for whom it never does are left out.
+
+    ``features`` holds the rules' ``moments``.
+    """
+    instants = ", ".join(rules.flips) or "CAST(NULL AS TIMESTAMP_NTZ)"
+    due = f"array_min(filter(array({instants}), due -> due > {instant_literal(now)})) AS due_at"
+    return features.selectExpr("customer_id", due).where("due_at IS NOT NULL")
+
+
+def deadlines(shop: Shop, rules: RuleSet, now: dt.datetime, registry: ConditionRegistry) -> DataFrame | None:
+    """The same from the facts, of which only the moments are read; None for rules that time does not change."""
+    if not rules.flips:
+        return None
+    return deadlines_from(feature_table(shop, rules.moments, now, registry.facts), rules, now)
 
 
 def active_rules(segments: DataFrame, registry: ConditionRegistry, *modes: str) -> RuleSet:

@@ -23,7 +23,7 @@ from ..sources.definition_store import DefinitionStore
 from ..sources.export import write_members
 from ..sources.membership_store import MembershipStore
 from ..sources.shop import Shop
-from .evaluate import RuleSet, active_rules, compile_segments, matches
+from .evaluate import RuleSet, active_rules, compile_segments, deadlines, matches
 
 # The actions recorded in the activity log.
 REFRESH_BEFORE, REFRESH_AFTER, REFRESH_FAILED = "refresh_before", "refresh_after", "refresh_failed"
@@ -161,7 +161,8 @@ class SegmentEngine:
             group = groups.pop()
             try:
                 found = matches(self.shop, RuleSet(group), now, self.registry)
-                report.counts |= self.store.replace(found, group, now, batch)
+                flips = deadlines(self.shop, RuleSet(group), now, self.registry)
+                report.counts |= self.store.replace(found, group, now, batch, flips)
             except (PySparkException, Py4JError) as problem:
                 if len(group) > 1:  # some rule's facts cannot be read: refresh each on its own
                     groups += [{segment_id: rule} for segment_id, rule in group.items()]
@@ -186,13 +187,25 @@ class SegmentEngine:
 
     # -- incremental refresh ---------------------------------------------------
 
+    def refresh_elapsed(self, now: dt.datetime, batch: str | None = None) -> int | None:
+        """A run without events: re-evaluate the customers for whom time alone may have changed an answer."""
+        nobody = small_table(self.spark, [], "customer_id bigint")
+        return self.refresh_customers(nobody, now, batch=batch, elapsed=True)
+
     def refresh_customers(
-        self, touched: DataFrame, now: dt.datetime, add_only: bool = False, batch: str | None = None
+        self,
+        touched: DataFrame,
+        now: dt.datetime,
+        add_only: bool = False,
+        batch: str | None = None,
+        elapsed: bool = False,
     ) -> int | None:
         """Re-evaluate the realtime segments for some customers only.
 
         ``touched`` is a (micro-)batch with ``customer_id``; duplicates and NULLs are
-        ignored. Members that stay keep their ``assigned_at``.
+        ignored. Members that stay keep their ``assigned_at``. With ``elapsed``, customers for whom time alone may have
+        changed an answer since the last such run are evaluated too. The next deadline of everyone evaluated is stored
+        with the outcome.
         """
         if batch is not None and self.store.applied(batch):
             return None
@@ -201,11 +214,15 @@ class SegmentEngine:
             log.error("segment %s not evaluated: %s", segment_id, problem)
         if not rules.rules:
             return None
-        shop, touched, rows = self._shop_of(touched.where("customer_id > 0"))
+        people = touched.select("customer_id")
+        if elapsed:
+            people = people.unionByName(self.store.due(now).select("customer_id"))
+        shop, touched, rows = self._shop_of(people.where("customer_id > 0"))
         found = matches(shop, rules, now, self.registry)
+        flips = deadlines(shop, rules, now, self.registry)
         held = self.store.members().where(F.col("segment_id").isin(list(rules.rules)))
         held = lookup_join(held, touched, "customer_id", rows, "left_semi")
-        seq = self.store.change(membership.delta(found, held, add_only), now, batch)
+        seq = self.store.change(membership.delta(found, held, add_only), now, batch, flips, now if elapsed else None)
         if seq is not None:
             self._log_changes(seq)
         return seq

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from ..functions.values import RuleError, all_of, any_of
-from ..operators.conditions import ConditionRegistry
+from ..operators.conditions import ConditionRegistry, Leaf
 from ..operators.features import Feature
 
 GROUP = "Combine"
@@ -21,14 +21,24 @@ GROUP = "Combine"
 
 @dataclass(frozen=True)
 class CompiledRule:
-    """What a rule needs and says: features, and a predicate over them (NULL: no match)."""
+    """What a rule needs and says: features, and a predicate over them (NULL: no match).
+
+    ``flips`` are instants, over the features ``moments``, at which time alone may change the answer. ``clauses`` say
+    the same as the predicate: in each clause some leaf must hold. None where that form would be too long.
+    """
 
     features: frozenset[Feature]
     predicate: str
+    moments: frozenset[Feature] = frozenset()
+    flips: frozenset[str] = frozenset()
+    clauses: tuple[frozenset[Leaf], ...] | None = None
 
 
-NOBODY = CompiledRule(frozenset(), "false")
-EVERYONE = CompiledRule(frozenset(), "true")
+NOBODY = CompiledRule(frozenset(), "false", clauses=(frozenset(),))
+EVERYONE = CompiledRule(frozenset(), "true", clauses=())
+
+#: Clauses of a rule, and leaves of a clause, up to which the form of clauses is kept.
+MOST_CLAUSES, MOST_LEAVES = 32, 256
 
 
 def compile_rule(text: str | None, registry: ConditionRegistry) -> CompiledRule:
@@ -88,7 +98,25 @@ def _child(node: object, registry: ConditionRegistry) -> CompiledRule:
     leaf = registry.leaf(
         family, _text(node, "attribute", ""), _text(node, "operator", "=="), _value(node)
     )
-    return CompiledRule(frozenset(leaf.features), leaf.predicate)
+    return CompiledRule(
+        frozenset(leaf.features), leaf.predicate, frozenset(leaf.moments), frozenset(leaf.flips), (frozenset([leaf]),)
+    )
+
+
+def _clauses(aggregator: str, children: list[CompiledRule]) -> tuple[frozenset[Leaf], ...] | None:
+    """All: the clauses of all children. Any: one clause of each child, in every combination."""
+    parts = [child.clauses for child in children]
+    if any(part is None for part in parts):
+        return None
+    if aggregator == "all":
+        found = list(dict.fromkeys(clause for part in parts for clause in part))
+    else:
+        found = [frozenset()]
+        for part in parts:
+            found = list(dict.fromkeys(a | b for a in found for b in part))
+            if len(found) > MOST_CLAUSES:
+                return None
+    return tuple(found) if len(found) <= MOST_CLAUSES and all(len(c) <= MOST_LEAVES for c in found) else None
 
 
 def combine(aggregator: str, children: Iterable[CompiledRule]) -> CompiledRule:
@@ -99,6 +127,9 @@ def combine(aggregator: str, children: Iterable[CompiledRule]) -> CompiledRule:
     return CompiledRule(
         frozenset().union(*[child.features for child in children]),
         joiner([child.predicate for child in children]),
+        frozenset().union(*[child.moments for child in children]),
+        frozenset().union(*[child.flips for child in children]),
+        _clauses(aggregator, children),
     )
 
 

@@ -4,6 +4,7 @@ Three append-only Parquet tables below one root::
 
     members/seq=N/segment_id=S/   full member lists written by refreshes
     changes/seq=N/                single assignments and removals
+    deadlines/seq=N/due_day=D/    when time alone may next change a customer's answers
     commits/seq=N/                what became visible with write N
 
 Data is written first and becomes visible with the one-file commit behind it. A failed
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.values import any_of, instant_literal
+from ..functions.values import all_of, any_of, instant_literal
 from ..session import small_table
 
 _COMMITS = "kind string, batch string, segment_id int, customer_count bigint, committed_at timestamp_ntz"
 _CHANGES = "segment_id int, customer_id bigint, assigned boolean, assigned_at timestamp_ntz"
-REFRESH, CHANGE = "refresh", "change"
+_DEADLINES = "customer_id bigint, due_at timestamp_ntz"
+REFRESH, CHANGE, DEADLINES, CLOCK = "refresh", "change", "deadlines", "clock"
 
 
 class _Writing:
@@ -130,8 +132,66 @@ class MembershipStore:
         lists = reader.parquet(*[f"{self.root}/members/seq={seq}" for seq in sorted(by_seq)])
         return lists.where(_of_segments(by_seq))
 
+    def _open_deadlines(self) -> dict[int, dt.datetime | None]:
+        """Per committed write of deadlines up to when they have been dealt with by a later run.
+
+        One entry per write since the deadlines were last folded.
+        """
+        wanted = self.commits().where(F.col("kind").isin(DEADLINES, CLOCK))
+        rows = wanted.select("kind", "seq", "committed_at").distinct().collect()
+        clocks = [(row.seq, row.committed_at) for row in rows if row.kind == CLOCK]
+        since_fold = max((row.seq for row in rows if row.kind == DEADLINES and row.committed_at is not None), default=0)
+        writes = sorted(row.seq for row in rows if row.kind == DEADLINES and row.seq >= since_fold)
+        return {seq: max((at for later, at in clocks if later > seq), default=None) for seq in writes}
+
+    def due(self, now: dt.datetime | None) -> DataFrame:
+        """(customer_id, due_at) of the deadlines up to ``now`` that no run has dealt with; None: of all of them.
+
+        Only folders of the days that matter are read. A customer who was evaluated since may be there once more than
+        necessary, which changes nothing.
+        """
+        by_time: dict[dt.datetime | None, list[int]] = {}
+        for seq, since in self._open_deadlines().items():
+            by_time.setdefault(since, []).append(seq)
+        if not by_time:
+            return small_table(self.spark, [], _DEADLINES)
+        parts = []
+        for since, seqs in by_time.items():
+            tests = [f"seq IN ({', '.join(map(str, seqs))})"]
+            if now is not None:
+                tests.append(f"due_day <= DATE '{now.date()}' AND due_at <= {instant_literal(now)}")
+            if since is not None:
+                tests.append(f"due_day >= DATE '{since.date()}' AND due_at > {instant_literal(since)}")
+            parts.append(all_of(tests))
+        paths = [f"{self.root}/deadlines/seq={seq}" for seqs in by_time.values() for seq in seqs]
+        reader = self.spark.read.schema(f"{_DEADLINES}, seq int, due_day date").option("basePath", f"{self.root}/deadlines")
+        return reader.parquet(*paths).where(any_of(parts)).select("customer_id", "due_at")
+
     # -- writing ---------------------------------------------------------------
 
+    def _write_deadlines(self, seq: int, deadlines: DataFrame | None, clock: dt.datetime | None) -> list[tuple]:
+        """Deadlines, to become visible with write ``seq``; the commit rows that make them so.
+
+        ``clock``: deadlines up to then were dealt with by the same write.
+        """
+        rows = []
+        if deadlines is not None:
+            days = deadlines.select("customer_id", "due_at").withColumn("due_day", F.col("due_at").cast("date"))
+            path = f"{self.root}/deadlines/seq={seq}"
+            days.hint("rebalance", "due_day").write.mode("overwrite").partitionBy("due_day").parquet(path)
+            rows.append((DEADLINES, None, None, None, None))
+        if clock is not None:
+            rows.append((CLOCK, None, None, None, clock))
+        return rows
+
+    def fold_deadlines(self, now: dt.datetime) -> None:
+        """Write the deadlines that are still open once more, each customer's next one only, so that reads open one folder."""
+        with self._writing.lock:
+            seq = self._next_seq()
+            next_one = self.due(None).groupBy("customer_id").agg(F.min("due_at").alias("due_at"))
+            self._write_deadlines(seq, next_one, None)
+            self._commit(seq, [(DEADLINES, None, None, None, now)])
+
     def _next_seq(self) -> int:
         """A number above all committed ones and those handed out to writes under way.
 
@@ -151,12 +211,21 @@ class MembershipStore:
         one_file.write.mode("overwrite").parquet(f"{self.root}/commits/seq={seq}")
 
     def replace(
-        self, matches: DataFrame, segment_ids: Iterable[int], now: dt.datetime, batch: str | None = None
+        self,
+        matches: DataFrame,
+        segment_ids: Iterable[int],
+        now: dt.datetime,
+        batch: str | None = None,
+        deadlines: DataFrame | None = None,
     ) -> dict[int, int]:
-        """Replace the members of some segments; returns members per segment."""
+        """Replace the members of some segments; returns members per segment.
+
+        ``deadlines`` (customer_id, due_at) become visible with them.
+        """
         lists = matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at")
         times = {int(segment_id): now for segment_id in segment_ids}
-        return self._write_lists(self._next_seq(), lists, times, batch)
+        seq = self._next_seq()
+        return self._write_lists(seq, lists, times, batch, self._write_deadlines(seq, deadlines, None))
 
     def fold_changes(self) -> dict[int, int]:
         """Write full member lists of the segments with open changes, so reads merge nothing.
@@ -176,7 +245,12 @@ class MembershipStore:
         self._commit(self._next_seq(), [(REFRESH, None, segment_id, 0, None) for segment_id in segment_ids])
 
     def _write_lists(
-        self, seq: int, lists: DataFrame, refreshed: dict[int, dt.datetime | None], batch: str | None
+        self,
+        seq: int,
+        lists: DataFrame,
+        refreshed: dict[int, dt.datetime | None],
+        batch: str | None,
+        more: Iterable[tuple] = (),
     ) -> dict[int, int]:
         """Write and commit full member lists, ``refreshed`` at these times.
 
@@ -191,27 +265,38 @@ class MembershipStore:
         for row in written.groupBy("segment_id").count().collect():  # one row per segment
             counts[row.segment_id] = row["count"]
         commits = [(REFRESH, batch, segment_id, count, refreshed[segment_id]) for segment_id, count in counts.items()]
-        self._commit(seq, commits)
+        self._commit(seq, [*commits, *more])
         return counts
 
-    def change(self, delta: DataFrame, now: dt.datetime, batch: str | None = None) -> int | None:
+    def change(
+        self,
+        delta: DataFrame,
+        now: dt.datetime,
+        batch: str | None = None,
+        deadlines: DataFrame | None = None,
+        clock: dt.datetime | None = None,
+    ) -> int | None:
         """Record assignments and removals.
 
         ``delta`` has one row (segment_id, customer_id, assigned) per pair. A batch name
         already committed is skipped, so a micro-batch that is replayed after a failure
-        takes effect once. Returns the sequence number, None if skipped.
+        takes effect once. Returns the sequence number, None if skipped. ``deadlines`` become visible with the change;
+        with ``clock``, those up to then count as dealt with.
         """
         with self._writing.lock:
             if batch is not None and self.applied(batch):
                 return None
-            return self._write_change(delta, now, batch)
+            return self._write_change(delta, now, batch, deadlines, clock)
 
-    def _write_change(self, delta: DataFrame, now: dt.datetime, batch: str | None) -> int:
+    def _write_change(
+        self, delta: DataFrame, now: dt.datetime, batch: str | None, deadlines: DataFrame | None, clock: dt.datetime | None
+    ) -> int:
         seq = self._next_seq()
+        more = self._write_deadlines(seq, deadlines, clock)
         rows = delta.selectExpr("segment_id", "customer_id", "assigned", f"{instant_literal(now)} AS assigned_at")
         rows.write.mode("overwrite").parquet(f"{self.root}/changes/seq={seq}")
         touched = [row.segment_id for row in self.changes(seq).select("segment_id").distinct().collect()]
-        self._commit(seq, [(CHANGE, batch, segment_id, None, now) for segment_id in touched or [None]])
+        self._commit(seq, [*((CHANGE, batch, segment_id, None, now) for segment_id in touched or [None]), *more])
         return seq
 
     def changes(self, seq: int) -> DataFrame:
