@@ -65,6 +65,10 @@ class Wanted:
     def of(self, source: str) -> list[Feature]:
         return self.by_source.get(source, [])
 
+    @property
+    def order_aggregates(self) -> dict[str, str]:
+        return {feature.name: ORDER_AGGREGATES[feature.name] for feature in self.of("orders")}
+
     @property
     def readings(self) -> dict[str, str]:
         parts = (self.order_rows, self.order_items, self.order_categories, self.cart_items, self.view_categories)
@@ -89,7 +93,8 @@ def _flagged_orders(shop: Shop, skus: Flags, categories: Flags) -> DataFrame:
     return items.where(any_of(hits)).groupBy("order_id").agg(*skus.aggregates(), *categories.merged())
 
 
-def _order_facts(shop: Shop, wanted: Wanted) -> DataFrame:
+def order_facts(shop: Shop, wanted: Wanted, aggregates: dict[str, str] | None = None) -> DataFrame:
+    """One row per customer: the wanted order aggregates, or ``aggregates`` in their place, and the flags."""
     totals, history = wanted.of("orders"), wanted.order_rows
     skus, categories = wanted.order_items, wanted.order_categories
     orders = history.prepare(valid_orders(shop.sales_order))
@@ -100,7 +105,7 @@ def _order_facts(shop: Shop, wanted: Wanted) -> DataFrame:
     elif history and not totals:
         orders = orders.where(history.raised_by_row())
     return orders.groupBy("customer_id").agg(
-        *[F.expr(f"{ORDER_AGGREGATES[feature.name]} AS {feature.name}") for feature in totals],
+        *[F.expr(f"{test} AS {name}") for name, test in (aggregates or wanted.order_aggregates).items()],
         *history.aggregates(),
         *skus.merged(),
         *categories.merged(),
@@ -109,7 +114,7 @@ def _order_facts(shop: Shop, wanted: Wanted) -> DataFrame:
 
 def order_summary(shop: Shop) -> DataFrame:
     """All order aggregates of the customers that have valid orders."""
-    return _order_facts(shop, Wanted(ORDER_FEATURES.values()))
+    return order_facts(shop, Wanted(ORDER_FEATURES.values()))
 
 
 def purchased_item_counts(shop: Shop, test: str) -> DataFrame:
@@ -144,26 +149,31 @@ def distinct_products(shop: Shop, category_test: str) -> DataFrame:
     return bought.groupBy("customer_id").agg(F.expr("count(DISTINCT product_id) AS distinct_products"))
 
 
-def _cart_facts(shop: Shop, wanted: Wanted, now: dt.datetime) -> DataFrame:
+def flagged_carts(shop: Shop, flags: Flags, how: str) -> DataFrame:
+    """The latest cart of each customer, with the flags its items raise."""
     carts = latest_carts(shop.quote)
-    totals, flags = wanted.of("cart"), wanted.cart_items
-    if flags:
-        items = flags.prepare(top_level_items(shop.quote_item)).where(flags.raised_by_row())
-        held = items.groupBy("quote_id").agg(*flags.aggregates())
-        carts = carts.join(held, "quote_id", "left" if totals else "inner")
+    if not flags:
+        return carts
+    items = flags.prepare(top_level_items(shop.quote_item)).where(flags.raised_by_row())
+    return carts.join(items.groupBy("quote_id").agg(*flags.aggregates()), "quote_id", how)
+
+
+def cart_readings(wanted: Wanted, now: dt.datetime) -> list[str]:
+    """The wanted cart features over the columns of a latest cart."""
     columns = {
         "cart_subtotal": "coalesce(CAST(subtotal AS DOUBLE), 0D)",
         "cart_items_count": "coalesce(items_count, 0)",
         # whole days, cut towards zero
         "cart_last_activity": f"CAST(timestampdiff(SECOND, updated_at, {instant_literal(now)}) / 86400 AS INT)",
-        "cart_updated_at": "updated_at",
+        CART_MOMENT.name: "updated_at",
         "has_active_cart": "true",
     }
-    return carts.selectExpr(
-        "customer_id",
-        *[f"{columns[feature.name]} AS {feature.name}" for feature in totals],
-        *flags.columns,
-    )
+    return [f"{columns[feature.name]} AS {feature.name}" for feature in wanted.of("cart")]
+
+
+def _cart_facts(shop: Shop, wanted: Wanted, now: dt.datetime) -> DataFrame:
+    carts = flagged_carts(shop, wanted.cart_items, "left" if wanted.of("cart") else "inner")
+    return carts.selectExpr("customer_id", *cart_readings(wanted, now), *wanted.cart_items.columns)
 
 
 def wishlist_counts(shop: Shop) -> DataFrame:
@@ -173,7 +183,7 @@ def wishlist_counts(shop: Shop) -> DataFrame:
     return lists.groupBy("customer_id").agg(F.expr("sum(items) AS wishlist_items_count"))
 
 
-def _view_facts(shop: Shop, flags: Flags) -> DataFrame:
+def view_facts(shop: Shop, flags: Flags) -> DataFrame:
     views = shop.product_view.select("customer_id", "product_id")
     seen = lookup_join(views, category_flags(shop, flags), "product_id", shop.catalog_rows, repeats=False)
     return seen.groupBy("customer_id").agg(*flags.merged())
@@ -195,30 +205,46 @@ def feature_table(
 ) -> DataFrame:
     """``customer_id`` plus one column per feature, for the whole population."""
     wanted = Wanted(features)
-    own = [feature.name for feature in wanted.of("customer")]
-    table = population(shop.customer).select("customer_id", *own)
+    table = population(shop.customer).select("customer_id", *[feature.name for feature in wanted.of("customer")])
+    return assembled(table, wanted, [*fact_tables(shop, wanted, now), *custom_facts(wanted, custom)], [wanted])
+
 
+def fact_tables(shop: Shop, wanted: Wanted, now: dt.datetime) -> list[DataFrame]:
+    """Per kind of fact that is wanted a table with one row per customer."""
     sources = wanted.by_source.keys()
     facts: list[DataFrame] = []
     if sources & {"orders", "order_rows", "order_items", "order_categories"}:
-        facts.append(_order_facts(shop, wanted))
+        facts.append(order_facts(shop, wanted))
     if sources & {"cart", "cart_items"}:
         facts.append(_cart_facts(shop, wanted, now))
     if "wishlist" in sources:
         facts.append(wishlist_counts(shop))
     if wanted.view_categories:
-        facts.append(_view_facts(shop, wanted.view_categories))
-    for source in sorted(sources):
+        facts.append(view_facts(shop, wanted.view_categories))
+    return facts
+
+
+def custom_facts(wanted: Wanted, custom: dict[str, DataFrame] | None) -> list[DataFrame]:
+    """The facts of conditions that a user registered, as far as they are wanted."""
+    found = []
+    for source in sorted(wanted.by_source):
         if source.startswith("custom:"):
             columns = [feature.name for feature in wanted.of(source)]
-            facts.append(_one_row_each((custom or {})[source].select("customer_id", *columns), source))
+            found.append(_one_row_each((custom or {})[source].select("customer_id", *columns), source))
+    return found
 
+
+def assembled(table: DataFrame, wanted: Wanted, facts: list[DataFrame], carriers: list[Wanted]) -> DataFrame:
+    """Customers with their own attributes, and facts of one row per customer: the feature table.
+
+    ``carriers`` say in which columns the facts carry the flags.
+    """
     # Every fact table is already hash-partitioned by customer_id after its
     # aggregation, so these joins add one exchange: that of the population.
     for fact in facts:
         table = table.join(fact, "customer_id", "left")
 
-    readings = wanted.readings
+    readings = {name: reading for carrier in carriers for name, reading in carrier.readings.items()}
     columns = {feature.name: readings.get(feature.name, feature.name) for feature in wanted.features}
     for feature in wanted.features:
         if feature.default is not None:

@@ -18,12 +18,14 @@ from ..operators import lifecycle, lookup, membership
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import ORDER_FEATURES, feature_table
 from ..operators.joins import lookup_join
+from ..operators.partials import feature_table_of
 from ..session import small_table, written
 from ..sources.definition_store import DefinitionStore
 from ..sources.export import write_members
+from ..sources.fact_store import FactStore
 from ..sources.membership_store import MembershipStore
-from ..sources.shop import Shop
-from .evaluate import RuleSet, active_rules, compile_segments, deadlines, matches
+from ..sources.shop import VOID_STATES, Shop
+from .evaluate import RuleSet, active_rules, compile_segments, deadlines, deadlines_from, matches, matches_from
 
 # The actions recorded in the activity log.
 REFRESH_BEFORE, REFRESH_AFTER, REFRESH_FAILED = "refresh_before", "refresh_after", "refresh_failed"
@@ -45,7 +47,11 @@ class RefreshReport:
 
 
 class SegmentEngine:
-    """``segments`` is a table of definitions, or the store that keeps them."""
+    """``segments`` is a table of definitions, or the store that keeps them.
+
+    ``streamed`` names the kinds of facts ("orders", "carts") of which everything new comes through ``place_orders`` and
+    ``change_carts`` after ``build_facts``: of those, some customers are evaluated from kept facts.
+    """
 
     def __init__(
         self,
@@ -53,8 +59,10 @@ class SegmentEngine:
         segments: DataFrame | DefinitionStore,
         store: MembershipStore,
         registry: ConditionRegistry | None = None,
+        streamed: Iterable[str] = (),
     ) -> None:
         self.shop = shop
+        self.streamed = tuple(streamed)
         self.definitions = segments
         self.store = store
         self.registry = registry or ConditionRegistry()
@@ -218,15 +226,87 @@ class SegmentEngine:
         if elapsed:
             people = people.unionByName(self.store.due(now).select("customer_id"))
         shop, touched, rows = self._shop_of(people.where("customer_id > 0"))
-        found = matches(shop, rules, now, self.registry)
-        flips = deadlines(shop, rules, now, self.registry)
+        facts = self._facts(rules)
+        if facts is None:
+            found = matches(shop, rules, now, self.registry)
+            flips = deadlines(shop, rules, now, self.registry)
+        else:
+            found, flips = self._from_kept(shop, facts.rows(touched, rows), facts, rules, now)
+        delta = membership.delta(found, self._held(rules, touched, rows), add_only)
+        return self._changed(self.store.change(delta, now, batch, flips, now if elapsed else None))
+
+    def _held(self, rules: RuleSet, touched: DataFrame, rows: int) -> DataFrame:
         held = self.store.members().where(F.col("segment_id").isin(list(rules.rules)))
-        held = lookup_join(held, touched, "customer_id", rows, "left_semi")
-        seq = self.store.change(membership.delta(found, held, add_only), now, batch, flips, now if elapsed else None)
+        return lookup_join(held, touched, "customer_id", rows, "left_semi")
+
+    def _changed(self, seq: int | None) -> int | None:
         if seq is not None:
             self._log_changes(seq)
         return seq
 
+    # -- new facts -------------------------------------------------------------
+
+    def build_facts(self, shop: Shop | None = None) -> None:
+        """Keep the streamed kinds of facts, as they are in ``shop``: all that came before the streams begin."""
+        facts = self._fact_store(active_rules(self._defined, self.registry, "realtime"))
+        facts.build(shop or self.shop)
+
+    def _fact_store(self, rules: RuleSet) -> FactStore:
+        return FactStore(self.store, self.shop, rules.features | rules.moments, self.streamed)
+
+    def _facts(self, rules: RuleSet) -> FactStore | None:
+        """The kept facts, where they were built for these rules."""
+        facts = self._fact_store(rules) if self.streamed else None
+        return facts if facts is not None and facts.is_built() else None
+
+    def _from_kept(
+        self, shop: Shop, parts: DataFrame, facts: FactStore, rules: RuleSet, now: dt.datetime
+    ) -> tuple[DataFrame, DataFrame]:
+        """Matches, and deadlines, of the customers of ``shop``."""
+        wanted = rules.features | rules.moments
+        features = feature_table_of(shop, parts, facts.wanted, wanted, now, self.registry.facts)
+        features = written(features, "features")  # small, and read twice
+        return matches_from(features, rules.rules), deadlines_from(features, rules, now)
+
+    def place_orders(self, orders: DataFrame, now: dt.datetime, batch: str | None = None, elapsed: bool = True) -> int | None:
+        """New orders (rows of ``sales_order``) of a micro-batch: their customers' realtime segments follow.
+
+        Guest orders are ignored. An order that does not count (any more), or a row with a true ``changed``, makes its
+        customer's facts be computed again from the shop. Kept facts and members change with one commit.
+        """
+        return self._add_facts("sales_order", "order_id", orders, "state IS NULL OR state IN {void}", now, batch, elapsed)
+
+    def change_carts(self, carts: DataFrame, now: dt.datetime, batch: str | None = None, elapsed: bool = True) -> int | None:
+        """New and updated carts (rows of ``quote``) of a micro-batch, likewise; one that is not active is computed again."""
+        return self._add_facts("quote", "quote_id", carts, "is_active IS DISTINCT FROM 1", now, batch, elapsed)
+
+    def _add_facts(
+        self, table: str, key: str, rows: DataFrame, gone: str, now: dt.datetime, batch: str | None, elapsed: bool
+    ) -> int | None:
+        if batch is not None and self.store.applied(batch):
+            return None
+        rules = active_rules(self._defined, self.registry, "realtime")
+        facts = self._facts(rules)
+        if facts is None or not rules.rules:
+            return self.refresh_customers(rows, now, batch=batch, elapsed=elapsed)
+        rows = written(rows.where("customer_id > 0").dropDuplicates([key]), "new-facts")
+        gone = gone.format(void=VOID_STATES) + (" OR coalesce(changed, false)" if "changed" in rows.columns else "")
+        people = rows.select("customer_id")
+        if elapsed:
+            people = people.unionByName(self.store.due(now).select("customer_id"))
+        shop, touched, count = self._shop_of(people.where("customer_id > 0"))
+        renewed = written(rows.where(gone).select("customer_id").distinct(), "renewed")
+        again = renewed.count()
+        with self.store.lock:
+            if facts.fold():
+                log.info("kept facts folded")
+            seq = self.store.next_seq()
+            more = facts.add(seq, shop.only(table, rows), renewed if again else None, self.shop.for_customers(renewed, again))
+            found, flips = self._from_kept(shop, facts.rows(touched, count, pending=seq), facts, rules, now)
+            delta = membership.delta(found, self._held(rules, touched, count))
+            seq = self.store.change(delta, now, batch, flips, now if elapsed else None, seq, more)
+        return self._changed(seq)
+
     def _shop_of(self, people: DataFrame) -> tuple[Shop, DataFrame, int]:
         """The facts of some customers only, their distinct ids, and how many they are."""
         touched = written(people.select("customer_id").distinct(), "touched")

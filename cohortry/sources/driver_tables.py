@@ -75,14 +75,15 @@ def customer_addresses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sales_orders(spark: SparkSession, folder: str) -> DataFrame:
+def sales_orders(spark: SparkSession, folder: str, raw: DataFrame | None = None) -> DataFrame:
+    """All orders, or those of ``raw``, which may be a stream."""
     quantities = (
         read(spark, folder, "lineitem")
         .selectExpr("l_orderkey AS order_id", "CAST(l_quantity AS DECIMAL(18,2)) AS quantity")
         .groupBy("order_id")
         .agg(F.expr("sum(quantity) AS total_qty_ordered"))
     )
-    orders = read(spark, folder, "orders").selectExpr(
+    orders = (read(spark, folder, "orders") if raw is None else raw).selectExpr(
         "o_orderkey AS order_id",
         "if(o_custkey <> 0, o_custkey, NULL) AS customer_id",
         "CASE WHEN o_orderstatus = 'F' THEN 'complete' WHEN o_orderstatus = 'O' THEN 'processing' "
@@ -120,12 +121,16 @@ def category_products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_IS_CART = "event_type IN ('click', 'purchase')"
+
+
 def _cart_events(spark: SparkSession, folder: str) -> DataFrame:
-    return read(spark, folder, "events").where("event_type IN ('click', 'purchase')")
+    return read(spark, folder, "events").where(_IS_CART)
 
 
-def quotes(spark: SparkSession, folder: str) -> DataFrame:
-    return _cart_events(spark, folder).selectExpr(
+def quotes(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
+    """All carts, or those of ``events``, which may be a stream."""
+    return (_cart_events(spark, folder) if events is None else events.where(_IS_CART)).selectExpr(
         "event_id AS quote_id",
         "user_id AS customer_id",
         "CAST(event_type = 'click' AS INT) AS is_active",

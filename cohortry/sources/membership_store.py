@@ -169,6 +169,11 @@ class MembershipStore:
 
     # -- writing ---------------------------------------------------------------
 
+    @property
+    def lock(self) -> threading.RLock:
+        """Held by whoever reads something in order to write what follows from it."""
+        return self._writing.lock
+
     def _write_deadlines(self, seq: int, deadlines: DataFrame | None, clock: dt.datetime | None) -> list[tuple]:
         """Deadlines, to become visible with write ``seq``; the commit rows that make them so.
 
@@ -187,12 +192,12 @@ class MembershipStore:
     def fold_deadlines(self, now: dt.datetime) -> None:
         """Write the deadlines that are still open once more, each customer's next one only, so that reads open one folder."""
         with self._writing.lock:
-            seq = self._next_seq()
+            seq = self.next_seq()
             next_one = self.due(None).groupBy("customer_id").agg(F.min("due_at").alias("due_at"))
             self._write_deadlines(seq, next_one, None)
-            self._commit(seq, [(DEADLINES, None, None, None, now)])
+            self.commit(seq, [(DEADLINES, None, None, None, now)])
 
-    def _next_seq(self) -> int:
+    def next_seq(self) -> int:
         """A number above all committed ones and those handed out to writes under way.
 
         A change that commits while a refresh is still running has the higher number, so
@@ -206,7 +211,7 @@ class MembershipStore:
     def applied(self, batch: str) -> bool:
         return not self.commits().where(F.col("batch") == batch).isEmpty()
 
-    def _commit(self, seq: int, rows: list[tuple]) -> None:
+    def commit(self, seq: int, rows: list[tuple]) -> None:
         one_file = small_table(self.spark, rows, _COMMITS).coalesce(1)
         one_file.write.mode("overwrite").parquet(f"{self.root}/commits/seq={seq}")
 
@@ -224,7 +229,7 @@ class MembershipStore:
         """
         lists = matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at")
         times = {int(segment_id): now for segment_id in segment_ids}
-        seq = self._next_seq()
+        seq = self.next_seq()
         return self._write_lists(seq, lists, times, batch, self._write_deadlines(seq, deadlines, None))
 
     def fold_changes(self) -> dict[int, int]:
@@ -232,7 +237,7 @@ class MembershipStore:
 
         Who is a member since when, and the time of the last refresh, stay as they are.
         """
-        seq = self._next_seq()  # taken before reading: changes written meanwhile rank above
+        seq = self.next_seq()  # taken before reading: changes written meanwhile rank above
         changed = {segment_id for segment_ids in self._visible()[1].values() for segment_id in segment_ids}
         if not changed:
             return {}
@@ -242,7 +247,7 @@ class MembershipStore:
 
     def drop(self, segment_ids: Iterable[int]) -> None:
         """Forget the members of deleted segments."""
-        self._commit(self._next_seq(), [(REFRESH, None, segment_id, 0, None) for segment_id in segment_ids])
+        self.commit(self.next_seq(), [(REFRESH, None, segment_id, 0, None) for segment_id in segment_ids])
 
     def _write_lists(
         self,
@@ -265,7 +270,7 @@ class MembershipStore:
         for row in written.groupBy("segment_id").count().collect():  # one row per segment
             counts[row.segment_id] = row["count"]
         commits = [(REFRESH, batch, segment_id, count, refreshed[segment_id]) for segment_id, count in counts.items()]
-        self._commit(seq, [*commits, *more])
+        self.commit(seq, [*commits, *more])
         return counts
 
     def change(
@@ -275,28 +280,28 @@ class MembershipStore:
         batch: str | None = None,
         deadlines: DataFrame | None = None,
         clock: dt.datetime | None = None,
+        seq: int | None = None,
+        more: Iterable[tuple] = (),
     ) -> int | None:
         """Record assignments and removals.
 
         ``delta`` has one row (segment_id, customer_id, assigned) per pair. A batch name
         already committed is skipped, so a micro-batch that is replayed after a failure
         takes effect once. Returns the sequence number, None if skipped. ``deadlines`` become visible with the change;
-        with ``clock``, those up to then count as dealt with.
+        with ``clock``, those up to then count as dealt with. A write that was begun under ``seq`` ends with this one,
+        its commit rows are ``more``.
         """
         with self._writing.lock:
             if batch is not None and self.applied(batch):
                 return None
-            return self._write_change(delta, now, batch, deadlines, clock)
+            seq = self.next_seq() if seq is None else seq
+            return self._write_change(seq, delta, now, batch, [*more, *self._write_deadlines(seq, deadlines, clock)])
 
-    def _write_change(
-        self, delta: DataFrame, now: dt.datetime, batch: str | None, deadlines: DataFrame | None, clock: dt.datetime | None
-    ) -> int:
-        seq = self._next_seq()
-        more = self._write_deadlines(seq, deadlines, clock)
+    def _write_change(self, seq: int, delta: DataFrame, now: dt.datetime, batch: str | None, more: list[tuple]) -> int:
         rows = delta.selectExpr("segment_id", "customer_id", "assigned", f"{instant_literal(now)} AS assigned_at")
         rows.write.mode("overwrite").parquet(f"{self.root}/changes/seq={seq}")
         touched = [row.segment_id for row in self.changes(seq).select("segment_id").distinct().collect()]
-        self._commit(seq, [*((CHANGE, batch, segment_id, None, now) for segment_id in touched or [None]), *more])
+        self.commit(seq, [*((CHANGE, batch, segment_id, None, now) for segment_id in touched or [None]), *more])
         return seq
 
     def changes(self, seq: int) -> DataFrame:

@@ -133,12 +133,34 @@ class Shop:
             product_view=of("product_view"),
         )
 
+    def only(self, name: str, rows: DataFrame) -> Shop:
+        """The shop as if ``rows`` of ``sales_order`` or ``quote`` were all the orders or carts there are, and no other facts."""
+        facts = {"sales_order": ("order_id", ("sales_order_item", "item_keys")), "quote": ("quote_id", ("quote_item",))}
+        key, items = facts[name]
+        ids = rows.select(key)
+
+        def of(item: str) -> Callable[[], DataFrame]:
+            # a batch is small at run time, and AQE sees that
+            return lambda: getattr(self, item).join(ids, key, "left_semi")
+
+        def nothing(table: str) -> Callable[[], DataFrame]:
+            return lambda: getattr(self, table).where("false")
+
+        empty = {table: nothing(table) for table in CUSTOMER_FACTS}
+        return self.with_tables(**{**empty, name: lambda: rows, **{item: of(item) for item in items}})
+
     def ordered_before(self, moment: str) -> Shop:
         """The shop as it was before ``moment``, as far as orders are concerned."""
         earlier = f"created_at < TIMESTAMP_NTZ '{moment}'"
         return self.with_tables(sales_order=lambda: self.sales_order.where(earlier))
 
 
+    def carts_before(self, moment: str) -> Shop:
+        """The shop as it was before ``moment``, as far as carts are concerned."""
+        earlier = f"updated_at < TIMESTAMP_NTZ '{moment}'"
+        return self.with_tables(quote=lambda: self.quote.where(earlier))
+
+
 def population(customer: DataFrame) -> DataFrame:
     """Everyone who can be in a segment; id 0 is never a customer."""
     return customer.where("customer_id > 0")

@@ -57,6 +57,27 @@ def customer_saved(events: DataFrame, engine: Engines, clock: Clock, checkpoint:
     return _customers(events, engine, clock, checkpoint, "customer_saved")
 
 
+def orders_placed(orders: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
+    """New orders, as rows of ``sales_order``: only they are added to what is known of their customers.
+
+    The customers for whom time alone may have changed an answer are evaluated with them.
+    """
+
+    def handle(batch: DataFrame, name: str) -> None:
+        engine().place_orders(batch, clock(), batch=name)
+
+    return _each_batch(orders, handle, "orders_placed", checkpoint)
+
+
+def carts_changed(carts: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
+    """The same for carts, as rows of ``quote``."""
+
+    def handle(batch: DataFrame, name: str) -> None:
+        engine().change_carts(batch, clock(), batch=name)
+
+    return _each_batch(carts, handle, "carts_changed", checkpoint)
+
+
 def order_placed(events: DataFrame, engine: Engines, clock: Clock, checkpoint: str) -> DataStreamWriter:
     """An order changes what is known of its customer, so just that customer is evaluated.
 

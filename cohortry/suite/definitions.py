@@ -14,6 +14,7 @@ from ..session import small_table
 
 NOW = dt.datetime(2024, 1, 31)
 BEFORE = "2000-01-01 00:00:00"  # the earlier state membership deltas start from
+CARTS_BEFORE = "2024-01-25 00:00:00"
 EARLIER = dt.datetime(2024, 1, 1)  # when that earlier state was assigned
 TICK = dt.datetime(2024, 1, 15, 12, 35)
 
@@ -93,21 +94,51 @@ DEFINITIONS: list[tuple[int, str, bool, str, str | None, object]] = [
 ]
 
 
+#: Segments that customers leave as well: by more orders, by other orders, and by time alone.
+LIVE: list[tuple[int, str, bool, str, str | None, object]] = [
+    (31, "Newcomers", True, "realtime", None, group(ALL, leaf("Order.total_orders", "<", "5"))),
+    (32, "Small orders", True, "realtime", None, group(ALL, leaf("Order.average_order_value", "<", "150000"))),
+    (33, "Not back since", True, "realtime", None, group(ALL, leaf("Order.last_order_date", "<", "2000-06-01"))),
+    (34, "Fresh cart", True, "realtime", None, group(ALL, leaf("Cart.cart_last_activity", "<", "3"))),
+    (35, "Week-old cart", True, "realtime", None, group(ALL, leaf("Cart.cart_last_activity", "==", "7"))),
+    (
+        36,
+        "Frequent or forgotten",
+        True,
+        "realtime",
+        None,
+        group(
+            ANY,
+            leaf("Order.total_orders", ">=", "15"),
+            group(ALL, leaf("Cart.cart_subtotal", ">", "5"), leaf("Cart.cart_last_activity", ">=", "5")),
+        ),
+    ),
+    (37, "Card payers", True, "realtime", None, group(ALL, leaf("Order.payment_method", "==", "card"), leaf("Order.total_orders", "<=", "8"))),
+    (38, "Orders by hand", True, "manual", None, group(ALL, leaf("Order.total_orders", "<", "5"))),
+]
+DAY_0 = dt.datetime(2024, 1, 26)
+RUNS = (dt.datetime(2024, 1, 28, 9, 30), NOW, dt.datetime(2024, 2, 7))
+
+
 def rule_text(rule: object) -> str | None:
     return rule if rule is None or isinstance(rule, str) else json.dumps(rule)
 
 
 def segments(spark: SparkSession, *ids: int) -> DataFrame:
-    """The definitions above as a ``segments`` table, optionally only some of them."""
+    """The first definitions above as a ``segments`` table, or some of all of them."""
     created = dt.datetime(2023, 1, 1)
     rows = [
         (sid, name, None, active, rule_text(rule), mode, schedule, 0, None, created, created)
-        for sid, name, active, mode, schedule, rule in DEFINITIONS
-        if not ids or sid in ids
+        for sid, name, active, mode, schedule, rule in (*DEFINITIONS, *LIVE)
+        if (sid in ids if ids else sid < LIVE[0][0])
     ]
     return small_table(spark, rows, schemas.SEGMENTS)
 
 
+def live(spark: SparkSession) -> DataFrame:
+    return segments(spark, *[row[0] for row in LIVE])
+
+
 def one_segment(spark: SparkSession, rule: object, segment_id: int = 1) -> DataFrame:
     created = dt.datetime(2023, 1, 1)
     row = (segment_id, "Probe", None, True, rule_text(rule), "manual", None, 0, None, created, created)

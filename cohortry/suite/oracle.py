@@ -6,6 +6,8 @@ from .cases import CASES, RULES
 from .definitions import DEFINITIONS, JUST_REFRESHED
 
 NOW, EARLIER, BEFORE = "TIMESTAMP '2024-01-31'", "TIMESTAMP '2024-01-01'", "TIMESTAMP '2000-01-01'"
+CARTS_BEFORE = "TIMESTAMP '2024-01-25'"
+RUNS = ("TIMESTAMP '2024-01-26'", "TIMESTAMP '2024-01-28 09:30:00'", NOW, "TIMESTAMP '2024-02-07'")
 
 _MODES = ", ".join(f"({number}, {active}, '{mode}')" for number, _, active, mode, _, _ in DEFINITIONS)
 
@@ -119,6 +121,18 @@ SEGMENTS: dict[int, str] = {
     "(SELECT lc.customer_id FROM lc JOIN qi ON qi.quote_id = lc.quote_id WHERE parent_item_id IS NULL "
     "AND contains(lower(sku), 'brand#1'))",
 }
+LIVE: dict[int, str] = {
+    31: "total_orders < 5",
+    32: "average_order_value < 150000",
+    33: "last_order_date < TIMESTAMP '2000-06-01'",
+    34: "cart_last_activity < 3",
+    35: "cart_last_activity = 7",
+    36: "total_orders >= 15 OR (cart_subtotal > 5 AND cart_last_activity >= 5)",
+    37: "customer_id IN (SELECT customer_id FROM {vo} WHERE payment_method = 'card') AND total_orders <= 8",
+    38: "total_orders < 5",
+}
+# The ages in days at which some of these changes its answer.
+AGES = "(3), (5), (7), (8)"
 INACTIVE = {16: "total_orders >= 1"}
 REALTIME = "(4, 5, 6, 8, 9, 12, 18, 19)"
 
@@ -129,20 +143,67 @@ def _union(parts: list[tuple[int, str]], feat: str = "feat") -> str:
     )
 
 
-def _now_members(ids: list[int] | None = None) -> str:
-    chosen = [(i, test.format(vo="vo")) for i, test in SEGMENTS.items() if ids is None or i in ids]
+def _now_members(ids: list[int] | None = None, segments: dict[int, str] = SEGMENTS) -> str:
+    chosen = [(i, test.format(vo="vo")) for i, test in segments.items() if ids is None or i in ids]
     return f"m AS ({_union(chosen)})"
 
 
-def _earlier_members(now: str = NOW) -> str:
+def _earlier_members(now: str = NOW, segments: dict[int, str] = SEGMENTS) -> str:
     """Members by the orders of an earlier day, with ages as of ``now``."""
-    chosen = [(i, test.format(vo="vo0")) for i, test in SEGMENTS.items()]
+    chosen = [(i, test.format(vo="vo0")) for i, test in segments.items()]
     return f"""vo0 AS (SELECT * FROM vo WHERE created_at < {BEFORE}),
 of0 AS ({_AGGREGATES.format(orders="vo0")}),
 feat0 AS ({_FEATURES.format(facts="of0", now=now)}),
 m0 AS ({_union(chosen, "feat0")})"""
 
 
+def _earlier_carts(now: str) -> str:
+    """Members of the live segments by the carts of an earlier day."""
+    features = _FEATURES.format(facts="ofacts", now=now).replace("LEFT JOIN lc ON lc.", "LEFT JOIN lc0 lc ON lc.")
+    return f"""lc0 AS (SELECT * FROM (SELECT q.*, row_number() OVER (PARTITION BY customer_id ORDER BY updated_at DESC, quote_id DESC) AS nth
+  FROM q WHERE is_active = 1 AND updated_at < {CARTS_BEFORE}) WHERE nth = 1),
+feat0 AS ({features}),
+m0 AS ({_union([(i, test.format(vo="vo")) for i, test in LIVE.items()], "feat0")})"""
+
+
+def _due(carts: str) -> str:
+    """Customers whose cart reaches some age after the earlier day and up to now."""
+    return f"""SELECT customer_id FROM {carts} c, (VALUES {AGES}) AS a(age)
+  WHERE updated_at + to_days(CAST(age AS INTEGER)) > {EARLIER} AND updated_at + to_days(CAST(age AS INTEGER)) <= {NOW}"""
+
+
+def _live_stream(earlier: str, touched: str) -> str:
+    """Earlier members of the live segments after the realtime ones were evaluated again for some customers."""
+    return _with(
+        _now_members(segments=LIVE).replace("m AS (", "m AS MATERIALIZED (", 1),
+        earlier.replace("m0 AS (", "m0 AS MATERIALIZED (", 1),
+        f"t AS MATERIALIZED (SELECT DISTINCT customer_id FROM ({touched}) AS x)",
+        "fresh AS (SELECT segment_id, m.customer_id FROM m JOIN t ON t.customer_id = m.customer_id WHERE segment_id <> 38)",
+        "old AS (SELECT segment_id, m0.customer_id, t.customer_id IS NOT NULL AND segment_id <> 38 AS again FROM m0 LEFT JOIN t ON t.customer_id = m0.customer_id)",
+        f"""SELECT segment_id, customer_id, {EARLIER} AS assigned_at FROM old WHERE NOT again
+UNION ALL
+SELECT fresh.segment_id, fresh.customer_id, CASE WHEN old.segment_id IS NULL THEN {NOW} ELSE {EARLIER} END
+FROM fresh LEFT JOIN old ON old.segment_id = fresh.segment_id AND old.customer_id = fresh.customer_id""",
+    )
+
+
+def _time_flips() -> str:
+    """Everybody evaluated at each of the times; members are assigned when they joined last."""
+    states, features = [], []
+    for run, now in enumerate(RUNS):
+        features.append(f"f{run} AS ({_FEATURES.format(facts='ofacts', now=now)})")
+        union = _union([(i, test.format(vo="vo")) for i, test in LIVE.items()], f"f{run}")
+        states.append(f"SELECT segment_id, customer_id, CAST({run} AS INTEGER) AS run FROM ({union}) AS x")
+    return _with(
+        *features,
+        "s AS (" + "\nUNION ALL ".join(states) + ")",
+        "island AS (SELECT *, run - row_number() OVER (PARTITION BY segment_id, customer_id ORDER BY run) AS k FROM s)",
+        f"times AS (SELECT * FROM (VALUES {', '.join(f'({n}, {now})' for n, now in enumerate(RUNS))}) AS v(run, at_time))",
+        """joined AS (SELECT segment_id, customer_id, run, min(run) OVER (PARTITION BY segment_id, customer_id, k) AS first FROM island)""",
+        "SELECT segment_id, customer_id, at_time AS assigned_at, joined.run AS run FROM joined JOIN times ON times.run = joined.first",
+    )
+
+
 def _with(*parts: str) -> str:
     *tables, select = parts
     return f"WITH {', '.join([FACTS, *tables])}\n{select}"
@@ -172,15 +233,13 @@ CHANGES = """ch AS (SELECT CAST(p_partkey + CASE WHEN p_type = 'PROMO' THEN 1000
 _EXPORTED = "SELECT customer_id, email, firstname AS first_name, lastname AS last_name"
 
 
-def _streamed(touched: str, add_only: bool = False) -> str:
-    """Earlier members after the realtime segments were re-evaluated for some customers."""
-    stay = "true" if add_only else "(segment_id, customer_id) IN (SELECT segment_id, customer_id FROM m)"
+def _registered() -> str:
+    """Earlier members, and the matches of the realtime segments for those who signed up."""
     return _with(
         _now_members(),
         _earlier_members(EARLIER),
-        f"t AS ({touched})",
+        f"t AS ({_touched('signup')})",
         f"""SELECT segment_id, customer_id, {EARLIER} AS assigned_at FROM m0
-WHERE segment_id NOT IN {REALTIME} OR customer_id NOT IN (SELECT customer_id FROM t) OR {stay}
 UNION ALL
 SELECT segment_id, customer_id, {NOW} FROM m
 WHERE segment_id IN {REALTIME} AND customer_id IN (SELECT customer_id FROM t)
@@ -312,10 +371,10 @@ WHERE last_order_date > TIMESTAMP '2001-01-01'""",
 WHERE c_acctbal >= 5000 AND total_orders >= 5"""
         ),
         "delta_added": _with(
-            _now_members(), _earlier_members(), "SELECT * FROM m EXCEPT SELECT * FROM m0"
+            _now_members(segments=SEGMENTS | LIVE), _earlier_members(segments=SEGMENTS | LIVE), "SELECT * FROM m EXCEPT SELECT * FROM m0"
         ),
         "delta_removed": _with(
-            _now_members(), _earlier_members(), "SELECT * FROM m0 EXCEPT SELECT * FROM m"
+            _now_members(segments=SEGMENTS | LIVE), _earlier_members(segments=SEGMENTS | LIVE), "SELECT * FROM m0 EXCEPT SELECT * FROM m"
         ),
         "assign_customers": _with(
             BUYERS,
@@ -448,10 +507,23 @@ WHERE is_active AND refresh_mode IN ('cron', 'realtime') AND (cron_expression IS
             """SELECT segment_id, refresh_mode, last_refreshed FROM cat WHERE is_active AND refresh_mode <> 'manual'
   AND (last_refreshed IS NULL OR last_refreshed < TIMESTAMP '2024-01-30 23:00:00')""",
         ),
-        "stream_register": _streamed(_touched("signup"), add_only=True),
-        "stream_customer_save": _streamed(_touched("view")),
-        "stream_order_placed": _streamed(_touched("purchase")),
-        "stream_cart_change": _streamed(_touched("click")),
+        "stream_register": _registered(),
+        "stream_customer_save": _live_stream(
+            _earlier_members(EARLIER, LIVE), "SELECT c_custkey AS customer_id FROM customer WHERE c_acctbal < 0"
+        ),
+        "stream_order_placed": _live_stream(
+            _earlier_members(EARLIER, LIVE), f"SELECT customer_id FROM so WHERE created_at >= {BEFORE} UNION ALL {_due('lc')}"
+        ),
+        "stream_cart_change": _live_stream(
+            _earlier_carts(EARLIER), f"SELECT customer_id FROM q WHERE updated_at >= {CARTS_BEFORE} UNION ALL {_due('lc0')}"
+        ),
+        "time_flips": _time_flips(),
+        "refresh_catalog": _with(
+            CATALOG,
+            f"""SELECT DISTINCT CAST(product_id + 1000 AS INTEGER) AS segment_id, vo.customer_id, {NOW} AS assigned_at
+FROM vo JOIN soi ON soi.order_id = vo.order_id JOIN cust ON cust.customer_id = vo.customer_id
+JOIN cat ON cat.segment_id = product_id + 1000 WHERE product_type = 'simple' AND is_active""",
+        ),
         "stream_changelog": _with(
             _now_members(),
             _earlier_members(EARLIER),

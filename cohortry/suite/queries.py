@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ from ..operators.conditions import ConditionRegistry
 from ..plans.evaluate import compile_segments, matches
 from ..plans.refresh import ASSIGNED, SAVED, SegmentEngine, log_rows
 from ..plans.rules import group, leaf
-from ..session import small_table, work_dir
+from ..session import small_table, work_dir, written
 from ..sources import eav, shop as scans
 from ..sources.definition_store import DefinitionStore
 from ..sources.driver_tables import K as _BIG_K
-from ..sources.driver_tables import read, shop
+from ..sources.driver_tables import quotes, read, sales_orders, shop
 from ..sources.membership_store import MembershipStore
+from ..sources.shop import Shop
 from ..streaming import changes
 from . import definitions as defs
 from .cases import CASES, RULES
@@ -288,7 +290,8 @@ def custom_condition(spark: SparkSession, folder: str) -> DataFrame:
 
 def _matches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     registry = ConditionRegistry()
-    rules = compile_segments(scans.active_segments(defs.segments(spark)), registry)
+    every = defs.segments(spark).unionByName(defs.live(spark))
+    rules = compile_segments(scans.active_segments(every), registry)
     today = matches(shop(spark, folder), rules, NOW, registry)
     earlier = matches(shop(spark, folder).ordered_before(defs.BEFORE), rules, NOW, registry)
     return today, earlier
@@ -459,25 +462,78 @@ def segments_need_refresh(spark: SparkSession, folder: str) -> DataFrame:
 # -- streams --------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+def _file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     # a file stream takes a folder or a pattern, not one file
-    return spark.readStream.schema(schemas.SOURCE_FILES["events"]).parquet(f"{folder}/events.parque[t]")
+    return spark.readStream.schema(schemas.SOURCE_FILES[table]).parquet(f"{folder}/{table}.parque[t]")
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _file_stream(spark, folder, "events")
 
 
 def _of_kind(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return _event_stream(spark, folder).where(f"event_type = '{kind}'").selectExpr("event_id", "user_id AS customer_id")
 
 
-def _kept_up_to_date(kind: str, start: Callable) -> Query:
-    """Earlier memberships, then one stream of changes over today's facts."""
+def stream_register(spark: SparkSession, folder: str) -> DataFrame:
+    """Earlier memberships, then those who signed up, over today's facts: they only join."""
+    _, engine = _earlier(spark, folder)
+    stream = _of_kind(spark, folder, "signup")
+    changes.drain(changes.customer_registered(stream, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
+    return engine.members()
 
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        _, engine = _earlier(spark, folder)
-        stream = _of_kind(spark, folder, kind)
-        changes.drain(start(stream, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
-        return engine.members()
 
-    return query
+def _live(spark: SparkSession, folder: str, before: Shop, *streamed: str) -> SegmentEngine:
+    """Today's engine over memberships, deadlines and kept facts of an earlier day."""
+    store = _store(spark)
+    SegmentEngine(before, defs.live(spark), store).refresh_all(defs.EARLIER)
+    engine = SegmentEngine(shop(spark, folder), defs.live(spark), store, streamed=streamed)
+    if streamed:
+        engine.build_facts(before)
+    return engine
+
+
+def stream_customer_save(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers in debt were saved: they join and leave the realtime segments by today's facts."""
+    engine = _live(spark, folder, shop(spark, folder).ordered_before(defs.BEFORE))
+    saved = _file_stream(spark, folder, "customer").where("c_acctbal < 0").selectExpr("c_custkey AS customer_id")
+    changes.drain(changes.customer_saved(saved, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
+    return engine.members()
+
+
+def stream_order_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders since the earlier day are placed one by one: added to kept facts, and with them whom time alone moves."""
+    engine = _live(spark, folder, shop(spark, folder).ordered_before(defs.BEFORE), "orders")
+    raw = _file_stream(spark, folder, "orders").where(f"o_orderdate >= TIMESTAMP_NTZ '{defs.BEFORE}'")
+    placed = sales_orders(spark, folder, raw)
+    changes.drain(changes.orders_placed(placed, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
+    return engine.members()
+
+
+def stream_cart_change(spark: SparkSession, folder: str) -> DataFrame:
+    """The carts of the last days change: new ones become the latest, bought ones are gone."""
+    engine = _live(spark, folder, shop(spark, folder).carts_before(defs.CARTS_BEFORE), "carts")
+    changed = quotes(spark, folder, _event_stream(spark, folder)).where(f"updated_at >= TIMESTAMP_NTZ '{defs.CARTS_BEFORE}'")
+    changes.drain(changes.carts_changed(changed, lambda: engine, lambda: NOW, work_dir(spark, "stream")))
+    return engine.members()
+
+
+def time_flips(spark: SparkSession, folder: str) -> DataFrame:
+    """Members on day 0 and after three later runs without any event."""
+    engine = SegmentEngine(shop(spark, folder), defs.live(spark), _store(spark))
+    engine.refresh_all(defs.DAY_0)
+    states = [written(engine.members(), "members").withColumn("run", F.lit(0))]
+    for run, now in enumerate(defs.RUNS, 1):
+        engine.refresh_elapsed(now)
+        states.append(written(engine.members(), "members").withColumn("run", F.lit(run)))
+    return reduce(DataFrame.unionByName, states)
+
+
+def refresh_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """All active segments of the product catalogue, one per product, in one pass."""
+    engine = SegmentEngine(shop(spark, folder), _catalog(spark, folder), _store(spark))
+    engine.refresh_all(NOW)
+    return engine.members()
 
 
 def stream_changelog(spark: SparkSession, folder: str) -> DataFrame:
@@ -500,11 +556,8 @@ def stream_login_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    found["stream_register"] = _kept_up_to_date("signup", changes.customer_registered)
-    found["stream_customer_save"] = _kept_up_to_date("view", changes.customer_saved)
-    found["stream_order_placed"] = _kept_up_to_date("purchase", changes.order_placed)
-    found["stream_cart_change"] = _kept_up_to_date("click", changes.cart_changed)
     for query in (
+        stream_register, stream_customer_save, stream_order_placed, stream_cart_change, time_flips, refresh_catalog,
         src_population, src_eav_pivot, src_valid_orders, src_active_carts, src_cart_items, src_active_segments,
         export_csv, export_xml,
         feature_table, agg_order_summary, agg_having, agg_purchased_items, agg_distinct_products,

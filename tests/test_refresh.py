@@ -88,7 +88,7 @@ def test_a_failed_refresh_keeps_the_members(spark, small):
     # data written without its commit stays invisible, and is overwritten by the next refresh
     e.matches(LATER, 1).selectExpr("1 AS segment_id", "customer_id + 1000 AS customer_id").write.partitionBy(
         "segment_id"
-    ).parquet(f"{e.store.root}/members/seq={e.store._next_seq()}")
+    ).parquet(f"{e.store.root}/members/seq={e.store.next_seq()}")
     assert rows(e.members()) == before
     e.refresh_segment(2, LATER)
     assert {c for s, c in rows(e.members()) if s == 1} == {c for s, c in before if s == 1}
