@@ -25,7 +25,7 @@ _NARROW = 8  # columns of the rows the broadcast bound is meant for
 def lookup_join(
     large: DataFrame,
     unique: DataFrame,
-    key: str,
+    key: str | list[str],
     unique_rows: int,
     how: str = "inner",
     keys: DataFrame | None = None,

@@ -28,8 +28,7 @@ from ..sources.shop import VOID_STATES, Shop
 from .evaluate import RuleSet, active_rules, compile_segments, deadlines, deadlines_from, matches, matches_from
 
 # The actions recorded in the activity log.
-REFRESH_BEFORE, REFRESH_AFTER, REFRESH_FAILED = "refresh_before", "refresh_after", "refresh_failed"
-ASSIGNED, REMOVED, SAVED = "assigned", "removed", "saved"
+REFRESH_BEFORE, REFRESH_FAILED, SAVED = "refresh_before", "refresh_failed", "saved"
 
 log = logging.getLogger(__name__)
 
@@ -165,25 +164,31 @@ class SegmentEngine:
         report = RefreshReport(failures=dict(rules.failures))
         self._log([(segment_id, REFRESH_BEFORE, None, now) for segment_id in sorted({*rules.rules, *rules.failures})])
         groups = [rules.rules] if rules.rules else []
+        marked = batch is None
         while groups:
             group = groups.pop()
+            last = batch if not groups else None  # a batch counts as done with the commit of its last part
             try:
                 found = matches(self.shop, RuleSet(group), now, self.registry)
                 flips = deadlines(self.shop, RuleSet(group), now, self.registry)
-                report.counts |= self.store.replace(found, group, now, batch, flips)
+                report.counts |= self.store.replace(found, group, now, last, flips)
+                marked = marked or last is not None
             except (PySparkException, Py4JError) as problem:
-                if len(group) > 1:  # some rule's facts cannot be read: refresh each on its own
-                    groups += [{segment_id: rule} for segment_id, rule in group.items()]
+                if len(group) > 1:  # the facts of some rule cannot be read: look for it in either half
+                    ordered = sorted(group.items())
+                    groups += [dict(ordered[: len(ordered) // 2]), dict(ordered[len(ordered) // 2 :])]
                 else:
                     report.failures |= dict.fromkeys(group, str(problem))
+        if not marked:
+            self.store.mark(batch)
         for segment_id, problem in report.failures.items():
             log.error("segment %s not refreshed: %s", segment_id, problem)
         self._log_refresh(report, now)
         return report
 
     def _log_refresh(self, report: RefreshReport, now: dt.datetime) -> None:
-        rows = [(sid, REFRESH_AFTER, f"assigned_count={n}", now) for sid, n in report.counts.items()]
-        self._log(rows + [(sid, REFRESH_FAILED, problem, now) for sid, problem in report.failures.items()])
+        # what was refreshed is logged by its commit
+        self._log([(sid, REFRESH_FAILED, problem, now) for sid, problem in report.failures.items()])
 
     def _log(self, rows: list[tuple]) -> None:
         if rows:
@@ -227,23 +232,20 @@ class SegmentEngine:
             people = people.unionByName(self.store.due(now).select("customer_id"))
         shop, touched, rows = self._shop_of(people.where("customer_id > 0"))
         facts = self._facts(rules)
-        if facts is None:
-            found = matches(shop, rules, now, self.registry)
-            flips = deadlines(shop, rules, now, self.registry)
-        else:
+        if facts is not None:
             found, flips = self._from_kept(shop, facts.rows(touched, rows), facts, rules, now)
+        elif rules.flips:
+            features = feature_table(shop, rules.features | rules.moments, now, self.registry.facts)
+            found, flips = self._decided(features, rules, now)
+        else:
+            found, flips = matches(shop, rules, now, self.registry), None
         delta = membership.delta(found, self._held(rules, touched, rows), add_only)
-        return self._changed(self.store.change(delta, now, batch, flips, now if elapsed else None))
+        return self.store.change(delta, now, batch, flips, now if elapsed else None)
 
     def _held(self, rules: RuleSet, touched: DataFrame, rows: int) -> DataFrame:
         held = self.store.members().where(F.col("segment_id").isin(list(rules.rules)))
         return lookup_join(held, touched, "customer_id", rows, "left_semi")
 
-    def _changed(self, seq: int | None) -> int | None:
-        if seq is not None:
-            self._log_changes(seq)
-        return seq
-
     # -- new facts -------------------------------------------------------------
 
     def build_facts(self, shop: Shop | None = None) -> None:
@@ -264,9 +266,12 @@ class SegmentEngine:
     ) -> tuple[DataFrame, DataFrame]:
         """Matches, and deadlines, of the customers of ``shop``."""
         wanted = rules.features | rules.moments
-        features = feature_table_of(shop, parts, facts.wanted, wanted, now, self.registry.facts)
-        features = written(features, "features")  # small, and read twice
-        return matches_from(features, rules.rules), deadlines_from(features, rules, now)
+        return self._decided(feature_table_of(shop, parts, facts.wanted, wanted, now, self.registry.facts), rules, now)
+
+    def _decided(self, features: DataFrame, rules: RuleSet, now: dt.datetime) -> tuple[DataFrame, DataFrame | None]:
+        """Matches and deadlines; the features, of some customers only, are read twice."""
+        features = written(features, "features") if rules.flips else features
+        return matches_from(features, rules.rules), deadlines_from(features, rules, now) if rules.flips else None
 
     def place_orders(self, orders: DataFrame, now: dt.datetime, batch: str | None = None, elapsed: bool = True) -> int | None:
         """New orders (rows of ``sales_order``) of a micro-batch: their customers' realtime segments follow.
@@ -304,8 +309,7 @@ class SegmentEngine:
             more = facts.add(seq, shop.only(table, rows), renewed if again else None, self.shop.for_customers(renewed, again))
             found, flips = self._from_kept(shop, facts.rows(touched, count, pending=seq), facts, rules, now)
             delta = membership.delta(found, self._held(rules, touched, count))
-            seq = self.store.change(delta, now, batch, flips, now if elapsed else None, seq, more)
-        return self._changed(seq)
+            return self.store.change(delta, now, batch, flips, now if elapsed else None, seq, more)
 
     def _shop_of(self, people: DataFrame) -> tuple[Shop, DataFrame, int]:
         """The facts of some customers only, their distinct ids, and how many they are."""
@@ -331,20 +335,7 @@ class SegmentEngine:
 
     def _change_by_hand(self, delta: DataFrame, now: dt.datetime, batch: str | None) -> int:
         seq = self.store.change(delta, now, batch)
-        if seq is None:
-            return 0
-        self._log_changes(seq)
-        return self.store.changes(seq).count()
-
-    def _log_changes(self, seq: int) -> None:
-        self.store.append_log(
-            self.store.changes(seq).selectExpr(
-                "segment_id",
-                f"if(assigned, '{ASSIGNED}', '{REMOVED}') AS action",
-                "concat('customer_id=', CAST(customer_id AS STRING)) AS details",
-                "assigned_at AS created_at",
-            )
-        )
+        return 0 if seq is None else self.store.changes(seq).count()
 
     # -- evaluation without writing --------------------------------------------
 

@@ -24,6 +24,7 @@ from .membership_store import MembershipStore
 from .shop import BUCKET, Shop, bucket_of
 
 MOST_OPEN = 32  # writes after which the rows of all customers are merged into one write
+BUCKET_CUSTOMERS, MOST_BUCKETS = 20_000, 4096
 _STATE = "reset boolean"
 
 
@@ -31,12 +32,12 @@ class FactStore:
     """``kinds`` are the kinds of facts that are kept; features of other facts are left alone."""
 
     def __init__(
-        self, store: MembershipStore, shop: Shop, features: Iterable[Feature], kinds: Iterable[str], buckets: int = 256
+        self, store: MembershipStore, shop: Shop, features: Iterable[Feature], kinds: Iterable[str], buckets: int | None = None
     ) -> None:
         self.store, self.buckets = store, buckets
         self.wanted = Wanted(kept_features(features, kinds))
         names = ",".join([*sorted(kinds), *(feature.name for feature in self.wanted.features)])
-        self.name = hashlib.sha1(f"{buckets}:{names}".encode()).hexdigest()[:16]
+        self.name = hashlib.sha1(names.encode()).hexdigest()[:16]
         self.root = f"{store.root}/facts/{self.name}"
         self.schema = partial_facts(shop, self.wanted).schema
         self.kinds = (f"facts {self.name}", f"all facts {self.name}")
@@ -46,9 +47,12 @@ class FactStore:
     def _open(self) -> list[int]:
         """The writes to be read: the last one of everybody and those behind it."""
         part, whole = self.kinds
-        rows = self.store.commits().where(F.col("kind").isin(part, whole)).select("kind", "seq").distinct().collect()
-        last = max((row.seq for row in rows if row.kind == whole), default=None)
-        return [] if last is None else sorted(row.seq for row in rows if row.seq >= last)
+        rows = self.store.commits().where(F.col("kind").isin(part, whole)).select("kind", "seq", "customer_count").collect()
+        last = max((row for row in rows if row.kind == whole), key=lambda row: row.seq, default=None)
+        if last is None:
+            return []
+        self.buckets = last.customer_count  # as they were cut when the facts were built
+        return sorted({row.seq for row in rows if row.seq >= last.seq})
 
     def is_built(self) -> bool:
         return bool(self._open())
@@ -78,10 +82,12 @@ class FactStore:
         ordered.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/seq={seq}")
 
     def build(self, shop: Shop) -> None:
-        """The facts of everybody, from the shop."""
+        """The facts of everybody, from the shop. Without a number of buckets, one for each ``BUCKET_CUSTOMERS``."""
+        if self.buckets is None:
+            self.buckets = max(1, min(MOST_BUCKETS, shop.customer.count() // BUCKET_CUSTOMERS))
         seq = self.store.next_seq()
         self._write(seq, partial_facts(shop, self.wanted).withColumn("reset", F.lit(False)))
-        self.store.commit(seq, [(self.kinds[1], None, None, None, None)])
+        self.store.commit(seq, [(self.kinds[1], None, None, self.buckets, None)])
 
     def add(self, seq: int, fresh: Shop | None, renewed: DataFrame | None, history: Shop | None) -> list[tuple]:
         """Write the facts of ``fresh``, and all of ``history`` for the customers ``renewed``; the commit rows that make them visible.
@@ -110,7 +116,7 @@ class FactStore:
         seq = self.store.next_seq()
         whole = small_table(self.store.spark, [], self.schema).unionByName(self.rows(), allowMissingColumns=True)
         self._write(seq, whole.withColumn("reset", F.lit(False)))
-        self.store.commit(seq, [(self.kinds[1], None, None, None, None)])
+        self.store.commit(seq, [(self.kinds[1], None, None, self.buckets, None)])
         return True
 
 

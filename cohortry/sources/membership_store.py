@@ -2,10 +2,12 @@
 
 Three append-only Parquet tables below one root::
 
-    members/seq=N/segment_id=S/   full member lists written by refreshes
-    changes/seq=N/                single assignments and removals
-    deadlines/seq=N/due_day=D/    when time alone may next change a customer's answers
-    commits/seq=N/                what became visible with write N
+    members/seq=N/segment_group=G/  full member lists written by refreshes, sorted by segment and customer
+    changes/seq=N/                  single assignments and removals
+    deadlines/seq=N/due_week=D/     when time alone may next change a customer's answers
+    commits/seq=N/                  what became visible with write N
+    folded/upto=N/                  the same for all writes up to N, in place of their folders
+    log/                            what was done beside refreshes and changes, which are their own log
 
 Data is written first and becomes visible with the one-file commit behind it. A failed
 or lost job therefore leaves the previous state in place, a segment that matches nobody
@@ -25,12 +27,19 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.values import all_of, any_of, instant_literal
+from ..operators.joins import lookup_join
 from ..session import small_table
 
 _COMMITS = "kind string, batch string, segment_id int, customer_count bigint, committed_at timestamp_ntz"
 _CHANGES = "segment_id int, customer_id bigint, assigned boolean, assigned_at timestamp_ntz"
 _DEADLINES = "customer_id bigint, due_at timestamp_ntz"
-REFRESH, CHANGE, DEADLINES, CLOCK = "refresh", "change", "deadlines", "clock"
+MOST_NAMED = 500  # lists that a filter names one by one
+GROUPS = 64  # folders of the lists of one write: a few segments have one each, thousands share them
+REFRESH, FOLD, CHANGE, DEADLINES, CLOCK, BATCH = "refresh", "fold", "change", "deadlines", "clock", "batch"
+MOST_COMMITS = 100  # commit files after which they are folded into one
+MOST_CHANGES = 50  # open changes after which the lists they belong to are written anew
+# The actions recorded in the activity log.
+REFRESH_AFTER, ASSIGNED, REMOVED = "refresh_after", "assigned", "removed"
 
 
 class _Writing:
@@ -56,13 +65,47 @@ class MembershipStore:
     # -- reading ---------------------------------------------------------------
 
     def commits(self) -> DataFrame:
-        return self.spark.read.schema(f"{_COMMITS}, seq int").parquet(f"{self.root}/commits")
+        upto = self._folded()
+        later = self.spark.read.schema(f"{_COMMITS}, seq int").parquet(f"{self.root}/commits")
+        if upto is None:
+            return later
+        earlier = self.spark.read.schema(f"{_COMMITS}, seq int").parquet(f"{self.root}/folded/upto={upto}")
+        return earlier.unionByName(later.where(f"seq > {upto}"))
+
+    def _folders(self, name: str) -> dict[int, object]:
+        """Numbers of the folders ``name``/...=N, with their paths."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [status.getPath() for status in files.listStatus(path)] if files.exists(path) else []
+        numbered = [(p.getName().rsplit("=", 1), p) for p in found if "=" in p.getName()]
+        # a write that failed left no such mark
+        done = lambda p: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        return {int(number): p for (_, number), p in numbered if name != "folded" or done(p)}
+
+    def _folded(self) -> int | None:
+        return max(self._folders("folded"), default=None)
+
+    def fold_commits(self) -> None:
+        """Write all commit rows into one file and remove the files they came from.
+
+        Whoever reads meanwhile sees either; a crash in between leaves files that are not read any more.
+        """
+        with self._writing.lock:
+            rows = self.commits()
+            upto = rows.selectExpr("max(seq)").first()[0]
+            rows.repartition(1).write.mode("overwrite").parquet(f"{self.root}/folded/upto={upto}")
+            conf = self.spark._jsc.hadoopConfiguration()
+            # the empty first commit stays, so that the folder is there
+            for name, first in (("commits", 1), ("folded", 0)):
+                for number, path in self._folders(name).items():
+                    if first <= number <= upto and not (name == "folded" and number == upto):
+                        path.getFileSystem(conf).delete(path, True)
 
     def status(self) -> DataFrame:
         """Latest refresh per segment: segment_id, customer_count, last_refreshed."""
         return (
             self.commits()
-            .where(f"kind = '{REFRESH}'")
+            .where(f"kind IN ('{REFRESH}', '{FOLD}')")
             .groupBy("segment_id")
             .agg(F.expr("max_by(customer_count, seq) AS customer_count"), F.expr("max_by(committed_at, seq) AS last_refreshed"))
         )
@@ -76,7 +119,28 @@ class MembershipStore:
         )
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(f"{schemas.SEGMENT_LOG}, seq int").parquet(f"{self.root}/log").drop("seq")
+        """The activity log: what was appended, and every committed refresh and change.
+
+        Those rows are read from the commits and the changes themselves, so none is lost or written twice, whatever
+        fails in between.
+        """
+        columns = _columns(schemas.SEGMENT_LOG)
+        appended = self.spark.read.schema(f"{schemas.SEGMENT_LOG}, seq int").parquet(f"{self.root}/log").select(*columns)
+        commits = self.commits()
+        refreshed = commits.where(f"kind = '{REFRESH}' AND committed_at IS NOT NULL").selectExpr(
+            "segment_id", f"'{REFRESH_AFTER}' AS action", "concat('assigned_count=', CAST(customer_count AS STRING)) AS details",
+            "committed_at AS created_at",
+        )
+        found = appended.unionByName(refreshed)
+        seqs = sorted(row.seq for row in commits.where(f"kind = '{CHANGE}'").select("seq").distinct().collect())
+        if not seqs:
+            return found
+        return found.unionByName(
+            self.spark.read.schema(_CHANGES).parquet(*[f"{self.root}/changes/seq={seq}" for seq in seqs]).selectExpr(
+                "segment_id", f"if(assigned, '{ASSIGNED}', '{REMOVED}') AS action",
+                "concat('customer_id=', CAST(customer_id AS STRING)) AS details", "assigned_at AS created_at",
+            )
+        )
 
     def _visible(self) -> tuple[dict[int, tuple[int, int]], dict[int, list[int]]]:
         """Per segment its refresh (seq, count); per later change the segments it touches.
@@ -89,7 +153,7 @@ class MembershipStore:
         newest = self.commits().groupBy("kind", "segment_id", F.expr(f"if(kind = '{CHANGE}', seq, NULL) AS change"))
         rows = newest.agg(F.expr("max(seq) AS seq"), F.expr("max_by(customer_count, seq) AS members")).collect()
         for row in rows:
-            if row.kind == REFRESH:
+            if row.kind in (REFRESH, FOLD) and row.seq > latest.get(row.segment_id, (0, 0))[0]:
                 latest[row.segment_id] = (row.seq, row.members)
         for row in rows:
             if row.kind == CHANGE and row.segment_id is not None and row.seq > latest.get(row.segment_id, (0, 0))[0]:
@@ -127,10 +191,19 @@ class MembershipStore:
                 by_seq.setdefault(seq, []).append(segment_id)
         if not by_seq:
             return small_table(self.spark, [], f"{schemas.MEMBERSHIP}, seq int")
-        # only the folders of current refreshes are listed; segment_id, a partition column, prunes within
-        reader = self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int").option("basePath", f"{self.root}/members")
+        # only the folders of current refreshes are listed; within, groups prune folders and ids row groups
+        schema = f"{schemas.MEMBERSHIP}, seq int, segment_group int"
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/members")
         lists = reader.parquet(*[f"{self.root}/members/seq={seq}" for seq in sorted(by_seq)])
-        return lists.where(_of_segments(by_seq))
+        wanted = sum(map(len, by_seq.values()))
+        if wanted > MOST_NAMED:
+            # a row per current list; lists that no refresh has replaced are read whole either way
+            pairs = [(seq, segment_id) for seq, ids in by_seq.items() for segment_id in ids]
+            current = small_table(self.spark, pairs, "seq int, segment_id int")
+            return lookup_join(lists, current, ["seq", "segment_id"], wanted, "left_semi").drop("segment_group")
+        groups = sorted({segment_id % GROUPS for ids in by_seq.values() for segment_id in ids})
+        named = f"segment_group IN ({', '.join(map(str, groups))})"
+        return lists.where(named).where(_of_segments(by_seq)).drop("segment_group")
 
     def _open_deadlines(self) -> dict[int, dt.datetime | None]:
         """Per committed write of deadlines up to when they have been dealt with by a later run.
@@ -147,7 +220,7 @@ class MembershipStore:
     def due(self, now: dt.datetime | None) -> DataFrame:
         """(customer_id, due_at) of the deadlines up to ``now`` that no run has dealt with; None: of all of them.
 
-        Only folders of the days that matter are read. A customer who was evaluated since may be there once more than
+        Only folders of the weeks that matter are read. A customer who was evaluated since may be there once more than
         necessary, which changes nothing.
         """
         by_time: dict[dt.datetime | None, list[int]] = {}
@@ -159,12 +232,13 @@ class MembershipStore:
         for since, seqs in by_time.items():
             tests = [f"seq IN ({', '.join(map(str, seqs))})"]
             if now is not None:
-                tests.append(f"due_day <= DATE '{now.date()}' AND due_at <= {instant_literal(now)}")
+                tests.append(f"due_week <= DATE '{now.date()}' AND due_at <= {instant_literal(now)}")
             if since is not None:
-                tests.append(f"due_day >= DATE '{since.date()}' AND due_at > {instant_literal(since)}")
+                week = since.date() - dt.timedelta(days=since.weekday())
+                tests.append(f"due_week >= DATE '{week}' AND due_at > {instant_literal(since)}")
             parts.append(all_of(tests))
         paths = [f"{self.root}/deadlines/seq={seq}" for seqs in by_time.values() for seq in seqs]
-        reader = self.spark.read.schema(f"{_DEADLINES}, seq int, due_day date").option("basePath", f"{self.root}/deadlines")
+        reader = self.spark.read.schema(f"{_DEADLINES}, seq int, due_week date").option("basePath", f"{self.root}/deadlines")
         return reader.parquet(*paths).where(any_of(parts)).select("customer_id", "due_at")
 
     # -- writing ---------------------------------------------------------------
@@ -181,9 +255,10 @@ class MembershipStore:
         """
         rows = []
         if deadlines is not None:
-            days = deadlines.select("customer_id", "due_at").withColumn("due_day", F.col("due_at").cast("date"))
-            path = f"{self.root}/deadlines/seq={seq}"
-            days.hint("rebalance", "due_day").write.mode("overwrite").partitionBy("due_day").parquet(path)
+            week = F.date_trunc("week", F.col("due_at")).cast("date").alias("due_week")
+            weeks = deadlines.select("customer_id", "due_at", week).hint("rebalance", "due_week")
+            ordered = weeks.sortWithinPartitions("due_week", "due_at")
+            ordered.write.mode("overwrite").partitionBy("due_week").parquet(f"{self.root}/deadlines/seq={seq}")
             rows.append((DEADLINES, None, None, None, None))
         if clock is not None:
             rows.append((CLOCK, None, None, None, clock))
@@ -211,6 +286,14 @@ class MembershipStore:
     def applied(self, batch: str) -> bool:
         return not self.commits().where(F.col("batch") == batch).isEmpty()
 
+    def mark(self, batch: str) -> None:
+        """Say that a batch has been dealt with, where no other commit says so."""
+        self.commit(self.next_seq(), [(BATCH, batch, None, None, None)])
+
+    def _fold_if_many(self) -> None:
+        if len(self._folders("commits")) > MOST_COMMITS:
+            self.fold_commits()
+
     def commit(self, seq: int, rows: list[tuple]) -> None:
         one_file = small_table(self.spark, rows, _COMMITS).coalesce(1)
         one_file.write.mode("overwrite").parquet(f"{self.root}/commits/seq={seq}")
@@ -243,7 +326,7 @@ class MembershipStore:
             return {}
         refreshed = {row.segment_id: row.last_refreshed for row in self.status().collect()}
         lists = self.members().where(F.col("segment_id").isin(sorted(changed)))
-        return self._write_lists(seq, lists, {segment_id: refreshed.get(segment_id) for segment_id in changed}, None)
+        return self._write_lists(seq, lists, {segment_id: refreshed.get(segment_id) for segment_id in changed}, None, kind=FOLD)
 
     def drop(self, segment_ids: Iterable[int]) -> None:
         """Forget the members of deleted segments."""
@@ -256,20 +339,23 @@ class MembershipStore:
         refreshed: dict[int, dt.datetime | None],
         batch: str | None,
         more: Iterable[tuple] = (),
+        kind: str = REFRESH,
     ) -> dict[int, int]:
         """Write and commit full member lists, ``refreshed`` at these times.
 
-        Rows are rebalanced by segment before the write: AQE cuts the hot segments into
+        Rows are rebalanced by group of segments before the write: AQE cuts the hot ones into
         several files and puts the small ones together, so neither one task nor a
         million tiny files result.
         """
         path = f"{self.root}/members/seq={seq}"
-        lists.hint("rebalance", "segment_id").write.mode("overwrite").partitionBy("segment_id").parquet(path)
+        grouped = lists.withColumn("segment_group", F.expr(f"pmod(segment_id, {GROUPS})")).hint("rebalance", "segment_group")
+        ordered = grouped.sortWithinPartitions("segment_group", "segment_id", "customer_id")
+        ordered.write.mode("overwrite").partitionBy("segment_group").parquet(path)
         counts = dict.fromkeys(refreshed, 0)
         written = self.spark.read.schema(schemas.MEMBERSHIP).parquet(path)
         for row in written.groupBy("segment_id").count().collect():  # one row per segment
             counts[row.segment_id] = row["count"]
-        commits = [(REFRESH, batch, segment_id, count, refreshed[segment_id]) for segment_id, count in counts.items()]
+        commits = [(kind, batch, segment_id, count, refreshed[segment_id]) for segment_id, count in counts.items()]
         self.commit(seq, [*commits, *more])
         return counts
 
@@ -295,14 +381,17 @@ class MembershipStore:
             if batch is not None and self.applied(batch):
                 return None
             seq = self.next_seq() if seq is None else seq
-            return self._write_change(seq, delta, now, batch, [*more, *self._write_deadlines(seq, deadlines, clock)])
+            self._write_change(seq, delta, now, batch, [*more, *self._write_deadlines(seq, deadlines, clock)])
+            if len(self._visible()[1]) > MOST_CHANGES:
+                self.fold_changes()
+            self._fold_if_many()
+            return seq
 
-    def _write_change(self, seq: int, delta: DataFrame, now: dt.datetime, batch: str | None, more: list[tuple]) -> int:
+    def _write_change(self, seq: int, delta: DataFrame, now: dt.datetime, batch: str | None, more: list[tuple]) -> None:
         rows = delta.selectExpr("segment_id", "customer_id", "assigned", f"{instant_literal(now)} AS assigned_at")
         rows.write.mode("overwrite").parquet(f"{self.root}/changes/seq={seq}")
         touched = [row.segment_id for row in self.changes(seq).select("segment_id").distinct().collect()]
         self.commit(seq, [*((CHANGE, batch, segment_id, None, now) for segment_id in touched or [None]), *more])
-        return seq
 
     def changes(self, seq: int) -> DataFrame:
         return self.spark.read.schema(_CHANGES).parquet(f"{self.root}/changes/seq={seq}")

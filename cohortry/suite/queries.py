@@ -15,14 +15,14 @@ from ..operators import features as feats
 from ..operators import lifecycle, lookup, membership
 from ..operators.conditions import ConditionRegistry
 from ..plans.evaluate import compile_segments, matches
-from ..plans.refresh import ASSIGNED, SAVED, SegmentEngine, log_rows
+from ..plans.refresh import SAVED, SegmentEngine, log_rows
 from ..plans.rules import group, leaf
 from ..session import small_table, work_dir, written
 from ..sources import eav, shop as scans
 from ..sources.definition_store import DefinitionStore
 from ..sources.driver_tables import K as _BIG_K
 from ..sources.driver_tables import quotes, read, sales_orders, shop
-from ..sources.membership_store import MembershipStore
+from ..sources.membership_store import ASSIGNED, MembershipStore
 from ..sources.shop import Shop
 from ..streaming import changes
 from . import definitions as defs
