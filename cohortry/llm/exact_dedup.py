@@ -2,8 +2,9 @@
 
 1. Each text is read once; its normalised text becomes a SHA-256 digest (stored with the id in the shared folder).
 2. First pass: every digest sets two bits of one filter block. Bits set more than once are counted as such: a task
-   sends its set bits as short sorted lists per block, and the merged filter keeps the bits set at least twice. Its size
-   follows the number of rows up to ``most_bits``; beyond that it merely lets more rows through.
+   sends its set bits as short sorted lists per block, and the merged filter keeps the bits set at least twice. It has
+   ``BITS_A_ROW`` bits for each row, however many there are: where that is more than ``most_bits``, the digests are dealt
+   to several ranges by hash, stored apart, and each range has a filter of its own, one after the other.
 3. Second pass: a digest whose two bits are not both set twice is unique and passes straight on. The others are grouped
    by digest with map-side combining, and joined back to their rows, which AQE splits when one digest is hot.
 """
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry.llm.text import SPACES, rows_by, slices
-from cohortry.session import written
+from cohortry.session import work_dir, written
 
 BLOCK_BITS = 1 << 16
 BITS_A_ROW = 16
@@ -39,9 +41,10 @@ def digests(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(digest, f"doc_id {kind}, n_points long, digest binary")
 
 
-def filter_bits(rows: int, most_bits: int = MOST_BITS) -> int:
-    """A power of two, ``BITS_A_ROW`` for each row and at most ``most_bits``."""
-    return min(most_bits, max(BLOCK_BITS, 1 << (max(1, rows * BITS_A_ROW) - 1).bit_length()))
+def filter_sizes(rows: int, most_bits: int = MOST_BITS) -> tuple[int, int]:
+    """Ranges, and bits of the filter of each: powers of two that give every row ``BITS_A_ROW``, at most ``most_bits`` a filter."""
+    bits = max(BLOCK_BITS, 1 << (max(1, rows * BITS_A_ROW) - 1).bit_length())
+    return max(1, bits // most_bits), min(most_bits, bits)
 
 
 def _positions(found: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,18 +108,8 @@ def repeated_bits(found: DataFrame, bits: int) -> np.ndarray:
     return whole
 
 
-def exact_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest: one row for each row of ``documents``.
-
-    Texts are equal when they are without white space (NULL counts as empty). The longest original text stays, then
-    the smallest doc_id; a NULL id loses against others. Rows that repeat an id are rows of their own: they count in
-    group_size, and of such equal rows each that ties for the first place is kept. An empty table gives no rows. Extra
-    columns are not looked at.
-    """
-    spark = documents.sparkSession
-    found = written(digests(documents, doc_id, text), "digests")
-    bits = filter_bits(found.count(), most_bits)
-    shared = spark.sparkContext.broadcast(repeated_bits(found, bits))
+def _tested(shared: Broadcast, bits: int):
+    """Whether a row's two bits were both set more than once."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = shared.value
@@ -129,8 +122,33 @@ def exact_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "
                     maybe &= (whole[block, at >> 3] >> (7 - (at & 7))) & 1 > 0
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], ["doc_id", "n_points", "digest", "maybe"])
 
+    return test
+
+
+def exact_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, digest: one row for each row of ``documents``.
+
+    Texts are equal when they are without white space (NULL counts as empty). The longest original text stays, then
+    the smallest doc_id; a NULL id loses against others. Rows that repeat an id are rows of their own: they count in
+    group_size, and of such equal rows each that ties for the first place is kept. An empty table gives no rows. Extra
+    columns are not looked at.
+    """
+    spark = documents.sparkSession
+    ranges, bits = filter_sizes(documents.count(), most_bits)
+    found = digests(documents, doc_id, text)
+    # the last bytes of the digest deal; the filter looks at the first ones
+    dealt = F.conv(F.hex(F.expr("right(digest, 4)")), 16, 10).cast("long") % ranges
+    path = work_dir(spark, "digests")
+    found.withColumn("range", dealt).write.partitionBy("range").parquet(path)
+    stored = spark.read.schema(found.schema.add("range", "long")).parquet(path)
     kind = found.schema["doc_id"].dataType.simpleString()
-    tested = found.mapInArrow(test, f"doc_id {kind}, n_points long, digest binary, maybe boolean")
+    schema = f"doc_id {kind}, n_points long, digest binary, maybe boolean"
+    tested = spark.createDataFrame([], schema)
+    for number in range(ranges):
+        part = stored.where(F.col("range") == number).drop("range")
+        shared = spark.sparkContext.broadcast(repeated_bits(part, bits))
+        tested = tested.unionByName(written(part.mapInArrow(_tested(shared, bits), schema), "tested-digests"))
+        shared.destroy()
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     maybe = tested.where("maybe").drop("maybe")
     first = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), "doc_id"))

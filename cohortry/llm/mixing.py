@@ -87,7 +87,7 @@ def _order(seed: int, id_: Column, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def cuts(rows: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: Column, epochs: int, seed: int) -> DataFrame:
+def cuts(rows: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], budget: Column, epochs: int, seed: int, full: bool = False) -> DataFrame:
     """For every leaf of rows (id, tokens and the levels): whole epochs, and the last place of the prefix (NULL: none)."""
     leaves = rows.groupBy(*levels).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     leaves = written(leaves, "leaves")
@@ -105,11 +105,14 @@ def cuts(rows: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[s
     sums = placed.groupBy(*levels, "bucket").agg(F.sum("tokens").alias("held"), F.first("prefix").alias("prefix"))
     earlier = Window.partitionBy(*levels).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
-    sums = sums.where(F.col("before") <= F.col("prefix")).groupBy(*levels).agg(F.max("bucket").alias("last"), F.max("before").alias("before"))
+    sums = sums.where(F.col("before") < F.col("prefix") if full else F.col("before") <= F.col("prefix")).groupBy(*levels).agg(F.max("bucket").alias("last"), F.max("before").alias("before"))
     sums = written(sums, "last-buckets")
     last = _joined(placed, sums, levels, small).where("bucket = last")
     up_to = F.sum("tokens").over(Window.partitionBy(*levels).orderBy("place"))  # rows of one place count together
-    inside = last.withColumn("up_to", up_to + F.col("before")).where("up_to <= prefix").groupBy(*levels).agg(F.max("place").alias("cut"))
+    # either the prefix ends before the row that reaches beyond it, or with that row
+    fits = "up_to <= prefix" if not full else "up_to - own < prefix"
+    same_place = F.sum("tokens").over(Window.partitionBy(*levels, "place"))
+    inside = last.withColumn("up_to", up_to + F.col("before")).withColumn("own", same_place).where(fits).groupBy(*levels).agg(F.max("place").alias("cut"))
     inside = _joined(sums, inside.withColumnRenamed("cut", "found"), levels).select(*levels, F.col("found").alias("cut"))
     # a prefix that ends before its last bucket's first row holds all rows of the buckets before
     ends = _joined(placed, sums, levels, small).where("bucket < last").groupBy(*levels).agg(F.max("place").alias("cut"))
@@ -119,14 +122,15 @@ def cuts(rows: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[s
     return written(none.unionByName(either).groupBy(*levels).agg(F.max("epochs").alias("epochs"), F.max("cut").alias("cut")), "cuts")
 
 
-def mixed_copies(documents: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], budget: Column, tokens: Column, epochs: int = 1, seed: int = 0, doc_id: str = "doc_id") -> DataFrame:
+def mixed_copies(documents: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], budget: Column, tokens: Column, epochs: int = 1, seed: int = 0, doc_id: str = "doc_id", full: bool = False) -> DataFrame:
     """doc (all columns as a struct), the levels, n_tokens, copies: how often each document is taken, 0 included.
 
     ``levels``: name and expression of each level, from the top. ``weights``: by level and value, whole numbers from 0;
     values not named, NULL too, weigh 1, and a weight of 0 takes nothing. ``budget``: tokens wanted, an expression that may
     use the sum of all, ``total``. ``epochs``: how often a document may be taken.
 
-    A prefix ends before the first document that does not fit. Rows that repeat an id have the same place in the order
+    A prefix ends before the first document that does not fit; with ``full`` it ends with the document that reaches its
+    end, so that every leaf gets its budget and one document's rest more at most. Rows that repeat an id have the same place in the order
     and are taken or left together; rows without an id share one place. Documents without tokens are taken with the
     prefix they lie in; in a leaf without any tokens, none is taken. An empty table gives no rows.
     """
@@ -134,7 +138,7 @@ def mixed_copies(documents: DataFrame, levels: Mapping[str, Column], weights: Ma
     named = list(levels)
     table = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias(doc), F.col(f"`{doc_id}`").alias("id"), tokens.alias("tokens"), *(x.alias(k) for k, x in levels.items()))
     rows = written(table.drop(doc), "mixing")
-    found = cuts(rows, named, weights, budget, epochs, seed)
+    found = cuts(rows, named, weights, budget, epochs, seed, full)
     small = found.count() <= BROADCAST_LEAVES
     taken = F.coalesce((_order(seed, F.col("id"), F.col("epochs")) <= F.col("cut")) & (F.col("epochs") < epochs), F.lit(False))
     copies = (F.col("epochs") + taken.cast("long")).alias("copies")

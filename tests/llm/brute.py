@@ -82,7 +82,7 @@ def shared_out(given, children):
     return parts
 
 
-def copies(rows, weights, levels, budget, epochs, seed):
+def copies(rows, weights, levels, budget, epochs, seed, full=False):
     """rows: id, tokens, path. How often each is taken."""
     room = collections.Counter()
     tokens = collections.Counter()
@@ -105,5 +105,7 @@ def copies(rows, weights, levels, budget, epochs, seed):
         place = lambda i, whole=whole: hashlib.md5(f"{seed}:{whole}:{'null' if i is None else i}".encode()).hexdigest()
         for i, n in own:
             up_to = sum(m for j, m in own if place(j) <= place(i))
-            found.append((i, n, path, whole + (prefix > 0 and whole < epochs and up_to <= prefix)))
+            before = sum(m for j, m in own if place(j) < place(i))
+            inside = before < prefix if full else up_to <= prefix
+            found.append((i, n, path, whole + (prefix > 0 and whole < epochs and inside)))
     return found

@@ -4,8 +4,8 @@ import collections
 
 import pytest
 
-from cohortry.llm import line_dedup
-from cohortry.llm.exact_dedup import BLOCK_BITS, exact_duplicates, filter_bits
+from cohortry.llm import exact_dedup, line_dedup
+from cohortry.llm.exact_dedup import BLOCK_BITS, exact_duplicates, filter_sizes
 from cohortry.llm.line_dedup import line_bitmaps, without_lines
 
 from . import brute
@@ -21,14 +21,19 @@ def test_exact_duplicates(spark, copies):
     assert Bag((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest)) for r in got) == Bag(brute.exact(rows))
 
 
-def test_exact_duplicates_with_a_full_filter(spark):
-    rows = [(i, f"text {i // 2 if i % 3 else i}") for i in range(3000)]
+def test_exact_duplicates_with_several_filters(spark, monkeypatch):
+    rows = [(i, f"text {i // 2 if i % 3 else i}") for i in range(9000)]
+    asked = []
+    real = exact_dedup.repeated_bits
+    monkeypatch.setattr(exact_dedup, "repeated_bits", lambda found, bits: asked.append((found.count(), bits)) or real(found, bits))
     got = exact_duplicates(documents(spark, rows), most_bits=BLOCK_BITS).collect()
     assert Bag((r.doc_id, r.keep_id, r.group_size, r.kept, bytes(r.digest)) for r in got) == Bag(brute.exact(rows))
+    # every row is in one range, and each range has bits enough
+    assert len(asked) == 4 and sum(n for n, _ in asked) == 9000 and all(bits >= 16 * n for n, bits in asked)
 
 
-def test_filter_size_is_bounded():
-    assert filter_bits(0) == BLOCK_BITS and filter_bits(1 << 20) == 1 << 24 and filter_bits(1 << 60) == 1 << 30
+def test_filters_grow_with_the_rows():
+    assert filter_sizes(0) == (1, BLOCK_BITS) and filter_sizes(1 << 20) == (1, 1 << 24) and filter_sizes(1 << 32) == (64, 1 << 30)
 
 
 def test_exact_duplicates_of_nothing(spark):

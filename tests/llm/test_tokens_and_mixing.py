@@ -120,16 +120,19 @@ def mixed_rows(rows, langs):
     return [(i, len(split(t)), (source, lang)) for (i, t), source, lang in zip(rows, langs[0], langs[1])]
 
 
-@pytest.mark.parametrize(("share", "epochs", "bucket_rows"), [(50, 1, 5000), (95, 1, 2), (100, 3, 2), (250, 3, 1), (0, 2, 5), (1000, 2, 3)])
-def test_mixing(spark, monkeypatch, share, epochs, bucket_rows):
+@pytest.mark.parametrize(
+    ("share", "epochs", "bucket_rows", "full"),
+    [(50, 1, 5000, False), (95, 1, 2, False), (100, 3, 2, True), (250, 3, 1, False), (0, 2, 5, True), (1000, 2, 3, False), (60, 2, 1, True)],
+)
+def test_mixing(spark, monkeypatch, share, epochs, bucket_rows, full):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
     rows = texts() + [(5000 + n, "several words of text " * (n % 9)) for n in range(60)]
     weights = {"origin": {"src0": 5, "src12": 0}, "tongue": {"en": 3}}
     table = documents(spark, rows)
-    got = mixed_copies(table, {"origin": F.col("source"), "tongue": F.col("lang")}, weights, F.expr(f"(total * {share}) div 100"), words_of(F.col("text")), epochs=epochs, seed=3).collect()
+    got = mixed_copies(table, {"origin": F.col("source"), "tongue": F.col("lang")}, weights, F.expr(f"(total * {share}) div 100"), words_of(F.col("text")), epochs=epochs, seed=3, full=full).collect()
     sources = [[None, "src0", "src3", "src12", "src0"][k % 5] for k in range(len(rows))]
     langs = [[None, "en", "de"][k % 3] for k in range(len(rows))]
-    wanted = brute.copies(mixed_rows(rows, (sources, langs)), weights, ["origin", "tongue"], lambda total: total * share // 100, epochs, 3)
+    wanted = brute.copies(mixed_rows(rows, (sources, langs)), weights, ["origin", "tongue"], lambda total: total * share // 100, epochs, 3, full)
     assert Bag((r.doc.doc_id, r.n_tokens, (r.origin, r.tongue), r.copies) for r in got) == Bag(wanted)
 
 
