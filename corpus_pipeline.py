@@ -18,7 +18,7 @@ from cohortry.llm.queries import MIXING_WEIGHTS, domain_of
 from cohortry.session import written
 
 TOXIC_FROM = 0.7
-KEPT_SHARE = 0.9
+EPOCHS = 3
 
 
 def _as_before(docs: DataFrame, rows: DataFrame, **changed) -> DataFrame:
@@ -56,12 +56,16 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of all words, shared out by domain, language and source; a document is taken once at most."""
+    """As many words as there are, shared out by domain, language and source.
+
+    What leaves of small weight have too much goes to those of large weight, whose documents are taken up to ``EPOCHS``
+    times, each time a row of its own; the words stay what they were, but for the last document of each leaf.
+    """
     levels = {"domain": domain_of(F.col("source")), "language": F.col("lang"), "origin": F.col("source")}
     weights = {"domain": MIXING_WEIGHTS["domain"], "language": MIXING_WEIGHTS["lang"], "origin": MIXING_WEIGHTS["source"]}
-    share = F.expr(f"cast(floor(total * {KEPT_SHARE}) as bigint)")
-    rows = mixed_copies(docs, levels, weights, share, words_of(F.col("text")), epochs=1, seed=11)
-    return _as_before(docs, rows.where("copies > 0"))
+    rows = mixed_copies(docs, levels, weights, F.expr("total"), words_of(F.col("text")), epochs=EPOCHS, seed=11, full=True)
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return _as_before(docs, rows.where("copies > 0").select("doc", copies.alias("copy")))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
