@@ -137,7 +137,7 @@ def exact_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "
     ranges, bits = filter_sizes(documents.count(), most_bits)
     found = digests(documents, doc_id, text)
     # the last bytes of the digest deal; the filter looks at the first ones
-    dealt = F.conv(F.hex(F.expr("right(digest, 4)")), 16, 10).cast("long") % ranges
+    dealt = F.conv(F.hex(F.substring("digest", 29, 4)), 16, 10).cast("long") % ranges
     path = work_dir(spark, "digests")
     found.withColumn("range", dealt).write.partitionBy("range").parquet(path)
     stored = spark.read.schema(found.schema.add("range", "long")).parquet(path)
