@@ -35,17 +35,20 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray, bias: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of place ``at`` in every row and, if ``n`` is not 0, the gradient of the mean loss of n by logit. Uses up ``logits``."""
-    rows = np.arange(len(at))
-    logits += bias
-    logits -= logits.max(axis=1, keepdims=True)
-    found = logits[rows, at]
+    """Log probability of place ``at`` in every column and, if ``n`` is not 0, the gradient of the mean loss of n by logit. Uses up ``logits``.
+
+    A column for each row of the text: maxima and sums then run along memory.
+    """
+    columns = np.arange(len(at))
+    logits += bias[:, None]
+    logits -= logits.max(axis=0)
+    found = logits[at, columns]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits.sum(axis=0)
     found -= np.log(total)
     if n:
-        logits *= (1 / (total * np.float32(n)))[:, None]
-        logits[rows, at] -= np.float32(1 / n)
+        logits *= 1 / (total * np.float32(n))
+        logits[at, columns] -= np.float32(1 / n)
     return logits, found
 
 
@@ -122,17 +125,20 @@ class GatedModel:
     def log_probabilities(self, states: np.ndarray, symbols: np.ndarray, back: dict | None = None) -> np.ndarray:
         """Natural log probability of each symbol after its state. ``back`` receives the gradients of the mean loss."""
         n = len(symbols)
+        share = n if back is not None else 0
+        order = np.argsort(self._class_of(symbols), kind="stable")
+        # in the order of classes every class is a slice
+        states, symbols = states[order], symbols[order]
         own, shelf, first_shelf = self._class_of(symbols), self.shelf_of[symbols], self.first_shelf
-        chances, found = _softmax(states @ self.to_class, self.class_bias, own, n if back is not None else 0)
+        chances, found = _softmax(self.to_class.T @ states.T, self.class_bias, own, share)
         if back is not None:
-            back["to_class"], back["class_bias"] = states.T @ chances, chances.sum(axis=0)
-            back["states"] = chances @ self.to_class.T
+            back["to_class"], back["class_bias"] = (chances @ states).T, chances.sum(axis=1)
+            back["states"] = chances.T @ self.to_class.T
             for name in ("to_shelf", "shelf_bias", "to_symbol", "symbol_bias"):
                 back[name] = np.zeros_like(getattr(self, name))
-        order = np.argsort(own, kind="stable")
-        edges = np.searchsorted(own[order], np.arange(len(self.bounds)))
+        edges = np.searchsorted(own, np.arange(len(self.bounds)))
         for c in np.flatnonzero(np.diff(edges)):
-            rows, low, high = order[edges[c] : edges[c + 1]], self.bounds[c], self.bounds[c + 1]
+            rows, low, high = slice(edges[c], edges[c + 1]), self.bounds[c], self.bounds[c + 1]
             if high - low == 1:
                 continue
             names, at, span = ("to_symbol", "symbol_bias"), symbols, slice(low, high)
@@ -140,17 +146,23 @@ class GatedModel:
                 names, at, span = ("to_shelf", "shelf_bias"), shelf, slice(first_shelf[c], first_shelf[c + 1])
             weights, bias = (getattr(self, name)[span] for name in names)
             held = states[rows]
-            chances, more = _softmax(held @ weights.T, bias, at[rows] - span.start, n if back is not None else 0)
+            chances, more = _softmax(weights @ held.T, bias, at[rows] - span.start, share)
             found[rows] += more
             if back is not None:
-                back[names[0]][span] = chances.T @ held
-                back[names[1]][span] = chances.sum(axis=0)
-                back["states"][rows] += chances @ weights
+                back[names[0]][span] = chances @ held
+                back[names[1]][span] = chances.sum(axis=1)
+                back["states"][rows] += chances.T @ weights
         shelved = np.flatnonzero(np.diff(first_shelf)[own] > 1)
         shelved = shelved[np.argsort(shelf[shelved], kind="stable")]
         for at in range(0, len(shelved), SHELF_ROWS):
             self._within_shelves(states, symbols, shelf, shelved[at : at + SHELF_ROWS], found, back)
-        return found
+        result = np.empty_like(found)
+        result[order] = found
+        if back is not None:
+            gradient = np.empty_like(states)
+            gradient[order] = back["states"]
+            back["states"] = gradient
+        return result
 
     def _within_shelves(self, states: np.ndarray, symbols: np.ndarray, shelf: np.ndarray, rows: np.ndarray, found: np.ndarray, back: dict | None) -> None:
         """Adds each row's symbol within its shelf; the rows come sorted by shelf."""
@@ -161,11 +173,13 @@ class GatedModel:
         members = np.minimum(low[:, None] + place, len(self.to_symbol) - 1)
         weights = self.to_symbol[members]
         logits = np.matmul(weights, held[:, :, None])[:, :, 0]
+        logits += self.symbol_bias[members]
         logits[beyond] = -np.inf
-        chances, more = _softmax(logits, self.symbol_bias[members], symbols[rows] - low, len(symbols) if back is not None else 0)
+        chances, more = _softmax(logits.T.copy(), np.zeros(1, np.float32), symbols[rows] - low, len(symbols) if back is not None else 0)
         found[rows] += more
         if back is None:
             return
+        chances = chances.T.copy()
         back["states"][rows] += np.matmul(chances[:, None, :], weights)[:, 0]
         edges = np.flatnonzero(np.diff(own, prepend=-1))
         kept, into = ~beyond[edges], members[edges]
@@ -250,24 +264,31 @@ class Trainer:
         model, w, (steps, lanes) = self.model, self.model.width, symbols.shape
         trace, states = [], np.empty((steps, lanes, w), np.float32)
         for t in range(steps):
-            start = np.where(begins[t][:, None], np.float32(0), state)
+            start = np.where(begins[t][:, None], np.float32(0), state) if begins[t].any() else state
             state, *gates = model.step(before[t], start)
             states[t] = state
             trace.append((start, *gates))
         back: dict[str, np.ndarray] = {}
         model.log_probabilities(states.reshape(-1, w), symbols.ravel(), back)
         out = back.pop("states").reshape(steps, lanes, w)
-        inputs, recurrent = np.empty((steps, lanes, 3 * w), np.float32), np.zeros_like(model.recurrent)
+        inputs, mixed_in = np.empty((steps, lanes, 3 * w), np.float32), np.empty((steps, lanes, 3 * w), np.float32)
         following = np.zeros((lanes, w), np.float32)
         for t in reversed(range(steps)):
             start, update, reset, candidate, mixed = trace[t]
-            d = out[t] + following
-            d_candidate = d * (1 - update) * (1 - candidate * candidate)
-            d_gates = np.concatenate([d * (start - candidate) * update * (1 - update), d_candidate * mixed * reset * (1 - reset), d_candidate * reset], axis=1)
-            recurrent += start.T @ d_gates
-            following = np.where(begins[t][:, None], np.float32(0), d * update + d_gates @ model.recurrent.T)
-            inputs[t] = d_gates
+            d, gates = out[t], mixed_in[t]
+            d += following
+            d_candidate = d * (1 - update)
+            d_candidate *= 1 - candidate * candidate
+            np.multiply(d * (start - candidate), update * (1 - update), out=gates[:, :w])
+            np.multiply(d_candidate, reset, out=gates[:, 2 * w :])
+            np.multiply(d_candidate * mixed, reset * (1 - reset), out=gates[:, w : 2 * w])
+            d *= update
+            d += gates @ model.recurrent.T
+            following = np.where(begins[t][:, None], np.float32(0), d) if begins[t].any() else d
+            inputs[t, :, : 2 * w] = gates[:, : 2 * w]
             inputs[t, :, 2 * w :] = d_candidate
+        starts = np.concatenate([start for start, *_ in trace])
+        recurrent = starts.T @ mixed_in.reshape(-1, 3 * w)
         rows = before.ravel()
         order = np.argsort(rows, kind="stable")
         edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
