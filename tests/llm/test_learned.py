@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortry.llm import language_id, lm_scoring, toxicity
 from cohortry.llm.gated_model import NAMES, GatedModel, Trainer
 from cohortry.llm.queries import queries
+from cohortry.llm.text import _BASE, _LETTER, mixed
 
 from .odd import documents, texts, words_of
 
@@ -252,21 +253,93 @@ def test_the_risk_of_the_negatives_stays_non_negative():
     draw = np.random.default_rng(0)
 
     def rows(n, marked):
-        buckets = [np.append(draw.integers(100, 200, 20), [7] if k < marked else []).astype("<i4") for k in range(n)]
-        return [type("Row", (), {"buckets": b.tobytes(), "counts": np.ones(len(b), "<f4").tobytes(), "words": 20}) for b in buckets]
+        return [set(draw.integers(100, 200, 20)) | ({7} if k < marked else set()) for k in range(n)]
 
     positive, unlabelled = rows(100, 100), rows(400, 80)
-    held = [sum(np.bincount(np.unique(np.frombuffer(r.buckets, "<i4")), minlength=1 << toxicity.BITS) for r in x) for x in (positive, unlabelled)]
+    held = [sum(np.bincount(sorted(r), minlength=1 << toxicity.BITS) for r in x) for x in (positive, unlabelled)]
     telling = toxicity.telling_buckets(*held, (100, 400))
     assert np.flatnonzero(telling).tolist() == [7]
 
-    def only(x):
-        for r in x:
-            r.buckets = np.array([7] if 7 in np.frombuffer(r.buckets, "<i4") else [], "<i4").tobytes()
-            r.counts = np.ones(len(r.buckets) // 4, "<f4").tobytes()
-        return toxicity._Texts.of(x)
+    def only(n, marked):
+        one = np.zeros(1, "<i4").tobytes(), np.ones(1, "<f4").tobytes()
+        return toxicity._Texts.of(*map(list, zip(*[one if k < marked else (b"", b"") for k in range(n)])))
+
+    texts_u, asked = only(400, 80), []
+
+    class Held:
+        def negatives(self, weights, bias):
+            values = texts_u.sums(weights) + bias
+            score = 1 / (1 + np.exp(-values))
+            asked.append(np.logaddexp(0, values).mean())
+            return asked[-1], score.mean(), texts_u.gradient(score, 1) / 400
+
+    weights, bias = toxicity.non_negative_fit(only(100, 100), Held(), 0.2, 1)
+    values = texts_u.sums(weights) + bias
+    assert values[:80].min() > values[80:].max() + 0.5 and len(asked) == toxicity.STEPS
+
+
+def test_steps_see_every_unlabelled_text(spark):
+    """Sums over tasks are those of a loop over all texts, those without a telling bucket included."""
+    draw = np.random.default_rng(3)
+    held = [([int(x) for x in draw.integers(0, 5, n)], [float(x) for x in draw.random(n).astype("f4")]) for n in draw.integers(0, 4, 500)]
+    some = [(np.array(a, "<i4").tobytes(), np.array(b, "<f4").tobytes()) for a, b in held if a]
+    table = spark.createDataFrame([("", bytearray(a), bytearray(b)) for a, b in some], "role string, spots binary, values binary").repartition(7)
+    unlabelled, weights, bias = toxicity.Unlabelled(table, len(held) - len(some), len(held)), np.array([1.0, -2, 0.5, 0, 3]), -0.3
+    values = [sum(weights[i] * v for i, v in zip(a, b)) + bias for a, b in held]
+    score = [1 / (1 + math.exp(-v)) for v in values]
+    loss, slope, gradient = unlabelled.negatives(weights, bias)
+    assert math.isclose(loss, sum(math.log1p(math.exp(v)) for v in values) / 500, rel_tol=1e-9) and math.isclose(slope, sum(score) / 500, rel_tol=1e-9)
+    for k in range(5):
+        assert math.isclose(gradient[k], sum(p * v for p, (a, b) in zip(score, held) for i, v in zip(a, b) if i == k) / 500, rel_tol=1e-9)
+    spread = unlabelled.spread(weights)
+    assert spread.sum() == 500
+
+
+def test_the_curve_needs_no_negatives():
+    """With a share of positives equal to the prior among the unlabelled, the probability of a value is found."""
+    draw = np.random.default_rng(4)
+    clean, toxic = draw.normal(0, 1, 90_000), draw.normal(2, 1, 10_000)
+    steps = int(2 * toxicity.MOST_VALUE / toxicity.VALUE_STEP) + 1
+    spread = np.bincount(np.rint((np.concatenate([clean, toxic]) + toxicity.MOST_VALUE) / toxicity.VALUE_STEP).astype(int), minlength=steps)
+    slope, shift = toxicity.curve(draw.normal(2, 1, 2000), spread, 0.1)
+    # two bells one deviation wide, two apart: the logit is 2 x - 2 + log(1/9)
+    assert abs(slope - 2) < 0.15 and abs(shift - (math.log(1 / 9) - 2)) < 0.25
+
+
+def plain_subwords(text, lengths, bits):
+    """Buckets of all subwords and the number of words, by a loop over words and places."""
+    hashed = lambda part, more: int(mixed(np.array([(sum(int(_LETTER[b]) * pow(_BASE, i, 1 << 64) for i, b in enumerate(part)) + more) % (1 << 64)], np.uint64))[0]) >> (64 - bits)
+    words, found = words_of(text), []
+    for word in words:
+        found.append(hashed(word, 0))
+        whole = b" " + word
+        found += [hashed(whole[at : at + n], n) for n in lengths for at in range(len(whole) - n + 1)]
+    return found, len(words)
 
-    p, u = only(positive), only(unlabelled)
-    weights, bias = toxicity.non_negative_fit(p, u, 0.2)
-    values = u.sums(weights) + bias
-    assert values[:80].min() > values[80:].max() + 0.5
+
+@tables
+def test_scores_of_toxicity_equal_a_loop_over_subwords(spark):
+    table, labels = (spark.read.parquet(f"{FOLDER}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(table, labels, F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
+    sample = table.orderBy("doc_id").limit(25)
+    for r in toxicity.scored(sample, model).collect():
+        buckets, words = plain_subwords(r.text, toxicity.LENGTHS, toxicity.BITS)
+        value = sum(float(model.weights[b]) * math.log1p(n) / max(words, 1) ** (1 / 3) for b, n in collections.Counter(buckets).items())
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(model.slope * value + model.shift))), abs_tol=1e-6)
+
+
+@tables
+def test_languages_equal_a_loop_over_subwords(spark):
+    table = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language_id.fit(table, F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    sample = table.orderBy("doc_id").limit(25)
+    text = {r.doc_id: r.text for r in sample.collect()}
+    for r in language_id.identified(sample, model).collect():
+        buckets, _ = plain_subwords(text[r.doc_id], language_id.LENGTHS, language_id.BITS)
+        values = [sum(float(model.table[b, k]) for b in buckets) / max(len(buckets), 1) * model.temperature for k in range(len(model.languages))]
+        chances = [math.exp(v - max(values)) for v in values]
+        best = max(range(len(values)), key=values.__getitem__)
+        if not any(c.isalpha() for c in text[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert r.lang_pred == model.languages[best] and math.isclose(r.score, chances[best] / sum(chances), abs_tol=1e-6)
