@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import compare as cmp
 from ..functions.values import RuleError, as_text
@@ -169,6 +170,27 @@ class ConditionRegistry:
 
         self._builders[family, attribute] = build
 
+    def register_rows(
+        self,
+        family: str,
+        attribute: str,
+        rows: DataFrame,
+        aggregates: Mapping[str, str],
+        predicate: Callable[[str, object], str],
+        defaults: dict[str, str] | None = None,
+        flips: Callable[[str, object], tuple[str, ...]] | None = None,
+    ) -> None:
+        """Add a leaf over facts of any number of rows per ``customer_id``.
+
+        ``aggregates`` are SQL aggregates by name, the columns that ``predicate`` compares ("count(*)", "max(ts)",
+        "sum(if(kind = 'return', amount, 0))"); own functions must merge, as Spark's do. Equal partial results are
+        combined before the shuffle, so a customer with a third of all rows is one row per map task. Rows without a
+        customer are left out; customers without rows have the ``defaults``, else NULL.
+        """
+        known = rows.where("customer_id IS NOT NULL")
+        facts = known.groupBy("customer_id").agg(*[F.expr(f"{test} AS `{name}`") for name, test in aggregates.items()])
+        self.register(family, attribute, facts, predicate, tuple(aggregates), defaults, flips)
+
     def leaf(self, family: str, attribute: str, op: str, value: object) -> Leaf:
         try:
             build = self._builders[family, attribute]

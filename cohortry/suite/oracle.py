@@ -369,6 +369,13 @@ WHERE last_order_date > TIMESTAMP '2001-01-01'""",
         "custom_condition": _with(
             """SELECT CAST(30 AS INTEGER) AS segment_id, customer_id FROM feat JOIN customer ON c_custkey = customer_id
 WHERE c_acctbal >= 5000 AND total_orders >= 5"""
+        ),
+        "custom_rows": _with(
+            """e AS (SELECT user_id AS customer_id, count(*) FILTER (event_type = 'error') AS errors, max(value) - min(value) AS spread, max(ts) AS seen
+  FROM ev GROUP BY user_id)""",
+            """SELECT CAST(41 AS INTEGER) AS segment_id, customer_id FROM feat JOIN e USING (customer_id) WHERE errors >= 14
+UNION ALL SELECT 42, customer_id FROM feat JOIN e USING (customer_id) WHERE seen >= TIMESTAMP '2024-01-20' AND spread > 90 AND group_id <> 3
+UNION ALL SELECT 43, feat.customer_id FROM feat LEFT JOIN e ON e.customer_id = feat.customer_id WHERE coalesce(errors, 0) = 0 OR total_orders >= 18""",
         ),
         "delta_added": _with(
             _now_members(segments=SEGMENTS | LIVE), _earlier_members(segments=SEGMENTS | LIVE), "SELECT * FROM m EXCEPT SELECT * FROM m0"

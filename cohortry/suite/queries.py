@@ -285,6 +285,28 @@ def custom_condition(spark: SparkSession, folder: str) -> DataFrame:
     return engine.matches(NOW)
 
 
+def custom_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Own conditions over raw events, any number of them a customer."""
+    registry = ConditionRegistry()
+    events = _events(spark, folder).selectExpr("user_id AS customer_id", "event_type", "value", "ts")
+    registry.register_rows(
+        "Event", "errors", events, {"errors": "count_if(event_type = 'error')"},
+        lambda op, value: compare_number("errors", op, value), {"errors": "0"},
+    )
+    registry.register_rows(
+        "Event", "spread", events, {"lowest": "min(value)", "highest": "max(value)", "seen": "max(ts)"},
+        lambda op, value: f"seen >= TIMESTAMP_NTZ '2024-01-20' AND {compare_number('highest - lowest', op, value)}",
+    )
+    rules = {
+        41: group("all", leaf("Event.errors", ">=", "14")),
+        42: group("all", leaf("Event.spread", ">", "90"), leaf("Customer.group_id", "!=", "3")),
+        43: group("any", leaf("Event.errors", "==", "0"), leaf("Order.total_orders", ">=", "18")),
+    }
+    rows = [(number, defs.rule_text(rule)) for number, rule in rules.items()]
+    documents = small_table(spark, rows, "segment_id int, conditions_serialized string")
+    return matches(shop(spark, folder), compile_segments(documents, registry), NOW, registry)
+
+
 # -- memberships ----------------------------------------------------------------
 
 
@@ -564,7 +586,7 @@ def queries() -> dict[str, Query]:
         agg_segment_counts, cart_latest, cart_matching_items,
         refresh_segment, refresh_all, mass_refresh, refresh_log, refresh_status,
         stale_after_refresh, list_after_refresh, forget_stored, segment_growth, match_check, validate_batch,
-        custom_condition,
+        custom_condition, custom_rows,
         delta_added, delta_removed, assign_customers, remove_customers, assign_stored,
         customer_segments, customer_segment_ids, membership_check, export_members, matched_customers,
         customers_in_segment, rule_quote_eligible, rule_quote_not_in, segment_profile,
