@@ -33,7 +33,9 @@ MOST_POSITIVE = 4_000
 STEPS = 60
 RATE = 1.0
 #: Tasks' sums are added up by this many tasks before they go to the driver.
-ADDERS = 16
+ADDERS = 4
+#: Stored texts that a task of a step reads; small tables still have eight tasks.
+STEP_ROWS = 100_000
 #: Values of texts are counted in steps of this size, up to this one, to fit the curve.
 VALUE_STEP, MOST_VALUE = 0.02, 200.0
 #: Standard deviations by which a bucket's share among the positives must stand out.
@@ -168,7 +170,7 @@ class Unlabelled:
     """The stored texts with telling buckets, and how many have none."""
 
     def __init__(self, table: DataFrame, empty: int, n: int):
-        self.table, self.empty, self.n = table, empty, n
+        self.table, self.empty, self.n = table.coalesce(max(8, (n - empty) // STEP_ROWS)), empty, n
 
     def negatives(self, weights: np.ndarray, bias: float) -> tuple[float, float, np.ndarray]:
         """Taken for negative: the mean loss, and the mean gradients by bias and weights."""
