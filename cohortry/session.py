@@ -21,11 +21,13 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 BROADCAST_ROWS = "spark.cohortry.broadcastRows"
 HOT_KEY_ROWS = "spark.cohortry.hotKeyRows"
 SEGMENTS_PER_PASS = "spark.cohortry.segmentsPerPass"
+TASK_ROWS = "spark.cohortry.taskRows"
 
 _DEFAULTS = {
     BROADCAST_ROWS: 1_000_000,
     HOT_KEY_ROWS: 5_000_000,
     SEGMENTS_PER_PASS: 50,
+    TASK_ROWS: 500_000,
 }
 
 
@@ -81,6 +83,19 @@ def written(table: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def dealt(table: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The table dealt by ``keys`` to so many tasks that each gets a bounded share of ``rows``, those that it is to meet included.
+
+    What one task sorts and merges then does not grow with them. Few rows are left to AQE; of many, the tasks are not
+    fewer than Spark's own, as a join takes the larger number of its two sides.
+    """
+    spark = table.sparkSession
+    bound = int_setting(spark, TASK_ROWS)
+    if rows <= 4 * bound:
+        return table
+    return table.repartition(max(-(-rows // bound), int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str | StructType) -> DataFrame:
     """Metadata rows (definitions, commits) as a local relation, read without a job."""
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema

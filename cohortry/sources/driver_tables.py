@@ -194,4 +194,5 @@ def shop(spark: SparkSession, folder: str) -> Shop:
         {name: partial(build, spark, folder) for name, build in builders.items()},
         count_catalog=lambda: row_count(spark, folder, "part"),
         count_orders=lambda: row_count(spark, folder, "orders"),
+        count_items=lambda: row_count(spark, folder, "lineitem"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from ..session import BROADCAST_ROWS, int_setting
+from ..session import BROADCAST_ROWS, dealt, int_setting
 
 # Order states that do not count as a purchase.
 VOID_STATES = ("canceled", "closed")
@@ -64,10 +64,12 @@ class Shop:
         tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
         count_catalog: Callable[[], int],
         count_orders: Callable[[], int],
+        count_items: Callable[[], int] | None = None,
     ) -> None:
         self.tables = dict(tables)
         self.count_catalog = count_catalog
         self.count_orders = count_orders
+        self.count_items = count_items or (lambda: self.item_keys.count())
         self.buckets: int | None = None  # set where the tables are stored by customer bucket
 
     @cached_property
@@ -86,8 +88,12 @@ class Shop:
     def order_rows(self) -> int:
         return self.count_orders()
 
+    @cached_property
+    def item_rows(self) -> int:
+        return self.count_items()
+
     def with_tables(self, **tables: DataFrame | Callable[[], DataFrame]) -> Shop:
-        return Shop({**self.tables, **tables}, self.count_catalog, self.count_orders)
+        return Shop({**self.tables, **tables}, self.count_catalog, self.count_orders, lambda: self.item_rows)
 
     def for_customers(self, touched: DataFrame, touched_rows: int) -> Shop:
         """The same shop reduced to the facts of some customers.
@@ -95,7 +101,9 @@ class Shop:
         ``touched`` holds distinct ``customer_id``. If they are few enough to be broadcast,
         every table that carries the customer is reduced before anything is shuffled, and
         items follow their order, cart or wishlist; those semi joins carry no hint, the
-        reduced side is small at run time and AQE sees that. If they are many, the facts
+        reduced side is small at run time and AQE sees that. The items of orders are the longest
+        table: they are dealt to tasks by their number, as what one task sorts and merges
+        would otherwise grow with them. If the customers are many, the facts
         have to be shuffled for their aggregation anyway, so only the population is reduced.
         Tables stored by customer bucket are read in the touched buckets only.
         """
@@ -111,8 +119,12 @@ class Shop:
         def of(name: str) -> Callable[[], DataFrame]:
             return lambda: lookup_join(read(name), touched, "customer_id", touched_rows, "left_semi")
 
-        def items(name: str, parent: str, key: str) -> Callable[[], DataFrame]:
-            return lambda: read(name).join(of(parent)().select(key), key, "left_semi")
+        def items(name: str, parent: str, key: str, rows: Callable[[], int] = lambda: 0) -> Callable[[], DataFrame]:
+            # dealing the owners deals the items that meet them, wherever Catalyst puts this join
+            return lambda: read(name).join(dealt(of(parent)().select(key), rows(), key), key, "left_semi")
+
+        # of stored buckets only some are read, which AQE puts together
+        item_rows = (lambda: 0) if self.buckets else (lambda: self.item_rows)
 
         if touched_rows > int_setting(touched.sparkSession, BROADCAST_ROWS):
             facts = CUSTOMER_FACTS if self.buckets else ()
@@ -124,8 +136,8 @@ class Shop:
         return self.with_tables(
             customer=of("customer"),
             sales_order=of("sales_order"),
-            sales_order_item=items("sales_order_item", "sales_order", "order_id"),
-            item_keys=items("item_keys", "sales_order", "order_id"),
+            sales_order_item=items("sales_order_item", "sales_order", "order_id", item_rows),
+            item_keys=items("item_keys", "sales_order", "order_id", item_rows),
             quote=of("quote"),
             quote_item=items("quote_item", "quote", "quote_id"),
             wishlist=of("wishlist"),

@@ -78,3 +78,17 @@ def test_many_customers(spark, setting):
     for facts in (shop, cluster_by_customer(shop, work_dir(spark, "layout"), buckets=4)):
         found = matches(facts.for_customers(touched, 29), rules, NOW, registry)
         assert {tuple(r) for r in found.collect()} == expected
+
+
+def test_order_items_of_some_customers_are_dealt_by_their_number(spark, setting):
+    """AQE would put them into tasks that hold more the more items there are."""
+    small, registry, rnd = random_shop(35), ConditionRegistry(), random.Random(35)
+    rules = RuleSet({n: compile_tree(random_group(rnd), registry) for n in range(1, 25)})
+    touched = small_table(spark, [(1,), (7,), (999,)], "customer_id bigint")
+    expected = {tuple(r) for r in matches(small.shop(spark).for_customers(touched, 3), rules, NOW, registry).collect()}
+    items = len(small.rows["sales_order_item"])
+    setting(spark__cohortry__taskRows=items // 20, spark__sql__autoBroadcastJoinThreshold=-1)
+    shop = small.shop(spark).for_customers(touched, 3)
+    assert shop.item_rows == items
+    assert shop.item_keys.rdd.getNumPartitions() >= 20
+    assert {tuple(r) for r in matches(shop, rules, NOW, registry).collect()} == expected
