@@ -6,20 +6,16 @@ and ``bytes.split()`` mean exactly that on UTF-8.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from functools import cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortry.session import ship
+
 SPACES = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 4 << 20
 
@@ -199,23 +195,9 @@ class Recent:
             self.now.update(zip(fresh, self.function(fresh)))
 
 
-@cache
-def _ship(context: SparkContext) -> None:
-    root = Path(__file__).parents[2]
-    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
-    if root.resolve() in known or root.suffix == ".zip":
-        return
-    packed = f"{tempfile.mkdtemp(prefix='cohortry-')}/cohortry.zip"
-    with zipfile.ZipFile(packed, "w") as archive:
-        for path in [root / "cohortry", *(root / "cohortry").rglob("*")]:
-            if path.suffix == ".py" or path.is_dir() and path.name != "__pycache__":
-                archive.write(path, path.relative_to(root))
-    context.addPyFile(packed)
-
-
 def rows_by(table: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     """Only the named columns, renamed: extra columns of the caller never meet ours.
 
     Where the workers would not find this package by themselves, Spark sends it to them first."""
-    _ship(table.sparkSession.sparkContext)
+    ship(table.sparkSession.sparkContext)
     return table.select(*(F.col(f"`{old}`").alias(new) for old, new in columns))

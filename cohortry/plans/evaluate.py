@@ -12,18 +12,22 @@ from pyspark.sql import DataFrame
 from ..functions.values import RuleError, instant_literal
 from ..operators.conditions import ConditionRegistry
 from ..operators.features import Feature, feature_table
-from ..session import SEGMENTS_PER_PASS, int_setting, small_table, written
+from ..session import DRIVER_RULES, SEGMENTS_PER_PASS, int_setting, small_table, written
 from ..sources.shop import Shop, active_segments
-from .rule_index import indexable, indexed_matches
+from .rule_index import indexable, indexed_matches, listed_matches, listed_rules
 from .rules import CompiledRule, compile_rule
 
 
 @dataclass
 class RuleSet:
-    """Compiled rules by segment id, and why the others could not be compiled."""
+    """Compiled rules by segment id, and why the others could not be compiled.
+
+    ``listed`` holds rules of a large catalogue that are not on the driver (see ``rule_index.listed_rules``).
+    """
 
     rules: dict[int, CompiledRule] = field(default_factory=dict)
     failures: dict[int, str] = field(default_factory=dict)
+    listed: DataFrame | None = None
 
     @property
     def features(self) -> set[Feature]:
@@ -39,13 +43,16 @@ class RuleSet:
         return sorted(set().union(*[rule.flips for rule in self.rules.values()]))
 
 
-def compile_segments(definitions: DataFrame, registry: ConditionRegistry) -> RuleSet:
+def compile_segments(definitions: DataFrame, registry: ConditionRegistry, listed: bool = False) -> RuleSet:
     """Compile the rules of some segments; one bad rule does not stop the others.
 
-    Only ids and rules come to the driver. They are written by people, so their number
-    does not grow with the data.
+    Only ids and rules come to the driver. With ``listed``, where they are more than
+    ``spark.cohortry.driverRules``, those that only ask for values do not.
     """
     rules = RuleSet()
+    bound = int_setting(definitions.sparkSession, DRIVER_RULES)
+    if listed and definitions.select("segment_id").limit(bound + 1).count() > bound:
+        rules.listed, definitions = listed_rules(definitions)
     for row in definitions.select("segment_id", "conditions_serialized").collect():
         try:
             rules.rules[row.segment_id] = compile_rule(row.conditions_serialized, registry)
@@ -91,6 +98,9 @@ def matches(
     through the rule index; for the others the feature table is written once to the shared folder and read by every pass.
     """
     per_pass = int_setting(shop.customer.sparkSession, SEGMENTS_PER_PASS)
+    if rules.listed is not None:
+        found = listed_matches(shop, rules.listed)
+        return found.unionByName(matches(shop, RuleSet(rules.rules), now, registry)) if rules.rules else found
     if len(rules.rules) <= per_pass:
         return matches_from(feature_table(shop, rules.features, now, registry.facts), rules.rules)
     indexed = {segment_id: rule for segment_id, rule in rules.rules.items() if indexable(rule)}
@@ -121,5 +131,5 @@ def deadlines(shop: Shop, rules: RuleSet, now: dt.datetime, registry: ConditionR
     return deadlines_from(feature_table(shop, rules.moments, now, registry.facts), rules, now)
 
 
-def active_rules(segments: DataFrame, registry: ConditionRegistry, *modes: str) -> RuleSet:
-    return compile_segments(active_segments(segments, *modes), registry)
+def active_rules(segments: DataFrame, registry: ConditionRegistry, *modes: str, listed: bool = False) -> RuleSet:
+    return compile_segments(active_segments(segments, *modes), registry, listed)

@@ -6,6 +6,7 @@ import datetime as dt
 import logging
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
@@ -26,6 +27,7 @@ from ..sources.fact_store import FactStore
 from ..sources.membership_store import MembershipStore
 from ..sources.shop import VOID_STATES, Shop
 from .evaluate import RuleSet, active_rules, compile_segments, deadlines, deadlines_from, matches, matches_from
+from .rule_index import listed_matches
 
 # The actions recorded in the activity log.
 REFRESH_BEFORE, REFRESH_FAILED, SAVED = "refresh_before", "refresh_failed", "saved"
@@ -35,14 +37,20 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class RefreshReport:
-    """Members per refreshed segment, and why other segments were not refreshed."""
+    """Members per refreshed segment, and why other segments were not refreshed.
+
+    The listed rules of a large catalogue are not in these but in ``listed`` (segment_id, customer_count; NULL: not
+    refreshed, see the log).
+    """
 
     counts: dict[int, int] = field(default_factory=dict)
     failures: dict[int, str] = field(default_factory=dict)
+    listed: DataFrame | None = None
 
     @property
     def total(self) -> int:
-        return sum(self.counts.values())
+        more = self.listed.selectExpr("coalesce(sum(customer_count), 0)").first()[0] if self.listed is not None else 0
+        return sum(self.counts.values()) + more
 
 
 class SegmentEngine:
@@ -134,7 +142,7 @@ class SegmentEngine:
         return report.counts[segment_id]
 
     def refresh_all(self, now: dt.datetime) -> RefreshReport:
-        return self._refresh(active_rules(self._defined, self.registry), now)
+        return self._refresh(active_rules(self._defined, self.registry, listed=True), now)
 
     def mass_refresh(self, segment_ids: Iterable[int], now: dt.datetime) -> RefreshReport:
         """Refresh a list of segments in one pass; unknown ids are reported as failed."""
@@ -152,17 +160,19 @@ class SegmentEngine:
     def refresh_due(self, ticks: DataFrame, now: dt.datetime) -> RefreshReport:
         """A scheduled run."""
         due = lifecycle.segments_due(self._defined, ticks, now)
-        return self._refresh(compile_segments(due, self.registry), now)
+        return self._refresh(compile_segments(due, self.registry, listed=True), now)
 
     def refresh_definitions(self, definitions: DataFrame, now: dt.datetime, batch: str | None = None) -> RefreshReport:
         """Refresh the active ones among some definitions, once per batch name."""
         if batch is not None and self.store.applied(batch):
             return RefreshReport()
-        return self._refresh(active_rules(definitions, self.registry), now, batch)
+        return self._refresh(active_rules(definitions, self.registry, listed=True), now, batch)
 
     def _refresh(self, rules: RuleSet, now: dt.datetime, batch: str | None = None) -> RefreshReport:
         report = RefreshReport(failures=dict(rules.failures))
         self._log([(segment_id, REFRESH_BEFORE, None, now) for segment_id in sorted({*rules.rules, *rules.failures})])
+        if rules.listed is not None:
+            report.listed = self._refresh_listed(rules.listed, now)
         groups = [rules.rules] if rules.rules else []
         marked = batch is None
         while groups:
@@ -186,6 +196,33 @@ class SegmentEngine:
         self._log_refresh(report, now)
         return report
 
+    def _refresh_listed(self, listed: DataFrame, now: dt.datetime) -> DataFrame:
+        """Replace the members of listed rules; segment_id, customer_count of each.
+
+        If the facts of some cannot be read, the rules are refreshed by the kinds of facts they ask for.
+        """
+        ids = listed.select("segment_id").distinct()
+        self._log_all(ids, REFRESH_BEFORE, None, now)
+        try:
+            return self.store.replace_listed(listed_matches(self.shop, listed), ids, now)
+        except (PySparkException, Py4JError):
+            kinds = written(listed.groupBy("segment_id").agg(F.sort_array(F.collect_set("source")).alias("kinds")), "rule-kinds")
+        done = []
+        for row in sorted(kinds.select("kinds").distinct().collect()):
+            ids = kinds.where(F.col("kinds") == F.array(*map(F.lit, row.kinds))).select("segment_id")
+            chosen = listed.join(ids, "segment_id", "left_semi")
+            try:
+                done.append(self.store.replace_listed(listed_matches(self.shop, chosen), ids, now))
+            except (PySparkException, Py4JError) as problem:
+                log.error("segments that ask for %s not refreshed: %s", ", ".join(row.kinds), problem)
+                self._log_all(ids, REFRESH_FAILED, str(problem), now)
+                done.append(ids.selectExpr("segment_id", "CAST(NULL AS BIGINT) AS customer_count"))
+        return reduce(DataFrame.unionByName, done)
+
+    def _log_all(self, ids: DataFrame, action: str, details: str | None, now: dt.datetime) -> None:
+        rows = ids.select("segment_id", F.lit(action).alias("action"), F.lit(details).cast("string").alias("details"))
+        self.store.append_log(rows.selectExpr("*", f"{instant_literal(now)} AS created_at"))
+
     def _log_refresh(self, report: RefreshReport, now: dt.datetime) -> None:
         # what was refreshed is logged by its commit
         self._log([(sid, REFRESH_FAILED, problem, now) for sid, problem in report.failures.items()])
@@ -342,7 +379,7 @@ class SegmentEngine:
     def matches(self, now: dt.datetime, *segment_ids: int) -> DataFrame:
         """(segment_id, customer_id) of the active segments, all or some."""
         chosen = self._defined.where(F.col("segment_id").isin(*segment_ids)) if segment_ids else self._defined
-        return matches(self.shop, active_rules(chosen, self.registry), now, self.registry)
+        return matches(self.shop, active_rules(chosen, self.registry, listed=True), now, self.registry)
 
     def match_check(self, pairs: DataFrame, now: dt.datetime) -> DataFrame:
         """For distinct (customer_id, segment_id) pairs: does the rule match?
@@ -353,7 +390,7 @@ class SegmentEngine:
         asked = pairs.select(*membership.KEYS).distinct()
         wanted = self._defined.join(asked.select("segment_id").distinct(), "segment_id", "left_semi")
         shop, _, _ = self._shop_of(asked)
-        found = matches(shop, active_rules(wanted, self.registry), now, self.registry)
+        found = matches(shop, active_rules(wanted, self.registry, listed=True), now, self.registry)
         return lookup.membership_check(asked, found).withColumnRenamed("in_segment", "matches")
 
     def validate_batch(

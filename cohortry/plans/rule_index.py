@@ -8,23 +8,29 @@ clause and not with rules x customers; a candidate is then held against the rule
 
 Only rules with a clause of such leaves alone come here; of the leaves in their other clauses, those that compare
 numbers and texts of a customer are evaluated once each, however many rules share them.
+
+Large catalogues do not fit into the driver. Of those, rules all of whose leaves ask for values are compiled in tasks to
+a table of their clauses, leaves and values (``listed_rules``), and never come to the driver.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import RuleError
 from ..operators.conditions import ConditionRegistry, Leaf
 from ..operators.features import feature_table, order_products
 from ..operators.joins import lookup_join
-from ..session import SEGMENTS_PER_PASS, int_setting, small_table, written
+from ..session import SEGMENTS_PER_PASS, int_setting, ship, small_table, written
 from ..sources.shop import Shop, latest_carts, population, top_level_items, valid_orders
-from .rules import CompiledRule
+from .rules import CompiledRule, compile_rule
 
 Clause = frozenset[Leaf]
 
@@ -142,3 +148,81 @@ def indexed_matches(
             sets = sets.select("customer_id", F.expr("concat(held, coalesce(tested, array())) AS held"))
         candidates = candidates.join(sets, "customer_id").where("forall(rest, clause -> arrays_overlap(clause, held))")
     return candidates.select("segment_id", "customer_id").distinct()
+
+
+_LISTED = "segment_id int, clause int, leaf_id bigint, source string, key string, text_value string, id_value bigint, rule string"
+
+
+def _list_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per rule, clause, leaf and value; rules of another form come back as they are."""
+    registry, names = ConditionRegistry(), [part.split()[0] for part in _LISTED.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for segment_id, text in zip(*(column.to_pylist() for column in batch.columns)):
+            try:
+                rule = compile_rule(text, registry)
+            except RuleError:
+                rule = None
+            if rule is None or not rule.clauses or not all(c and all(map(_looked_up, c)) for c in rule.clauses):
+                rows.append((segment_id, None, None, None, None, None, None, text))
+                continue
+            for number, clause in enumerate(rule.clauses):
+                for leaf in clause:
+                    feature = leaf.features[0]
+                    leaf_id = int.from_bytes(hashlib.sha1(leaf.predicate.encode()).digest()[:8], "big", signed=True)
+                    for value in feature.values:
+                        both = (None, value) if isinstance(value, int) else (value, None)
+                        rows.append((segment_id, number, leaf_id, feature.source, feature.key, *both, None))
+        columns = zip(*rows) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(columns, kinds)], names)
+
+
+def listed_rules(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table of rules all of whose leaves ask for values, and the definitions of all other rules.
+
+    Of definitions that repeat an id the last counts.
+    """
+    ship(definitions.sparkSession.sparkContext)
+    placed = definitions.select("segment_id", "conditions_serialized", F.monotonically_increasing_id().alias("__at"))
+    last = placed.groupBy("segment_id").agg(F.expr("max_by(conditions_serialized, __at) AS conditions_serialized"))
+    found = written(last.mapInArrow(_list_rules, _LISTED), "listed-rules")
+    others = found.where("clause IS NULL").selectExpr("segment_id", "rule AS conditions_serialized")
+    return found.where("clause IS NOT NULL").drop("rule"), others
+
+
+def listed_matches(shop: Shop, listed: DataFrame) -> DataFrame:
+    """(segment_id, customer_id) of ``listed_rules``: the same as ``indexed_matches``, with nothing of the rules on the driver."""
+    people = population(shop.customer).select("customer_id")
+    parts = []
+    for row in sorted(listed.select("source", "key").distinct().collect()):  # the kinds of leaves there are
+        of_kind = listed.where((F.col("source") == row.source) & (F.col("key") == row.key))
+        column = "text_value" if of_kind.where("id_value IS NOT NULL").isEmpty() else "id_value"
+        table = of_kind.groupBy(F.col(column).alias("__value")).agg(F.collect_set("leaf_id").alias("__leaves"))
+        table = written(table, "rule-values")
+        values = table.count()
+        pairs = _customer_values(shop, row.source, row.key, "__value", table.select("__value"), values)
+        found = lookup_join(pairs, table, "__value", values).select("customer_id", F.explode("__leaves").alias("leaf_id"))
+        parts.append(found.distinct())
+    if not parts:
+        return small_table(listed.sparkSession, [], "segment_id int, customer_id bigint")
+    raised = written(reduce(DataFrame.unionByName, parts).join(people, "customer_id", "left_semi"), "raised-leaves")
+
+    counts = raised.groupBy("leaf_id").agg(F.expr("count(*) AS n"))
+    clauses = listed.select("segment_id", "clause", "leaf_id").distinct().join(counts, "leaf_id", "left")
+    clauses = clauses.groupBy("segment_id", "clause").agg(F.expr("sum(coalesce(n, 0)) AS n"), F.collect_list("leaf_id").alias("leaves"))
+    rules = clauses.groupBy("segment_id").agg(
+        F.expr("min(struct(n, clause)).clause AS rarest"), F.collect_list(F.struct("clause", "leaves")).alias("clauses")
+    )
+    chosen = rules.selectExpr(
+        "segment_id",
+        "explode(flatten(transform(filter(clauses, c -> c.clause = rarest), c -> c.leaves))) AS leaf_id",
+        "transform(filter(clauses, c -> c.clause <> rarest), c -> c.leaves) AS rest",
+    )
+    lists = written(chosen.groupBy("leaf_id").agg(F.collect_list(F.struct("segment_id", "rest")).alias("segments")), "leaf-lists")
+    found = lookup_join(raised, lists, "leaf_id", lists.count()).select("customer_id", F.explode("segments").alias("s"))
+    candidates = found.select("customer_id", "s.segment_id", "s.rest")
+    if not lists.where("exists(segments, s -> size(s.rest) > 0)").isEmpty():
+        sets = raised.groupBy("customer_id").agg(F.collect_set("leaf_id").alias("held"))
+        candidates = candidates.join(sets, "customer_id").where("forall(rest, clause -> arrays_overlap(clause, held))")
+    return candidates.select("segment_id", "customer_id").distinct()

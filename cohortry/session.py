@@ -7,12 +7,16 @@ shared folder, so a lost executor costs a task retry and nothing else.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -22,12 +26,14 @@ BROADCAST_ROWS = "spark.cohortry.broadcastRows"
 HOT_KEY_ROWS = "spark.cohortry.hotKeyRows"
 SEGMENTS_PER_PASS = "spark.cohortry.segmentsPerPass"
 TASK_ROWS = "spark.cohortry.taskRows"
+DRIVER_RULES = "spark.cohortry.driverRules"
 
 _DEFAULTS = {
     BROADCAST_ROWS: 1_000_000,
     HOT_KEY_ROWS: 5_000_000,
     SEGMENTS_PER_PASS: 50,
     TASK_ROWS: 500_000,
+    DRIVER_RULES: 1_000,
 }
 
 
@@ -101,3 +107,18 @@ def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str | Struct
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     records = [dict(zip(struct.names, row)) for row in rows]
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(struct)), struct)
+
+
+@cache
+def ship(context: SparkContext) -> None:
+    """Send this package to the workers where they would not find it by themselves."""
+    root = Path(__file__).parents[1]
+    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    if root.resolve() in known or root.suffix == ".zip":
+        return
+    packed = f"{tempfile.mkdtemp(prefix='cohortry-')}/cohortry.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in [root / "cohortry", *(root / "cohortry").rglob("*")]:
+            if path.suffix == ".py" or path.is_dir() and path.name != "__pycache__":
+                archive.write(path, path.relative_to(root))
+    context.addPyFile(packed)

@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.values import all_of, any_of, instant_literal
 from ..operators.joins import lookup_join
-from ..session import small_table
+from ..session import small_table, written
 
 _COMMITS = "kind string, batch string, segment_id int, customer_count bigint, committed_at timestamp_ntz"
 _CHANGES = "segment_id int, customer_id bigint, assigned boolean, assigned_at timestamp_ntz"
 _DEADLINES = "customer_id bigint, due_at timestamp_ntz"
+MOST_STATES = 5_000  # commit rows from which current lists are told by a join and not on the driver
 MOST_NAMED = 500  # lists that a filter names one by one
 GROUPS = 64  # folders of the lists of one write: a few segments have one each, thousands share them
 REFRESH, FOLD, CHANGE, DEADLINES, CLOCK, BATCH = "refresh", "fold", "change", "deadlines", "clock", "batch"
@@ -166,6 +167,8 @@ class MembershipStore:
         Only the segments that have open changes are merged; the lists of the others are
         read as they are.
         """
+        if self.commits().limit(MOST_STATES + 1).count() > MOST_STATES:
+            return self._members_of_many()
         latest, changes = self._visible()
         touched = {segment_id for segment_ids in changes.values() for segment_id in segment_ids}
         columns = _columns(schemas.MEMBERSHIP)
@@ -176,13 +179,34 @@ class MembershipStore:
         reader = self.spark.read.schema(f"{_CHANGES}, seq int").option("basePath", f"{self.root}/changes")
         later = reader.parquet(*paths).where(_of_segments(changes))
         before = self._lists({i: state for i, state in latest.items() if i in touched}).withColumn("assigned", F.lit(True))
-        merged = (
-            before.unionByName(later)
-            .groupBy("segment_id", "customer_id")
-            .agg(F.expr("max_by(assigned, seq) AS assigned"), F.expr("max_by(assigned_at, seq) AS assigned_at"))
-            .where("assigned")
-        )
-        return plain.unionByName(merged.select(*columns))
+        return plain.unionByName(_merged(before.unionByName(later)).select(*columns))
+
+    def _members_of_many(self) -> DataFrame:
+        """The same for any number of segments; only the numbers of the writes come to the driver."""
+        columns, commits = _columns(schemas.MEMBERSHIP), self.commits()
+        refreshed = commits.where(f"kind IN ('{REFRESH}', '{FOLD}')").groupBy("segment_id")
+        latest = refreshed.agg(F.expr("max(seq) AS list_seq"), F.expr("max_by(customer_count, seq) AS members"))
+        changed = commits.where(f"kind = '{CHANGE}' AND segment_id IS NOT NULL").select("seq", "segment_id").distinct()
+        changed = changed.join(latest.select("segment_id", "list_seq"), "segment_id", "left").where("seq > coalesce(list_seq, 0)")
+        # one table of both, written once: a segment's current list, and the changes on top of it
+        touched = changed.select("segment_id").distinct().withColumn("touched", F.lit(True))
+        state = latest.join(touched, "segment_id", "left").selectExpr("segment_id", "list_seq", "members", "coalesce(touched, false) AS touched")
+        state = written(state, "current-lists")
+        current = state.where("members > 0")
+        lists = small_table(self.spark, [], f"{schemas.MEMBERSHIP}, seq int, touched boolean")
+        if seqs := sorted(row.list_seq for row in current.select("list_seq").distinct().collect()):
+            reader = self.spark.read.schema(f"{schemas.MEMBERSHIP}, seq int, segment_group int").option("basePath", f"{self.root}/members")
+            lists = reader.parquet(*[f"{self.root}/members/seq={seq}" for seq in seqs]).drop("segment_group")
+            kept = current.select("segment_id", "list_seq", "touched")
+            lists = lookup_join(lists, kept, "segment_id", current.count()).where("seq = list_seq").drop("list_seq")
+        changed = written(changed.select("seq", "segment_id"), "open-changes")
+        seqs = sorted(row.seq for row in changed.select("seq").distinct().collect())
+        if not seqs:
+            return lists.select(*columns)
+        reader = self.spark.read.schema(f"{_CHANGES}, seq int").option("basePath", f"{self.root}/changes")
+        later = reader.parquet(*[f"{self.root}/changes/seq={seq}" for seq in seqs]).join(changed, ["seq", "segment_id"], "left_semi")
+        before = lists.where("touched").drop("touched").withColumn("assigned", F.lit(True))
+        return lists.where("NOT touched").select(*columns).unionByName(_merged(before.unionByName(later)).select(*columns))
 
     def _lists(self, latest: dict[int, tuple[int, int]]) -> DataFrame:
         by_seq: dict[int, list[int]] = {}
@@ -294,8 +318,9 @@ class MembershipStore:
         if len(self._folders("commits")) > MOST_COMMITS:
             self.fold_commits()
 
-    def commit(self, seq: int, rows: list[tuple]) -> None:
-        one_file = small_table(self.spark, rows, _COMMITS).coalesce(1)
+    def commit(self, seq: int, rows: list[tuple] | DataFrame) -> None:
+        # of a table every row goes through one task, as the one file is what makes them visible at once
+        one_file = rows.repartition(1) if isinstance(rows, DataFrame) else small_table(self.spark, rows, _COMMITS).coalesce(1)
         one_file.write.mode("overwrite").parquet(f"{self.root}/commits/seq={seq}")
 
     def replace(
@@ -347,18 +372,33 @@ class MembershipStore:
         several files and puts the small ones together, so neither one task nor a
         million tiny files result.
         """
-        path = f"{self.root}/members/seq={seq}"
-        grouped = lists.withColumn("segment_group", F.expr(f"pmod(segment_id, {GROUPS})")).hint("rebalance", "segment_group")
-        ordered = grouped.sortWithinPartitions("segment_group", "segment_id", "customer_id")
-        ordered.write.mode("overwrite").partitionBy("segment_group").parquet(path)
+        members = self._write_members(seq, lists)
         counts = dict.fromkeys(refreshed, 0)
-        written = self.spark.read.schema(schemas.MEMBERSHIP).parquet(path)
-        for row in written.groupBy("segment_id").count().collect():  # one row per segment
+        for row in members.groupBy("segment_id").count().collect():  # one row per segment
             counts[row.segment_id] = row["count"]
         commits = [(kind, batch, segment_id, count, refreshed[segment_id]) for segment_id, count in counts.items()]
         self.commit(seq, [*commits, *more])
         return counts
 
+    def replace_listed(self, matches: DataFrame, ids: DataFrame, now: dt.datetime) -> DataFrame:
+        """``replace`` for any number of segments (``segment_id``), which do not come to the driver; segment_id, customer_count."""
+        seq = self.next_seq()
+        members = self._write_members(seq, matches.selectExpr("segment_id", "customer_id", f"{instant_literal(now)} AS assigned_at"))
+        counted = members.groupBy("segment_id").agg(F.expr("count(*) AS customer_count"))
+        rows = ids.distinct().join(counted, "segment_id", "left").selectExpr(
+            f"'{REFRESH}' AS kind", "CAST(NULL AS STRING) AS batch", "segment_id",
+            "coalesce(customer_count, 0) AS customer_count", f"{instant_literal(now)} AS committed_at",
+        )
+        self.commit(seq, rows)
+        return self.commits().where(f"seq = {seq}").select("segment_id", "customer_count")
+
+    def _write_members(self, seq: int, lists: DataFrame) -> DataFrame:
+        path = f"{self.root}/members/seq={seq}"
+        grouped = lists.withColumn("segment_group", F.expr(f"pmod(segment_id, {GROUPS})")).hint("rebalance", "segment_group")
+        ordered = grouped.sortWithinPartitions("segment_group", "segment_id", "customer_id")
+        ordered.write.mode("overwrite").partitionBy("segment_group").parquet(path)
+        return self.spark.read.schema(schemas.MEMBERSHIP).parquet(path)
+
     def change(
         self,
         delta: DataFrame,
@@ -400,6 +440,11 @@ class MembershipStore:
         rows.select(*_columns(schemas.SEGMENT_LOG)).write.mode("append").parquet(f"{self.root}/log/seq=0")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    newest = [F.expr("max_by(assigned, seq) AS assigned"), F.expr("max_by(assigned_at, seq) AS assigned_at")]
+    return rows.groupBy("segment_id", "customer_id").agg(*newest).where("assigned")
+
+
 def _of_segments(by_seq: dict[int, list[int]]) -> str:
     return any_of([f"seq = {seq} AND segment_id IN ({', '.join(map(str, ids))})" for seq, ids in by_seq.items()])
 
