@@ -6,8 +6,10 @@ and ``bytes.split()`` mean exactly that on UTF-8.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,27 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+@cache
+def _trimming():
+    """What gives free pages of the C library's heap back; None where that library cannot."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+def release() -> None:
+    """Gives memory that is free again back to the system: workers stay for later stages, and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trimming():
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut to about ``limit`` bytes of text (one longer text stands alone), with the texts as bytes; NULL is empty."""
+    """Batches cut to about ``limit`` bytes of text (one longer text stands alone), with the texts as bytes; NULL is empty.
+
+    After the last one, the memory that they took goes back to the system.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -57,6 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             values = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
             yield part, [x or b"" for x in values]
             at = to
+        del batch, column, ends, part, values
+    release()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

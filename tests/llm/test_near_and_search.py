@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortry.llm import minhash_dedup, top_k as search
@@ -103,3 +104,40 @@ def test_pruning_is_exact_and_skips():
     found, scores = shard.best(words, rarity, 3)
     order = np.argsort(-everything[1], kind="stable")
     assert sorted(scores, reverse=True)[:3] == list(everything[1][order[:3]]) and 77 in found
+
+
+def test_weights_of_a_word_are_rounded_once(monkeypatch):
+    """Common words have rows of places, rare ones lists; both give the sums of rounded weights, query after query."""
+    draw = np.random.default_rng(6)
+    names = np.array([f"w{n}" for n in range(300)])
+    held = [" ".join(names[draw.zipf(1.3, 20).clip(1, 300) - 1]).encode() for _ in range(1000)]
+    words = np.unique(_pairs(held)[0])
+    rarity = draw.uniform(0.5, 6, len(words))
+    plain = Shard([_pairs(held)], 20.0, 1.2, 0.75)
+    sums = np.zeros(plain.n)
+    edges = np.append(plain.block_start[plain.word_start], len(plain.owner))
+    for k in range(len(words)):
+        lists = slice(edges[k], edges[k + 1])
+        sums[plain.owner[lists]] += np.rint(rarity[k] * plain.weight[lists] * 1e6)
+    shard = Shard([_pairs(held)], 20.0, 1.2, 0.75)
+    assert 0 < len(shard.places) < len(words)
+    met = []
+    meet = shard._meet
+    monkeypatch.setattr(shard, "_meet", lambda at, rare: met.append(len(at)) or meet(at, rare))
+    for _ in range(2):
+        found, scores = shard.best(words, rarity, 2000)
+        assert found.tolist() == np.flatnonzero(sums).tolist() and scores.tolist() == sums[sums > 0].tolist()
+        few, best = shard.best(words[::2], rarity[::2], 3)
+        assert len(few) >= 3 and min(best) > 0
+    assert met == [len(words)]
+
+
+def test_texts_leave_no_memory_behind(monkeypatch):
+    """Workers are kept for later stages of a pipeline."""
+    from cohortry.llm import text
+
+    calls = []
+    monkeypatch.setattr(text, "release", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None, "c"])], ["text"])
+    assert [t for _, texts in text.slices(iter([batch, batch]), "text", 2) for t in texts] == [b"a b", b"", b"c"] * 2
+    assert calls == [1]
