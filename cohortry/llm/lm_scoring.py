@@ -35,7 +35,7 @@ ROUNDS = 4
 LANES = 384
 BLOCKS = 64
 LEARN_TOKENS = 600_000
-SCORE_TOKENS = 1_000_000
+SCORE_TOKENS = 4_000_000
 COUNTED_WORDS = 1_000_000
 
 
@@ -107,15 +107,27 @@ class Vocabulary:
         sort = np.argsort(tokens)
         return cls(documents, words + documents, distinct + (documents > 0), tokens[sort], counts[sort], of_word[sort], by_symbol[order], shared, mass, int(number[-1]))
 
+    def __post_init__(self) -> None:
+        # where the words of each range of hashes begin, and a last word that ends every search
+        bits = max(1, len(self.words).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.searched = np.append(self.words, np.uint64((1 << 64) - 1))
+
     def look_up(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols, and counts (-1: not at hand)."""
         if not len(self.words):
             return self.shared[_shared(tokens, len(self.shared))], np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        known = self.words[at] == tokens
-        symbols = np.where(known, self.symbols[at], 0)
+        at = self.first.take((tokens >> self.shift).astype(np.int64))
+        behind = np.flatnonzero(self.searched.take(at) < tokens)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.searched.take(at.take(behind)) < tokens.take(behind)]
+        known = (self.searched.take(at) == tokens) & (at < len(self.words))
+        np.minimum(at, len(self.words) - 1, out=at)
+        symbols = self.symbols.take(at)
         symbols[~known] = self.shared[_shared(tokens[~known], len(self.shared))]
-        return symbols, np.where(known, self.counts[at], -1)
+        return symbols, np.where(known, self.counts.take(at), -1)
 
     def documents_of(self, symbols: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
         """One array of symbols per text, the end included."""
@@ -221,44 +233,47 @@ def scored(documents: DataFrame, learn: Column | None = None, doc_id: str = "doc
     known = spark.sparkContext.broadcast(words)
     names = ["id", "version", "token", "times", "n_tokens", "n_known", "base", "score"]
 
-    def group(ids: list[pa.Array], versions: list[pa.Array], found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        words = known.value
-        tokens, sizes = np.concatenate([t for t, _ in found]), np.concatenate([s for _, s in found])
-        id_, version = pa.concat_arrays(ids), pa.concat_arrays(versions)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        symbols, count = words.look_up(tokens)
-        at_hand = count >= 0
-        logs = np.where(at_hand, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-        base = np.bincount(owner, logs, len(sizes)) + np.log10(words.documents + 0.5)
-        score = model.value.document_scores(words.documents_of(symbols, sizes), words.end) / np.log(10)
-        mass = words.mass[symbols]
-        score += np.bincount(owner, np.where(np.isnan(mass), 0.0, logs - mass), len(sizes))
-        n_known = np.bincount(owner, at_hand, len(sizes)).astype(np.int64) + (words.documents > 0)
+    def heads(ids: list[pa.Array], versions: list[pa.Array], found: list[tuple[np.ndarray, ...]], texts: list[np.ndarray]) -> pa.RecordBatch:
+        sizes, n_known, base, rest = map(np.concatenate, zip(*found))
+        score = model.value.document_scores(texts, known.value.end) / np.log(10) + rest
         nothing = pa.nulls(len(sizes), pa.int64())
-        yield pa.RecordBatch.from_arrays([id_, version, nothing, nothing, *map(pa.array, (sizes + 1, n_known, base, score))], names)
-        # words that are not at hand, once per text
-        rest = np.flatnonzero(~at_hand)
-        order = np.lexsort((tokens[rest], owner[rest]))
-        t, o = tokens[rest][order], owner[rest][order]
-        new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])) if len(t) else np.zeros(0, np.int64)
-        times, where = np.diff(np.append(new, len(t))), pa.array(o[new])
-        for a in range(0, len(new), 1 << 16):
-            b = min(len(new), a + (1 << 16))
-            empty = [pa.nulls(b - a, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([id_.take(where[a:b]), version.take(where[a:b]), pa.array(t[new[a:b]].view(np.int64)), pa.array(times[a:b]), *empty], names)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(versions), nothing, nothing, *map(pa.array, (sizes + 1, n_known, base, score))], names)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, versions, found, held = [], [], [], 0
+        # of the words of a group only the symbols stay, so that many texts take their steps together
+        words = known.value
+        ids, versions, found, waiting, held = [], [], [], [], 0
         for part, texts in slices(batches, "text"):
-            ids.append(part.column(0))
-            versions.append(part.column(1))
-            found.append(word_hashes(texts))
-            held += len(found[-1][0])
+            id_, version = part.column(0), part.column(1)
+            tokens, sizes = word_hashes(texts)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            symbols, count = words.look_up(tokens)
+            at_hand = count >= 0
+            logs = np.where(at_hand, np.log10(np.maximum(count, 0) + 0.5), 0.0)
+            base = np.bincount(owner, logs, len(sizes)) + np.log10(words.documents + 0.5)
+            mass = words.mass[symbols]
+            own = np.bincount(owner, np.where(np.isnan(mass), 0.0, logs - mass), len(sizes))
+            n_known = np.bincount(owner, at_hand, len(sizes)).astype(np.int64) + (words.documents > 0)
+            ids.append(id_)
+            versions.append(version)
+            found.append((sizes, n_known, base, own))
+            waiting += words.documents_of(symbols, sizes)
+            held += len(tokens)
+            # words that are not at hand, once per text
+            rest = np.flatnonzero(~at_hand)
+            order = np.lexsort((tokens[rest], owner[rest]))
+            t, o = tokens[rest][order], owner[rest][order]
+            new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])])) if len(t) else np.zeros(0, np.int64)
+            times, where = np.diff(np.append(new, len(t))), pa.array(o[new])
+            for a in range(0, len(new), 1 << 16):
+                b = min(len(new), a + (1 << 16))
+                empty = [pa.nulls(b - a, x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([id_.take(where[a:b]), version.take(where[a:b]), pa.array(t[new[a:b]].view(np.int64)), pa.array(times[a:b]), *empty], names)
             if held >= SCORE_TOKENS:
-                yield from group(ids, versions, found)
-                ids, versions, found, held = [], [], [], 0
+                yield heads(ids, versions, found, waiting)
+                ids, versions, found, waiting, held = [], [], [], [], 0
         if ids:
-            yield from group(ids, versions, found)
+            yield heads(ids, versions, found, waiting)
 
     schema = f"id {kind}, version long, token long, times long, n_tokens long, n_known long, base double, score double"
     parts = written(rows.select("id", F.xxhash64("text").alias("version"), "text").mapInArrow(rate, schema), "scores")
