@@ -338,17 +338,18 @@ class GatedModel:
                 kept = 0
 
         live = len(documents)
-        for t in range(int(sizes.max(initial=0))):
-            while live and left[live - 1] <= t:
-                live -= 1
-            x = np.ascontiguousarray(self.inputs.take(before[:live], axis=0).T)
-            with np.errstate(over="ignore"):
+        with np.errstate(over="ignore"):
+            for t in range(int(sizes.max(initial=0))):
+                while live and left[live - 1] <= t:
+                    live -= 1
+                x = np.ascontiguousarray(self.inputs.take(before[:live], axis=0).T)
                 state = self._advance(x, state[:, :live])[0]
-            before = flat[starts[:live] + t]
-            held.append((state.T, before, live))
-            kept += live
-            if kept >= rows:
-                done()
+                before = flat.take(starts[:live])
+                starts += 1
+                held.append((state.T, before, live))
+                kept += live
+                if kept >= rows:
+                    done()
         done()
         result = np.empty(len(documents))
         result[order] = scores

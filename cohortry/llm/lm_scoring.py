@@ -39,20 +39,34 @@ SCORE_TOKENS = 4_000_000
 COUNTED_WORDS = 1_000_000
 
 
-def _summed(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    words, at = np.unique(tokens, return_inverse=True)
-    return words, np.bincount(at, counts, len(words)).astype(np.int64)
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each word once, with the sum of its counts."""
+    tokens, counts = map(np.concatenate, zip(*parts))
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+    return tokens[edges], np.add.reduceat(counts[order], edges) if len(edges) else counts
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    # words are summed only where many wait: a merge costs as much as all words that are held
+    parts, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+
+    def batch() -> pa.RecordBatch:
+        words, counts = parts[0]
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["token", "n"])
+
     for _, texts in slices(batches, "text"):
-        found, n = np.unique(word_hashes(texts)[0], return_counts=True)
-        words, counts = _summed(np.concatenate([words, found]), np.concatenate([counts, n]))
-        if len(words) > COUNTED_WORDS:
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["token", "n"])
-            words, counts = words[:0], counts[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["token", "n"])
+        parts.append(np.unique(word_hashes(texts)[0], return_counts=True))
+        held += len(parts[-1][0])
+        if held > COUNTED_WORDS:
+            parts = [_summed(parts)]
+            held = len(parts[0][0])
+            if held > COUNTED_WORDS // 2:
+                yield batch()
+                parts, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    parts = [_summed(parts)]
+    yield batch()
 
 
 def symbols_for(distinct: int) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import language_id, lm_scoring, toxicity
+from cohortry.llm import gated_model, language_id, lm_scoring, toxicity
 from cohortry.llm.gated_model import NAMES, GatedModel, Trainer
 from cohortry.llm.queries import queries
 from cohortry.llm.text import _BASE, _LETTER, mixed
@@ -177,6 +177,70 @@ def test_gradients_on_shelves_agree_with_differences():
         assert math.isclose((found[0] - found[1]) / 2e-2, back[name][place], abs_tol=1e-3)
 
 
+@pytest.mark.parametrize("factor", [0.3, 60])
+def test_the_softmax_takes_no_maxima_unless_it_must(monkeypatch, factor):
+    """Probabilities and gradients are those of a loop in double precision, for weights whose exponentials leave the range of floats as well."""
+    counts, draw = np.sort(np.random.default_rng(1).integers(1, 90, 60).astype(float))[::-1], np.random.default_rng(6)
+    model = GatedModel.new(counts, width=4, classes=3, shelved_from=1000)
+    model = model.with_parameters(model.parameters() + draw.normal(0, factor, model.parameters().size))
+    states, symbols, taken = draw.normal(0, 1, (50, 4)).astype(np.float32), draw.integers(0, 60, 50), []
+    largest = np.max
+    monkeypatch.setattr(gated_model.np, "max", lambda x, *a, **b: taken.append(x.shape) or largest(x, *a, **b))
+    back = {}
+    got = model.log_probabilities(states, symbols, back)
+    assert bool(taken) == (factor > 1)
+    assert np.allclose(got, model.log_probabilities(states, symbols), rtol=1e-4, atol=1e-4)
+    slopes, biases = np.zeros((60, 4)), np.zeros(60)
+    for k, (state, symbol) in enumerate(zip(states.astype(float), symbols)):
+        c = np.searchsorted(model.bounds, symbol, "right") - 1
+        span, total = slice(model.bounds[c], model.bounds[c + 1]), 0.0
+        for logits, at in ((state @ model.to_class + model.class_bias, c), (model.to_symbol[span] @ state + model.symbol_bias[span], symbol - span.start)):
+            chances = np.exp(logits - logits.max())
+            chances /= chances.sum()
+            total += logits[at] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+        chances[at] -= 1
+        slopes[span] += chances[:, None] * state / 50
+        biases[span] += chances / 50
+        assert math.isclose(got[k], total, rel_tol=1e-3, abs_tol=1e-3)
+    assert np.allclose(back["to_symbol"], slopes, atol=1e-4) and np.allclose(back["symbol_bias"], biases, atol=1e-4)
+
+
+def test_orders_sums_and_products_of_runs_equal_loops():
+    draw = np.random.default_rng(2)
+    for most in (7, 1 << 16, 1 << 20):
+        keys = draw.integers(0, most, 4000)
+        assert np.array_equal(gated_model._order(keys, most), np.argsort(keys, kind="stable"))
+    keys = np.sort(np.concatenate([draw.integers(0, 300, 900), np.full(40, 17)]))
+    edges, values, more = np.flatnonzero(np.diff(keys, prepend=-1)), draw.random((940, 5)).astype(np.float32), draw.random((940, 3)).astype(np.float32)
+    for (found, run), loop in (
+        (gated_model._sums(values, edges), lambda rows: values[rows].sum(axis=0)),
+        (gated_model._products(more, values, edges), lambda rows: more[rows].T @ values[rows]),
+    ):
+        assert sorted(run) == list(range(len(edges)))
+        assert all(np.allclose(found[i], loop(keys == keys[edges[r]]), rtol=1e-4) for i, r in enumerate(run))
+    table, rows = draw.random((50, 4)).astype(np.float32), draw.permutation(50)[:9]
+    plain, values = table.copy(), values[:9, :4]
+    plain[rows] = values
+    gated_model._put(table, rows, values)
+    assert np.array_equal(table, plain)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_look_up_finds_every_word_and_no_other(n):
+    draw, last = np.random.default_rng(n), np.uint64((1 << 64) - 1)
+    words = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    # many in one range of hashes
+    words[: n // 3] = np.arange(n // 3, dtype=np.uint64) * np.uint64(2)
+    words = np.unique(words)
+    counts = np.arange(1, len(words) + 1)
+    known = lm_scoring.Vocabulary(1, n, n, words, counts, counts.astype(np.int32), np.ones(1), np.arange(7, dtype=np.int32), np.zeros(1), 0)
+    asked = np.concatenate([words, words + np.uint64(1), np.array([0, 1, last], np.uint64)])
+    plain = dict(zip(words.tolist(), counts.tolist()))
+    symbols, found = known.look_up(asked)
+    assert found.tolist() == [plain.get(w, -1) for w in asked.tolist()]
+    assert symbols.tolist() == [plain.get(w, int(lm_scoring._shared(np.array([w], np.uint64), 7)[0])) for w in asked.tolist()]
+
+
 def test_scores_without_training_rows(spark):
     got = lm_scoring.scored(documents(spark), F.lit(False)).collect()
     assert len(got) == len(texts()) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
