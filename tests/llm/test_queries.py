@@ -51,8 +51,8 @@ def test_pipeline(spark, tmp_path):
     taken = brute.copies(rows, weights, list(weights), lambda total: total, 3, 11, full=True)
     assert sorted((i, n) for i, n, _, c in taken for _ in range(c) if i is not None) == sorted((i, len(words_of(t))) for i, t in bags[4] if i is not None)
     # as many words as there were, but for one document a leaf
-    kept, leaves = sum(len(words_of(t)) for _, t in bags[4]), {p for _, _, p in rows}
-    assert sum(n for _, n, _ in rows) <= kept <= sum(n for _, n, _ in rows) + sum(max(n for _, n, p in rows if p == leaf) for leaf in leaves)
+    mixed, leaves = sum(len(words_of(t)) for _, t in bags[4]), {p for _, _, p in rows}
+    assert sum(n for _, n, _ in rows) <= mixed <= sum(n for _, n, _ in rows) + sum(max(n for _, n, p in rows if p == leaf) for leaf in leaves)
     packed = kept[5].collect()
     assert {r.doc_id for r in packed} == {i for i, _ in bags[4]}
     assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
